@@ -29,7 +29,7 @@ def slugify(text: Column) -> Column:
 def to_fixed_1(x: Column) -> Column:
     """One decimal, ties of the exact double upwards; only x with 4 * x odd can tie."""
     tie = F.abs(F.pmod(x * 4, F.lit(2.0)) - 1) < F.lit(1e-12)
-    return F.replace(F.format_number(F.when(tie, x + 0.01).otherwise(x), "0.0"), F.lit(","), F.lit(""))
+    return F.replace(F.call_function("format_number", F.when(tie, x + 0.01).otherwise(x), F.lit("0.0")), F.lit(","), F.lit(""))
 
 
 def round2(x: Column) -> Column:

@@ -1,6 +1,27 @@
-"""All queries of the library by name, and the SQL that gives the same rows."""
+"""Where queries register themselves with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from parcelcover.sources.bridge import oracle
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query; sql is DuckDB's, without the bridge tables that it names."""
+
+    def put(f: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered already")
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = oracle(sql)
+        return f
+
+    return put

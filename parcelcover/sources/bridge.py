@@ -130,13 +130,40 @@ def rectangle(x0, y0, x1, y1):
     return F.array(F.array(F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in corners])))
 
 
+def _values(rows: list[tuple]) -> str:
+    show = lambda v: "null" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int | float) else f"'{v}'"
+    return ", ".join(f"({', '.join(map(show, r))})" for r in rows)
+
+
+_COMMON = "greatest(0e0, least(p.maxx, f.maxx) - greatest(p.minx, f.minx)) * greatest(0e0, least(p.maxy, f.maxy) - greatest(p.miny, f.miny))"
+_TOUCH = "p.minx <= f.maxx and f.minx <= p.maxx and p.miny <= f.maxy and f.miny <= p.maxy"
+#: For the SQL side only: what several queries share.
+SHARED: dict[str, str] = {
+    "o_art": f"select * from (values {_values([dims.art_row(a) for a in dims.ARTS])}) t(art, maingroup, sia416, din277, greenspace, sealed, vbs_kat, vbs_produktiv, vbs_typ)",
+    "o_parcels": """select egrid, arg_min(nummer, fid) filter (nummer is not null) nummer, arg_min(bfsnr, fid) bfsnr, arg_min(flaeche, fid) flaeche, count(*) parts, case when count(*) > 1 then 'merged' else 'found' end check_egrid,
+        min(minx) minx, min(miny) miny, max(maxx) maxx, max(maxy) maxy, sum((maxx - minx) * (maxy - miny)) parcel_area_m2 from b_parcels group by 1""",
+    "o_pieces": f"select * from (select p.egrid, f.fid, f.art, f.bfsnr, f.gwr_egid, sum({_COMMON}) area from b_parcels p join b_landcover f on {_TOUCH} where {_COMMON} >= 0.001 group by 1, 2, 3, 4, 5)",
+    "o_zones": f"select p.egrid, f.fid, f.bauzone, f.bauzone_code, sum(floor({_COMMON} * 100 + 0.5) / 100) area from b_parcels p join b_zones f on {_TOUCH} where {_COMMON} >= 0.001 group by 1, 2, 3, 4",
+    "o_habitat": f"select p.egrid, f.fid, f.typoch, sum(floor({_COMMON} * 100 + 0.5) / 100) area from b_parcels p join b_habitat f on {_TOUCH} where f.minx is not null and {_COMMON} >= 0.001 group by 1, 2, 3",
+}
+SHARED["o_classed"] = """select egrid, fid, p.art, area, coalesce(sia416, 'UUF') sia416, coalesce(din277, 'UF') din277, coalesce(greenspace, 'Not green space') greenspace, coalesce(sealed, false) sealed,
+    coalesce(vbs_kat, 'kat_d') vbs_kat, coalesce(vbs_produktiv, 'unproduktiv') vbs_produktiv, vbs_typ from o_pieces p left join o_art a on a.art = p.art"""
+
+
 def oracle(sql: str) -> str:
-    """sql for DuckDB with the bridge tables that it names in front."""
-    used = [b for b in BRIDGES if re.search(rf"\b{b}\b", sql)]
-    head = ", ".join(f"{b} as ({BRIDGES[b]})" for b in used)
-    if not used:
-        return sql
+    """sql for DuckDB with the tables that it names in front."""
+    every = BRIDGES | SHARED
+    used, todo = set(), [sql]
+    while todo:
+        text = todo.pop()
+        for b in every:
+            if b not in used and re.search(rf"\b{b}\b", text):
+                used.add(b)
+                todo.append(every[b])
+    head = ", ".join(f"{b} as materialized ({every[b]})" for b in every if b in used)
     body = sql.strip()
+    if not used:
+        return body
     if body.lower().startswith("with recursive"):
         return f"with recursive {head}, {body[14:]}"
     return f"with {head}, {body[4:]}" if body.lower().startswith("with") else f"with {head} {body}"
