@@ -15,32 +15,56 @@ CELL, STEP, LEVELS, SPAN = 128.0, 16, 4, 16
 SLIVER = 0.001
 
 
-def _cells(df: DataFrame, cell: float, p: str) -> DataFrame:
-    """df, once for each grid level from its own upwards and each cell there that its box touches."""
-    width = F.greatest(F.col(f"{p}maxx") - F.col(f"{p}minx"), F.col(f"{p}maxy") - F.col(f"{p}miny"))
-    own = sum((F.when(width > cell * STEP**k * (SPAN - 1), 1).otherwise(0) for k in range(LEVELS - 1)), F.lit(0))
-    df = df.withColumn(f"{p}own", own).withColumn("level", F.explode(F.sequence(F.col(f"{p}own"), F.lit(LEVELS - 1))))
+def _width(p: str) -> Column:
+    return F.greatest(F.col(f"{p}maxx") - F.col(f"{p}minx"), F.col(f"{p}maxy") - F.col(f"{p}miny"))
+
+
+def _level(cell: float, p: str) -> Column:
+    """The finest grid in which the box spans SPAN cells a side at most."""
+    return sum((F.when(_width(p) > cell * STEP**k * (SPAN - 1), 1).otherwise(0) for k in range(LEVELS - 1)), F.lit(0))
+
+
+def _cells(df: DataFrame, cell: float, p: str, levels: list[int]) -> DataFrame:
+    """df, once for each cell that its box touches in its own grid and in those of levels above it."""
+    df = df.withColumn(f"{p}own", _level(cell, p))
+    df = df.withColumn("level", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda k: k >= F.col(f"{p}own")))) if len(levels) > 1 else df.withColumn("level", F.lit(levels[0]))
     size = F.lit(cell) * F.pow(F.lit(float(STEP)), F.col("level"))
     span = lambda c: F.sequence(F.floor(F.col(f"{p}min{c}") / size), F.floor(F.col(f"{p}max{c}") / size))
     return df.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
 
 
+def _levels(a: DataFrame, b: DataFrame, cell: float) -> list[int]:
+    """Grids that some box needs; at most LEVELS numbers reach the driver."""
+    own = [d.select(_level(cell, p).alias("level")) for d, p in ((a, "a_"), (b, "b_"))]
+    return sorted(r.level for r in own[0].unionByName(own[1]).distinct().collect()) or [0]
+
+
 def candidate_pairs(a: DataFrame, b: DataFrame, cell: float = CELL) -> DataFrame:
     """Pairs of rows whose boxes touch or overlap; a's columns as a_<name>, b's as b_<name>.
 
-    Both sides are dealt out to the cells of grids of several widths. A pair meets in the grid of the wider
-    box, in the one cell that holds the corner (largest minimum x, largest minimum y), so no pair comes twice,
-    no side is sent to all, and a very wide box doesn't turn into thousands of small cells. Rows without a box
-    pair with nothing.
+    Both sides are dealt out to the cells of a grid, of several widths if some boxes are very wide. A pair meets
+    in the grid of the wider box, in the one cell that holds the corner (largest minimum x, largest minimum y),
+    so no pair comes twice, no side is sent to all, and a very wide box doesn't turn into thousands of small
+    cells. In a wide grid only boxes that belong there meet the others. Rows without a box pair with nothing.
     """
     a = a.select([F.col(f"`{c}`").alias(f"a_{c}") for c in a.columns]).where("a_minx is not null and a_miny is not null and a_maxx is not null and a_maxy is not null")
     b = b.select([F.col(f"`{c}`").alias(f"b_{c}") for c in b.columns]).where("b_minx is not null and b_miny is not null and b_maxx is not null and b_maxy is not null")
-    pairs = _cells(a, cell, "a_").join(_cells(b, cell, "b_"), ["level", "cx", "cy"])
+    levels = _levels(a, b, cell)
+    left, right, keys = _cells(a, cell, "a_", levels), _cells(b, cell, "b_", levels), ["cx", "cy"]
+    if len(levels) > 1:
+        # Key "way" is 1 where a's box belongs to the grid and 2 where only b's does; two passing boxes never meet.
+        keys += ["level", "way"]
+        left = left.withColumn("way", F.when(F.col("level") == F.col("a_own"), 1).otherwise(2))
+        both = F.when(F.col("level") == F.col("b_own"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+        right = right.withColumn("way", F.explode(both))
+    else:
+        right = right.drop("level")
+    pairs = left.join(right, keys)
     size = F.lit(cell) * F.pow(F.lit(float(STEP)), F.col("level"))
     low = lambda c: F.greatest(F.col(f"a_min{c}"), F.col(f"b_min{c}"))
     touch = (F.col("a_minx") <= F.col("b_maxx")) & (F.col("b_minx") <= F.col("a_maxx")) & (F.col("a_miny") <= F.col("b_maxy")) & (F.col("b_miny") <= F.col("a_maxy"))
     here = (F.floor(low("x") / size) == F.col("cx")) & (F.floor(low("y") / size) == F.col("cy"))
-    return pairs.where(touch & here & (F.col("level") == F.greatest("a_own", "b_own"))).drop("level", "cx", "cy", "a_own", "b_own")
+    return pairs.where(touch & here).drop("cx", "cy", "level", "way", "a_own", "b_own")
 
 
 def overlap() -> dict[str, Column]:
