@@ -16,7 +16,7 @@ def _over_edges(ring: Column, term) -> Column:
     """Sum of term(point, next point) over a ring."""
     n = F.size(ring)
     pairs = F.arrays_zip(F.slice(ring, F.lit(1), F.greatest(n - 1, F.lit(0))).alias("p"), F.slice(ring, F.lit(2), F.greatest(n - 1, F.lit(0))).alias("q"))
-    return F.aggregate(pairs, F.lit(0.0), lambda acc, e: acc + term(e["0"], e["1"]))
+    return F.aggregate(pairs, F.lit(0.0), lambda acc, e: acc + term(e["p"], e["q"]))
 
 
 def _rings(geom: Column, area) -> Column:

@@ -70,7 +70,8 @@ def parse_area(text: Column) -> Column:
 
 def format_area(x: Column) -> Column:
     """Four decimals, closing zeros cut; null becomes empty."""
-    return F.coalesce(F.regexp_replace(F.regexp_replace(F.format_string("%.4f", x), r"0+$", ""), r"\.$", ""), F.lit(""))
+    shown = F.regexp_replace(F.regexp_replace(F.format_string("%.4f", x), r"0+$", ""), r"\.$", "")
+    return F.when(x.isNull(), "").otherwise(shown)
 
 
 def typoch_code(label: Column) -> Column:

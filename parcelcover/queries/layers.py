@@ -1 +1,137 @@
-"""To come."""
+"""Queries on files, layers, set operations and comparison."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from parcelcover.functions import dims
+from parcelcover.operators import compare as C
+from parcelcover.operators.survey import classify
+from parcelcover.plans.materialize import shared_dir
+from parcelcover.queries.parcels import dissolved, pieces, zones
+from parcelcover.registry import query
+from parcelcover.sources import files
+from parcelcover.sources.bridge import bridge
+
+
+def _scratch(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("s1_read_parcel_list", "select id, egrid, rg, bez from (select id, egrid, rg, trim(bez) bez from b_users)")
+def _(spark, sf):
+    path = _scratch(spark, "list")
+    bridge(spark, sf, "b_users").select(F.col("id").alias("ID"), F.col("egrid").alias(" EGRID"), "rg", "bez").write.csv(path, sep=";", header=True, quoteAll=False, emptyValue="")
+    return files.read_parcel_list(spark, path)
+
+
+@query("s7_read_feature_layers", "select fid, 'bauzonen' layer, bauzone_code art, area from (select cast(fid as varchar) fid, bauzone_code, (maxx - minx) * (maxy - miny) area from b_zones)")
+def _(spark, sf):
+    path = _scratch(spark, "features")
+    z = bridge(spark, sf, "b_zones").select(F.col("fid").cast("string").alias("id"), "bauzone_code", ((F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny"))).alias("area_m2"), "geom")
+    p = bridge(spark, sf, "b_parcels").select(F.col("egrid").alias("id"), "geom")
+    files.write_feature_layers({"parcel": p, "bauzonen": z}, path)
+    _, overlays = files.split_layers(files.read_features(spark.read.text(path)))
+    return overlays.select(F.col("id").alias("fid"), "layer", "art", F.col("area_m2").alias("area"))
+
+
+@query("s8_write_feature_layers")
+def _(spark, sf):
+    path = _scratch(spark, "features")
+    files.write_feature_layers({"parcel": bridge(spark, sf, "b_parcels").select(F.col("egrid").alias("id"), "flaeche", "geom"), "landcover": pieces(spark, sf).select("egrid", "fid", "art", F.col("area").alias("area_m2"))}, path)
+    return spark.read.text(path)
+
+
+@query("s9_write_csv")
+def _(spark, sf):
+    path = _scratch(spark, "csv")
+    files.write_csv(bridge(spark, sf, "b_portfolio").select("id", "egrid", "input_bez", "sealed_m2"), path)
+    return spark.read.text(path)
+
+
+@query("s10_write_layers", "select egrid, fid, art, area area_m2 from o_pieces")
+def _(spark, sf):
+    path = _scratch(spark, "layers")
+    files.write_layers({"landcover": pieces(spark, sf).select("art", "fid", "egrid", F.col("area").alias("area_m2"))}, path)
+    return spark.read.parquet(f"{path}/landcover")
+
+
+@query("s11_load_dims", "select art, maingroup, n from (select a.art, maingroup, count(b.art) n from o_art a left join b_landcover b on b.art = a.art group by 1, 2)")
+def _(spark, sf):
+    lc = bridge(spark, sf, "b_landcover").groupBy(F.col("art").alias("a")).agg(F.count("*").alias("n"))
+    return dims.dim_art(spark).join(lc, F.col("art") == F.col("a"), "left").select("art", "maingroup", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("p4_allowlist_columns")
+def _(spark, sf):
+    u = bridge(spark, sf, "b_users").select("id", "egrid", F.col("ort").alias("input_ort"), F.col("bez").alias("input_kontaktperson"), F.col("rg").alias("input_rg"), F.col("tpf").alias("email"))
+    return files.allowlist_columns(u, dims.INPUT_KEPT)[0]
+
+
+@query("p11_detail_columns", "select egrid, fid, art, bfsnr, gwr_egid, area area_m2 from o_pieces where art = 'Reben'")
+def _(spark, sf):
+    d = pieces(spark, sf).where("art = 'Reben'").withColumnRenamed("area", "area_m2")
+    return d.select(*[c for c in files.DETAIL_COLUMNS["landcover"] if c in d.columns])
+
+
+@query("a17_class_breakdown", """with u as (select 'art' as tab, art as item, area from o_classed union all select 'sia', sia416, area from o_classed union all select 'din', din277, area from o_classed union all select 'green', greenspace, area from o_classed
+    union all select 'kat', vbs_kat, area from o_classed union all select 'prod', vbs_produktiv, area from o_classed union all select 'typ', vbs_typ, area from o_classed where vbs_typ is not null union all select 'zone', bauzone, area from o_zones)
+    select tab, item, sum(area) area, round(sum(area) / sum(sum(area)) over (partition by tab), 9) share from u group by 1, 2""")
+def _(spark, sf):
+    from pyspark.sql import Window
+
+    c = classify(pieces(spark, sf))
+    tabs = {"art": "art", "sia": "sia416", "din": "din277", "green": "greenspace", "kat": "vbs_kat", "prod": "vbs_produktiv", "typ": "vbs_typ"}
+    items = F.array(*[F.struct(F.lit(t).alias("tab"), F.col(k).alias("item")) for t, k in tabs.items()])
+    u = c.select(F.explode(items).alias("i"), "area").select("i.*", "area").unionByName(zones(spark, sf).select(F.lit("zone").alias("tab"), F.col("bauzone").alias("item"), "area"))
+    g = u.where("item is not null").groupBy("tab", "item").agg(F.sum("area").alias("area"))
+    return g.withColumn("share", F.round(F.col("area") / F.sum("area").over(Window.partitionBy("tab")), 9))
+
+
+@query("a28_extent", "select min(minx) minx, min(miny) miny, max(maxx) maxx, max(maxy) maxy from b_parcels where bfsnr = 3")
+def _(spark, sf):
+    from parcelcover.functions.geometry import bbox
+
+    b = bridge(spark, sf, "b_parcels").where("bfsnr = 3").select(bbox(F.col("geom")).alias("b"))
+    return b.agg(F.min("b.minx").alias("minx"), F.min("b.miny").alias("miny"), F.max("b.maxx").alias("maxx"), F.max("b.maxy").alias("maxy"))
+
+
+@query("u1_union_layers", "select 'parcel' layer, egrid, null fid, null art, cast(parts as double) as value from o_parcels union all select 'landcover', egrid, fid, art, area from o_pieces")
+def _(spark, sf):
+    p = dissolved(spark, sf).select(F.lit("parcel").alias("layer"), "egrid", F.col("parts").cast("double").alias("value"))
+    return p.unionByName(pieces(spark, sf).select(F.lit("landcover").alias("layer"), "egrid", "fid", "art", F.col("area").alias("value")), allowMissingColumns=True)
+
+
+def _exports(spark, sf):
+    """Two exports of the portfolio that differ in known rows."""
+    b = bridge(spark, sf, "b_portfolio").where("egrid <> ''").withColumnRenamed("k", "pos")
+    other = b.where("pos % 50 <> 1").withColumn("sealed_m2", F.when(F.col("pos") % 7 == 0, F.col("sealed_m2") + 1).when(F.col("pos") % 7 == 1, F.col("sealed_m2") + 0.01).otherwise(F.col("sealed_m2"))).withColumn("input_rg", F.when(F.col("pos") % 11 == 0, "X").otherwise(F.col("input_rg")))
+    return b, other
+
+
+_EXPORTS = """a as (select * from b_portfolio where egrid <> '' qualify row_number() over (partition by egrid order by k desc) = 1), o as (select * replace (case when k % 7 = 0 then sealed_m2 + 1 when k % 7 = 1 then sealed_m2 + 0.01 else sealed_m2 end as sealed_m2, case when k % 11 = 0 then 'X' else input_rg end as input_rg) from b_portfolio where egrid <> '' and k % 50 <> 1),
+    b as (select * from o qualify row_number() over (partition by egrid order by k desc) = 1)"""
+
+
+@query("j11_compare_parcels", f"""with {_EXPORTS} select a.egrid, 'sealed_m2' as name, cast(a.sealed_m2 as varchar) as left, cast(b.sealed_m2 as varchar) as right from a join b on a.egrid = b.egrid where abs(a.sealed_m2 - b.sealed_m2) > 0.02 + 1e-4 * greatest(abs(a.sealed_m2), abs(b.sealed_m2))
+    union all select a.egrid, 'input_rg', a.input_rg, b.input_rg from a join b on a.egrid = b.egrid where a.input_rg <> b.input_rg union all select a.egrid, 'nummer', a.nummer, b.nummer from a join b on a.egrid = b.egrid where abs(cast(a.nummer as double) - cast(b.nummer as double)) > 0.02 + 1e-4 * greatest(cast(a.nummer as double), cast(b.nummer as double)) union all select egrid, '*', 'present', null from a where egrid not in (select egrid from b)""")
+def _(spark, sf):
+    a, b = _exports(spark, sf)
+    return C.compare_parcels(a, b, ["sealed_m2", "input_rg", "nummer"])
+
+
+@query("j12_compare_detail", """with b as (select * replace (case when fid like '1%' then area + 1 else area end as area) from o_pieces where fid not like '25%'), x as (select egrid, art, count(*) n, sum(area) s from o_pieces group by 1, 2), y as (select egrid, art, count(*) n, sum(area) s from b group by 1, 2),
+    d as (select coalesce(x.egrid, y.egrid) egrid, coalesce(x.art, y.art) art, coalesce(x.n, 0) xn, coalesce(y.n, 0) yn, coalesce(x.s, 0e0) xs, coalesce(y.s, 0e0) ys from x full join y on x.egrid = y.egrid and x.art = y.art)
+    select egrid, art, xs as left, ys as right from d where abs(xs - ys) > 0.02 + 1e-4 * greatest(abs(xs), abs(ys)) union all select egrid, '*', sum(xn) * 1e0, sum(yn) * 1e0 from d group by 1 having sum(xn) <> sum(yn)""")
+def _(spark, sf):
+    p = pieces(spark, sf)
+    other = p.where("fid not like '25%'").withColumn("area", F.when(F.col("fid").startswith("1"), F.col("area") + 1).otherwise(F.col("area")))
+    return C.compare_detail(p, other)
+
+
+@query("u3_only_in_a", "select distinct egrid from b_portfolio where egrid <> '' and egrid not in (select egrid from b_portfolio where egrid <> '' and k % 50 <> 1)")
+def _(spark, sf):
+    a, b = _exports(spark, sf)
+    return a.select("egrid").distinct().join(b.select("egrid"), "egrid", "left_anti")

@@ -1 +1,125 @@
-"""To come."""
+"""Queries of scalar and geometry functions over whole columns."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from parcelcover.functions import dims
+from parcelcover.functions import geometry as G
+from parcelcover.functions import scalars as S
+from parcelcover.registry import query
+from parcelcover.sources.bridge import bridge
+
+
+@query("f1_slugify", "select distinct bauzone, trim(regexp_replace(replace(replace(replace(replace(lower(bauzone), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), '[^a-z0-9]+', '_', 'g'), '_') slug from b_zones")
+def _(spark, sf):
+    return bridge(spark, sf, "b_zones").select("bauzone", S.slugify(F.col("bauzone")).alias("slug")).distinct()
+
+
+@query("f2_to_fixed_1")
+def _(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    return o.select("o_orderkey", S.to_fixed_1(F.col("o_totalprice")).alias("shown"))
+
+
+@query("f3_round2", "select o_orderkey, floor(o_totalprice / 3 * 100 + 0.5) / 100 rounded from orders")
+def _(spark, sf):
+    return spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", S.round2(F.col("o_totalprice") / 3).alias("rounded"))
+
+
+@query("f7_area_keys", "select distinct 'bauzonen_' || trim(regexp_replace(replace(replace(replace(lower(bauzone), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), '[^a-z0-9]+', '_', 'g'), '_') || '_m2' area_key, trim(regexp_replace(replace(replace(replace(lower(bauzone), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), '[^a-z0-9]+', '_', 'g'), '_') slug from b_zones")
+def _(spark, sf):
+    d = bridge(spark, sf, "b_zones").select(S.area_key("bauzonen", F.col("bauzone")).alias("area_key")).distinct()
+    return d.withColumn("slug", S.area_key_slug("bauzonen", F.col("area_key")))
+
+
+_NUM = "case when o_orderkey % 5 = 0 then 'x' || o_orderkey when o_orderkey % 5 = 1 then cast(o_orderkey as string) || ' m2' when o_orderkey % 5 = 2 then '-' || cast(o_custkey as string) || '.25' else '' end"
+
+
+@query("f9_num", f"select o_orderkey, coalesce(try_cast(nullif(regexp_extract({_NUM}, '^([+-]?(\\d+\\.?\\d*|\\.\\d+))', 1), '') as double), 0e0) num from orders")
+def _(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    return o.select("o_orderkey", S.num(F.expr(_NUM)).alias("num"))
+
+
+@query("f11_norm_and_close", "select o_orderkey, regexp_replace(cast(cast(o_custkey as double) / 4 as varchar), '\\.0$', '') norm, abs(o_totalprice - round(o_totalprice, 0)) <= 0.02 + 1e-4 * greatest(abs(o_totalprice), abs(round(o_totalprice, 0))) close from orders")
+def _(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    return o.select("o_orderkey", S.norm_number(F.col("o_custkey").cast("double") / 4).alias("norm"), S.close(F.col("o_totalprice"), F.round("o_totalprice", 0)).alias("close"))
+
+
+_SLUGS = ["6_3_andere_laubwaelder", "2_ufer_und_feuchtgebiete", "waelder", "9_2", "gebaeude_anlagen", "unbekannt", "10_x"]
+_SLUG = "case o_orderkey % 7 " + " ".join(f"when {i} then '{s}'" for i, s in enumerate(_SLUGS)) + " end"
+
+
+@query("f13_hab_code", f"select o_orderkey, replace(regexp_extract({_SLUG}, '^(\\d+(?:_\\d+)*)(?:_|$)', 1), '_', '.') code, case when regexp_matches({_SLUG}, '^[1-9]') then substr({_SLUG}, 1, 1) when {_SLUG} = 'waelder' then '6' when {_SLUG} = 'gebaeude_anlagen' then '9' else '' end digit from orders")
+def _(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", F.expr(_SLUG).alias("slug"))
+    return o.select("o_orderkey", S.hab_code(F.col("slug")).alias("code"), S.hab_digit(F.col("slug")).alias("digit"))
+
+
+_D = "(o_orderkey % 401 - 200)"
+
+
+@query("f14_delta_text", f"select o_orderkey, case when {_D} > 0 then '+' else '' end || cast({_D} as varchar) || case when o_custkey % 3 > 0 then ' (' || case when floor({_D} / (o_custkey % 3 * 100.0e0) * 1000 + 0.5) / 10 > 0 then '+' else '' end || regexp_replace(cast(floor({_D} / (o_custkey % 3 * 100.0e0) * 1000 + 0.5) / 10 as varchar), '\\.0$', '') || ' %)' else '' end delta from orders")
+def _(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    return o.select("o_orderkey", S.delta_text((F.col("o_orderkey") % 401 - 200).cast("double"), (F.col("o_custkey") % 3 * 100).cast("double")).alias("delta"))
+
+
+@query("f15_vbs_labels", "select egrid, fid, case vbs_kat when 'kat_a' then 'A. Settlement area' when 'kat_b' then 'B. Agricultural area' when 'kat_c' then 'C. Wooded area' else 'D. Unproductive area' end kat, coalesce(case vbs_typ when 'typ1' then 'Type 1 - Green spaces near buildings' when 'typ2' then 'Type 2 - Other green spaces' end, '') typ from o_classed")
+def _(spark, sf):
+    from parcelcover.operators.survey import classify
+    from parcelcover.queries.parcels import pieces
+
+    label = lambda c: F.coalesce(S.lookup(dims.VBS_LABELS, F.col(c)), F.lit(""))
+    return classify(pieces(spark, sf)).select("egrid", "fid", label("vbs_kat").alias("kat"), label("vbs_typ").alias("typ"))
+
+
+@query("g1_planar_area", "select fid, (maxx - minx) * (maxy - miny) area from b_parcels")
+def _(spark, sf):
+    return bridge(spark, sf, "b_parcels").select("fid", G.planar_area(F.col("geom")).alias("area"))
+
+
+_LON = "(2.6779094e0 + 4.728982e0 * y + 0.791484e0 * y * x + 0.1306e0 * y * x * x - 0.0436e0 * y * y * y) * 100 / 36"
+_LAT = "(16.9023892e0 + 3.238272e0 * x - 0.270978e0 * y * y - 0.002528e0 * x * x - 0.0447e0 * y * y * x - 0.0140e0 * x * x * x) * 100 / 36"
+
+
+@query("g2_spherical_area", "with d as (select fid, (minx - 2600000) / 1000 x0, (miny - 1200000) / 1000 y0, (maxx - 2600000) / 1000 x1, (maxy - 1200000) / 1000 y1 from b_parcels) select fid, round(abs(radians(x1 - x0) * (2 + 2 * sin(radians(y0))) + radians(x0 - x1) * (2 + 2 * sin(radians(y1)))) * 6371008.8e0 * 6371008.8e0 / 2 / 1e6, 3) km2 from d")
+def _(spark, sf):
+    small = G.reproject(F.col("geom"), lambda x, y: ((x - 2600000) / 1000, (y - 1200000) / 1000))
+    return bridge(spark, sf, "b_parcels").select("fid", F.round(G.spherical_area(small) / 1e6, 3).alias("km2"))
+
+
+@query("g3_bbox", "select fid, minx, miny, maxx, maxy from b_zones")
+def _(spark, sf):
+    return bridge(spark, sf, "b_zones").select("fid", G.bbox(F.col("geom")).alias("b")).select("fid", "b.*")
+
+
+@query("g4_lv95_to_wgs84", f"select fid, round({_LON}, 9) lon, round({_LAT}, 9) lat from (select fid, (minx - 2600000) / 1e6 y, (miny - 1200000) / 1e6 x from b_parcels)")
+def _(spark, sf):
+    lon, lat = G.lv95_to_wgs84(F.col("minx"), F.col("miny"))
+    return bridge(spark, sf, "b_parcels").select("fid", F.round(lon, 9).alias("lon"), F.round(lat, 9).alias("lat"))
+
+
+@query("g4_round_trip", "select fid, true near from b_parcels")
+def _(spark, sf):
+    p = bridge(spark, sf, "b_parcels")
+    x, y = G.wgs84_to_lv95(*G.lv95_to_wgs84(F.col("minx"), F.col("miny")))
+    return p.select("fid", ((F.abs(x - F.col("minx")) < 2) & (F.abs(y - F.col("miny")) < 2)).alias("near"))
+
+
+@query("g5_difference", "select a.fid, round((a.maxx - a.minx) * (a.maxy - a.miny) - greatest(0, least(a.maxx, b.maxx) - greatest(a.minx, b.minx)) * greatest(0, least(a.maxy, b.maxy) - greatest(a.miny, b.miny)), 6) area from b_zones a join b_zones b on b.fid = a.fid + (select count(*) from part)")
+def _(spark, sf):
+    from parcelcover.operators.spatial import difference
+
+    n = spark.read.parquet(f"{sf}/part.parquet").count()
+    z = bridge(spark, sf, "b_zones").select("fid", "geom")
+    pairs = z.join(z.select((F.col("fid") - n).alias("fid"), F.col("geom").alias("other")), "fid")
+    return difference(pairs, "geom", "other", "rest").select("fid", F.round(G.planar_area(F.col("rest")), 6).alias("area"))
+
+
+@query("g6_geojson_round_trip", "select fid, (maxx - minx) * (maxy - miny) area from b_zones")
+def _(spark, sf):
+    z = bridge(spark, sf, "b_zones")
+    return z.select("fid", G.planar_area(G.from_geojson(G.to_geojson(F.col("geom")))).alias("area"))
