@@ -15,6 +15,7 @@ import unicodedata
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Words, and chunks between white space, whose encoding a task keeps; twice at most.
 CACHE = 250_000
@@ -171,5 +172,6 @@ def encode_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", ful
             yield out
 
     more = ", ids array<int>, decoded string" if full else ""
-    source = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    return source.mapInPandas(run, f"doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
+    source = docs.selectExpr("cast(cast(doc_id as long) as string) doc_id", "cast(text as string) text")  # as text: a null among numbers makes them floats
+    out = source.mapInPandas(run, f"doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -16,6 +16,7 @@ from html.parser import HTMLParser
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head "
@@ -34,7 +35,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 #: Elements that close an open one of the same kind, as a parser for browsers does.
 CLOSES = {k: frozenset(v.split()) for k, v in {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}.items()}
 SPACE = re.compile(r"\s+")
-SIGMA = 1.0
+#: Spread of the smoothing in lines, and smoothed characters a tag that count as prose on any page.
+SIGMA, PROSE = 1.0, 15.0
 
 
 class Lines(HTMLParser):
@@ -136,10 +138,11 @@ def main_text(html: str | None) -> str:
     inside = [t for t, _, main in found if main]
     if inside:
         return " ".join(inside)
-    ratio = smooth(np.array([len(t) / max(1, tags) for t, tags, _ in found], float))
-    # Two clusters need a clear gap: on a page that is prose throughout, every line stays.
-    least = threshold(ratio) if ratio.max() > 4 * ratio.min() else -1.0
-    return " ".join(t for (t, _, _), r in zip(found, ratio, strict=True) if r > least)
+    raw = np.array([len(t) / max(1, tags) for t, tags, _ in found], float)
+    ratio = smooth(raw)
+    # Two clusters need a clear gap; a line that reads like prose by itself stays whatever stands around it.
+    least = min(threshold(ratio), PROSE) if raw.max() > 4 * raw.min() else -1.0
+    return " ".join(t for (t, _, _), r, own in zip(found, ratio, raw, strict=True) if max(r, own) > least)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -154,5 +157,6 @@ def extract(pages: DataFrame) -> DataFrame:
             text = [main_text(h if isinstance(h, str) else None) for h in x.html]
             yield pd.DataFrame({"page_id": x.page_id.to_numpy(), "url": x.url.to_numpy(), "text": text, "n_chars": [len(t) for t in text]})
 
-    source = pages.selectExpr("cast(page_id as long) page_id", "cast(url as string) url", "cast(html as string) html")
-    return source.mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    source = pages.selectExpr("cast(cast(page_id as long) as string) page_id", "cast(url as string) url", "cast(html as string) html")  # as text: a null among numbers makes them floats
+    out = source.mapInPandas(run, "page_id string, url string, text string, n_chars long")
+    return out.withColumn("page_id", F.col("page_id").cast("long"))

@@ -142,8 +142,9 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
             out.insert(0, "doc_id", x.doc_id.to_numpy())
             yield out
 
-    source = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    return source.mapInPandas(run, "doc_id long, lang_pred string, score double, languages array<string>")
+    source = docs.selectExpr("cast(cast(doc_id as long) as string) doc_id", "cast(text as string) text")  # as text: a null among numbers makes them floats
+    out = source.mapInPandas(run, "doc_id string, lang_pred string, score double, languages array<string>")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from parcelcover.llm.text import covered, repeated, word_hashes, words
 
@@ -88,15 +90,16 @@ def assess(docs: DataFrame) -> DataFrame:
             out.insert(0, "doc_id", x.doc_id.to_numpy())
             yield out
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInPandas(run, f"doc_id long, {COLUMNS}")
+    source = docs.selectExpr("cast(cast(doc_id as long) as string) doc_id", "cast(text as string) text")  # as text: a null among numbers makes them floats
+    return source.mapInPandas(run, f"doc_id string, {COLUMNS}").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of docs whose text is kept, with all their columns, in one pass over the table."""
+    at = docs.columns.index("text")
+
     def run(batches):
         for x in batches:
-            good = np.fromiter((judge(t if isinstance(t, str) else None)[6] for t in x.iloc[:, at]), bool, len(x))
-            yield x[good]
+            yield x.filter(pa.array([judge(t)[6] for t in x.column(at).to_pylist()], pa.bool_()))
 
-    at = [c.lower() for c in docs.columns].index("text")
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
