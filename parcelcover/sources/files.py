@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,14 +38,14 @@ def read_parcel_list(spark: SparkSession, path: str) -> DataFrame:
     if not lines:
         raise ValueError("the list is empty")
     sep, extra = delimiter(lines[0])
-    df = spark.read.csv(path, sep=sep, header=False, multiLine=True, quote='"', escape='"', encoding="UTF-8", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     header_line = lines[1 if extra else 0]
-    names = [c.strip().strip('"').strip().lower() for c in spark.createDataFrame([(header_line,)], "value string").select(F.split("value", sep if sep != "\t" else "\t")).first()[0]]
+    names = [c.strip().lower() for c in next(csv.reader([header_line], delimiter=sep), [])]
     missing = [c for c in ("id", "egrid") if c not in names]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}; found: {', '.join(names)}")
-    cells = df.columns
-    keep = {n: cells[i] for i, n in enumerate(names) if i < len(cells)}
+    keep = {n: f"c{i}" for i, n in enumerate(names)}
+    schema = ", ".join(f"c{i} string" for i in range(len(names)))
+    df = spark.read.csv(path, schema=schema, sep=sep, multiLine=True, quote='"', escape='"', encoding="UTF-8", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     clean = lambda c: F.trim(F.coalesce(F.regexp_replace(c, "^﻿", ""), F.lit("")))
     out = df.select(*[clean(F.col(c)).alias(n) for n, c in keep.items()])
     return out.where(~((F.lower("id") == "id") & (F.lower("egrid") == "egrid")) & ~F.lower("id").startswith("sep="))
@@ -50,8 +53,6 @@ def read_parcel_list(spark: SparkSession, path: str) -> DataFrame:
 
 def allowlist_columns(df: DataFrame, kept: list[str]) -> tuple[DataFrame, list[str]]:
     """df without input_ columns outside kept and without columns whose name looks private; and the dropped names."""
-    import re
-
     drop = [c for c in df.columns if (c.startswith("input_") and c[6:] not in kept) or (not c.startswith("input_") and re.search(PRIVATE, c))]
     return df.drop(*drop), drop
 
