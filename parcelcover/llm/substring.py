@@ -17,10 +17,11 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelcover.llm.text import WORD, ngram_hashes, word_hashes, words
+from parcelcover.llm.text import WORD, ngram_hashes, repeated, word_hashes, words
 from parcelcover.plans.materialize import materialize
 
 WORDS = re.compile(WORD)
@@ -54,21 +55,23 @@ def winnow(h: np.ndarray, window: int) -> np.ndarray:
 
 
 def seeds(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
-    """(h, doc_id, pos): the seeds of every text, words lower-cased; pos is the first word's number."""
+    """(h, doc_id, pos, lead): the seeds of every text, words lower-cased; pos is the first word's number, lead the
+    text's first seed of its hash."""
 
     def run(batches):
         for x in batches:
-            ids, places, hashes = [], [], []
+            ids, places, hashes, leads = [], [], [], []
             for doc, text in zip(x.doc_id.to_numpy(), x.text, strict=True):
                 h = ngram_hashes(word_hashes(words(text, lower=True)), k)
                 at = winnow(h, window)
                 ids.append(np.full(len(at), doc, np.int64))
                 places.append(at)
                 hashes.append(h[at])
+                leads.append(~repeated(h[at])[1])
             if ids:
-                yield pd.DataFrame({"h": np.concatenate(hashes).view(np.int64), "doc_id": np.concatenate(ids), "pos": np.concatenate(places).astype(np.int32)})
+                yield pd.DataFrame({"h": np.concatenate(hashes).view(np.int64), "doc_id": np.concatenate(ids), "pos": np.concatenate(places).astype(np.int32), "lead": np.concatenate(leads)})
 
-    return docs.mapInPandas(run, "h long, doc_id long, pos int")
+    return docs.mapInPandas(run, "h long, doc_id long, pos int, lead boolean")
 
 
 class PrefixMax:
@@ -132,10 +135,25 @@ def chains(pos: list[int], ref: list[int], gap: int = GAP) -> Iterator[tuple[int
             yield pos[own[-1]], pos[own[0]], ref[own[-1]], ref[own[0]], len(own)
 
 
+def apart(rows: list[tuple], least: int) -> list[tuple]:
+    """Of rows that begin with (start, stop), the longest first, those with least words that no longer one has.
+
+    In a text that repeats itself, every turn of the repetition matches the same place of the other text.
+    """
+    if len(rows) < 2:
+        return rows
+    kept, taken = [], np.zeros(max(r[1] for r in rows), bool)
+    for r in sorted(rows, key=lambda r: (r[0] - r[1], r)):
+        if np.count_nonzero(~taken[r[0] : r[1]]) >= least:
+            taken[r[0] : r[1]] = True
+            kept.append(r)
+    return kept
+
+
 def document_chains(refs: dict[int, tuple[list[int], list[int]]], k: int = K, gap: int = GAP) -> list[tuple]:
     """(ref_id, start, stop, ref_start, ref_stop) of one document's chains, without those of one seed that have no
     other chain within gap words: a passage of LEAST words has two seeds, from one document or more."""
-    found = sorted((a, b + k, ref, c, d + k, n) for ref, (pos, at) in refs.items() for a, b, c, d, n in chains(pos, at, gap))
+    found = sorted(row for ref, (pos, at) in refs.items() for row in apart([(a, b + k, ref, c, d + k, n) for a, b, c, d, n in chains(pos, at, gap)], k))
     out, group, end, total = [], [], None, 0
     for row in [*found, None]:
         if row is None or end is not None and row[0] > end + gap:
@@ -175,8 +193,9 @@ def in_frames(rows: Iterator[tuple], names: list[str], size: int = 10_000) -> It
 def candidates(docs: DataFrame, k: int = K, window: int = WINDOW, gap: int = GAP) -> DataFrame:
     """(doc_id, ref_id, start, stop, ref_start, ref_stop) of chains, in words; ref_id has the passage first."""
     s = materialize(seeds(docs, k, window), "seeds")
-    first = s.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = first.select(F.col("h").alias("fh"), F.col("first.doc_id").alias("ref_id"), F.col("first.pos").alias("ref_pos"))
+    first = s.where("lead").groupBy(F.col("h").alias("fh")).agg(F.min("doc_id").alias("ref_id"), F.min_by("pos", "doc_id").alias("ref_pos"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # Written, so that both sides of the join are plain shuffles and a very common seed's partition can be split.
+    first = materialize(first, "firsts")
     matches = s.join(first, F.col("h") == F.col("fh")).where("doc_id <> ref_id").select("doc_id", "ref_id", "pos", "ref_pos")
     names = ["doc_id", "ref_id", "start", "stop", "ref_start", "ref_stop"]
 
@@ -276,7 +295,11 @@ def passages(docs: DataFrame, least: int = LEAST, similar: float = SIMILAR, k: i
 
     def merge(batches):
         def rows():
-            for _, own in by_document(batches, 8):
+            for _, every in by_document(batches, 8):
+                refs: dict[int, list[tuple]] = {}
+                for row in every:
+                    refs.setdefault(row[1], []).append((row[2], row[3], row))
+                own = sorted((r[2] for rows in refs.values() for r in apart(rows, k)), key=lambda r: (r[2], r[3], r[1]))
                 group, end = [], -1
                 for row in [*own, None]:
                     if row is None or group and row[2] > end:
@@ -307,14 +330,14 @@ def remove(docs: DataFrame, least: int = LEAST, similar: float = SIMILAR) -> Dat
 
     def run(batches):
         for x in batches:
-            texts = [t if r is None else without(t, [(q["span_start"], q["span_stop"]) for q in r]) for t, r in zip(x.iloc[:, at], x["__spans"], strict=True)]
-            keep = [r is None or bool(words(t)) for t, r in zip(texts, x["__spans"], strict=True)]
-            x = x.drop(columns="__spans")
-            x.isetitem(at, texts)
-            yield x[keep]
+            texts, spans = x.column(at).to_pylist(), x.column(x.num_columns - 1).to_pylist()
+            texts = [t if r is None else without(t, [(q["span_start"], q["span_stop"]) for q in r]) for t, r in zip(texts, spans, strict=True)]
+            columns = [pa.array(texts, x.schema.field(at).type) if i == at else x.column(i) for i in range(x.num_columns - 1)]
+            keep = pa.array([r is None or bool(words(t)) for t, r in zip(texts, spans, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays(columns, names=x.schema.names[:-1]).filter(keep)
 
     joined = docs.join(spans, docs.doc_id == F.col("__id"), "left").drop("__id")
-    return joined.mapInPandas(run, docs.schema)
+    return joined.mapInArrow(run, docs.schema)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
