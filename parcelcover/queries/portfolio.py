@@ -70,7 +70,7 @@ def _(spark, sf):
     return P.priority_gate(wide(spark, sf), uf_min=400, bz_min=25).select("id")
 
 
-@query("a9_portfolio_totals", "select count(*) n, coalesce(sum(cast({} > 0 as int)), 0) n_covered, {}, coalesce(sum(case when check_wfs in ('', 'ok') then 0 else 1 end), 0) wfs_issues, coalesce(sum(case when check_geom in ('', 'ok') then 0 else 1 end), 0) geom_issues from b_portfolio".format(COVER, ", ".join(f"coalesce(sum({c}), 0e0) {c}" for c in P.TOTALS)))
+@query("a9_portfolio_totals", "select count(*) n, cast(coalesce(sum(cast({} > 0 as int)), 0) as bigint) n_covered, {}, cast(coalesce(sum(case when check_wfs in ('', 'ok') then 0 else 1 end), 0) as bigint) wfs_issues, cast(coalesce(sum(case when check_geom in ('', 'ok') then 0 else 1 end), 0) as bigint) geom_issues from b_portfolio".format(COVER, ", ".join(f"coalesce(sum({c}), 0e0) {c}" for c in P.TOTALS)))
 def _(spark, sf):
     return P.portfolio_totals(wide(spark, sf))
 
@@ -149,7 +149,7 @@ def _(spark, sf):
     return P.zone_table(wide(spark, sf), 3)
 
 
-@query("a18_run_summary", "select count(*) total, sum(cast(check_egrid in ('found', 'merged') as int)) found, sum(cast(check_egrid not in ('found', 'merged') as int)) not_found, sum(sealed_m2) sealed_m2, sum(greenspace_m2) greenspace_m2 from b_portfolio")
+@query("a18_run_summary", "select count(*) total, cast(sum(cast(check_egrid in ('found', 'merged') as int)) as bigint) found, cast(sum(cast(check_egrid not in ('found', 'merged') as int)) as bigint) not_found, sum(sealed_m2) sealed_m2, sum(greenspace_m2) greenspace_m2 from b_portfolio")
 def _(spark, sf):
     ok = P.is_found(F.col("check_egrid"))
     return wide(spark, sf).agg(F.count("*").alias("total"), F.sum(ok.cast("int")).alias("found"), F.sum((~ok).cast("int")).alias("not_found"), F.sum("sealed_m2").alias("sealed_m2"), F.sum("greenspace_m2").alias("greenspace_m2"))
@@ -176,7 +176,7 @@ def _rules() -> str:
     return f"with {head}, r as ({body})"
 
 
-@query("a20_quality_rules", _rules() + " select rule, sum(cast(ok as int)) n_pass, sum(cast(not ok as int)) n_fail from r group by 1")
+@query("a20_quality_rules", _rules() + " select rule, cast(sum(cast(ok as int)) as bigint) n_pass, cast(sum(cast(not ok as int)) as bigint) n_fail from r group by 1")
 def _(spark, sf):
     return P.quality_rules(wide(spark, sf))
 
