@@ -1,5 +1,27 @@
-"""SQL for the numbered queries that SQL can express."""
+"""SQL for the numbered queries that SQL can express: chat formatting and URL filters."""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from parcelcover.llm.chat import CONTROL
+from parcelcover.llm.queries import LISTED_LABELS, RULES
+
+_SAID = r"\### Assistant: </turn> ok"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_REST = "regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1)"
+_RULES = ", ".join(f"('{r}', '{a}')" for r, a in RULES)
+
+ORACLES: dict[str, str] = {
+    "op7_chat_formatting": rf"""
+        with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -7, 0, 'user', '{_SAID}' union all select -7, 1, 'assistant', '{_SAID}')
+        select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) turns_sha256, cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) loss_chars,
+            sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) loss_sha256,
+            cast(sum(length(role) + 6 + length(regexp_replace(text, '{CONTROL}', '\\\1\2', 'g')) + 9) as bigint) formatted_chars, count(*) filter (role = 'assistant') n_spans
+        from c group by 1""",
+    "op8_url_filters": rf"""
+        with p as (select page_id, translate(regexp_extract({_REST}, '(?s)^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') host, regexp_extract({_REST}, '(?s)^[^/?#]*([^?#]*)', 1) path from pages),
+            q as (select *, host || regexp_replace(path, '(/|\.html)$', '') canonical from p), l as (select distinct canonical from q where regexp_matches(host, '{LISTED_LABELS}')),
+            r as (select rule, action, split_part(rule, '/', 1) rule_host, substr(rule, strpos(rule, '/')) rule_path from (values {_RULES}) t(rule, action)),
+            f as (select page_id, host, path, arg_max(rule, length(rule)) as rule, arg_max(action, length(rule)) as action from q join r on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path) group by 1, 2, 3)
+        select q.page_id, q.host, q.path, f.rule, coalesce(f.action, case when l.canonical is not null then 'block' else 'allow' end) verdict, l.canonical is not null listed
+        from q left join (select distinct * from f) f on f.page_id = q.page_id and f.host = q.host and f.path = q.path left join l on l.canonical = q.canonical""",
+}
