@@ -40,8 +40,8 @@ def roof_stats(labelled: DataFrame, resolution: float) -> DataFrame:
 
 def mosaic(px: DataFrame) -> DataFrame:
     """One value a pixel: tiles of another resolution than the first one's go, a later tile overwrites."""
-    first = px.agg(F.min_by("resolution", "tile").alias("__res"))
-    d = px.crossJoin(F.broadcast(first)).where(F.col("resolution") == F.col("__res"))  # one row
+    first = px.agg(F.min_by("resolution", "tile")).first()[0]  # one number
+    d = px.where(F.col("resolution") == F.lit(first))
     return d.groupBy("px", "py").agg(F.max_by("r", "tile").alias("r"), F.max_by("g", "tile").alias("g"), F.max("tile").alias("tile"))
 
 

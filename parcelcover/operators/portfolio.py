@@ -147,10 +147,15 @@ def area_by_field(df: DataFrame, field: str, n: int) -> DataFrame:
 
 def with_remainder(items: DataFrame, total: DataFrame, label: str, like: dict[str, Column]) -> DataFrame:
     """items (with value) and a row of what they leave of total (total), if above 0; like: its other columns."""
-    left = total.crossJoin(items.agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("__s"))).withColumn("value", F.col("total") - F.col("__s")).where("value > 0")
+    left = remainder(total.select(F.col("total").alias("value")), items)
     return items.unionByName(left.select(*[F.lit(label).alias(c) if v is None else v.alias(c) for c, v in like.items()], "value"))
 
 
+def remainder(total: DataFrame, items: DataFrame) -> DataFrame:
+    """(value): what items leave of total, if above 0."""
+    return total.select("value").unionByName(items.select((-F.col("value")).alias("value"))).agg(F.sum("value").alias("value")).where("value > 0")
+
+
 def total_area(df: DataFrame) -> DataFrame:
     return df.agg(F.coalesce(F.sum("parcel_area_m2"), F.lit(0.0)).alias("total"))
 
@@ -159,8 +164,7 @@ def hierarchy(df: DataFrame, columns: list[str], main_of: dict[str, str], label:
     """(main, name, value): sums of columns, of their groups (name null) and of all (both null), by rollup; and the remainder."""
     u = unpivot(df, columns).withColumn("main", lookup(main_of, F.col("name")))
     r = u.rollup("main", "name").agg(F.sum("value").alias("value"))
-    leaves = u.agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("__s"))
-    left = total_area(df).crossJoin(leaves).withColumn("value", F.col("total") - F.col("__s")).where("value > 0")
+    left = remainder(total_area(df).select(F.col("total").alias("value")), u)
     return r.unionByName(left.select(F.lit(label).alias("main"), F.lit(None).cast("string").alias("name"), "value"))
 
 

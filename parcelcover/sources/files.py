@@ -87,10 +87,9 @@ def read_features(lines: DataFrame) -> DataFrame:
 
 def split_layers(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(parcels, overlays): without any layer tag all are parcels; overlay rows need a geometry."""
-    tagged = F.broadcast(features.agg(F.coalesce(F.bool_or(F.col("layer").isNotNull()), F.lit(False)).alias("__tagged")))  # one row
-    d = features.crossJoin(tagged)
-    parcel = ~F.col("__tagged") | F.coalesce(F.col("layer") == "parcel", F.lit(False))
-    return d.where(parcel).drop("__tagged"), d.where(~parcel & F.col("geom").isNotNull()).select("layer", "id", "art", "area_m2", "geom")
+    tagged = features.where("layer is not null").limit(1).count() > 0
+    parcel = F.coalesce(F.col("layer") == "parcel", F.lit(False)) if tagged else F.lit(True)
+    return features.where(parcel), features.where(~parcel & F.col("geom").isNotNull()).select("layer", "id", "art", "area_m2", "geom")
 
 
 def csv_cell(c: Column, kind: str, sep: str = ";") -> Column:
