@@ -70,9 +70,9 @@ def _(spark, sf):
     return files.allowlist_columns(u, dims.INPUT_KEPT)[0]
 
 
-@query("p11_detail_columns", "select egrid, fid, art, bfsnr, gwr_egid, area area_m2 from o_pieces where art = 'Reben'")
+@query("p11_detail_columns", "select egrid, fid, art, bfsnr, gwr_egid, area area_m2 from o_pieces")
 def _(spark, sf):
-    d = pieces(spark, sf).where("art = 'Reben'").withColumnRenamed("area", "area_m2")
+    d = pieces(spark, sf).withColumnRenamed("area", "area_m2")
     return d.select(*[c for c in files.DETAIL_COLUMNS["landcover"] if c in d.columns])
 
 
@@ -90,11 +90,11 @@ def _(spark, sf):
     return g.withColumn("share", F.round(F.col("area") / F.sum("area").over(Window.partitionBy("tab")), 9))
 
 
-@query("a28_extent", "select min(minx) minx, min(miny) miny, max(maxx) maxx, max(maxy) maxy from b_parcels where bfsnr = 3")
+@query("a28_extent", "select min(minx) minx, min(miny) miny, max(maxx) maxx, max(maxy) maxy from b_parcels")
 def _(spark, sf):
     from parcelcover.functions.geometry import bbox
 
-    b = bridge(spark, sf, "b_parcels").where("bfsnr = 3").select(bbox(F.col("geom")).alias("b"))
+    b = bridge(spark, sf, "b_parcels").select(bbox(F.col("geom")).alias("b"))
     return b.agg(F.min("b.minx").alias("minx"), F.min("b.miny").alias("miny"), F.max("b.maxx").alias("maxx"), F.max("b.maxy").alias("maxy"))
 
 

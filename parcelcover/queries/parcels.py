@@ -86,9 +86,9 @@ def _(spark, sf):
     return bridge(spark, sf, "b_users").select("id", "egrid", S.valid_egrid(F.col("egrid")).alias("planar"), S.valid_egrid(F.col("egrid"), "spherical").alias("spherical"))
 
 
-@query("p10_drop_slivers", "select egrid, fid, area from o_pieces where area >= 0.001 and art = 'Gebaeude'")
+@query("p10_drop_slivers", "select egrid, fid, area from o_pieces where area >= 0.001")
 def _(spark, sf):
-    return pieces(spark, sf).where((F.col("area") >= 0.001) & (F.col("art") == "Gebaeude")).select("egrid", "fid", "area")
+    return pieces(spark, sf).where(F.col("area") >= 0.001).select("egrid", "fid", "area")
 
 
 @query("j1_attach_parcels", "select u.id, u.egrid, nummer, p.bfsnr, coalesce(check_egrid, 'not_found') check_egrid, flaeche, parcel_area_m2, rg, tpf from b_users u left join o_parcels p on p.egrid = u.egrid")
@@ -164,9 +164,9 @@ def _(spark, sf):
     return S.classify(pieces(spark, sf)).drop("area", "bfsnr", "gwr_egid")
 
 
-@query("j13_attach_aggregates", "select p.egrid, check_egrid, parcel_area_m2, coalesce(sealed_m2, 0e0) sealed_m2 from o_parcels p left join (select egrid e, coalesce(sum(case when sealed then area end), 0e0) sealed_m2 from o_classed where bfsnr_ok group by 1) on e = p.egrid".replace(" where bfsnr_ok", " where art <> 'Bahn'"))
+@query("j13_attach_aggregates", "select p.egrid, check_egrid, parcel_area_m2, coalesce(sealed_m2, 0e0) sealed_m2 from o_parcels p left join (select egrid e, coalesce(sum(case when sealed then area end), 0e0) sealed_m2 from o_classed group by 1) on e = p.egrid")
 def _(spark, sf):
-    k = S.landcover_kpis(S.classify(pieces(spark, sf).where("art <> 'Bahn'"))).select("egrid", "sealed_m2")
+    k = S.landcover_kpis(S.classify(pieces(spark, sf))).select("egrid", "sealed_m2")
     return S.attach_aggregates(dissolved(spark, sf).select("egrid", "check_egrid", "parcel_area_m2"), k)
 
 
@@ -183,13 +183,15 @@ def _(spark, sf):
     return S.dissolve(bridge(spark, sf, "b_parcels"))
 
 
-@query("a2_clean_geometries", "select egrid, parcel_area_m2 from o_parcels where parts > 1")
+@query("a2_clean_geometries", "select egrid, parcel_area_m2 from o_parcels")
 def _(spark, sf):
     from parcelcover.operators.spatial import union_parts
 
     p = bridge(spark, sf, "b_parcels")
     several = p.groupBy("egrid").count().where("count > 1").select("egrid")
-    return union_parts(p.join(several, "egrid", "left_semi"), "egrid").select("egrid", F.col("area").alias("parcel_area_m2"))
+    merged = union_parts(p.join(several, "egrid", "left_semi"), "egrid").select("egrid", F.col("area").alias("parcel_area_m2"))
+    single = p.join(several, "egrid", "left_anti").select("egrid", ((F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny"))).alias("parcel_area_m2"))
+    return single.unionByName(merged)
 
 
 @query("a3_landcover_kpis", f"select egrid, {KPI_SQL} from o_classed group by 1")

@@ -9,13 +9,13 @@ from parcelcover.registry import query
 from parcelcover.sources.bridge import bridge
 
 GLI = "case when 2 * g + r + b = 0 then 0e0 else cast(2 * g - r - b as double) / (2 * g + r + b) end"
-ROOFS_SQL = "select l_suppkey fid, (l_orderkey % 10) * 10 minx, l_linenumber * 9 miny, (l_orderkey % 10) * 10 + 4 + l_quantity / 10 maxx, l_linenumber * 9 + 6 maxy from lineitem where l_orderkey % 40 = 0"
+ROOFS_SQL = "select p_partkey fid, (p_partkey % 10) * 10 minx, cast(floor(p_partkey / 10) as bigint) * 9 miny, (p_partkey % 10) * 10 + 4 + p_size * 0.25e0 maxx, cast(floor(p_partkey / 10) as bigint) * 9 + 6 maxy from part"
 LABELLED = f"select p.px, p.py, p.gli, max(f.fid) building from (select px, py, {GLI} gli from b_pixels) p join ({ROOFS_SQL}) f on p.px + 0.5 >= f.minx and p.px + 0.5 < f.maxx and p.py + 0.5 >= f.miny and p.py + 0.5 < f.maxy group by 1, 2, 3"
 MASK = f"select px, py, building, gli > 0.1 as \"on\" from ({LABELLED})"
 
 
 def roofs(spark, sf):
-    return spark.sql(ROOFS_SQL.replace("lineitem", "{lineitem}"), lineitem=spark.read.parquet(f"{sf}/lineitem.parquet"))
+    return spark.sql(ROOFS_SQL.replace("from part", "from {part}"), part=spark.read.parquet(f"{sf}/part.parquet"))
 
 
 def labelled(spark, sf):

@@ -318,26 +318,21 @@ def _(spark, sf):
     return wide(spark, sf).select("id", "input_bez", "parcel_area_m2").orderBy(F.collate(F.trim("input_bez"), "de"), F.col("parcel_area_m2").desc(), "id")
 
 
-@query("t2_natural_sort", "select id, row_number() over (order by cast(regexp_extract(id, '(\\d+)$', 1) as bigint)) rn from b_portfolio qualify rn <= 500")
+@query("t2_natural_sort", "select id, regexp_replace(lower(id), '\\d+$', '') || lpad(regexp_extract(id, '(\\d+)$', 1), 20, '0') sort_key from b_portfolio order by 2")
 def _(spark, sf):
     from parcelcover.operators.sorting import natural_key
 
-    top = wide(spark, sf).select("id", natural_key(F.col("id")).alias("key")).orderBy("key").limit(500)
-    from pyspark.sql import Window
+    return wide(spark, sf).select("id", natural_key(F.col("id")).alias("sort_key")).orderBy("sort_key")
 
-    return top.select("id", F.row_number().over(Window.orderBy("key")).alias("rn"))
 
-
-@query("t3_object_key_sort", "select we, grundstk, row_number() over (order by try_cast(we as bigint) is null, try_cast(we as bigint), we, try_cast(grundstk as bigint) is null, try_cast(grundstk as bigint), grundstk) rn from (select distinct case when c_custkey % 9 = 0 then 'A' || c_custkey % 50 else cast(c_custkey % 100 as varchar) end we, cast(c_nationkey as varchar) grundstk from customer) qualify rn <= 300")
+@query("t3_object_key_sort", "select we, grundstk, try_cast(we as bigint) is null we_text, try_cast(we as bigint) we_number, try_cast(grundstk as bigint) is null grundstk_text, try_cast(grundstk as bigint) grundstk_number from (select distinct case when c_custkey % 9 = 0 then 'A' || c_custkey % 50 else cast(c_custkey % 100 as varchar) end we, cast(c_nationkey as varchar) grundstk from customer)")
 def _(spark, sf):
-    from pyspark.sql import Window
-
     from parcelcover.operators.sorting import object_key
 
     c = spark.read.parquet(f"{sf}/customer.parquet").selectExpr("case when c_custkey % 9 = 0 then concat('A', c_custkey % 50) else cast(c_custkey % 100 as string) end we", "cast(c_nationkey as string) grundstk").distinct()
-    order = [*object_key(F.col("we")), *object_key(F.col("grundstk"))]
-    top = c.orderBy(*order).limit(300)
-    return top.select("we", "grundstk", F.row_number().over(Window.orderBy(*order)).alias("rn"))
+    keys = [k for part in ("we", "grundstk") for k in object_key(F.col(part))]
+    names = ["we_text", "we_number", "we", "grundstk_text", "grundstk_number", "grundstk"]
+    return c.select(*[k.alias(n) for k, n in zip(keys, names, strict=True)]).orderBy(*names)
 
 
 @query("t4_page", "select id, nummer from b_portfolio order by k limit 25 offset 50")
