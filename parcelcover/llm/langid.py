@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 #: Hash buckets: the model has so many rows for each language, whatever the data.
 BUCKETS = 1 << 15
-#: Languages that a model holds at most: 256 MB in all. More is an error, never a cut.
-LANGUAGES = 1024
+#: Languages that a model holds at most: 32 MB in all, from 8 million counts. More is an error, never a cut.
+LANGUAGES = 256
 LETTER = re.compile(r"[^\W\d_]")
 #: Added to each count; weight of a new language in half log n (the Bayesian information criterion).
 SMOOTH, PENALTY = 0.5, 1.0
