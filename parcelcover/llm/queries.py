@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelcover.llm import bpe, chat, html, langid, media, mixing, quality, simhash, substring, urls
+from parcelcover.plans.materialize import materialize
 
 #: Fixed rules of the URL query, and host names' labels whose pages make up its list of URLs.
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -33,7 +34,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    images = media.paint(_table(spark, sf_dir, "embeddings"))
+    images = materialize(media.paint(_table(spark, sf_dir, "embeddings")), "media")
     return media.near_copies(images).withColumnRenamed("id", "vec_id")
 
 

@@ -335,6 +335,16 @@ def test_media(spark):
     assert media.near_copies(same.limit(0)).count() == 0
 
 
+def test_crowded_group_of_images(spark):
+    r = np.random.default_rng(1)
+    base = r.normal(0, 0.125, 64)
+    rows = [(i * 10, (base + r.normal(0, 0.0005, 64)).tolist()) for i in range(400)] + [(i * 10 + 3, r.normal(0, 0.125, 64).tolist()) for i in range(20)]
+    images = media.paint(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {x.id: x for x in media.near_copies(images).collect()}
+    assert {got[i * 10].class_id for i in range(400)} == {0} and all(got[i * 10 + 3].n_links == 0 for i in range(20))
+    assert sum(x.n_links for x in got.values()) / 2 < 400 * 399 / 2 / 4
+
+
 def test_ngram_hashes():
     ws = [w.encode() for w in prose(9, 50)] + [b"a", b"bc", b"ab", b"c"]
     h = text.word_hashes(ws)
