@@ -15,7 +15,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from parcelcover.llm.components import components
 from parcelcover.llm.text import words
@@ -26,6 +26,39 @@ QUARTERS = 4
 SAMPLE = 8192
 #: Members that a shard should have, and the most that one task takes of one side.
 SHARD, BLOCK = 8192, 65536
+#: Words in a shingle of the near-dedup stage, and the similarity of near copies.
+SHINGLE, SIMILAR = 5, 0.8
+#: Bits within which the stage looks for candidates; near copies differ in 8 on average at similarity 0.8.
+WITHIN = 15
+PARITY = ["p0", "p1", "p2", "p3"]
+
+
+def _spans(ws: list[bytes], n: int) -> list[tuple[int, int]]:
+    """Where the runs of n words begin and end among ws joined by one byte."""
+    ends = (np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1) - 1).tolist()
+    return list(zip([0, *(e + 1 for e in ends[:-1])], ends[min(n, len(ws)) - 1 :], strict=False))
+
+
+def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct XXH64 of the runs of n lower-cased words; fewer words are one run, no words none."""
+    ws = words(text, lower=True)
+    if not ws:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(ws)
+    return np.unique(np.array([xxhash.xxh64_intdigest(joined[s:e]) for s, e in _spans(ws, n)], np.uint64))
+
+
+def parities(found: np.ndarray) -> np.ndarray:
+    """256 bits: which classes of hashes have an odd number of shingles. Two sets differ in at least as many shingles
+    as their parities differ in bits, so a pair with too many differing bits is not similar."""
+    odd = np.bincount((found & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sorted sets; two empty ones are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
 def fingerprint(text: str | None, n: int = 4, seed: int = 42) -> int:
@@ -37,10 +70,7 @@ def fingerprint(text: str | None, n: int = 4, seed: int = 42) -> int:
     if not ws:
         return 0
     joined = b" ".join(ws)
-    ends = (np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1) - 1).tolist()
-    starts = [0, *(e + 1 for e in ends[:-1])]
-    runs = max(1, len(ws) - n + 1)
-    spans, digest = list(zip(starts, ends[min(n, len(ws)) - 1 :], strict=False)), xxhash.xxh64_intdigest
+    runs, spans, digest = max(1, len(ws) - n + 1), _spans(ws, n), xxhash.xxh64_intdigest
     ones = np.zeros(64, np.int64)
     for at in range(0, runs, 16384):
         h = np.array([digest(joined[s:e], seed) for s, e in spans[at : at + 16384]], "<u8")
@@ -143,8 +173,24 @@ def links(points: DataFrame, bits: int = 4, shard: int = SHARD, block: int = BLO
     """(a, b): links that join just those of points (fp long, distinct; id long) within bits, over chains.
 
     From each shard comes a spanning forest, at most one row a point, so a group of copies never gives all
-    its pairs. A shard with over block members is dealt out as a grid of blocks of members and of queries.
+    its pairs.
     """
+
+    def compare(x: pd.DataFrame) -> pd.DataFrame:
+        q = int(x.cell.iloc[0]) >> 40
+        root = shard_links(x.fp.to_numpy(np.int64).view(np.uint64), x.member.to_numpy(), x["query"].to_numpy(), q, bits)
+        ids, moved = x.id.to_numpy(), root != np.arange(len(root))
+        return pd.DataFrame({"a": ids[moved], "b": ids[root[moved]]})
+
+    return routed(points, bits, shard, block, sample).groupBy("cell").applyInPandas(compare, "a long, b long").distinct()
+
+
+def routed(points: DataFrame, bits: int, shard: int = SHARD, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
+    """points (fp long, id long, others) with cell, member and query: a member and a query within bits share a cell.
+
+    A shard with over block members is dealt out as a grid of blocks of members and of queries.
+    """
+    more = [f for f in points.schema.fields if f.name not in ("fp", "id")]
     if not 0 <= bits < 16:
         raise ValueError("bits must be from 0 to 15")
     tolerance = bits // QUARTERS
@@ -180,16 +226,10 @@ def links(points: DataFrame, bits: int = 4, shard: int = SHARD, block: int = BLO
                         for j in range(g):
                             m, s = home & (row == i), column == j
                             if (k := m | s).any():
-                                yield pd.DataFrame({"cell": (q << 16 | leaf) << 24 | i << 12 | j, "fp": fp[at[k]].view(np.int64), "id": ids[at[k]], "member": m[k], "query": s[k]})
+                                yield pd.DataFrame({"cell": (q << 16 | leaf) << 24 | i << 12 | j, "fp": fp[at[k]].view(np.int64), "id": ids[at[k]], "member": m[k], "query": s[k]} | {f.name: x[f.name].to_numpy()[at[k]] for f in more})
 
-    def compare(x: pd.DataFrame) -> pd.DataFrame:
-        q = int(x.cell.iloc[0]) >> 40
-        root = shard_links(x.fp.to_numpy(np.int64).view(np.uint64), x.member.to_numpy(), x["query"].to_numpy(), q, bits)
-        ids, moved = x.id.to_numpy(), root != np.arange(len(root))
-        return pd.DataFrame({"a": ids[moved], "b": ids[root[moved]]})
-
-    routed = points.select("fp", "id").mapInPandas(route, "cell long, fp long, id long, member boolean, query boolean")
-    return routed.groupBy("cell").applyInPandas(compare, "a long, b long").distinct()
+    extra = "".join(f", {f.name} {f.dataType.simpleString()}" for f in more)
+    return points.mapInPandas(route, f"cell long, fp long, id long, member boolean, query boolean{extra}")
 
 
 def near_duplicates(docs: DataFrame, bits: int = 4) -> DataFrame:
@@ -207,13 +247,118 @@ def near_duplicates(docs: DataFrame, bits: int = 4) -> DataFrame:
     return marked.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def dedupe(docs: DataFrame, bits: int = 4) -> DataFrame:
-    """docs with one row of each group of near duplicates: that of the smallest doc_id (one, if it repeats).
+def shard_pairs(fp: np.ndarray, size: np.ndarray, parity: np.ndarray, group: np.ndarray, member: np.ndarray, query: np.ndarray, q: int, bits: int, similar: float):
+    """Yields (i, j, differing bits) of a shard's candidates: a query i and a member j of different groups within bits,
+    whose numbers of shingles and parities allow the similarity."""
+    band, tolerance = _quarter(fp, q), bits // QUARTERS
+    todo = [(np.flatnonzero(member), np.flatnonzero(query))]
+    while todo:
+        m, s = todo.pop()
+        if not len(m) or not len(s):
+            continue
+        cut = _vantage(band[m], tolerance) if len(m) > 64 and len(m) * len(s) > 1 << 16 else None
+        if cut is None:
+            rows = max(1, (1 << 20) // len(m))
+            for k in range(0, len(s), rows):
+                d = _distance(fp[s[k : k + rows], None], fp[None, m])
+                i, j = np.nonzero(d <= bits)
+                d, i, j = d[i, j], s[k + i], m[j]
+                use = (group[i] != group[j]) & (np.minimum(size[i], size[j]) >= similar * np.maximum(size[i], size[j]))
+                i, j, d = i[use], j[use], d[use].astype(np.int64)
+                use = np.bitwise_count(parity[i] ^ parity[j]).sum(1) * (1 + similar) <= (size[i] + size[j]) * (1 - similar) + 1e-6
+                yield i[use], j[use], d[use]
+            continue
+        dm, ds = _distance(band[m], cut[0]).astype(np.int16), _distance(band[s], cut[0]).astype(np.int16)
+        todo.append((m[dm <= cut[1]], s[ds - tolerance <= cut[1]]))
+        todo.append((m[dm > cut[1]], s[ds + tolerance > cut[1]]))
+
+
+def candidates(points: DataFrame, nearest: bool, bits: int = WITHIN, similar: float = SIMILAR, **sizes: int) -> DataFrame:
+    """(a, b, a < b): candidate pairs of points (fp, id, size, parities, part) of different parts; nearest: for each point of
+    a shard only its nearest candidate and its candidate of smallest id."""
+
+    def compare(x: pd.DataFrame) -> pd.DataFrame:
+        ids, fp = x.id.to_numpy(np.int64), x.fp.to_numpy(np.int64).view(np.uint64)
+        found = shard_pairs(fp, x["size"].to_numpy(), x[PARITY].to_numpy(np.int64).astype(np.uint64), x.part.to_numpy(), x.member.to_numpy(), x["query"].to_numpy(), int(x.cell.iloc[0]) >> 40, bits, similar)
+        if nearest:
+            none = np.iinfo(np.int64).max
+            by_id = np.argsort(ids, kind="stable")
+            rank = np.empty(len(ids), np.int64)
+            rank[by_id] = np.arange(len(ids))
+            close, least = np.full(len(ids), none), np.full(len(ids), none)
+            for i, j, d in found:
+                for u, v in ((i, j), (j, i)):
+                    np.minimum.at(close, u, d << 40 | rank[v])
+                    np.minimum.at(least, u, rank[v])
+            at = np.flatnonzero(least < none)
+            i, j = np.concatenate([at, at]), by_id[np.concatenate([close[at] & ((1 << 40) - 1), least[at]])]
+        else:
+            every = [(i, j) for i, j, _ in found]
+            i, j = (np.concatenate(p) if every else np.zeros(0, np.int64) for p in (zip(*every, strict=True) if every else ((), ())))
+        a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+        return pd.DataFrame({"a": a, "b": b})
+
+    return routed(points, bits, **sizes).groupBy("cell").applyInPandas(compare, "a long, b long").distinct()
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """The pairs (a, b) of sets (id, d, t) whose texts, the rows (__doc, __text, text) of d and t, have a Jaccard
+    similarity of shingles of at least similar."""
+
+    def run(batches):
+        for x in batches:
+            keep = [jaccard(shingles(s), shingles(t)) >= similar for s, t in zip(x.mine, x.theirs, strict=True)]
+            yield x.loc[keep, ["a", "b"]]
+
+    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = materialize(sets.select("id", "d", "t").join(wanted, "id"), "wanted")
+    texts = materialize(texts.join(wanted, (F.col("__doc") == F.col("d")) & (F.col("__text") == F.col("t"))).select("id", "text").dropDuplicates(["id"]), "compared")
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("mine")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("theirs")), "b")
+    return both.select("a", "b", "mine", "theirs").mapInPandas(run, "a long, b long")
+
+
+@F.pandas_udf(StructType([StructField(c, LongType()) for c in ("fp", "id", "size", *PARITY)]))
+def sketch_udf(text: pd.Series) -> pd.DataFrame:
+    """Fingerprint, hash of the shingle set, number of its shingles, and their parities."""
+    sets = [shingles(t) for t in text]
+    parity = np.array([parities(s) for s in sets], np.int64).reshape(-1, 4)
+    return pd.DataFrame({
+        "fp": np.array([fingerprint(t, SHINGLE) for t in text], np.uint64).view(np.int64),
+        "id": np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64),
+        "size": np.array([len(s) for s in sets], np.int64),
+        **{p: parity[:, i] for i, p in enumerate(PARITY)},
+    })
+
+
+def similar_groups(sets: DataFrame, texts: DataFrame, **sizes: int) -> DataFrame:
+    """(node, label): the components of sets (fp, id, size, parities, d, t) under confirmed candidates; sets alone have no row.
+
+    First each set's nearest candidate and that of smallest id are confirmed, which joins nearly all of a large
+    group by few pairs; then all candidates that still lie in different parts are.
+    """
+    alone = sets.select("fp", "id", "size", *PARITY, F.col("id").alias("part"))
+    first = materialize(confirmed(materialize(candidates(alone, True, **sizes), "nearest"), sets, texts), "near")
+    label = components(first)
+    parts = materialize(sets.join(label, sets.id == label.node, "left").select("fp", "id", "size", *PARITY, F.coalesce("label", "id").alias("part")), "parts")
+    second = materialize(confirmed(materialize(candidates(parts, False, **sizes), "candidates"), sets, texts), "further")
+    return components(materialize(first.unionByName(second), "similar"))
+
+
+def dedupe(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group of near duplicates, that of the smallest doc_id.
 
-    Rows without doc_id can't be told from others by it; they stay, one for each distinct text.
+    Near duplicates have sets of five-word shingles with a Jaccard similarity of at least SIMILAR; groups are
+    joined over chains of them. Candidates are looked for within WITHIN bits of the fingerprints. Rows without
+    doc_id can't be told from others by it; they stay, one for each distinct text.
     """
-    groups = near_duplicates(docs, bits)
-    others = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(others, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    text = F.col("text").cast("string")
+    named = docs.where("doc_id is not null").withColumns({"__doc": F.col("doc_id").cast("long"), "__text": F.xxhash64(text)})
+    marks = materialize(named.select("__doc", "__text", sketch_udf(text).alias("s")).select(F.struct("__doc", "__text").alias("row"), "s.*"), "sketches")
+    # Equal sets are one point, shown by the row of smallest id.
+    sets = marks.groupBy("id").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), *[F.min(p).alias(p) for p in PARITY], F.min("row").alias("row"))
+    sets = materialize(sets.select("fp", "id", "size", *PARITY, F.col("row.__doc").alias("d"), F.col("row.__text").alias("t")), "sets")
+    label = similar_groups(sets, named.select("__doc", "__text", text.alias("text")))
+    kept = sets.join(label, sets.id == label.node, "left").groupBy(F.coalesce("label", "id")).agg(F.min(F.struct("d", "t")).alias("k")).select("k.*")
+    one = named.join(kept, (F.col("__doc") == F.col("d")) & (F.col("__text") == F.col("t")), "left_semi").dropDuplicates(["__doc", "__text"])
     bare = docs.where("doc_id is null").dropDuplicates(["text"])
-    return named.unionByName(bare).select(docs.columns)
+    return one.select(docs.columns).unionByName(bare)

@@ -118,6 +118,34 @@ def test_dedupe_keeps_one_a_group(odd):
     assert sorted(i for i in ids if i is not None) == [-5, 1, 4, 7, 9, 10] and ids.count(None) == 2
 
 
+def similar(s, t):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (WORD.findall(x.translate(AZ)) for x in (s, t)))
+    return len(a & b) / len(a | b)
+
+
+def test_dedupe_by_similarity(spark):
+    """Near copies at similarities from 0.8 to 1 go, texts that are less alike stay; a repeated id keeps its other text."""
+    r, rows, want = np.random.default_rng(8), [], set()
+    for g in range(150):
+        words = prose(1000 + g, 60 + 4 * g)
+        near = list(words)
+        for i in r.choice(len(words), max(1, int(len(words) * (0.005 + 0.02 * (g % 3)))), False):
+            near[i] = f"n{i}"
+        a, b = " ".join(words), " ".join(near)
+        rows += [(2 * g, a), (2 * g + 1, b)]
+        want |= {2 * g} if similar(a, b) >= 0.8 else {2 * g, 2 * g + 1}
+    base = prose(3, 60)
+    ring = [base, *(base[: 5 + i] + [f"r{i}"] + base[6 + i :] for i in range(40))]
+    rows += [(1000 + i, " ".join(w)) for i, w in enumerate(ring)]
+    want.add(1000)
+    got = {x.doc_id for x in simhash.dedupe(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    lost = len(got - want) / sum(i % 2 for i in set(range(300)) - want)
+    print("recall", 1 - lost)
+    assert want <= got and lost <= 0.03
+    twice = spark.createDataFrame([(1, "one two three"), (1, "four five six"), (1, "one two three")], "doc_id long, text string")
+    assert sorted(x.text for x in simhash.dedupe(twice).collect()) == ["four five six", "one two three"]
+
+
 def test_mix(odd, docs):
     for df in (odd, docs):
         rows = mixing.mix(df).collect()
