@@ -26,7 +26,7 @@ from parcelcover.plans.materialize import materialize
 
 WORDS = re.compile(WORD)
 #: Words in a seed; k-mers in a window.
-K, WINDOW = 5, 16
+K, WINDOW = 4, 4
 #: Words that a passage has at least, and its share of agreeing words.
 LEAST, SIMILAR = 50, 0.8
 #: Words between two seeds of a chain at most, in either text, and words looked at beyond its ends.
@@ -151,18 +151,9 @@ def apart(rows: list[tuple], least: int) -> list[tuple]:
 
 
 def document_chains(refs: dict[int, tuple[list[int], list[int]]], k: int = K, gap: int = GAP) -> list[tuple]:
-    """(ref_id, start, stop, ref_start, ref_stop) of one document's chains, without those of one seed that have no
-    other chain within gap words: a passage of LEAST words has two seeds, from one document or more."""
-    found = sorted(row for ref, (pos, at) in refs.items() for row in apart([(a, b + k, ref, c, d + k, n) for a, b, c, d, n in chains(pos, at, gap)], k))
-    out, group, end, total = [], [], None, 0
-    for row in [*found, None]:
-        if row is None or end is not None and row[0] > end + gap:
-            out += group if total > 1 else []
-            group, end, total = [], None, 0
-        if row:
-            group.append((row[2], row[0], row[1], row[3], row[4]))
-            end, total = max(end or 0, row[1]), total + row[5]
-    return out
+    """(ref_id, start, stop, ref_start, ref_stop) of one document's chains; one of a single seed, too, is judged by its
+    alignment only, as edits may leave a passage one seed."""
+    return sorted((ref, *row[:2], *row[3:5]) for ref, (pos, at) in refs.items() for row in apart([(a, b + k, ref, c, d + k) for a, b, c, d, _ in chains(pos, at, gap)], k))
 
 
 def by_document(batches, columns: int) -> Iterator[tuple[int, list[tuple]]]:

@@ -328,6 +328,27 @@ def test_passages(spark):
     assert substring.passages(df.limit(0)).count() == 0
 
 
+def test_fuzzy_passages(spark):
+    """Passages with evenly spread edits at rates from 0 to 0.2, against the share of words that truly agree."""
+    rows, ask, n = [], {}, 0
+    for length in (50, 60, 100):
+        for every in (0, 10, 8, 7, 6, 5):
+            for turn in range(8):
+                p = prose(5000 + n, length)
+                q = [f"x{i}" if every and i % every == every // 2 else w for i, w in enumerate(p)]
+                rows += [(2 * n, " ".join(prose(7000 + n, 60) + p + prose(8000 + n, 60))), (2 * n + 1, " ".join(prose(9000 + n, 60) + q + prose(6000 + n, 60)))]
+                ask[2 * n + 1] = (length, every)
+                n += 1
+    got = {(r.doc_id, r.ref_id) for r in substring.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = collections.defaultdict(list)
+    for d, key in ask.items():
+        found[key].append((d, d - 1) in got)
+    recall = {k: sum(v) / len(v) for k, v in found.items()}
+    print("recall", recall)
+    # With every fifth of just LEAST words changed, the last run is too short to reach the passage's end.
+    assert all(v >= 0.9 for key, v in recall.items() if key != (50, 5))
+
+
 def test_without():
     assert substring.without("a b  c\nd", [(1, 3)]) == "a d" and substring.without("a b", [(0, 2)]) == "" and substring.without("a b c", [(2, 3)]) == "a b "
 
