@@ -34,6 +34,9 @@ MARKED = re.compile(
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 #: Elements that close an open one of the same kind, as a parser for browsers does.
 CLOSES = {k: frozenset(v.split()) for k, v in {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}.items()}
+#: Elements whose start ends an open paragraph, and elements beyond which it doesn't reach.
+ENDS_P = BLOCKS - frozenset("body br caption head html legend optgroup option tbody td tfoot th thead title tr".split())
+SCOPE = frozenset("button caption html object table td template th".split())
 SPACE = re.compile(r"\s+")
 #: Spread of the smoothing in lines, and smoothed characters a tag that count as prose on any page.
 SIGMA, PROSE = 1.0, 15.0
@@ -58,7 +61,16 @@ class Lines(HTMLParser):
             self.main -= main
         del self.open[upto:]
 
+    def _end_p(self):
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] == "p":
+                return self._close(i)
+            if self.open[i][0] in SCOPE:
+                return
+
     def handle_starttag(self, tag, attrs):
+        if tag in ENDS_P:
+            self._end_p()
         if not self.aside:
             if tag in BLOCKS:
                 self._line()

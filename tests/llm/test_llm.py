@@ -196,6 +196,13 @@ def test_html():
     assert got.startswith("This paragraph number 0") and got.endswith("49 is prose that goes on for a while.")
 
 
+def test_html_marked_paragraph_without_end():
+    assert html.main_text("<div><p class='ad'>Buy<p>Article text goes on.<p>And on.</div>") == "Article text goes on. And on."
+    assert html.main_text("<article><p class=ad>Buy <b>now<h2>Title</h2><p>Text.</article>") == "Title Text."
+    assert html.main_text("<div><p class=ad>Buy<ul><li>one</ul><table><tr><td>two</table></div>") == "one two"
+    assert html.main_text("<p class=ad>Buy <button><div>x</div></button> more</p>Text.") == "Text."
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", "<p>x  y</p>"), (1, "u", "<p>x  y</p>"), (None, None, None), (2, "v", "<p>" + "word " * 200_000)]
     got = html.extract(spark.createDataFrame([(*r, 0) for r in rows], "page_id long, url string, html string, n_chars int")).collect()
