@@ -3,10 +3,12 @@
 Seeds are k-mers of words, chosen by winnowing: of any window of consecutive k-mers the one with the smallest
 hash is taken, so that two texts that share a run of window + k - 1 words share a seed, wherever the run
 stands. Each seed's first place (smallest document, then position) stands for all of its places, so a passage
-in n documents gives n - 1 matches and not n squared. A document's matches with one other document are chained:
-the best chain of matches in order in both, with a cost for the gaps between them, comes from a Fenwick tree
-of prefix maxima. The words of each chain, with some around it, are then aligned, which finds where the
-passage begins and ends and how much of it agrees.
+in n documents gives n - 1 matches and not n squared. Where neighbouring seeds of a document were first seen in
+different documents, the two together are a seed of their own, with its own first place: so a passage whose
+words all occur earlier, but scattered, still meets the document that has it whole. A document's matches with
+one other document are chained: the best chain of matches in order in both, with a cost for the gaps between
+them, comes from a Fenwick tree of prefix maxima. The words of each chain, with some around it, are then
+aligned, which finds where the passage begins and ends and how much of it agrees.
 """
 
 from __future__ import annotations
@@ -18,11 +20,12 @@ from difflib import SequenceMatcher
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelcover.llm.text import WORD, ngram_hashes, repeated, word_hashes, words
-from parcelcover.plans.materialize import materialize
+from parcelcover.llm.text import WORD, free, ngram_hashes, repeated, word_hashes, words
+from parcelcover.plans.materialize import materialize, release
 
 WORDS = re.compile(WORD)
 #: Words in a seed; k-mers in a window.
@@ -31,8 +34,11 @@ K, WINDOW = 4, 4
 LEAST, SIMILAR = 50, 0.8
 #: Words between two seeds of a chain at most, in either text, and words looked at beyond its ends.
 GAP, BEYOND = 64, 48
-#: Value of a seed, and cost of each word of difference between two gaps.
-VALUE, COST = float(K), 0.5
+#: Value of a seed, and cost of each word from one seed of a chain to the next, in either text. Two seeds in order
+#: within GAP words are always worth more together than apart.
+VALUE, COST = float(K), 0.03
+#: Words between two seeds that form a pair at most.
+NEXT = 16
 
 
 def winnow(h: np.ndarray, window: int) -> np.ndarray:
@@ -97,33 +103,42 @@ class PrefixMax:
         return best
 
 
+def scores(pos: list[int], ref: list[int]) -> tuple[list[float], list[int]]:
+    """(score, predecessor or -1) of the best chain that ends in each seed (pos, ref); seeds are sorted by pos.
+
+    A chain rises in both texts. Its score is VALUE a seed less COST for each word from one seed to the next, in
+    both texts together, which is a difference of two sums of places: so the best predecessor of a seed is the
+    largest score plus COST times its places among the seeds before it in both texts. The seeds come in the order
+    of pos, those of the same pos together; the tree holds those before, in the order of ref.
+    """
+    rank = {r: i for i, r in enumerate(sorted(set(ref)))}
+    tree, n = PrefixMax(len(rank)), len(pos)
+    score, back, i = [VALUE] * n, [-1] * n, 0
+    while i < n:
+        stop = i
+        while stop < n and pos[stop] == pos[i]:
+            held, j = tree.get(rank[ref[stop]] - 1)
+            if j >= 0 and (total := held + VALUE - COST * (pos[stop] + ref[stop])) > VALUE:
+                score[stop], back[stop] = total, j
+            stop += 1
+        for k in range(i, stop):
+            tree.put(rank[ref[k]], (score[k] + COST * (pos[k] + ref[k]), k))
+        i = stop
+    return score, back
+
+
 def chains(pos: list[int], ref: list[int], gap: int = GAP) -> Iterator[tuple[int, int, int, int, int]]:
     """(start, end, ref start, ref end, seeds) of the chains of seeds (pos, ref), sorted by pos; ends are seeds' places.
 
-    A chain's score is VALUE a seed less COST for each word by which two neighbours' gaps differ, that is, by
-    which their diagonals ref - pos differ. One tree holds the seeds in the order of the diagonal, for
-    neighbours below, and one in reverse. What a tree offers may lie further back than gap words; so a seed's
-    last few predecessors are tried too. Best chains are taken first; a seed is in one chain.
+    Best chains are taken first; a seed is in one chain. A chain is parted where two of its seeds are more than
+    gap words from each other in either text.
     """
     n = len(pos)
-    diagonal = [r - p for p, r in zip(pos, ref, strict=True)]
     # Most matches lie on one diagonal without a large step: these are one chain as they stand.
-    if all(0 < pos[i + 1] - pos[i] <= gap and diagonal[i] == diagonal[i + 1] for i in range(n - 1)):
+    if all(0 < pos[i + 1] - pos[i] <= gap and ref[i + 1] - ref[i] == pos[i + 1] - pos[i] for i in range(n - 1)):
         yield pos[0], pos[-1], ref[0], ref[-1], n
         return
-    ranks = {d: i for i, d in enumerate(sorted(set(diagonal)))}
-    m = len(ranks)
-    below, above = PrefixMax(m), PrefixMax(m)
-    score, back = [VALUE] * n, [-1] * n
-    for i in range(n):
-        r, d = ranks[diagonal[i]], diagonal[i]
-        for j in {below.get(r)[1], above.get(m - 1 - r)[1], *range(max(0, i - 4), i)}:
-            if j >= 0 and 0 < pos[i] - pos[j] <= gap and 0 < ref[i] - ref[j] <= gap:
-                total = score[j] + VALUE - COST * abs(d - diagonal[j])
-                if total > score[i]:
-                    score[i], back[i] = total, j
-        below.put(r, (score[i] + COST * d, i))
-        above.put(m - 1 - r, (score[i] - COST * d, i))
+    score, back = scores(pos, ref)
     used = [False] * n
     for i in sorted(range(n), key=lambda i: -score[i]):
         own, at = [], i
@@ -131,8 +146,11 @@ def chains(pos: list[int], ref: list[int], gap: int = GAP) -> Iterator[tuple[int
             used[at] = True
             own.append(at)
             at = back[at]
-        if own:
-            yield pos[own[-1]], pos[own[0]], ref[own[-1]], ref[own[0]], len(own)
+        end = 0
+        for k in range(1, len(own) + 1):
+            if k == len(own) or max(pos[own[k - 1]] - pos[own[k]], ref[own[k - 1]] - ref[own[k]]) > gap:
+                yield pos[own[k - 1]], pos[own[end]], ref[own[k - 1]], ref[own[end]], k - end
+                end = k
 
 
 def apart(rows: list[tuple], least: int) -> list[tuple]:
@@ -181,30 +199,63 @@ def in_frames(rows: Iterator[tuple], names: list[str], size: int = 10_000) -> It
         yield pd.DataFrame(held, columns=names)
 
 
-def candidates(docs: DataFrame, k: int = K, window: int = WINDOW, gap: int = GAP) -> DataFrame:
-    """(doc_id, ref_id, start, stop, ref_start, ref_stop) of chains, in words; ref_id has the passage first."""
-    s = materialize(seeds(docs, k, window), "seeds")
-    first = s.where("lead").groupBy(F.col("h").alias("fh")).agg(F.min("doc_id").alias("ref_id"), F.min_by("pos", "doc_id").alias("ref_pos"), F.count("*").alias("n")).where("n > 1").drop("n")
+def _firsts(seen: DataFrame, key: str) -> DataFrame:
+    """(fh, ref_id, ref_pos): where each key that several documents have stands first; seen has it once a document."""
+    first = seen.groupBy(F.col(key).alias("fh")).agg(F.min("doc_id").alias("ref_id"), F.min_by("pos", "doc_id").alias("ref_pos"), F.max("doc_id").alias("last"))
     # Written, so that both sides of the join are plain shuffles and a very common seed's partition can be split.
-    first = materialize(first, "firsts")
-    matches = s.join(first, F.col("h") == F.col("fh")).where("doc_id <> ref_id").select("doc_id", "ref_id", "pos", "ref_pos")
-    names = ["doc_id", "ref_id", "start", "stop", "ref_start", "ref_stop"]
+    return materialize(first.where("last > ref_id").drop("last"), "firsts")
 
-    def run(batches):
-        def rows():
-            for doc, matched in by_document(batches, 4):
-                refs: dict[int, tuple[list[int], list[int]]] = {}
-                for _, ref, p, q in matched:
-                    own = refs.setdefault(ref, ([], []))
-                    own[0].append(p)
-                    own[1].append(q)
-                for row in document_chains(refs, k, gap):
-                    yield doc, *row
 
-        yield from in_frames(rows(), names)
+def _matched(seen: DataFrame, first: DataFrame, key: str) -> DataFrame:
+    """(doc_id, pos, ref_id, ref_pos, h) of the places of keys that stand first elsewhere, by document in the order of pos."""
+    matches = seen.join(first, F.col(key) == F.col("fh")).where("doc_id <> ref_id").select("doc_id", "pos", "ref_id", "ref_pos", F.col(key).alias("h"))
+    return matches.repartition("doc_id").sortWithinPartitions("doc_id", "pos", "ref_id", "ref_pos")
+
+
+def breaks(matched: list[tuple], reach: int = NEXT) -> dict[int, int]:
+    """Place of each pair of neighbouring matches (doc_id, pos, ref_id, ref_pos, h) with different documents, by the pair's hash."""
+    found: dict[int, int] = {}
+    for a, b in zip(matched, matched[1:], strict=False):
+        if a[2] != b[2] and 0 < b[1] - a[1] <= reach:
+            found.setdefault((a[4] * 0x9E3779B97F4A7C15 + b[4] * 0xC2B2AE3D27D4EB4F + b[1] - a[1]) & 0x7FFFFFFFFFFFFFFF, a[1])
+    return found
 
-    dealt = matches.repartition("doc_id").sortWithinPartitions("doc_id", "ref_id", "pos", "ref_pos")
-    return dealt.mapInPandas(run, "doc_id long, ref_id long, start int, stop int, ref_start int, ref_stop int")
+
+def candidates(docs: DataFrame, k: int = K, window: int = WINDOW, gap: int = GAP) -> tuple[DataFrame, list[DataFrame]]:
+    """(doc_id, ref_id, start, stop, ref_start, ref_stop) of chains, in words, where ref_id has the passage first; and
+    the tables that it reads."""
+    s = materialize(seeds(docs, k, window), "seeds")
+    first = _firsts(s.where("lead"), "h")
+    names = ["doc_id", "ref_id", "start", "stop", "ref_start", "ref_stop", "pair"]
+    schema = "doc_id long, ref_id long, start int, stop int, ref_start int, ref_stop int, pair long"
+
+    def chained(pairs: bool):
+        def run(batches):
+            def rows():
+                for doc, matched in by_document(batches, 5):
+                    refs: dict[int, tuple[list[int], list[int]]] = {}
+                    for _, p, ref, q, _ in matched:
+                        own = refs.setdefault(ref, ([], []))
+                        own[0].append(p)
+                        own[1].append(q)
+                    for row in document_chains(refs, k, gap):
+                        yield doc, *row, -1
+                    if pairs:
+                        for pair, p in breaks(matched).items():
+                            yield doc, -1, p, p, p, p, pair
+
+            yield from in_frames(rows(), names)
+
+        return run
+
+    # Chains, and pairs of seeds (whose number is in pair, of chains -1), in one pass over the matches.
+    both = materialize(_matched(s, first, "h").mapInPandas(chained(True), schema), "chains")
+    release(s)
+    release(first)
+    pairs = both.where("pair >= 0").select("doc_id", F.col("start").alias("pos"), "pair")
+    pair_first = _firsts(pairs, "pair")
+    more = _matched(pairs, pair_first, "pair").mapInPandas(chained(False), schema)
+    return both.where("pair < 0").unionByName(more).drop("pair"), [both, pair_first]
 
 
 def walk(a: list[bytes], b: list[bytes], inside: int) -> tuple[int, int, int]:
@@ -246,14 +297,17 @@ def passages(docs: DataFrame, least: int = LEAST, similar: float = SIMILAR, k: i
     A row is a passage that doc_id's text shares with ref_id's, the document of smallest doc_id that has it (or
     most of its seeds) first. start and stop count words of the rules' kind, lower-cased. similar of its words
     agree. Passages of a document that touch or overlap form a span, which has at least least words; a span of
-    several passages has them from several documents. Texts are whole. Rows without doc_id or text take no part;
-    of rows with the same doc_id the matches are those of both, and words are taken from one. Ties of seeds go
-    to the smallest id and place. An empty table gives an empty one; other columns are left aside.
+    several passages has them from several documents. What a text repeats of itself alone is no row. Texts are whole.
+    Rows without doc_id or text take no part; of rows with the same
+    doc_id the matches are those of both, and words are taken from one. Ties of seeds go to the smallest id and place. An empty table gives an empty one; other columns are left aside.
     """
     d = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("doc_id is not null and text is not null")
     s, e = _block("start", "stop")
     t, f = _block("ref_start", "ref_stop")
-    found = materialize(candidates(d, k, window).withColumns({"s": s, "e": e, "t": t, "f": f}).distinct(), "chains")
+    chained, read = candidates(d, k, window)
+    found = materialize(chained.withColumns({"s": s, "e": e, "t": t, "f": f}).distinct(), "candidates")
+    for table in read:
+        release(table)
     # Distinct ranges, so what thousands of documents ask of one is asked once.
     wanted = found.select("doc_id", "s", "e").unionByName(found.select(F.col("ref_id").alias("doc_id"), F.col("t").alias("s"), F.col("f").alias("e"))).distinct()
     wanted = wanted.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
@@ -313,21 +367,31 @@ def remove(docs: DataFrame, least: int = LEAST, similar: float = SIMILAR) -> Dat
     """docs with the spans of passages() taken out of the texts, which keep each passage's first place.
 
     The words left are as they were, with their white space; a text that loses all its words goes. Texts
-    without passages, and rows without doc_id or text, stay as they are.
+    without passages, and rows without doc_id or text, stay as they are. Rows with the same doc_id lose the same
+    spans. Columns of any other name pass through; an empty table gives an empty one.
     """
+    own, spans_of = free(docs, "span_doc"), free(docs, "spans")
     spans = passages(docs, least, similar).select("doc_id", "span_start", "span_stop").distinct()
-    spans = spans.groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list(F.struct("span_start", "span_stop"))).alias("__spans"))
+    spans = spans.groupBy(F.col("doc_id").alias(own)).agg(F.sort_array(F.collect_list(F.struct("span_start", "span_stop"))).alias(spans_of))
     at = docs.columns.index("text")
 
     def run(batches):
         for x in batches:
-            texts, spans = x.column(at).to_pylist(), x.column(x.num_columns - 1).to_pylist()
-            texts = [t if r is None else without(t, [(q["span_start"], q["span_stop"]) for q in r]) for t, r in zip(texts, spans, strict=True)]
-            columns = [pa.array(texts, x.schema.field(at).type) if i == at else x.column(i) for i in range(x.num_columns - 1)]
-            keep = pa.array([r is None or bool(words(t)) for t, r in zip(texts, spans, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays(columns, names=x.schema.names[:-1]).filter(keep)
-
-    joined = docs.join(spans, docs.doc_id == F.col("__id"), "left").drop("__id")
+            cuts = x.column(x.num_columns - 1)
+            touched = np.flatnonzero(cuts.is_valid().to_numpy(zero_copy_only=False))
+            if not len(touched):
+                yield pa.RecordBatch.from_arrays(x.columns[:-1], names=x.schema.names[:-1])
+                continue
+            # Only texts that lose something become objects, one at a time; the others stay in their buffers.
+            texts, keep = [without(x.column(at)[int(i)].as_py(), [(q["span_start"], q["span_stop"]) for q in cuts[int(i)].as_py()]) for i in touched], np.ones(x.num_rows, bool)
+            keep[touched] = [bool(words(t)) for t in texts]
+            mask = np.zeros(x.num_rows, bool)
+            mask[touched] = True
+            column = pc.replace_with_mask(x.column(at), pa.array(mask), pa.array(texts, x.schema.field(at).type))
+            columns = [column if i == at else x.column(i) for i in range(x.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=x.schema.names[:-1]).filter(pa.array(keep))
+
+    joined = docs.join(spans, docs.doc_id.cast("long") == F.col(own), "left").drop(own)
     return joined.mapInArrow(run, docs.schema)
 
 
@@ -336,6 +400,8 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     places = [(m.start(), m.end()) for m in WORDS.finditer(text)]
     out, last = [], 0
     for s, e in spans:
+        if s >= len(places):  # another text of the same doc_id has the span
+            break
         out.append(text[last : places[s][0]])
         last = places[e][0] if e < len(places) else len(text)
     return "".join([*out, text[last:]])

@@ -27,11 +27,23 @@ def words(text: str | None, lower: bool = False) -> list[bytes]:
 
 
 def _power(n: int) -> np.ndarray:
+    """The first n powers; up to 65536 are kept for the next word."""
     global _powers
-    if len(_powers) < n:
-        with np.errstate(over="ignore"):
-            _powers = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n * 2, _MULT, np.uint64))])
-    return _powers[:n]
+    if len(_powers) >= n:
+        return _powers[:n]
+    with np.errstate(over="ignore"):
+        found = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, _MULT, np.uint64))])
+    if n <= 1 << 16:
+        _powers = found
+    return found[:n]
+
+
+def free(df, name: str) -> str:
+    """name, with as many underscores in front as make it none of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def mix(h: np.ndarray) -> np.ndarray:

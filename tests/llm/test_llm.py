@@ -356,6 +356,50 @@ def test_fuzzy_passages(spark):
     assert all(v >= 0.9 for key, v in recall.items() if key != (50, 5))
 
 
+def test_best_chains():
+    """Scores against the plain recurrence over all earlier seeds; every seed is in one chain, none steps too far."""
+    r = np.random.default_rng(4)
+    for n in range(1, 120):
+        points = sorted({(int(a), int(b)) for a, b in r.integers(0, 20 + 3 * n, (n, 2))})
+        pos, ref = [p for p, _ in points], [q for _, q in points]
+        want = []
+        for i in range(len(pos)):
+            want.append(max([substring.VALUE] + [want[j] + substring.VALUE - substring.COST * (pos[i] - pos[j] + ref[i] - ref[j]) for j in range(i) if pos[j] < pos[i] and ref[j] < ref[i]]))
+        score, back = substring.scores(pos, ref)
+        assert score == pytest.approx(want) and all(j < 0 or (pos[j] < pos[i] and ref[j] < ref[i]) for i, j in enumerate(back))
+        assert sum(c[4] for c in substring.chains(pos, ref)) == len(pos)
+    assert sorted(c[:2] for c in substring.chains([0, 5, 90, 95], [0, 5, 90, 97])) == [(0, 5), (90, 95)]
+
+
+def test_scattered_passages(spark):
+    """A passage whose sentences all stand in earlier documents, each in another, is found in the document that has it whole."""
+    rows = []
+    for g in range(30):
+        sentences = [prose(20_000 + 10 * g + i, 12) for i in range(5)]
+        for i, x in enumerate(sentences):
+            rows.append((100 * g + i, " ".join(prose(30_000 + 10 * g + i, 40) + x + prose(31_000 + 10 * g + i, 40))))
+        whole = sum(sentences, [])
+        rows += [(100 * g + 10, " ".join(prose(32_000 + g, 50) + whole + prose(33_000 + g, 50))), (100 * g + 20, " ".join(prose(34_000 + g, 30) + whole + prose(35_000 + g, 70)))]
+    got = substring.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.ref_id) for r in got if r.stop - r.start >= 58} == {(100 * g + 20, 100 * g + 10) for g in range(30)}
+    assert {r.doc_id % 100 for r in got} <= {10, 20}  # 10 has a span of passages from five documents
+
+
+def test_passages_cover_all_exact_repeats(docs):
+    """Every run of 50 words that an earlier document has lies in a span, by brute force over all runs."""
+    rows = sorted((r.doc_id, WORD.findall(r.text.translate(AZ))) for r in docs.collect() if r.text)
+    spans = collections.defaultdict(set)
+    for r in substring.passages(docs).select("doc_id", "span_start", "span_stop").distinct().collect():
+        spans[r.doc_id] |= set(range(r.span_start, r.span_stop))
+    seen, missed, asked = {}, 0, 0
+    for d, w in rows:
+        for i in range(len(w) - 49):
+            if seen.setdefault(tuple(w[i : i + 50]), d) != d:
+                asked += 1
+                missed += not spans[d].issuperset(range(i, i + 50))
+    assert asked > 100 and missed <= 0.05 * asked
+
+
 def test_without():
     assert substring.without("a b  c\nd", [(1, 3)]) == "a d" and substring.without("a b", [(0, 2)]) == "" and substring.without("a b c", [(2, 3)]) == "a b "
 
