@@ -17,8 +17,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words, and chunks between white space, whose encoding a task keeps; twice at most.
-CACHE = 250_000
+#: Bytes of one generation of remembered encodings, of which there are two for chunks between white space and two
+#: for the words of chunks that hold several; bytes that an entry takes besides its characters,
+#: and marks of arguments that came once.
+CACHE, ENTRY, MARKS = 32 << 20, 120, 1 << 20
 
 
 def byte_letters() -> list[str]:
@@ -29,18 +31,31 @@ def byte_letters() -> list[str]:
 
 
 class Recent(dict):
-    """What a function made of its latest arguments: two generations of CACHE entries at most."""
+    """What a function made of its latest arguments, in two generations of CACHE bytes at most.
 
-    def __init__(self, make):
-        super().__init__()
-        self.make, self.old = make, {}
+    An argument is kept from its second turn on, so that the many that come once take no room; its first turn
+    leaves a mark by its hash. A result that is a large share of the limit isn't kept at all.
+    """
 
-    def __missing__(self, key):
-        value = self.old.get(key) or self.make(key)
-        if len(self) >= CACHE:
-            self.old = dict(self)
+    def __init__(self, make, limit: int = CACHE):
+        super().__init__()
+        self.make, self.old, self.limit, self.size, self.seen = make, {}, limit, 0, bytearray(MARKS)
+
+    def __missing__(self, key: str) -> str:
+        value = self.old.get(key)
+        if value is None:
+            value, mark = self.make(key), hash(key) % MARKS
+            if not self.seen[mark]:
+                self.seen[mark] = 1
+                return value
+        size = ENTRY + len(key) + len(value)
+        if size > self.limit >> 6:
+            return value
+        if self.size + size > self.limit:
+            self.old, self.size, self.seen = dict(self), 0, bytearray(MARKS)
             self.clear()
         self[key] = value
+        self.size += size
         return value
 
 
@@ -56,11 +71,9 @@ class Bpe:
         self.end: str = model.get("end_of_word_suffix") or ""
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.merges = [(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in merges]
-        self.ranks: dict[int, dict[int, int]] = {}
-        for k, (a, b, _) in enumerate(self.merges):
-            self.ranks.setdefault(a, {})[b] = k
+        self.ranks = {a << 32 | b: k for k, (a, b, _) in enumerate(self.merges)}
         self.added = {x["content"]: x["id"] for x in j["added_tokens"]}
-        self.strings = {v: k for k, v in self.vocab.items()} | {v: k for k, v in self.added.items()}
+        self.strings = {str(v): k for k, v in [*self.vocab.items(), *self.added.items()]}
         steps = {x["type"]: x for x in j["normalizer"]["normalizers"]}
         split = next(x for x in j["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         # White space is Unicode's: Python's own class has four more characters.
@@ -70,18 +83,18 @@ class Bpe:
         letters = byte_letters()
         self.first = [self.vocab[x] for x in letters]
         self.last = [self.vocab[x + self.end] for x in letters]
-        self.words, self.chunks = Recent(self._word), Recent(self._chunk)
+        self.words, self.chunks = Recent(self._word, CACHE // 4), Recent(self._chunk)
 
     def merge(self, word: str) -> list[int]:
         """Ids of one word: merges by rank from a heap over a linked list. An entry is the rank and the place."""
         data = word.encode("utf-8", "surrogatepass")
         ids = [self.first[x] for x in data]
         ids[-1] = self.last[data[-1]]
-        n, merges, ranks, none = len(ids), self.merges, self.ranks, {}
+        n, merges, rank = len(ids), self.merges, self.ranks.get
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         shift = n.bit_length()
         place, pop, push = (1 << shift) - 1, heapq.heappop, heapq.heappush
-        heap = [k << shift | i for i in range(n - 1) if (k := ranks.get(ids[i], none).get(ids[i + 1])) is not None]
+        heap = [k << shift | i for i in range(n - 1) if (k := rank(ids[i] << 32 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             entry = pop(heap)
@@ -94,29 +107,26 @@ class Bpe:
             right[i] = after = right[j]
             if after < n:
                 left[after] = i
-                if (k := ranks.get(new, none).get(ids[after])) is not None:
+                if (k := rank(new << 32 | ids[after])) is not None:
                     push(heap, k << shift | i)
-            if (before := left[i]) >= 0 and (k := ranks.get(ids[before], none).get(new)) is not None:
+            if (before := left[i]) >= 0 and (k := rank(ids[before] << 32 | new)) is not None:
                 push(heap, k << shift | before)
         return [x for x in ids if x >= 0]
 
-    def _word(self, word: str) -> tuple:
-        ids = self.merge(word)
-        return len(ids), " ".join(map(str, ids)), " ".join(map(self.strings.__getitem__, ids))
+    def _word(self, word: str) -> str:
+        return " ".join(map(str, self.merge(word)))
 
-    def _chunk(self, chunk: str) -> tuple:
-        """What stands between white space: its words by the file's pattern."""
-        found = [self.words[w] for w in self.split.findall(chunk)]
-        if len(found) == 1:
-            return found[0]
-        return sum(p[0] for p in found), " ".join(p[1] for p in found), " ".join(p[2] for p in found)
+    def _chunk(self, chunk: str) -> str:
+        """What stands between white space: its words by the file's pattern. One word is remembered as a chunk only."""
+        parts = self.split.findall(chunk)
+        return self._word(parts[0]) if len(parts) == 1 else " ".join([self.words[w] for w in parts])
 
-    def pieces(self, text: str | None) -> list[tuple[int, str, str]]:
-        """(count, ids as text, strings as text) of the text's chunks. Added tokens count as such where they stand."""
-        found: list[tuple[int, str, str]] = []
+    def ids_text(self, text: str | None) -> str:
+        """The text's ids in decimal, joined by a space. Added tokens count as such where they stand."""
+        found: list[str] = []
         for k, part in enumerate(self.specials.split(text or "") if self.specials else [text or ""]):
             if k % 2:
-                found.append((1, str(self.added[part]), part))
+                found.append(str(self.added[part]))
             elif part:
                 if not part.isascii():
                     # lower case letter by letter: a final sigma is no special case
@@ -124,13 +134,17 @@ class Bpe:
                 part = part.lower()
                 odd = any(c in part for c in "\x1c\x1d\x1e\x1f")
                 found += map(self.chunks.__getitem__, filter(None, self.space.split(part)) if odd else part.split())
-        return found
+        return " ".join(found)
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(x) for _, ids, _ in self.pieces(text) for x in ids.split()]
+        return [int(x) for x in self.ids_text(text).split()]
+
+    def decode_text(self, ids: list[str]) -> str:
+        """The vocabulary strings of ids in decimal, side by side."""
+        return " ".join(map(self.strings.__getitem__, ids))
 
     def decode(self, ids: list[int]) -> str:
-        return " ".join(self.strings[x] for x in ids)
+        return self.decode_text(list(map(str, ids)))
 
 
 _loaded: dict[str, Bpe] = {}
@@ -163,10 +177,11 @@ def encode_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", ful
         for x in batches:
             rows = []
             for text in x.text:
-                n, ids, strings = zip(*found, strict=True) if (found := bpe.pieces(text if isinstance(text, str) else "")) else ((), (), ())
-                ids, strings = " ".join(ids), " ".join(strings)
-                row = (sum(n), sha(ids.encode()).hexdigest(), sha(strings.encode()).hexdigest())
-                rows.append((*row, [int(i) for i in ids.split()], strings) if full else row)
+                ids = bpe.ids_text(text if isinstance(text, str) else "")
+                every = ids.split()
+                strings = bpe.decode_text(every)
+                row = (len(every), sha(ids.encode()).hexdigest(), sha(strings.encode()).hexdigest())
+                rows.append((*row, list(map(int, every)), strings) if full else row)
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * full])
             out.insert(0, "doc_id", x.doc_id.to_numpy())
             yield out

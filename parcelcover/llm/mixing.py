@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelcover.llm.text import WORD
+from parcelcover.llm.text import BLANK, WORD, free
 from parcelcover.plans.materialize import materialize
 
 #: Fixed weights of the sources in code-point order, over and over.
@@ -38,6 +38,7 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
     """
     if not 0 <= share <= most:
         raise ValueError("share must be from 0 to most")
+    # One row a source: these windows stay in one task, which a list of sources fits in, however many documents they hold.
     every, named = Window.partitionBy(), Window.orderBy(F.col("source").asc_nulls_last())
     pick = F.array(*map(F.lit, weights))
     t = sizes.withColumn("weight", F.element_at(pick, ((F.row_number().over(named) - 1) % len(weights) + 1).cast("int")))
@@ -95,12 +96,20 @@ def schedule(t: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
     """doc_id, size, source_size, target, taken, source of every row of docs (doc_id, source, text).
 
-    taken is how many of the row's words the mix takes, repeats counted, at most most times its size. The
-    order within a source depends on doc_id and seed alone, so that reruns agree. A null text has size 0;
-    a null source is a source of its own, the last; an empty text takes 0. Repeated rows count each. Rows
+    taken is how many of the row's words the mix takes, repeats counted, at most most (a whole number) times its
+    size. The order within a source depends on doc_id and seed alone, so that reruns agree. A null text has size
+    0; a null source is a source of its own, the last; an empty text takes 0. Repeated rows count each. Rows
     without doc_id come in a fixed order too. An empty table gives an empty one. Other columns are left aside.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size"))
+    return _mix(d, share, most, seed).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def _mix(d: DataFrame, share: float, most: float, seed: int = 7) -> DataFrame:
+    """mix() of rows (doc_id, source, size, others), which keep their other columns."""
+    if most != int(most):
+        raise ValueError("most must be a whole number")
+    more = [c for c in d.columns if c not in ("doc_id", "source", "size")]
     d = d.withColumn("mark", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40)))
     d = materialize(d, "sizes")
     sizes = materialize(d.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
@@ -112,11 +121,11 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 7) -
     sums = d.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     up = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(up), F.lit(0)).alias("base"))
-    inner = Window.partitionBy("source", "bucket").orderBy("mark", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("source", "bucket").orderBy("mark", "doc_id", "size", *more).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     d = d.join(base, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).withColumn("start", F.col("base") + F.col("inner"))
     own = every.join(t.select(F.col("source").alias("ts"), "block"), F.col("source").eqNullSafe(F.col("ts")), "left").select(F.col("source").alias("s2"), "source_size", "target", "block")
-    d = d.select("doc_id", "source", "size", "start").join(own, F.col("source").eqNullSafe(F.col("s2")))
+    d = d.select("doc_id", "source", "size", *more, "start").join(own, F.col("source").eqNullSafe(F.col("s2")))
     piece = F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / F.col("block")).cast("long"), F.floor((F.col("start") + F.col("size") - 1) / F.col("block")).cast("long"))))
     pieces = d.withColumn("piece", piece)
     overlap = F.least(F.col("start") + F.col("size"), (F.col("piece") + 1) * F.col("block")) - F.greatest("start", F.col("piece") * F.col("block"))
@@ -127,19 +136,31 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 7) -
     got = pieces.join(taken, F.col("source").eqNullSafe(F.col("s4")) & (F.col("piece") == F.col("taken_block")), "left")
     words = F.sum(F.coalesce(overlap * F.col("times"), F.lit(0))).cast("long")
     # Rows of size 0 share a start with others: they are told apart by their number.
-    out = got.where("size > 0").groupBy("doc_id", "source", "size", "start", "source_size", "target").agg(words.alias("taken"))
-    none = d.where("size = 0").select("doc_id", "source", "size", "start", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    return out.unionByName(none).select("doc_id", "size", "source_size", "target", "taken", "source")
+    out = got.where("size > 0").groupBy("doc_id", "source", "size", *more, "start", "source_size", "target").agg(words.alias("taken"))
+    none = d.where("size = 0").select("doc_id", "source", "size", *more, "start", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    return out.unionByName(none)
 
 
 def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """The mix as rows of docs: each as many whole times as it was taken, and once more with the leading
-    words of the block that the schedule ended in. Rows that the mix doesn't take go."""
-    plan_of = mix(docs, share, most).groupBy(F.col("doc_id").alias("__id")).agg(F.max("taken").alias("__taken"))
-    at = docs.join(plan_of.where("__taken > 0"), F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__size", n_words(F.col("text"))).where("__size > 0")
-    at = at.withColumn("__taken", F.least(F.col("__taken"), (F.col("__size") * most).cast("long")))
-    at = at.withColumn("__whole", F.floor(F.col("__taken") / F.col("__size")).cast("int")).withColumn("__rest", F.col("__taken") % F.col("__size"))
-    times = F.sequence(F.lit(1), F.col("__whole") + F.when(F.col("__rest") > 0, 1).otherwise(0))
-    at = at.withColumn("__time", F.explode(times))
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), 1), F.lit(1), F.col("__rest").cast("int")), " ")
-    return at.withColumn("text", F.when(F.col("__time") > F.col("__whole"), part).otherwise(F.col("text"))).select(docs.columns)
+    """The mix as rows of docs: each as many whole times as it was taken, and once more with its leading words,
+    white space and all, that lie in the blocks which the schedule's last, unfinished round took. Rows that the mix
+    doesn't take go.
+
+    Every row follows its own plan, also where rows share a doc_id or have none: rows are told apart by doc_id,
+    source and text. Of rows equal in all three, one stands for all and comes as often as they were taken together.
+    Null and empty texts have no words and go; a null source is a source of its own. Columns of any other name pass
+    through. An empty table gives an empty one.
+    """
+    key, size, taken, time = (free(docs, c) for c in ("mix_key", "mix_size", "mix_taken", "mix_time"))
+    text, source = F.col("text").cast("string"), F.col("source").cast("string")
+    # A null is no value of its own in a hash; its place in the list is hashed with it.
+    mark = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("d"), F.xxhash64(F.isnull("doc_id"), F.isnull(source), source, text).alias("h"))
+    keyed = docs.withColumn(key, mark)
+    sizes = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), n_words(text).alias("size"), F.col(key).alias("key"))
+    plan_of = _mix(sizes, share, most).groupBy(F.col("key").alias("k")).agg(F.sum("taken").alias(taken), F.min("size").alias(size)).where(F.col(taken) > 0)
+    at = keyed.dropDuplicates([key]).join(plan_of, F.col(key) == F.col("k"))
+    whole, rest = F.floor(F.col(taken) / F.col(size)), F.col(taken) % F.col(size)
+    at = at.withColumn(time, F.explode(F.sequence(F.lit(1).cast("long"), whole + F.when(rest > 0, 1).otherwise(0))))
+    # Each word with the white space before it, so that the words left stand as they did.
+    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({BLANK}{WORD})"), 1), F.lit(1), rest.cast("int")), "")
+    return at.withColumn("text", F.when(F.col(time) > whole, part).otherwise(F.col("text"))).select(docs.columns)

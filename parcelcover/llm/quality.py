@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelcover.llm.text import covered, repeated, word_hashes, words
+from parcelcover.llm.text import covered, encode, repeated, word_hashes
 
 #: Most of a text's word characters inside n-grams seen before, by n. Twice the published repetition rules,
 #: which are made for longer texts: in one of 60 words, a repeated sentence is a quarter of it.
@@ -32,9 +32,9 @@ def _points(ws: list[bytes]) -> np.ndarray:
     return np.diff(total[ends], prepend=0)
 
 
-def judge(text: str | None) -> tuple:
-    """One text's values of COLUMNS. A null text is empty: no words, so base_failed."""
-    raw = (text or "").encode("utf-8", "surrogatepass")
+def judge(text: str | bytes | None) -> tuple:
+    """The values of COLUMNS of one text, or of its UTF-8 bytes. A null text is empty: no words, so base_failed."""
+    raw = text if isinstance(text, bytes) else encode(text)
     ws = raw.split()
     n = len(ws)
     if not n:
@@ -95,11 +95,16 @@ def assess(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose text is kept, with all their columns, in one pass over the table."""
+    """The rows of docs whose text is kept, with all their columns, in one pass over the table.
+
+    Null, empty and blank texts have too few words and go; rows without doc_id and repeated rows are judged like
+    others, each by itself; columns of any name pass through. An empty table gives an empty one.
+    """
     at = docs.columns.index("text")
 
     def run(batches):
         for x in batches:
-            yield x.filter(pa.array([judge(t)[6] for t in x.column(at).to_pylist()], pa.bool_()))
+            texts = x.column(at).cast(pa.binary())  # no copy; one text at a time becomes an object
+            yield x.filter(pa.array([judge(texts[i].as_py())[6] for i in range(len(texts))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

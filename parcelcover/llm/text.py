@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: The same words in Spark's and Java's regular expressions.
-WORD = r"[^\x20\x09-\x0D]+"
+#: The same words in Spark's and Java's regular expressions, and what stands between them.
+WORD, BLANK = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]*"
 
 _MULT = 0x9E3779B97F4A7C15
 _SEED = np.random.default_rng(0x5EED).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
