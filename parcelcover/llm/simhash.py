@@ -18,18 +18,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from parcelcover.llm.components import components
-from parcelcover.llm.text import words
-from parcelcover.plans.materialize import materialize
+from parcelcover.llm.text import free, words
+from parcelcover.plans.materialize import materialize, release
 
 QUARTERS = 4
-#: Fingerprints on which the trees are fitted; every fingerprint is indexed.
-SAMPLE = 8192
+#: Fingerprints on which the trees are fitted; every fingerprint is indexed. A quarter has 65536 values, so more
+#: leaves than that can't be told apart; what a full leaf holds is dealt out as a grid of blocks.
+SAMPLE = 65536
 #: Members that a shard should have, and the most that one task takes of one side.
 SHARD, BLOCK = 8192, 65536
 #: Words in a shingle of the near-dedup stage, and the similarity of near copies.
 SHINGLE, SIMILAR = 5, 0.8
 #: Bits within which the stage looks for candidates; near copies differ in 8 on average at similarity 0.8.
 WITHIN = 15
+#: Bits of a leaf's number, and of a block's row and column in its grid: 2 ** 20 blocks a side of 65536 members each.
+LEAF, SIDE = 17, 20
 PARITY = ["p0", "p1", "p2", "p3"]
 
 
@@ -177,7 +180,7 @@ def links(points: DataFrame, bits: int = 4, shard: int = SHARD, block: int = BLO
     """
 
     def compare(x: pd.DataFrame) -> pd.DataFrame:
-        q = int(x.cell.iloc[0]) >> 40
+        q = int(x.cell.iloc[0]) >> LEAF + 2 * SIDE
         root = shard_links(x.fp.to_numpy(np.int64).view(np.uint64), x.member.to_numpy(), x["query"].to_numpy(), q, bits)
         ids, moved = x.id.to_numpy(), root != np.arange(len(root))
         return pd.DataFrame({"a": ids[moved], "b": ids[root[moved]]})
@@ -196,7 +199,7 @@ def routed(points: DataFrame, bits: int, shard: int = SHARD, block: int = BLOCK,
     tolerance = bits // QUARTERS
     fps = points.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).toPandas().fp.to_numpy(np.int64).view(np.uint64)
     levels = max(0, int(np.ceil(np.log2(max(1, points.count()) / shard)))) if len(fps) else 0
-    trees = [plant(_quarter(fps, q), min(levels, 12), tolerance) for q in range(QUARTERS)]
+    trees = [plant(_quarter(fps, q), min(levels, 16), tolerance) for q in range(QUARTERS)]
 
     def homes(batches):
         for x in batches:
@@ -204,9 +207,9 @@ def routed(points: DataFrame, bits: int, shard: int = SHARD, block: int = BLOCK,
             for q, tree in enumerate(trees):
                 for leaf, _, home in visits(tree, _quarter(fp, q), 0):
                     if home.any():
-                        yield pd.DataFrame({"cell": [q << 16 | leaf], "n": [int(home.sum())]})
+                        yield pd.DataFrame({"cell": [q << LEAF | leaf], "n": [int(home.sum())]})
 
-    # At most four times the leaves of a tree: bounded by the depth.
+    # At most four times the leaves of a tree: bounded by the depth. Only crowded ones come.
     crowd = points.select("fp").mapInPandas(homes, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > block).collect()
     grid = {r.cell: -(-r.n // block) for r in crowd}
 
@@ -220,13 +223,13 @@ def routed(points: DataFrame, bits: int, shard: int = SHARD, block: int = BLOCK,
                     own[at[home]] = leaf
                 for leaf, at, home in found:
                     use = home | (leaf > own[at])  # of two home shards the later one gets the other's point
-                    at, home, g = at[use], home[use], grid.get(q << 16 | leaf, 1)
+                    at, home, g = at[use], home[use], grid.get(q << LEAF | leaf, 1)
                     row, column = (fp[at] % np.uint64(g)).astype(np.int64), (fp[at] // np.uint64(g) % np.uint64(g)).astype(np.int64)
                     for i in range(g):
                         for j in range(g):
                             m, s = home & (row == i), column == j
                             if (k := m | s).any():
-                                yield pd.DataFrame({"cell": (q << 16 | leaf) << 24 | i << 12 | j, "fp": fp[at[k]].view(np.int64), "id": ids[at[k]], "member": m[k], "query": s[k]} | {f.name: x[f.name].to_numpy()[at[k]] for f in more})
+                                yield pd.DataFrame({"cell": (q << LEAF | leaf) << 2 * SIDE | i << SIDE | j, "fp": fp[at[k]].view(np.int64), "id": ids[at[k]], "member": m[k], "query": s[k]} | {f.name: x[f.name].to_numpy()[at[k]] for f in more})
 
     extra = "".join(f", {f.name} {f.dataType.simpleString()}" for f in more)
     return points.mapInPandas(route, f"cell long, fp long, id long, member boolean, query boolean{extra}")
@@ -279,7 +282,7 @@ def candidates(points: DataFrame, nearest: bool, bits: int = WITHIN, similar: fl
 
     def compare(x: pd.DataFrame) -> pd.DataFrame:
         ids, fp = x.id.to_numpy(np.int64), x.fp.to_numpy(np.int64).view(np.uint64)
-        found = shard_pairs(fp, x["size"].to_numpy(), x[PARITY].to_numpy(np.int64).astype(np.uint64), x.part.to_numpy(), x.member.to_numpy(), x["query"].to_numpy(), int(x.cell.iloc[0]) >> 40, bits, similar)
+        found = shard_pairs(fp, x["size"].to_numpy(), x[PARITY].to_numpy(np.int64).astype(np.uint64), x.part.to_numpy(), x.member.to_numpy(), x["query"].to_numpy(), int(x.cell.iloc[0]) >> LEAF + 2 * SIDE, bits, similar)
         if nearest:
             none = np.iinfo(np.int64).max
             by_id = np.argsort(ids, kind="stable")
@@ -301,9 +304,9 @@ def candidates(points: DataFrame, nearest: bool, bits: int = WITHIN, similar: fl
     return routed(points, bits, **sizes).groupBy("cell").applyInPandas(compare, "a long, b long").distinct()
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, list[DataFrame]]:
     """The pairs (a, b) of sets (id, d, t) whose texts, the rows (__doc, __text, text) of d and t, have a Jaccard
-    similarity of shingles of at least similar."""
+    similarity of shingles of at least similar; and the tables that are read for it."""
 
     def run(batches):
         for x in batches:
@@ -312,9 +315,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame, similar: floa
 
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = materialize(sets.select("id", "d", "t").join(wanted, "id"), "wanted")
-    texts = materialize(texts.join(wanted, (F.col("__doc") == F.col("d")) & (F.col("__text") == F.col("t"))).select("id", "text").dropDuplicates(["id"]), "compared")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("mine")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("theirs")), "b")
-    return both.select("a", "b", "mine", "theirs").mapInPandas(run, "a long, b long")
+    shown = materialize(texts.join(wanted, (F.col("__doc") == F.col("d")) & (F.col("__text") == F.col("t"))).select("id", "text").dropDuplicates(["id"]), "compared")
+    release(wanted)
+    both = pairs.join(shown.select(F.col("id").alias("a"), F.col("text").alias("mine")), "a").join(shown.select(F.col("id").alias("b"), F.col("text").alias("theirs")), "b")
+    return both.select("a", "b", "mine", "theirs").mapInPandas(run, "a long, b long"), [pairs, shown]
 
 
 @F.pandas_udf(StructType([StructField(c, LongType()) for c in ("fp", "id", "size", *PARITY)]))
@@ -337,28 +341,39 @@ def similar_groups(sets: DataFrame, texts: DataFrame, **sizes: int) -> DataFrame
     group by few pairs; then all candidates that still lie in different parts are.
     """
     alone = sets.select("fp", "id", "size", *PARITY, F.col("id").alias("part"))
-    first = materialize(confirmed(materialize(candidates(alone, True, **sizes), "nearest"), sets, texts), "near")
+    first, read = confirmed(materialize(candidates(alone, True, **sizes), "nearest"), sets, texts)
+    first = materialize(first, "near")
+    for table in read:
+        release(table)
     label = components(first)
     parts = materialize(sets.join(label, sets.id == label.node, "left").select("fp", "id", "size", *PARITY, F.coalesce("label", "id").alias("part")), "parts")
-    second = materialize(confirmed(materialize(candidates(parts, False, **sizes), "candidates"), sets, texts), "further")
-    return components(materialize(first.unionByName(second), "similar"))
+    second, read = confirmed(materialize(candidates(parts, False, **sizes), "candidates"), sets, texts)
+    every = materialize(first.unionByName(second), "similar")
+    for table in [*read, first, parts]:
+        release(table)
+    return components(every)
 
 
 def dedupe(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of near duplicates, that of the smallest doc_id.
 
     Near duplicates have sets of five-word shingles with a Jaccard similarity of at least SIMILAR; groups are
-    joined over chains of them. Candidates are looked for within WITHIN bits of the fingerprints. Rows without
-    doc_id can't be told from others by it; they stay, one for each distinct text.
+    joined over chains of them. Candidates are looked for within WITHIN bits of the fingerprints. Texts without
+    words are alike. Rows without doc_id can't be told from others by it; they stay, one for each distinct text.
+    Of rows equal in doc_id and text one stays. Columns of any other name pass through; an empty table gives an
+    empty one.
     """
+    doc, mark = free(docs, "near_doc"), free(docs, "near_text")
     text = F.col("text").cast("string")
-    named = docs.where("doc_id is not null").withColumns({"__doc": F.col("doc_id").cast("long"), "__text": F.xxhash64(text)})
-    marks = materialize(named.select("__doc", "__text", sketch_udf(text).alias("s")).select(F.struct("__doc", "__text").alias("row"), "s.*"), "sketches")
+    named = docs.where("doc_id is not null").withColumns({doc: F.col("doc_id").cast("long"), mark: F.xxhash64(text)})
+    texts = named.select(F.col(doc).alias("__doc"), F.col(mark).alias("__text"), text.alias("text"))
+    marks = materialize(texts.select(F.struct("__doc", "__text").alias("row"), sketch_udf("text").alias("s")).select("row", "s.*"), "sketches")
     # Equal sets are one point, shown by the row of smallest id.
     sets = marks.groupBy("id").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), *[F.min(p).alias(p) for p in PARITY], F.min("row").alias("row"))
     sets = materialize(sets.select("fp", "id", "size", *PARITY, F.col("row.__doc").alias("d"), F.col("row.__text").alias("t")), "sets")
-    label = similar_groups(sets, named.select("__doc", "__text", text.alias("text")))
+    release(marks)
+    label = similar_groups(sets, texts)
     kept = sets.join(label, sets.id == label.node, "left").groupBy(F.coalesce("label", "id")).agg(F.min(F.struct("d", "t")).alias("k")).select("k.*")
-    one = named.join(kept, (F.col("__doc") == F.col("d")) & (F.col("__text") == F.col("t")), "left_semi").dropDuplicates(["__doc", "__text"])
+    one = named.join(kept, (F.col(doc) == F.col("d")) & (F.col(mark) == F.col("t")), "left_semi").dropDuplicates([doc, mark])
     bare = docs.where("doc_id is null").dropDuplicates(["text"])
     return one.select(docs.columns).unionByName(bare)
