@@ -182,6 +182,23 @@ def test_mixed_rows(docs):
     assert {k: v for k, v in plan.items() if v} == dict(out)
 
 
+def test_mixed_rows_of_one_id(spark):
+    """Rows that share an id, have none or are equal follow their own plans; a part keeps its white space; clashing columns stay."""
+    rows = [(7, " ".join(prose(40 + i, 30)), "a") for i in range(6)] + [(None, "x y\n\nz  w", "a"), (None, "p q", "b"), (8, "s t\nu v w", "b"), (8, "s t\nu v w", "b"), (9, None, None), (9, "", "b"), (10, " one\n two three", None)]
+    df = spark.createDataFrame([(*r, 5, "k") for r in rows], "doc_id long, text string, source string, mix_size int, mix_key string")
+    for share in (0.5, 1.0, 1.5):
+        plan, out = collections.Counter(), collections.Counter()
+        for r in mixing.mix(df, share).collect():
+            plan[r.doc_id, r.source] += r.taken
+        texts = {r[1] for r in rows}
+        for r in mixing.mixed(df, share).collect():
+            assert (r.mix_size, r.mix_key) == (5, "k") and any(t and t.startswith(r.text) for t in texts)
+            out[r.doc_id, r.source] += len(WORD.findall(r.text))
+        assert out == collections.Counter({k: v for k, v in plan.items() if v})
+    with pytest.raises(ValueError):
+        mixing.mix(df, 1.0, 1.5)
+
+
 def test_html():
     page = (
         "<html><head><title>T</title><style>p{}</style></head><body><nav>Menu</nav><div class='cookie-notice'>Cookies</div><article><h1>A &amp;  B</h1><p>First<br>line &lt;x&gt;<script>bad()</script></p>"
@@ -233,6 +250,15 @@ def test_bpe_equals_library(odd, docs):
         assert own.encode(t) == ids and own.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_remembered_words_are_bounded():
+    made = []
+    r = bpe.Recent(lambda k: made.append(k) or k * 2, 50_000)
+    for turn in range(3):
+        for i in range(2000):
+            assert r[f"w{i}"] == f"w{i}w{i}"
+    assert r.size <= 50_000 and len(r) + len(r.old) < 1000 and r["x" * 60_000] == "x" * 120_000 and "x" * 60_000 not in r
+
+
 def test_quality(odd, docs):
     rows = odd.collect() + docs.collect()
     for r in rows:
