@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,3 +40,14 @@ def release(df: DataFrame) -> None:
     for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(parent)
         path.getFileSystem(conf).delete(path, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark delete the files of shuffles that no table needs any more.
+
+    It does so once the driver has collected their objects as garbage, which a driver with little to do may not for
+    a long time; a second collection takes what the first has only made free.
+    """
+    for pause in (0.3, 0.0):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
