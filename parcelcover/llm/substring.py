@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelcover.llm.text import WORD, free, ngram_hashes, repeated, word_hashes, words
-from parcelcover.plans.materialize import materialize, release
+from parcelcover.plans.materialize import materialize, release, sweep
 
 WORDS = re.compile(WORD)
 #: Words in a seed; k-mers in a window.
@@ -39,6 +40,8 @@ GAP, BEYOND = 64, 48
 VALUE, COST = float(K), 0.03
 #: Words between two seeds that form a pair at most.
 NEXT = 16
+#: Parts in which the seeds are shuffled, one after the other: the disk holds one part's shuffles at a time.
+SLICES = 2
 
 
 def winnow(h: np.ndarray, window: int) -> np.ndarray:
@@ -199,17 +202,27 @@ def in_frames(rows: Iterator[tuple], names: list[str], size: int = 10_000) -> It
         yield pd.DataFrame(held, columns=names)
 
 
-def _firsts(seen: DataFrame, key: str) -> DataFrame:
-    """(fh, ref_id, ref_pos): where each key that several documents have stands first; seen has it once a document."""
-    first = seen.groupBy(F.col(key).alias("fh")).agg(F.min("doc_id").alias("ref_id"), F.min_by("pos", "doc_id").alias("ref_pos"), F.max("doc_id").alias("last"))
-    # Written, so that both sides of the join are plain shuffles and a very common seed's partition can be split.
-    return materialize(first.where("last > ref_id").drop("last"), "firsts")
+def matches(seen: DataFrame, key: str, lead: str = "true", slices: int = SLICES) -> DataFrame:
+    """(doc_id, pos, ref_id, ref_pos, h) of the places of keys that stand first in another document.
+
+    seen has (key, doc_id, pos); rows with lead hold each key once a document. The keys are taken in slices of their
+    values, one after the other, so that only a slice is shuffled at a time; each is written.
+    """
+    parts = []
+    for k in range(slices):
+        own = seen.where(F.pmod(F.col(key), F.lit(slices)) == k)
+        first = own.where(lead).groupBy(F.col(key).alias("fh")).agg(F.min("doc_id").alias("ref_id"), F.min_by("pos", "doc_id").alias("ref_pos"), F.max("doc_id").alias("last"))
+        # Written, so that both sides of the join are plain shuffles and a very common seed's partition can be split.
+        first = materialize(first.where("last > ref_id").drop("last"), "firsts")
+        found = own.join(first, F.col(key) == F.col("fh")).where("doc_id <> ref_id")
+        parts.append(materialize(found.select("doc_id", "pos", "ref_id", "ref_pos", F.col(key).alias("h")), "matches"))
+        release(first)
+        sweep(seen.sparkSession)
+    return reduce(DataFrame.unionByName, parts)
 
 
-def _matched(seen: DataFrame, first: DataFrame, key: str) -> DataFrame:
-    """(doc_id, pos, ref_id, ref_pos, h) of the places of keys that stand first elsewhere, by document in the order of pos."""
-    matches = seen.join(first, F.col(key) == F.col("fh")).where("doc_id <> ref_id").select("doc_id", "pos", "ref_id", "ref_pos", F.col(key).alias("h"))
-    return matches.repartition("doc_id").sortWithinPartitions("doc_id", "pos", "ref_id", "ref_pos")
+def by_place(found: DataFrame) -> DataFrame:
+    return found.repartition("doc_id").sortWithinPartitions("doc_id", "pos", "ref_id", "ref_pos")
 
 
 def breaks(matched: list[tuple], reach: int = NEXT) -> dict[int, int]:
@@ -225,7 +238,8 @@ def candidates(docs: DataFrame, k: int = K, window: int = WINDOW, gap: int = GAP
     """(doc_id, ref_id, start, stop, ref_start, ref_stop) of chains, in words, where ref_id has the passage first; and
     the tables that it reads."""
     s = materialize(seeds(docs, k, window), "seeds")
-    first = _firsts(s.where("lead"), "h")
+    found = matches(s, "h", "lead")
+    release(s)
     names = ["doc_id", "ref_id", "start", "stop", "ref_start", "ref_stop", "pair"]
     schema = "doc_id long, ref_id long, start int, stop int, ref_start int, ref_stop int, pair long"
 
@@ -249,13 +263,12 @@ def candidates(docs: DataFrame, k: int = K, window: int = WINDOW, gap: int = GAP
         return run
 
     # Chains, and pairs of seeds (whose number is in pair, of chains -1), in one pass over the matches.
-    both = materialize(_matched(s, first, "h").mapInPandas(chained(True), schema), "chains")
-    release(s)
-    release(first)
+    both = materialize(by_place(found).mapInPandas(chained(True), schema), "chains")
+    release(found)
+    sweep(docs.sparkSession)
     pairs = both.where("pair >= 0").select("doc_id", F.col("start").alias("pos"), "pair")
-    pair_first = _firsts(pairs, "pair")
-    more = _matched(pairs, pair_first, "pair").mapInPandas(chained(False), schema)
-    return both.where("pair < 0").unionByName(more).drop("pair"), [both, pair_first]
+    more = matches(pairs, "pair", slices=1)
+    return both.where("pair < 0").unionByName(by_place(more).mapInPandas(chained(False), schema)).drop("pair"), [both, more]
 
 
 def walk(a: list[bytes], b: list[bytes], inside: int) -> tuple[int, int, int]:
@@ -272,7 +285,11 @@ def walk(a: list[bytes], b: list[bytes], inside: int) -> tuple[int, int, int]:
         end = (i, j, agree) if agree > end[2] else end
         if i >= len(a) or j >= len(b):
             return end
-        blocks = SequenceMatcher(None, a[i : i + GAP], b[j : j + GAP], autojunk=False).get_matching_blocks()
+        x, y = a[i : i + GAP], b[j : j + GAP]
+        # Only runs of three words or more count below; mostly there are none.
+        if set(zip(x, x[1:], x[2:], strict=False)).isdisjoint(zip(y, y[1:], y[2:], strict=False)):
+            return end
+        blocks = SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks()
         step = next((m for m in blocks if m.size > (0 if i < inside and m.size >= 3 else max(2, m.a, m.b))), None)
         if step is None:
             return end
@@ -308,6 +325,7 @@ def passages(docs: DataFrame, least: int = LEAST, similar: float = SIMILAR, k: i
     found = materialize(chained.withColumns({"s": s, "e": e, "t": t, "f": f}).distinct(), "candidates")
     for table in read:
         release(table)
+    sweep(docs.sparkSession)
     # Distinct ranges, so what thousands of documents ask of one is asked once.
     wanted = found.select("doc_id", "s", "e").unionByName(found.select(F.col("ref_id").alias("doc_id"), F.col("t").alias("s"), F.col("f").alias("e"))).distinct()
     wanted = wanted.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
