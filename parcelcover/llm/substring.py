@@ -40,6 +40,9 @@ GAP, BEYOND = 64, 48
 VALUE, COST = float(K), 0.03
 #: Words between two seeds that form a pair at most.
 NEXT = 16
+#: Words on each side of a chain of one seed that are compared before its texts are fetched, and how many of them
+#: must be common on one side. A passage of LEAST words holds all SIDE words of one side at least.
+SIDE, COMMON = 16, 8
 #: Parts in which the seeds are shuffled, one after the other: the disk holds one part's shuffles at a time.
 SLICES = 2
 
@@ -235,13 +238,13 @@ def breaks(matched: list[tuple], reach: int = NEXT) -> dict[int, int]:
 
 
 def candidates(docs: DataFrame, k: int = K, window: int = WINDOW, gap: int = GAP) -> tuple[DataFrame, list[DataFrame]]:
-    """(doc_id, ref_id, start, stop, ref_start, ref_stop) of chains, in words, where ref_id has the passage first; and
-    the tables that it reads."""
+    """(doc_id, ref_id, start, stop, ref_start, ref_stop, sure) of chains, in words, where ref_id has the passage first;
+    and the tables that it reads. sure: of more than one seed."""
     s = materialize(seeds(docs, k, window), "seeds")
     found = matches(s, "h", "lead")
     release(s)
-    names = ["doc_id", "ref_id", "start", "stop", "ref_start", "ref_stop", "pair"]
-    schema = "doc_id long, ref_id long, start int, stop int, ref_start int, ref_stop int, pair long"
+    names = ["doc_id", "ref_id", "start", "stop", "ref_start", "ref_stop", "sure", "pair"]
+    schema = "doc_id long, ref_id long, start int, stop int, ref_start int, ref_stop int, sure boolean, pair long"
 
     def chained(pairs: bool):
         def run(batches):
@@ -253,10 +256,10 @@ def candidates(docs: DataFrame, k: int = K, window: int = WINDOW, gap: int = GAP
                         own[0].append(p)
                         own[1].append(q)
                     for row in document_chains(refs, k, gap):
-                        yield doc, *row, -1
+                        yield doc, *row, not pairs or row[2] - row[1] > k, -1
                     if pairs:
                         for pair, p in breaks(matched).items():
-                            yield doc, -1, p, p, p, p, pair
+                            yield doc, -1, p, p, p, p, True, pair
 
             yield from in_frames(rows(), names)
 
@@ -308,40 +311,89 @@ def _block(start: str, stop: str) -> tuple:
     return (F.floor(F.greatest(F.lit(0), F.col(start) - BEYOND) / 32) * 32).cast("int"), (F.ceil((F.col(stop) + BEYOND) / 32) * 32).cast("int")
 
 
+def _per_document(docs: DataFrame, wanted: DataFrame, schema: str, ready, cut) -> DataFrame:
+    """cut(ready(words), ask) rows, with doc_id in front, of every document that wanted (doc_id, ask struct) asks for; each ask once."""
+    asked = wanted.distinct().groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("ask").alias("asks"))
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        def rows():
+            for x in batches:
+                for doc, text, asks in zip(x.doc_id.tolist(), x.text, x.asks, strict=True):
+                    own = ready(words(text, lower=True))
+                    for ask in asks:
+                        yield doc, *cut(own, ask)
+
+        yield from in_frames(rows(), names, 2000)
+
+    return docs.join(asked, docs.doc_id == asked.id).select("doc_id", "text", "asks").mapInPandas(run, schema)
+
+
+def marks(ws: list[bytes]) -> np.ndarray:
+    """16-bit hashes of the words, never 0, between SIDE and more zeros at both ends."""
+    out = np.zeros(len(ws) + 3 * SIDE, np.uint16)
+    out[SIDE : SIDE + len(ws)] = (word_hashes(ws) & np.uint64(0xFFFF)).astype(np.uint16) | np.uint16(1)
+    return out
+
+
+def around(marked: np.ndarray, at: int, k: int) -> bytes:
+    """The marks of the SIDE words before and after k words at a place; 0 where there are none."""
+    return marked[at : at + SIDE].tobytes() + marked[at + SIDE + k : at + 2 * SIDE + k].tobytes()
+
+
+def promising(found: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """found without those chains of one seed that have too few words in common on both sides of it."""
+    single, names = found.where("not sure"), found.columns
+    ask = lambda at: F.struct(F.col(at).alias("at")).alias("ask")
+    wanted = single.select("doc_id", ask("start")).unionByName(single.select(F.col("ref_id").alias("doc_id"), ask("ref_start")))
+    near = materialize(_per_document(docs, wanted, "doc_id long, at int, near binary", marks, lambda m, a: (a["at"], around(m, a["at"], k))), "near")
+    sweep(docs.sparkSession)
+    both = single.join(near.select("doc_id", F.col("at").alias("start"), F.col("near").alias("mine")), ["doc_id", "start"])
+    both = both.join(near.select(F.col("doc_id").alias("ref_id"), F.col("at").alias("ref_start"), F.col("near").alias("theirs")), ["ref_id", "ref_start"])
+
+    def choose(batches):
+        for x in batches:
+            for n in range(0, len(x), 4096):
+                part = x.iloc[n : n + 4096]
+                a, b = (np.frombuffer(b"".join(part[c]), np.uint16).reshape(-1, 2, SIDE) for c in ("mine", "theirs"))
+                common = ((a[..., :, None] == b[..., None, :]).any(3) & (a > 0)).sum(2).max(1)
+                yield part.loc[common >= COMMON, names]
+
+    kept = both.select(*names, "mine", "theirs").mapInPandas(choose, found.schema)
+    out = materialize(found.where("sure").unionByName(kept), "promising")
+    release(near)
+    sweep(docs.sparkSession)
+    return out
+
+
 def passages(docs: DataFrame, least: int = LEAST, similar: float = SIMILAR, k: int = K, window: int = WINDOW) -> DataFrame:
     """doc_id, ref_id, start, stop, ref_start, ref_stop, agree, similarity, span_start, span_stop.
 
     A row is a passage that doc_id's text shares with ref_id's, the document of smallest doc_id that has it (or
     most of its seeds) first. start and stop count words of the rules' kind, lower-cased. similar of its words
     agree. Passages of a document that touch or overlap form a span, which has at least least words; a span of
-    several passages has them from several documents. What a text repeats of itself alone is no row. Texts are whole.
-    Rows without doc_id or text take no part; of rows with the same
-    doc_id the matches are those of both, and words are taken from one. Ties of seeds go to the smallest id and place. An empty table gives an empty one; other columns are left aside.
+    several passages has them from several documents. What a text repeats of itself alone is no row. Texts are
+    whole. Rows without doc_id or text take no part; of rows with the same doc_id the seeds are those of all, and
+    words are taken from one. Ties of seeds go to the smallest id and place. An empty table gives an empty one;
+    other columns are left aside.
     """
     d = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("doc_id is not null and text is not null")
-    s, e = _block("start", "stop")
-    t, f = _block("ref_start", "ref_stop")
     chained, read = candidates(d, k, window)
-    found = materialize(chained.withColumns({"s": s, "e": e, "t": t, "f": f}).distinct(), "candidates")
+    found = materialize(chained.distinct(), "candidates")
     for table in read:
         release(table)
     sweep(docs.sparkSession)
+    one = d.groupBy("doc_id").agg(F.min("text").alias("text")) if d.groupBy("doc_id").count().where("count > 1").limit(1).count() else d
+    kept = promising(found, one, k)
+    release(found)
+    s, e = _block("start", "stop")
+    t, f = _block("ref_start", "ref_stop")
+    found = kept.drop("sure").withColumns({"s": s, "e": e, "t": t, "f": f})
     # Distinct ranges, so what thousands of documents ask of one is asked once.
-    wanted = found.select("doc_id", "s", "e").unionByName(found.select(F.col("ref_id").alias("doc_id"), F.col("t").alias("s"), F.col("f").alias("e"))).distinct()
-    wanted = wanted.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
-
-    def cut(batches):
-        def rows():
-            for x in batches:
-                for doc, text, ranges in zip(x.doc_id.tolist(), x.text, x.ranges, strict=True):
-                    ws = words(text, lower=True)
-                    for r in ranges:
-                        yield doc, r["s"], r["e"], b" ".join(ws[r["s"] : r["e"]]).decode("utf-8", "surrogatepass")
-
-        yield from in_frames(rows(), ["doc_id", "s", "e", "piece"], 2000)
-
-    pieces = d.join(wanted, d.doc_id == wanted.id).select("doc_id", "text", "ranges").mapInPandas(cut, "doc_id long, s int, e int, piece string")
-    pieces = materialize(pieces.dropDuplicates(["doc_id", "s", "e"]), "pieces")
+    ask = lambda a, b: F.struct(F.col(a).alias("s"), F.col(b).alias("e")).alias("ask")
+    wanted = found.select("doc_id", ask("s", "e")).unionByName(found.select(F.col("ref_id").alias("doc_id"), ask("t", "f")))
+    pieces = materialize(_per_document(one, wanted, "doc_id long, s int, e int, piece string", list, lambda ws, r: (r["s"], r["e"], b" ".join(ws[r["s"] : r["e"]]).decode("utf-8", "surrogatepass"))), "pieces")
+    sweep(docs.sparkSession)
     both = found.join(pieces.withColumnRenamed("piece", "mine"), ["doc_id", "s", "e"])
     both = both.join(pieces.select(F.col("doc_id").alias("ref_id"), F.col("s").alias("t"), F.col("e").alias("f"), F.col("piece").alias("theirs")), ["ref_id", "t", "f"])
     both = both.select("doc_id", "ref_id", "start", "stop", "ref_start", "ref_stop", "s", "t", "mine", "theirs")
