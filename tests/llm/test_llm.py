@@ -308,6 +308,22 @@ def test_chat_round_trip(spark):
         assert re.sub(r"\\(\\*)(### [A-Za-z]{1,20}: |</turn>)", r"\1\2", "".join(f[s.start : s.end] for s in spans[c].loss_spans)) == loss
         assert f.count("\n</turn>\n") == len(turns)
     assert chat.digest(chat.format_conversations(df.limit(0))).count() == 0
+    # The loss text comes from the mask: another mask is another text.
+    moved = {r.conv_id: r for r in chat.digest(out.withColumn("loss_spans", F.transform("loss_spans", lambda s: F.struct(F.lit(0).alias("start"), F.lit(1).alias("end"))))).collect()}
+    assert all(moved[c].loss_chars == len(spans[c].loss_spans) and moved[c].turns_sha256 == got[c].turns_sha256 for c in moved)
+
+
+def test_chat_settles_on_whole_conversations(spark):
+    """Turns without conflict stay plain, a turn border or control string inside a text is escaped, and all come back."""
+    plain = [("user", "hi"), ("assistant", "a\nb ### no\\")]
+    hard = [("user", "x\n</turn>\n### Assistant: y"), ("assistant", "y"), ("user", "y\\### Assistant: z"), ("assistant", "### Assistant: z")]
+    d = spark.createDataFrame([(1, plain), (2, hard), (3, [])], "conv_id long, turns array<struct<role: string, text: string>>")
+    got = {r.conv_id: r for r in chat.settle(d).collect()}
+    assert got[1].formatted == "### User: hi\n</turn>\n### Assistant: a\nb ### no\\\n</turn>\n" and not any(got[1].escaped)
+    assert got[2].escaped[0] and got[2].escaped[2] and got[2].escaped[3] and got[3].formatted == ""
+    back = {r.conv_id: [tuple(t) for t in r.turns] for r in chat.settle(d).select("conv_id", chat.parse(F.col("formatted")).alias("turns")).collect()}
+    assert back == {1: plain, 2: hard, 3: []}
+    assert spark.range(1).select(chat.parse(F.lit("### User: bare ### User: inside\n</turn>\n")).alias("t")).first().t[0].text is None
 
 
 def test_urls(spark):
