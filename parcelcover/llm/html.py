@@ -2,10 +2,10 @@
 
 Events of the standard library's parser are read once. They fill lines: a block element begins a new one,
 and text and tags count towards the line that is open. A line's ratio of text to tags, smoothed with a
-Gaussian over its neighbours, says how much the region reads like prose; a threshold between the two
-clusters of ratios selects the content lines. What the markup itself names as something else (navigation,
-header, footer, asides, forms, scripts, adverts, notices, comments) never enters, and inside an article
-element all other lines are content.
+Gaussian over its neighbours, says how much the region reads like prose; a threshold between the two clusters of
+ratios selects the content lines, and short lines between or beside them join their region unless they are lists of
+links. What the markup itself names as something else (navigation, header, footer, asides, forms, scripts, adverts,
+notices, comments) never enters. An article or main element raises its lines' ratios and decides nothing by itself.
 """
 
 from __future__ import annotations
@@ -40,28 +40,37 @@ SCOPE = frozenset("button caption html object table td template th".split())
 SPACE = re.compile(r"\s+")
 #: Spread of the smoothing in lines, and smoothed characters a tag that count as prose on any page.
 SIGMA, PROSE = 1.0, 15.0
+#: What an article or main element multiplies its lines' ratios by.
+PRIOR = 2.0
+#: Lines beside a content line that may join its region outside of articles, and characters a tag under which lines
+#: with a link don't.
+REACH, LINKS = 8, 8.0
 
 
 class Lines(HTMLParser):
-    """Lines as [text, number of tags, in an article or main element], in page order."""
+    """Lines as [text, number of tags, in an article or main element, with a link], in page order."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[list] = [[[], 0, 0]]
+        self.lines: list[list] = [[[], 0, 0, False]]
         self.open: list[tuple[str, bool, bool]] = []
+        self.count: dict[str, int] = {}
         self.aside = self.main = 0
 
     def _line(self):
         if self.lines[-1][0] or self.lines[-1][1] > 8:
-            self.lines.append([[], 0, self.main])
+            self.lines.append([[], 0, self.main, False])
 
     def _close(self, upto: int):
-        for _, aside, main in self.open[upto:]:
+        for tag, aside, main in self.open[upto:]:
+            self.count[tag] -= 1
             self.aside -= aside
             self.main -= main
         del self.open[upto:]
 
     def _end_p(self):
+        if not self.count.get("p"):
+            return
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == "p":
                 return self._close(i)
@@ -75,6 +84,7 @@ class Lines(HTMLParser):
             if tag in BLOCKS:
                 self._line()
             self.lines[-1][1] += 1
+            self.lines[-1][3] |= tag == "a"
         if tag in VOID:
             return
         if tag in CLOSES and self.open and self.open[-1][0] in CLOSES[tag]:
@@ -86,9 +96,10 @@ class Lines(HTMLParser):
                 if v and (k in ("class", "id") and MARKED.search(v) or k == "role" and v.lower() in ROLES or k == "aria-hidden" and v == "true"):
                     aside = True
             aside |= any(k == "hidden" for k, _ in attrs)
-        if main and any(o[0] == "article" for o in self.open) and any(v and MARKED.search(v) for k, v in attrs if k in ("class", "id")):
+        if main and self.count.get("article") and any(v and MARKED.search(v) for k, v in attrs if k in ("class", "id")):
             aside = True  # a reader's comment inside the article
         self.open.append((tag, aside, main))
+        self.count[tag] = self.count.get(tag, 0) + 1
         self.aside += aside
         self.main += main
         if self.main != self.lines[-1][2]:
@@ -104,9 +115,8 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag):
         if not self.aside:
             self.lines[-1][1] += 1
-        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
-        if at is not None:
-            self._close(at)
+        if self.count.get(tag):  # an end without a beginning costs no search
+            self._close(next(i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag))
         if tag in BLOCKS and not self.aside:
             self._line()
             self.lines[-1][2] = self.main
@@ -136,6 +146,28 @@ def threshold(values: np.ndarray) -> float:
     return float(at)
 
 
+def select(sizes: np.ndarray, tags: np.ndarray, inside: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """Which lines are content, from their characters, tags, and whether they lie in an article and hold a link."""
+    raw = sizes / np.maximum(1, tags)
+    ratio = smooth(np.where(inside, PRIOR * raw, raw))
+    # Two clusters need a clear gap; a line that reads like prose by itself stays whatever stands around it.
+    least = min(threshold(ratio), PROSE) if raw.max() > 4 * raw.min() else -1.0
+    menu = linked & (raw < LINKS)
+    content = (np.maximum(ratio, raw) > least) & ~(menu & (raw <= least))
+    # Other short lines join the region of a content line within reach: headings, list items, captions. An article is
+    # one region; a line across its border doesn't join.
+    far = len(sizes) + REACH + 1
+    place = np.arange(len(sizes))
+    border = np.cumsum(np.concatenate([[False], inside[1:] != inside[:-1]]))
+    before = np.maximum.accumulate(np.where(content, place, -far))
+    after = np.minimum.accumulate(np.where(content, place, far + len(sizes))[::-1])[::-1]
+    near = np.zeros(len(sizes), bool)
+    for at in (before, after):
+        seen = (at >= 0) & (at < len(sizes))
+        near |= seen & (inside | (np.abs(place - at) <= REACH)) & (border[np.clip(at, 0, len(sizes) - 1)] == border)
+    return content | (near & ~menu)
+
+
 def main_text(html: str | None) -> str:
     """Content blocks in page order, joined by a space; white space inside a block is one space."""
     if not html:
@@ -143,18 +175,13 @@ def main_text(html: str | None) -> str:
     parser = Lines()
     parser.feed(html)
     parser.close()
-    texts = [SPACE.sub(" ", "".join(parts)).strip() for parts, _, _ in parser.lines]
-    found = [(t, tags, main) for t, (_, tags, main) in zip(texts, parser.lines, strict=True) if t]
+    texts = [SPACE.sub(" ", "".join(line[0])).strip() for line in parser.lines]
+    found = [(t, tags, bool(main), link) for t, (_, tags, main, link) in zip(texts, parser.lines, strict=True) if t]
     if not found:
         return ""
-    inside = [t for t, _, main in found if main]
-    if inside:
-        return " ".join(inside)
-    raw = np.array([len(t) / max(1, tags) for t, tags, _ in found], float)
-    ratio = smooth(raw)
-    # Two clusters need a clear gap; a line that reads like prose by itself stays whatever stands around it.
-    least = min(threshold(ratio), PROSE) if raw.max() > 4 * raw.min() else -1.0
-    return " ".join(t for (t, _, _), r, own in zip(found, ratio, raw, strict=True) if max(r, own) > least)
+    _, tags, inside, linked = zip(*found, strict=True)
+    chosen = select(np.array([len(f[0]) for f in found], float), np.array(tags, float), np.array(inside), np.array(linked))
+    return " ".join(f[0] for f, use in zip(found, chosen, strict=True) if use)
 
 
 def extract(pages: DataFrame) -> DataFrame:

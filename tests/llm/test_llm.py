@@ -213,6 +213,53 @@ def test_html():
     assert got.startswith("This paragraph number 0") and got.endswith("49 is prose that goes on for a while.")
 
 
+def test_html_method_decides():
+    """The smoothed ratios choose, whatever elements say main or article."""
+    prose_of = lambda n: " ".join(f"<p>Paragraph {i} tells at some length what happened on that day.</p>" for i in range(n))
+    menu = "<ul>" + "".join(f"<li><a href=/{i}>Go {i}</a></li>" for i in range(12)) + "</ul>"
+    got = html.main_text(f"<body><main>{menu}<div><h2>Title</h2>{prose_of(6)}</div>{menu}</main></body>")
+    assert got.startswith("Title Paragraph 0") and got.endswith("that day.") and "Go" not in got
+    teasers = "".join(f"<article><a href=/{i}>More {i}</a></article>" for i in range(5))
+    got = html.main_text(f"<body><div>{prose_of(6)}</div>{teasers}</body>")
+    assert got.startswith("Paragraph 0") and got.endswith("that day.") and "More" not in got
+    assert html.main_text("<article><h1>A</h1><p>b.</p>" + "<p>c d.</p>" * 30 + "</article>") == "A b." + " c d." * 30
+    assert html.main_text("</b>" * 50_000 + "<p>x</p>" * 3) == "x x x"
+
+
+def test_html_without_article_elements(spark):
+    """Texts of the given pages, whose article element bounds the text, come out nearly whole when that name is taken away."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()
+    kept = same = words = 0
+    for r in rows:
+        want, got = html.main_text(r.html).split(), html.main_text(re.sub(r"<(/?)article\b", r"<\1div", r.html)).split()
+        kept += sum((collections.Counter(want) & collections.Counter(got)).values())
+        words, same = words + max(len(want), len(got)), same + (want == got)
+    assert kept >= 0.99 * words and same >= 0.98 * len(rows)
+
+
+def test_html_lines_against_plain_steps():
+    """Smoothing and threshold against loops; a page's text against the article cut out with regular expressions."""
+    r = np.random.default_rng(2)
+    for n in (1, 2, 5, 40):
+        v = r.random(n) * 50
+        w = [np.exp(-0.5 * d * d) for d in range(-3, 4)]
+        want = [sum(w[d + 3] * v[min(n - 1, max(0, i + d))] for d in range(-3, 4)) / sum(w) for i in range(n)]
+        assert html.smooth(v) == pytest.approx(want)
+    t = html.threshold(np.array([1.0, 2, 1, 40, 50, 45]))
+    assert 2 < t < 40
+    import html as library
+
+    import pyarrow.parquet as pq
+
+    for page in pq.read_table("/root/testdata/sf0.001/pages.parquet", columns=["html"]).column(0).to_pylist():
+        body = re.search(r"<article>(.*?)</article>", page, re.S)
+        body = re.sub(r"<!--.*?-->", "", re.sub(r"<(script|style|aside|nav|form)\b.*?</\1>", "", body[1], flags=re.S), flags=re.S)
+        if "class=" in body or "id=" in body:
+            continue
+        blocks = [re.sub(r"\s+", " ", library.unescape(re.sub(r"<[^>]*>", "", b))).strip() for b in re.split(r"</?(?:p|h1|h2|br|ul|li|div|blockquote|table|tr|td)\b[^>]*>", body)]
+        assert html.main_text(page) == " ".join(b for b in blocks if b)
+
+
 def test_html_marked_paragraph_without_end():
     assert html.main_text("<div><p class='ad'>Buy<p>Article text goes on.<p>And on.</div>") == "Article text goes on. And on."
     assert html.main_text("<article><p class=ad>Buy <b>now<h2>Title</h2><p>Text.</article>") == "Title Text."
