@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 #: Listed keys for each block of 512 bits.
 PER_BLOCK = 40
-#: A list of at most so many entries, with its filter, goes to every executor (some 30 MB at most); a longer one is joined by shuffles.
-BROADCAST = 200_000
+#: A list of at most so many entries goes to every executor (some 30 MB), and the filter of a list of at most so many
+#: (1.6 bytes an entry, some 20 MB as rows); beyond, URLs meet the list, or even the filter, by shuffles.
+BROADCAST, FILTER = 200_000, 8_000_000
 WORDS = 8
 
 
@@ -51,8 +52,9 @@ def bloom(keys: DataFrame, blocks: int) -> DataFrame:
 def hits(candidates: DataFrame, entries: DataFrame, n_entries: int, key: str = "key") -> DataFrame:
     """candidates joined with the entries (entry string, distinct; and others) whose entry is their key."""
     blocks = max(1, -(-n_entries // PER_BLOCK))
-    small = F.broadcast if n_entries <= BROADCAST else lambda d: d
-    table = small(bloom(entries.select(F.col("entry").alias("key")), blocks))
+    table = bloom(entries.select(F.col("entry").alias("key")), blocks)
+    table = F.broadcast(table) if n_entries <= FILTER else table
+    entries = F.broadcast(entries) if n_entries <= BROADCAST else entries
     d = candidates.withColumn("__block", F.pmod(F.xxhash64(key), F.lit(blocks)))
     for k, b in enumerate(_bits(F.xxhash64(key, F.lit(11)))):
         d = d.withColumn(f"__b{k}", b)
@@ -60,7 +62,7 @@ def hits(candidates: DataFrame, entries: DataFrame, n_entries: int, key: str = "
     for k in range(WORDS):
         d = d.where(F.col(f"w{k}").bitwiseAND(F.col(f"__b{k}")) != 0)
     d = d.drop("__block", "block", *[f"{x}{k}" for k in range(WORDS) for x in ("__b", "w")])
-    return d.join(small(entries), F.col(key) == F.col("entry"))
+    return d.join(entries, F.col(key) == F.col("entry"))
 
 
 def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = None) -> DataFrame:
