@@ -147,9 +147,12 @@ def delta_text(diff: Column, base: Column) -> Column:
     return F.concat(F.when(d > 0, "+").otherwise(""), d.cast("string"), F.when(base > 0, F.concat(F.lit(" ("), F.when(p > 0, "+").otherwise(""), shown, F.lit(" %)"))).otherwise(""))
 
 
-def norm_number(text: Column) -> Column:
-    """A whole double as an integer's text, else as it is."""
-    return F.regexp_replace(text.cast("string"), r"\.0$", "")
+def norm_number(value: Column) -> Column:
+    """A whole number with a decimal point or exponent as an integer's text, else the value's text as it is."""
+    text = value.cast("string")
+    number = text.try_cast("double")
+    whole = text.rlike(r"^-?\d+\.\d+(E\d+)?$") & (number == F.floor(number)) & (F.abs(number) < 1e15)
+    return F.when(whole, number.cast("long").cast("string")).otherwise(text)
 
 
 def close(a: Column, b: Column, rtol: float = 1e-4, atol: float = 0.02) -> Column:

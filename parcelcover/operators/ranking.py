@@ -27,12 +27,12 @@ def running_counts(counts: DataFrame, by: list[str], n: str) -> DataFrame:
 def pct_ranks_mid(df: DataFrame, key: str, signals: dict[str, str]) -> DataFrame:
     """(key, one column for each of signals): mid-rank percentiles in [0, 1] of the signals' columns.
 
-    Nulls and NaN stand aside with 0.5, as does a lone value. All signals go through one pass as (key, signal,
+    Nulls, NaN and infinities stand aside with 0.5, as does a lone value. All signals go through one pass as (key, signal,
     value); equal values are counted first, so the ranking sees each value once, and ranks come back by a join.
     """
     items = F.array(*[F.struct(F.lit(out).alias("signal"), F.col(c).cast("double").alias("value")) for out, c in signals.items()])
     long = materialize(df.select(F.col(key).alias("__key"), F.explode(items).alias("i")).select("__key", "i.*"), "signals")
-    known = long.where("value is not null and not isnan(value)")
+    known = long.where("value is not null and not isnan(value) and abs(value) < double('infinity')")
     counts = known.groupBy("signal", "value").agg(F.count("*").alias("n"))
     run = running_counts(counts, ["signal", "value"], "n")
     own = run.groupBy(F.col("signal").alias("s")).agg(F.min("before").alias("first"), F.sum("n").alias("total"))

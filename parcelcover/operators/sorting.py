@@ -7,9 +7,16 @@ from pyspark.sql import functions as F
 
 
 def natural_key(text: Column) -> Column:
-    """Digits compare as numbers, letters without case."""
+    """Digits compare as numbers of any length, letters without case."""
     parts = F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|\D+)"), 1)
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), 20, "0")).otherwise(p)), "")
+
+    def part(p: Column) -> Column:
+        number = F.regexp_replace(p, "^0+(?=.)", "")
+        # Beyond 20 digits a number is led by its length, behind a colon, which comes after all digits.
+        long = F.concat(F.lit(":"), F.lpad(F.length(number).cast("string"), 6, "0"), number)
+        return F.when(~p.rlike(r"^\d"), p).when(F.length(number) > 20, long).otherwise(F.lpad(number, 20, "0"))
+
+    return F.array_join(F.transform(parts, part), "")
 
 
 def object_key(part: Column) -> list[Column]:

@@ -160,12 +160,13 @@ def zone_remainder(areas: DataFrame, zones: DataFrame, least: float = 1.0) -> Da
     return zones.select("egrid", "bauzone", "area").unionByName(gap.select("egrid", F.lit("Ohne Bauzone").alias("bauzone"), "area"))
 
 
-def habitat_gap_fill(areas: DataFrame, pieces: DataFrame, dropped: DataFrame, least: float = 0.01) -> DataFrame:
+def habitat_gap_fill(areas: DataFrame, pieces: DataFrame, dropped: DataFrame, untrusted: DataFrame, least: float = 0.01) -> DataFrame:
     """pieces (egrid, typoch, area, estimated): where exactly one feature had no geometry and over least of the
-    parcel is uncovered, a row of that feature's type, if it has one, with the uncovered area. dropped: (egrid, typoch)."""
+    parcel is uncovered, a row of that feature's type, if it has one, with the uncovered area. dropped: (egrid, typoch).
+    untrusted: (egrid) of parcels whose features were cut off at the cap or partly failed; their gap says nothing."""
     covered = pieces.groupBy("egrid").agg(F.sum("area").alias("covered"))
     one = dropped.groupBy("egrid").agg(F.count("*").alias("n"), F.max("typoch").alias("typoch")).where("n = 1 and typoch <> ''")
-    gap = areas.join(one, "egrid").join(covered, "egrid", "left").withColumn("area", F.col("parcel_area_m2") - F.coalesce("covered", F.lit(0.0)))
+    gap = areas.join(one, "egrid").join(untrusted.select("egrid").distinct(), "egrid", "left_anti").join(covered, "egrid", "left").withColumn("area", F.col("parcel_area_m2") - F.coalesce("covered", F.lit(0.0)))
     gap = gap.where(F.col("area") > F.col("parcel_area_m2") * least)
     return pieces.select("egrid", "typoch", "area", F.lit(False).alias("estimated")).unionByName(gap.select("egrid", "typoch", "area", F.lit(True).alias("estimated")))
 

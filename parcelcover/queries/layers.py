@@ -37,18 +37,23 @@ def _(spark, sf):
     return overlays.select(F.col("id").alias("fid"), "layer", "art", F.col("area_m2").alias("area"))
 
 
-@query("s8_write_feature_layers")
+_FEATURE = """'{"type":"Feature","geometry":null,"properties":{"layer":"' ||"""
+
+
+@query("s8_write_feature_layers", f"""select {_FEATURE} 'parcel","id":"' || egrid || '","flaeche":' || flaeche || ',"nummer":' || coalesce('"' || nummer || '"', 'null') || '}}}}' as value from b_parcels
+    union all select {_FEATURE} 'landcover","egrid":"' || egrid || '","fid":"' || fid || '","art":"' || art || '","area_m2":' || case when area = floor(area) then cast(cast(area as bigint) as varchar) else cast(area as varchar) end || '}}}}' from o_pieces""")
 def _(spark, sf):
     path = _scratch(spark, "features")
-    files.write_feature_layers({"parcel": bridge(spark, sf, "b_parcels").select(F.col("egrid").alias("id"), "flaeche", "geom"), "landcover": pieces(spark, sf).select("egrid", "fid", "art", F.col("area").alias("area_m2"))}, path)
+    files.write_feature_layers({"parcel": bridge(spark, sf, "b_parcels").select(F.col("egrid").alias("id"), "flaeche", "nummer"), "landcover": pieces(spark, sf).select("egrid", "fid", "art", F.col("area").alias("area_m2"))}, path)
     return spark.read.text(path)
 
 
-@query("s9_write_csv")
+@query("s9_write_csv", "select id, egrid, input_bez, case when sealed_m2 = floor(sealed_m2) then cast(cast(sealed_m2 as bigint) as varchar) else cast(sealed_m2 as varchar) end sealed_m2 from b_portfolio")
 def _(spark, sf):
     path = _scratch(spark, "csv")
     files.write_csv(bridge(spark, sf, "b_portfolio").select("id", "egrid", "input_bez", "sealed_m2"), path)
-    return spark.read.text(path)
+    back = spark.read.csv(path, sep=";", header=True, quote='"', escape='"', schema="id string, egrid string, input_bez string, sealed_m2 string")
+    return back.fillna("")
 
 
 @query("s10_write_layers", "select egrid, fid, art, area area_m2 from o_pieces")
@@ -64,9 +69,11 @@ def _(spark, sf):
     return dims.dim_art(spark).join(lc, F.col("art") == F.col("a"), "left").select("art", "maingroup", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("p4_allowlist_columns")
+@query("p4_allowlist_columns", 'select id, egrid, ort input_ort, rg input_rg, bez filename, pos av_strasse_weg_m2, tpf besitz from b_users')
 def _(spark, sf):
-    u = bridge(spark, sf, "b_users").select("id", "egrid", F.col("ort").alias("input_ort"), F.col("bez").alias("input_kontaktperson"), F.col("rg").alias("input_rg"), F.col("tpf").alias("email"))
+    c = F.col
+    private = [c("bez").alias("input_kontaktperson"), c("tpf").alias("email"), c("bez").alias("mieter"), c("bez").alias("owner"), c("bez").alias("kontakt_2"), c("bez").alias("Eigentümer"), c("bez").alias("last_name")]
+    u = bridge(spark, sf, "b_users").select("id", "egrid", c("ort").alias("input_ort"), c("rg").alias("input_rg"), c("bez").alias("filename"), c("pos").alias("av_strasse_weg_m2"), c("tpf").alias("besitz"), *private)
     return files.allowlist_columns(u, dims.INPUT_KEPT)[0]
 
 

@@ -199,10 +199,10 @@ def _(spark, sf):
     return S.landcover_kpis(S.classify(pieces(spark, sf)))
 
 
-@query("a3_landcover_kpis_rounded", "select egrid, floor(sum(area / 3e0) * 100 + 0.5) / 100 total from (select egrid, round(area * 3, 0) area from o_classed) group by 1")
+@query("a3_landcover_kpis_rounded", "select egrid, floor(coalesce(sum(case when sia416 = 'BUF' then area / 3e0 end), 0e0) * 100 + 0.5) / 100 sia416_buf_m2, floor(coalesce(sum(case when sealed then area / 3e0 end), 0e0) * 100 + 0.5) / 100 sealed_m2 from (select egrid, sia416, sealed, round(area * 3, 0) area from o_classed) group by 1")
 def _(spark, sf):
-    p = pieces(spark, sf).withColumn("area", F.round(F.col("area") * 3, 0))
-    return p.groupBy("egrid").agg(round2(F.sum(F.col("area") / 3)).alias("total"))
+    p = pieces(spark, sf).withColumn("area", F.round(F.col("area") * 3, 0) / 3)
+    return S.landcover_kpis(S.classify(p), rounded=True).select("egrid", "sia416_buf_m2", "sealed_m2")
 
 
 @query("a4_area_by_art", "select egrid, " + ", ".join(f"coalesce(sum(case when art = '{a}' then area end), 0e0) av_{a.lower()}_m2" for a in [*dims.ARTS, UNKNOWN_ART]) + " from o_pieces group by 1")
@@ -262,11 +262,13 @@ def _(spark, sf):
 _DROPPED = "select 'CH' || lpad(cast(k as varchar), 12, '0') egrid, typoch from b_habitat where minx is null"
 
 
-@query("r3_habitat_gap_fill", f"""with d as (select egrid, count(*) n, max(typoch) typoch from ({_DROPPED}) group by 1 having count(*) = 1 and max(typoch) <> ''), c as (select egrid, sum(area) covered from o_habitat group by 1)
-    select egrid, typoch, area, false estimated from o_habitat union all select p.egrid, d.typoch, parcel_area_m2 - coalesce(covered, 0), true from o_parcels p join d on d.egrid = p.egrid left join c on c.egrid = p.egrid where parcel_area_m2 - coalesce(covered, 0) > parcel_area_m2 * 0.01""")
+@query("r3_habitat_gap_fill", f"""with d as (select egrid, count(*) n, max(typoch) typoch from ({_DROPPED}) group by 1 having count(*) = 1 and max(typoch) <> ''), c as (select egrid, sum(area) covered, count(*) n from o_habitat group by 1)
+    select egrid, typoch, area, false estimated from o_habitat union all select p.egrid, d.typoch, parcel_area_m2 - coalesce(covered, 0), true from o_parcels p join d on d.egrid = p.egrid left join c on c.egrid = p.egrid where parcel_area_m2 - coalesce(covered, 0) > parcel_area_m2 * 0.01 and coalesce(c.n, 0) < 5""")
 def _(spark, sf):
+    h = habitat(spark, sf).select("egrid", "typoch", "area")
+    full = h.groupBy("egrid").count().where("count >= 5")  # a cap low enough to be met
     d = bridge(spark, sf, "b_habitat").where("minx is null").select(F.concat(F.lit("CH"), F.lpad(F.col("k").cast("string"), 12, "0")).alias("egrid"), "typoch")
-    return S.habitat_gap_fill(dissolved(spark, sf).select("egrid", "parcel_area_m2"), habitat(spark, sf).select("egrid", "typoch", "area"), d)
+    return S.habitat_gap_fill(dissolved(spark, sf).select("egrid", "parcel_area_m2"), h, d, full)
 
 
 @query("r4_check_flags", """select p_partkey k, case when p_size % 13 = 0 then 'wfs_error' when p_size >= 45 then 'truncated' else 'ok' end check_wfs, case when p_partkey % 7 - 3 > 0 then cast(p_partkey % 7 - 3 as varchar) || '_skipped' else 'ok' end check_geom,

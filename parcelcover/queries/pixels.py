@@ -10,12 +10,18 @@ from parcelcover.sources.bridge import bridge
 
 GLI = "case when 2 * g + r + b = 0 then 0e0 else cast(2 * g - r - b as double) / (2 * g + r + b) end"
 ROOFS_SQL = "select p_partkey fid, (p_partkey % 10) * 10 minx, cast(floor(p_partkey / 10) as bigint) * 9 miny, (p_partkey % 10) * 10 + 4 + p_size * 0.25e0 maxx, cast(floor(p_partkey / 10) as bigint) * 9 + 6 maxy from part"
-LABELLED = f"select p.px, p.py, p.gli, max(f.fid) building from (select px, py, {GLI} gli from b_pixels) p join ({ROOFS_SQL}) f on p.px + 0.5 >= f.minx and p.px + 0.5 < f.maxx and p.py + 0.5 >= f.miny and p.py + 0.5 < f.maxy group by 1, 2, 3"
+LABELLED = f"select p.px, p.py, p.gli, max(f.fid) building from (select px, py, {GLI} gli from b_pixels) p join ({ROOFS_SQL}) f on p.px + 0.5 >= f.minx and p.px + 0.5 < f.maxx and p.py + 0.5 >= f.miny and p.py + 0.5 < f.maxy and not (p.px + 0.5 >= (f.minx + f.maxx) / 2 and p.py + 0.5 >= f.miny + 3) group by 1, 2, 3"
 MASK = f"select px, py, building, gli > 0.1 as \"on\" from ({LABELLED})"
 
 
 def roofs(spark, sf):
-    return spark.sql(ROOFS_SQL.replace("from part", "from {part}"), part=spark.read.parquet(f"{sf}/part.parquet"))
+    """L-shaped roofs: boxes without their last quarter."""
+    d = spark.sql(ROOFS_SQL.replace("from part", "from {part}"), part=spark.read.parquet(f"{sf}/part.parquet"))
+    x, y = (F.col("minx") + F.col("maxx")) / 2, F.col("miny") + 3
+    corners = [("minx", "miny"), ("maxx", "miny"), ("maxx", y), (x, y), (x, "maxy"), ("minx", "maxy"), ("minx", "miny")]
+    column = lambda c: F.col(c) if isinstance(c, str) else c
+    ring = F.array(*[F.struct(column(a).cast("double").alias("x"), column(b).cast("double").alias("y")) for a, b in corners])
+    return d.withColumn("geom", F.array(F.array(ring)))
 
 
 def labelled(spark, sf):

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import csv
+import json
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +19,8 @@ DETAIL_COLUMNS = {
     "bauzonen": "id egrid fid art bauzone_code area_m2 lc_source".split(),
     "habitat": "id egrid fid art typoch_l1 typoch_l2 typoch_l3 check_greenspace vbs_kategorie vbs_produktiv vbs_typ area_m2 prob lc_source".split(),
 }
-PRIVATE = r"(?i)(name|mail|telefon|phone|adresse|strasse|street|person|vorname|geburt)"
+# Fixed value: parts of a column's name, between underscores, that tell of personal data.
+PRIVATE = r"(?i)(^|_)(name|mieter|tenant|e?mail|telefon|phone|adresse|kontakt|person|eigent[uü]mer|owner)(_|$)"
 
 
 def delimiter(header: str) -> tuple[str, bool]:
@@ -47,8 +50,13 @@ def read_parcel_list(spark: SparkSession, path: str) -> DataFrame:
     schema = ", ".join(f"c{i} string" for i in range(len(names)))
     df = spark.read.csv(path, schema=schema, sep=sep, multiLine=True, quote='"', escape='"', encoding="UTF-8", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     clean = lambda c: F.trim(F.coalesce(F.regexp_replace(c, "^﻿", ""), F.lit("")))
+    if extra:
+        # The first line, "sep=" and the delimiter, is a row of one cell; a parcel's id may begin like it.
+        others = [F.coalesce(F.trim(F.col(c)), F.lit("")) == "" for c in df.columns[1:]]
+        line = F.lower(F.regexp_replace(F.coalesce(F.col("c0"), F.lit("")), "^\ufeff", "")) == "sep="
+        df = df.where(~reduce(lambda x, y: x & y, others, line))
     out = df.select(*[clean(F.col(c)).alias(n) for n, c in keep.items()])
-    return out.where(~((F.lower("id") == "id") & (F.lower("egrid") == "egrid")) & ~F.lower("id").startswith("sep="))
+    return out.where(~((F.lower("id") == "id") & (F.lower("egrid") == "egrid")))
 
 
 def allowlist_columns(df: DataFrame, kept: list[str]) -> tuple[DataFrame, list[str]]:
@@ -57,15 +65,20 @@ def allowlist_columns(df: DataFrame, kept: list[str]) -> tuple[DataFrame, list[s
     return df.drop(*drop), drop
 
 
+def json_value(c: Column, kind: str) -> Column:
+    """A value as JSON: whole doubles as integers, null as null."""
+    inner = F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"})
+    text = F.substring(inner, F.lit(6), F.length(inner) - 6)
+    return F.when(c.isNotNull() & (c == F.floor(c)) & (F.abs(c) < 1e15), c.cast("long").cast("string")).otherwise(text) if kind in ("double", "float") else text
+
+
 def feature(df: DataFrame, layer: str, geometry: str | None = None) -> DataFrame:
     """(json): each row as a GeoJSON feature tagged with its layer; names that begin with _ are left out."""
-    shown = [c for c in df.columns if not c.startswith("_") and c != geometry]
-    texts = F.struct(F.lit(layer).alias("layer"), *[F.col(f"`{c}`").alias(c) for c in shown])
-    body = F.to_json(texts)
+    shown = [(c, t) for c, t in df.dtypes if not c.startswith("_") and c != geometry]
+    parts = [F.lit(json.dumps("layer") + ":" + json.dumps(layer, ensure_ascii=False))]
+    parts += [F.concat(F.lit(json.dumps(c, ensure_ascii=False) + ":"), json_value(F.col(f"`{c}`"), t)) for c, t in shown]
     geo = F.coalesce(to_geojson(F.col(geometry)), F.lit("null")) if geometry else F.lit("null")
-    # whole doubles are written as integers
-    body = F.regexp_replace(body, r":(-?\d+)\.0([,}])", ":$1$2")
-    return df.select(F.concat(F.lit('{"type":"Feature","geometry":'), geo, F.lit(',"properties":'), body, F.lit("}")).alias("json"))
+    return df.select(F.concat(F.lit('{"type":"Feature","geometry":'), geo, F.lit(',"properties":{'), F.concat_ws(",", *parts), F.lit("}}")).alias("json"))
 
 
 def write_feature_layers(layers: dict[str, DataFrame], path: str, geometry: str = "geom") -> None:
@@ -92,35 +105,36 @@ def split_layers(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     return features.where(parcel), features.where(~parcel & F.col("geom").isNotNull()).select("layer", "id", "art", "area_m2", "geom")
 
 
-def csv_cell(c: Column, kind: str, sep: str = ";") -> Column:
-    """A value as an export cell: lists joined by "; ", whole doubles as integers, quoted only where needed."""
-    text = F.array_join(c, "; ") if kind.startswith("array") else norm_number(c) if kind in ("double", "float") else c.cast("string")
-    text = F.coalesce(text, F.lit(""))
-    return F.when(text.rlike(f'[{sep}"\\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+def csv_cells(df: DataFrame) -> DataFrame:
+    """df's public columns as texts: lists joined by "; ", whole doubles as integers, null as empty."""
 
+    def cell(c: Column, kind: str) -> Column:
+        return F.coalesce(F.array_join(c, "; ") if kind.startswith("array") else norm_number(c) if kind in ("double", "float") else c.cast("string"), F.lit(""))
 
-def csv_lines(df: DataFrame, style: str = "web") -> DataFrame:
-    sep = ";" if style == "web" else ","
-    shown = [(c, t) for c, t in df.dtypes if not c.startswith("_")]
-    return df.select(F.concat_ws(sep, *[csv_cell(F.col(f"`{c}`"), t, sep) for c, t in shown]).alias("value"))
+    return df.select(*[cell(F.col(f"`{c}`"), t).alias(c) for c, t in df.dtypes if not c.startswith("_")])
 
 
-def write_csv(df: DataFrame, path: str, style: str = "web") -> None:
-    """Delimited parts, each with the header; style web begins it with a byte order mark."""
-    names = [c for c in df.columns if not c.startswith("_")]
-    sep = ";" if style == "web" else ","
-    head = ("﻿" if style == "web" else "") + sep.join(names)
-    lines = csv_lines(df, style)
+#: How cells are written: quoted only where they must be, empty ones as nothing.
+CELLS = {"quote": '"', "escape": '"', "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
-    def run(batches):
-        import pandas as pd
 
-        first = True
-        for x in batches:
-            yield pd.DataFrame({"value": ([head] if first else []) + x.value.tolist()})
-            first = False
+def csv_lines(df: DataFrame, style: str = "web") -> DataFrame:
+    """(value): write_csv()'s rows as lines, for sinks of other kinds."""
+    cells = csv_cells(df)
+    return cells.select(F.to_csv(F.struct(*[f"`{c}`" for c in cells.columns]), {**CELLS, "sep": ";" if style == "web" else ","}).alias("value"))
 
-    lines.mapInPandas(run, "value string").write.text(path)
+
+def write_csv(df: DataFrame, path: str, style: str = "web") -> None:
+    """Delimited parts, each a complete file: the header, then its rows; cells are quoted only where they must be.
+
+    Style web: semicolons, and a byte order mark at the beginning of each part; style plain: commas. An empty table
+    gives one part with the header.
+    """
+    cells = csv_cells(df)
+    if style == "web":
+        cells = cells.toDF("\ufeff" + cells.columns[0], *cells.columns[1:])
+    cells = cells if cells.limit(1).count() else cells.repartition(1)
+    cells.write.options(**CELLS).csv(path, sep=";" if style == "web" else ",", header=True)
 
 
 def write_layers(layers: dict[str, DataFrame], path: str) -> None:

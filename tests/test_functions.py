@@ -72,6 +72,24 @@ def test_list_report(spark):
 def test_export_lines(spark):
     d = spark.createDataFrame([(1, 2.0, 2.5, ["a", "b"], 'x;"y"', None)], "i int, w double, f double, l array<string>, s string, n string").withColumn("_hidden", F.lit(1))
     assert files.csv_lines(d).first().value == '1;2;2.5;a; b;"x;""y""";'.replace("a; b", '"a; b"')
-    assert files.feature(d, "parcel").first().json == '{"type":"Feature","geometry":null,"properties":{"layer":"parcel","i":1,"w":2,"f":2.5,"l":["a","b"],"s":"x;\\"y\\""}}'
+    assert files.feature(d, "parcel").first().json == '{"type":"Feature","geometry":null,"properties":{"layer":"parcel","i":1,"w":2,"f":2.5,"l":["a","b"],"s":"x;\\"y\\"","n":null}}'
     kept, dropped = files.allowlist_columns(spark.createDataFrame([(1, 2, 3)], "input_ort int, input_chef int, email int"), ["ort"])
     assert kept.columns == ["input_ort"] and dropped == ["input_chef", "email"]
+
+
+def test_private_columns_and_texts(spark, tmp_path):
+    """Personal names go and their like stay; numbers in texts stay as written; lists keep ids that begin like a directive."""
+    names = ["mieter", "owner", "kontakt", "last_name", "e_mail", "Eigentuemer", "filename", "av_strasse_weg_m2", "personal", "besitzer"]
+    kept, dropped = files.allowlist_columns(spark.createDataFrame([tuple(range(10))], names), [])
+    assert dropped == names[:5] and kept.columns == names[5:]
+    d = spark.createDataFrame([("x:5.0,y", 1e10, None, 2.5), ("a;\"b\"", -0.0, "n", 1e-7)], "s string, big double, empty string, f double")
+    rows = [r.json for r in files.feature(d, "l").collect()]
+    assert rows[0] == '{"type":"Feature","geometry":null,"properties":{"layer":"l","s":"x:5.0,y","big":10000000000,"empty":null,"f":2.5}}'
+    files.write_csv(d, str(tmp_path / "c"))
+    parts = [p.read_text(encoding="utf-8") for p in (tmp_path / "c").glob("part-*.csv")]
+    assert all(p.startswith("\ufeffs;big;empty;f\n") for p in parts) and sorted(x for p in parts for x in p.splitlines()[1:]) == ['"a;""b""";0;n;1.0E-7', "x:5.0,y;10000000000;;2.5"]
+    files.write_csv(d.limit(0), str(tmp_path / "e"), "plain")
+    assert [p.read_text() for p in (tmp_path / "e").glob("part-*.csv")] == ["s,big,empty,f\n"]
+    (tmp_path / "s.csv").write_text("sep=;\nid;egrid\nsep=1;CH1\n")
+    assert [tuple(r) for r in files.read_parcel_list(spark, str(tmp_path / "s.csv")).collect()] == [("sep=1", "CH1")]
+    assert values(spark, [1e10, 5.0, 0.5, None], S.norm_number, "double") == ["10000000000", "5", "0.5", None]
