@@ -2,8 +2,8 @@
 
 Corners are found at several scales; around each, the direction to the intensity centroid gives an
 orientation, and brightness tests between pairs of points, turned by it, give a 256-bit descriptor.
-Descriptors that agree in one of four 64-bit tables meet in a join (any two within three bits do); those near
-enough in all bits are matches. Each match says how one image would have to be turned, scaled and moved; a
+Descriptors that agree in one of eight 32-bit tables meet in a join (any two within seven bits do, and most of
+those somewhat further); those near enough in all bits are matches. Each match says how one image would have to be turned, scaled and moved; a
 pair of images in which enough corners say the same is linked, and links give classes.
 """
 
@@ -15,14 +15,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelcover.llm.components import components
-from parcelcover.plans.materialize import materialize
+from parcelcover.plans.materialize import materialize, release, sweep
 
 #: Corners kept for each scale (the strongest), scales, radius of the tested patch, bits.
-CORNERS, SCALES, RADIUS, BITS = 16, (1.0, 0.7071), 8, 256
+CORNERS, SCALES, RADIUS, BITS = 32, (1.0, 0.7071, 0.5), 8, 256
 #: Most differing bits of a match; corners that must agree on the same movement; cell of a movement in pixels.
 NEAR, AGREE, CELL = 24, 5, 6
-#: Corners of one table key that are joined pair by pair; beyond, each meets so many hub images.
-BUCKET, HUBS = 24, 8
+#: Tables of descriptor parts, and parts of them that are shuffled one after the other, which bounds the disk in use.
+TABLES, SLICES = 8, 4
+#: Corners of one table key that are joined pair by pair at once; beyond, each meets so many hub images first, and in
+#: a second pass, in blocks of so many, those of other classes.
+BUCKET, HUBS, BLOCK = 24, 8, 2048
 TURN = 30
 
 _rng = np.random.default_rng(5)
@@ -111,27 +114,74 @@ def describe(images: DataFrame) -> DataFrame:
     return images.mapInPandas(run, "id long, at long, d0 long, d1 long, d2 long, d3 long")
 
 
-def matches(found: DataFrame, near: int = NEAR, bucket: int = BUCKET) -> DataFrame:
+_PARTS = ["d0", "d1", "d2", "d3"]
+
+
+def _side(rows: DataFrame, s: str, *more: str) -> DataFrame:
+    """rows with s before the names of a corner's columns; those of the join stay."""
+    return rows.select("key", *[c for c in ("i", "j") if c in rows.columns], *[F.col(c).alias(f"{s}_{c}") for c in ("id", "at", *_PARTS, *more)])
+
+
+def _close(near: int):
+    return sum((F.bit_count(F.col(f"a_{k}").bitwiseXOR(F.col(f"b_{k}"))) for k in _PARTS), F.lit(0)) <= near
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Pairs with the smaller id as a, each once."""
+    less = F.col("a_id") < F.col("b_id")
+    turned = [F.when(less, F.col(f"{x}_{c}")).otherwise(F.col(f"{y}_{c}")).alias(f"{x}_{c}") for x, y in ("ab", "ba") for c in ("id", "at")]
+    return pairs.select(*turned).distinct()
+
+
+def shared_keys(found: DataFrame) -> list[DataFrame]:
+    """(key, n, id, at, d0 to d3) of all corners and table keys that more than one image has; n is the key's corners.
+
+    Most keys belong to one corner and go no further. One table for each slice of the keys.
+    """
+    key = lambda t: (F.shiftrightunsigned(F.col(_PARTS[t // 2]), 32) if t % 2 else F.col(_PARTS[t // 2]).bitwiseAND(F.lit(0xFFFFFFFF))) + F.lit(t << 32)
+    out = []
+    for first in range(0, TABLES, TABLES // SLICES):
+        keys = F.explode(F.array(*[key(t) for t in range(first, first + TABLES // SLICES)])).alias("key")
+        n = found.select("id", keys).groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
+        out.append(materialize(found.select(keys, "id", "at", *_PARTS).join(n.where("low < high").select("key", "n"), "key"), "keys"))
+        sweep(found.sparkSession)
+    return out
+
+
+def matches(rows: DataFrame, near: int = NEAR, bucket: int = BUCKET) -> DataFrame:
     """Pairs of corners of different images (a, b, a < b) that share a table key and differ in near bits or fewer.
 
     A key with over bucket corners belongs to a pattern, or a group of copies, that very many images show. Its
     corners aren't joined pair by pair, which would give the square of the group: each meets the key's HUBS hub
     images, the smallest ids of HUBS hash classes. Copies have their hubs in common, key after key, so they
-    link to the same few images, and over these to each other.
+    link to the same few images, and over these to each other. matches_between does the rest.
     """
-    d = ["d0", "d1", "d2", "d3"]
-    rows = materialize(found.select("id", "at", *d, F.posexplode(F.array(*d)).alias("table", "key")), "tables")
-    busy = rows.groupBy("table", "key").count().where(F.col("count") > bucket).select("table", "key", F.lit(True).alias("busy"))
-    rows = rows.join(F.broadcast(busy) if busy.count() < 100_000 else busy, ["table", "key"], "left")
-    some, hot = rows.where("busy is null").drop("busy"), rows.where("busy").drop("busy")
-    side = lambda x, s: x.select("table", "key", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "at", *d)])
-    bits = sum((F.bit_count(F.col(f"a_{k}").bitwiseXOR(F.col(f"b_{k}"))) for k in d), F.lit(0))
-    pairs = side(some, "a").join(side(some, "b"), ["table", "key"]).where((F.col("a_id") < F.col("b_id")) & (bits <= near))
-    hubs = hot.groupBy("table", "key", F.pmod(F.xxhash64("id"), F.lit(HUBS)).alias("class")).agg(F.min(F.struct("id", "at", *d)).alias("h")).select("table", "key", "h.*")
-    star = side(hubs, "a").join(side(hot, "b"), ["table", "key"]).where((F.col("a_id") != F.col("b_id")) & (bits <= near))
-    less = F.col("a_id") < F.col("b_id")
-    turned = [F.when(less, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(f"a_{c}") for c in ("id", "at")] + [F.when(less, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")).alias(f"b_{c}") for c in ("id", "at")]
-    return pairs.select("a_id", "b_id", "a_at", "b_at").unionByName(star.select(*turned)).distinct()
+    some, hot = rows.where(F.col("n") <= bucket), rows.where(F.col("n") > bucket)
+    pairs = _side(some, "a").join(_side(some, "b"), "key").where((F.col("a_id") < F.col("b_id")) & _close(near))
+    hubs = hot.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(HUBS)).alias("class")).agg(F.min(F.struct("id", "at", *_PARTS)).alias("h")).select("key", "h.*")
+    star = _side(hubs, "a").join(_side(hot, "b"), "key").where((F.col("a_id") != F.col("b_id")) & _close(near))
+    return _ordered(pairs.unionByName(star))
+
+
+def matches_between(rows: DataFrame, label: DataFrame, near: int = NEAR, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
+    """The matches in crowded keys of images in different classes (label: node, label), as in matches.
+
+    Images that the hubs have brought into one class need not meet again. In each key, the corners outside its
+    largest class meet all that are in other classes than they; one class alone means no work. Both sides of a key
+    are cut into blocks, so that no task has a whole key. The work grows with the corners outside the largest class
+    times the corners of the key: only for a pattern that many images show that don't come into one class by it does
+    that near the square.
+    """
+    hot = rows.where(F.col("n") > bucket).join(label, F.col("id") == F.col("node"), "left").select("key", "n", "id", "at", *_PARTS, F.coalesce("label", "id").alias("class"))
+    size = hot.groupBy("key", "class").agg(F.count("*").alias("c"))
+    most = size.groupBy("key").agg(F.max(F.struct("c", "class")).alias("most"), F.count("*").alias("classes")).where("classes > 1").select("key", F.col("most.class").alias("most"))
+    hot = materialize(hot.join(most, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "crowded")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    own = F.pmod(F.xxhash64("id", "at"), F.col("blocks")).cast("int")
+    out = hot.where(F.col("class") != F.col("most")).withColumn("i", own).withColumn("j", every)
+    all_ = hot.withColumn("j", own).withColumn("i", every)
+    met = _side(out, "a", "class").join(_side(all_, "b", "class"), ["key", "i", "j"])
+    return _ordered(met.where((F.col("a_class") != F.col("b_class")) & _close(near)))
 
 
 def consensus(pairs: DataFrame, agree: int = AGREE, cell: int = CELL) -> DataFrame:
@@ -154,12 +204,12 @@ def consensus(pairs: DataFrame, agree: int = AGREE, cell: int = CELL) -> DataFra
     return votes.groupBy("a_id", "b_id", "turned", "scaled", "grid").agg(F.count("*").alias("n")).where(F.col("n") >= agree).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
 
 
-def near_copies(images: DataFrame) -> DataFrame:
+def near_copies(images: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """id, class_id, n_links of every row of images (id, image).
 
-    Equal bytes are one image, of the smallest id. n_links counts the linked images with other bytes (of a
-    crowded group, its hubs); class_id is
-    the smallest id over links and equal bytes. Null, empty and unreadable images are in classes of their own (if
+    Equal bytes are one image, of the smallest id. n_links counts the linked images with other bytes (inside a
+    crowded group, its hubs at least: such a group isn't written out as all its pairs); class_id is the smallest id
+    over links and equal bytes, and the same as if all pairs of corners that share a key had been compared. Null, empty and unreadable images are in classes of their own (if
     their bytes are equal, too: nothing was compared). Repeated rows come back as often; a row without id keeps
     its class and has none if no other row shows the image. Other columns are left aside; an empty table gives an
     empty one.
@@ -170,8 +220,21 @@ def near_copies(images: DataFrame) -> DataFrame:
     # Other rows with the same bytes, mostly few, are left out; the images themselves needn't be shuffled for it.
     others = d.join(one, "bytes").where("id <> first").select("id").distinct()
     shown = images.select(F.col("id").cast("long").alias("id"), "image").where("id is not null").join(others, "id", "left_anti")
-    link = materialize(consensus(matches(materialize(describe(shown), "corners"))), "links")
+    corners = materialize(describe(shown), "corners")
+    slices = shared_keys(corners)
+    release(corners)
+    rows = slices[0]
+    for s in slices[1:]:
+        rows = rows.unionByName(s)
+    near = materialize(matches(rows, bucket=bucket), "matches")
+    link = materialize(consensus(near), "links")
     label = components(link)
+    rest = materialize(matches_between(rows, label, bucket=bucket), "matches")
+    if rest.limit(1).count():
+        link = materialize(consensus(near.unionByName(rest)), "links")
+        label = components(link)
+    for s in (*slices, near, rest):
+        release(s)
     ends = link.select(F.col("a").alias("n")).unionByName(link.select(F.col("b").alias("n"))).groupBy("n").agg(F.count("*").alias("n_links"))
     groups = one.join(label, one["first"] == label.node, "left").join(ends, F.col("first") == F.col("n"), "left")
     groups = groups.select(F.col("bytes").alias("b"), F.coalesce("label", "first").alias("class"), F.coalesce("n_links", F.lit(0)).alias("links"))
@@ -179,17 +242,17 @@ def near_copies(images: DataFrame) -> DataFrame:
     return out.select("id", F.coalesce("class", "id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def paint(vectors: DataFrame, size: int = 48) -> DataFrame:
+def paint(vectors: DataFrame, size: int = 64) -> DataFrame:
     """(id, image, kind): a grey image of each row of vectors (vec_id, embedding), waves with the vector's values.
 
     Of every ten ids, that with the last digit 7 shows a copy of its predecessor's image, by the digit before:
-    cropped, turned by a right angle, brighter, or with a painted corner. kind says which, else "own".
+    cropped, turned by a right angle, brighter, with a painted corner, or smaller. kind says which, else "own".
     """
     v = vectors.selectExpr("cast(vec_id as long) id", "embedding")
     base = v.select((F.col("id") + 1).alias("next"), F.col("embedding").alias("before"))
     v = v.withColumn("copy", F.when(F.col("id") % 10 == 7, F.col("id"))).join(base, F.col("copy") == F.col("next"), "left")
     v = v.select("id", F.coalesce("before", "embedding").alias("embedding"), F.col("before").isNotNull().alias("edited")).withColumn("id", F.col("id").cast("string"))  # as text: a null among numbers makes them floats
-    kinds = ["crop", "turn", "bright", "corner"]
+    kinds = ["crop", "turn", "bright", "corner", "scale"]
 
     def run(batches):
         at = np.arange(size) / size
@@ -206,15 +269,17 @@ def paint(vectors: DataFrame, size: int = 48) -> DataFrame:
                 z = np.resize(np.nan_to_num(np.asarray(e, float)), 64)
                 x = (z @ cosines).reshape(size, size)
                 x = 128 + 42 * x / (x.std() + 1e-9)
-                kind = kinds[i // 10 % 4] if edited else "own"
+                kind = kinds[i // 10 % len(kinds)] if edited else "own"
                 if kind == "crop":
-                    x = x[6:, 4:]
+                    x = x[8:, 5:]
                 elif kind == "turn":
                     x = np.rot90(x)
                 elif kind == "bright":
                     x = 0.8 * x + 20
                 elif kind == "corner":
-                    x[:14, :14] = 255
+                    x[:19, :19] = 255
+                elif kind == "scale":
+                    x = _resize(_blur(x), SCALES[1])
                 rows.append((str(i), encode(np.clip(np.rint(x), 0, 255)), kind))
             yield pd.DataFrame(rows, columns=["id", "image", "kind"])
 

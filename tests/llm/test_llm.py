@@ -1,6 +1,7 @@
 """The numbered operators against brute force and on odd rows."""
 
 import collections
+import functools
 import hashlib
 import re
 import zlib
@@ -531,7 +532,64 @@ def test_crowded_group_of_images(spark):
     images = media.paint(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     got = {x.id: x for x in media.near_copies(images).collect()}
     assert {got[i * 10].class_id for i in range(400)} == {0} and all(got[i * 10 + 3].n_links == 0 for i in range(20))
-    assert sum(x.n_links for x in got.values()) / 2 < 400 * 399 / 2 / 4
+    assert sum(x.n_links for x in got.values()) / 2 < 400 * 399 / 2 / 4  # classes are whole without all pairs
+
+
+def brute_links(found):
+    """Linked pairs of ids among corners {id: rows of (at, d0 to d3)}, by comparing all corners of all images."""
+    links = set()
+    for a in sorted(found):
+        for b in sorted(found):
+            if a >= b or not len(found[a]) or not len(found[b]):
+                continue
+            x, y = (np.array(found[i], np.int64) for i in (a, b))
+            bits = np.bitwise_count((x[:, None, 1:] ^ y[None, :, 1:]).view(np.uint64)).sum(2)
+            votes = {}
+            for i, j in zip(*np.nonzero(bits <= media.NEAR), strict=True):
+                (ya, xa, sa, ta), (yb, xb, sb, tb) = ((int(p) >> 40, int(p) >> 16 & 0xFFFFFF, int(p) >> 12 & 15, int(p) & 0xFFF) for p in (x[i, 0], y[j, 0]))
+                ya, xa, yb, xb, turn = ya / 4, xa / 4, yb / 4, xb / 4, (tb - ta) % 360
+                c, s, ratio = np.cos(np.radians(turn)), np.sin(np.radians(turn)), media.SCALES[1] ** (sa - sb)
+                dx, dy = xb - ratio * (c * xa - s * ya), yb - ratio * (s * xa + c * ya)
+                for u in (0, 1):
+                    for v in (0, 1):
+                        key = ((turn + media.TURN / 2) // media.TURN % (360 // media.TURN), sa - sb, np.floor(dx / 12 + u / 2), np.floor(dy / 12 + v / 2), u, v)
+                        votes.setdefault(key, set()).add((xa // 2, ya // 2))
+            if any(len(v) >= media.AGREE for v in votes.values()):
+                links.add((a, b))
+    return links
+
+
+def test_media_links_against_all_pairs_of_corners(spark):
+    """Of the links that comparing all corners gives, at least 0.9 are found, for each kind of copy, and no other."""
+    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").where("vec_id < 200 and vec_id % 10 in (6, 7)").select("vec_id", "embedding")
+    images = media.paint(v).collect()
+    found = {r.id: media.features(media.decode(r.image)) for r in images}
+    got = {(r.a, r.b) for r in media.consensus(media.matches(functools.reduce(lambda a, b: a.union(b), media.shared_keys(media.describe(media.paint(v)))))).collect()}
+    links = brute_links(found)
+    assert got <= links and len(got) >= 0.9 * len(links) and len(links) == 20
+
+
+def test_classes_of_crowded_keys(spark):
+    """Groups of near copies, and a corner shown by many others: with a bound of two corners a key and with none, the classes are the same."""
+    r = np.random.default_rng(3)
+    at = np.arange(64)
+    images = []
+    for g in range(5):
+        base = media.decode(media.paint(spark.createDataFrame([(g, r.normal(0, 0.125, 64).tolist())], "vec_id long, embedding array<double>")).first().image).astype(float)
+        for k in range(6):
+            x = base + r.normal(0, 1.5, base.shape)
+            x[:26, :26] = 40 + 170 * ((at[:26, None] // 6 + at[None, :26] // 6) % 2)  # a pattern in common
+            images.append((g * 10 + k, bytearray(media.encode(np.clip(np.rint(x), 0, 255)))))
+    t = spark.createDataFrame(images, "id long, image binary")
+    classes = [{x.id: x.class_id for x in media.near_copies(t, bucket=n).collect()} for n in (2, 10**9)]
+    assert classes[0] == classes[1] and len(classes[0]) == 30
+    corners = functools.reduce(lambda a, b: a.union(b), media.shared_keys(media.describe(t)))
+    label = t.select(F.col("id").alias("node"), F.col("id").alias("label"))
+    every = {tuple(x) for x in media.matches(corners, bucket=10**9).select("a_id", "a_at", "b_id", "b_at").collect()}
+    for block in (1, 3, 2048):
+        rest = {tuple(x) for x in media.matches_between(corners, label, bucket=2, block=block).select("a_id", "a_at", "b_id", "b_at").collect()}
+        few = {tuple(x) for x in media.matches(corners, bucket=2).select("a_id", "a_at", "b_id", "b_at").collect()}
+        assert rest | few == every
 
 
 def test_ngram_hashes():
