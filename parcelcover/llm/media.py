@@ -25,7 +25,7 @@ NEAR, AGREE, CELL = 24, 5, 6
 TABLES, SLICES = 8, 4
 #: Corners of one table key that are joined pair by pair at once; beyond, each meets so many hub images first, and in
 #: a second pass, in blocks of so many, those of other classes.
-BUCKET, HUBS, BLOCK = 24, 8, 2048
+BUCKET, HUBS, BLOCK = 24, 2, 2048
 TURN = 30
 
 _rng = np.random.default_rng(5)
@@ -152,12 +152,14 @@ def matches(rows: DataFrame, near: int = NEAR, bucket: int = BUCKET) -> DataFram
     """Pairs of corners of different images (a, b, a < b) that share a table key and differ in near bits or fewer.
 
     A key with over bucket corners belongs to a pattern, or a group of copies, that very many images show. Its
-    corners aren't joined pair by pair, which would give the square of the group: each meets the key's HUBS hub
-    images, the smallest ids of HUBS hash classes. Copies have their hubs in common, key after key, so they
-    link to the same few images, and over these to each other. matches_between does the rest.
+    corners aren't joined pair by pair, which would give the square of the group: each corner meets the HUBS hub
+    images of the most crowded of its keys, the smallest ids of HUBS hash classes. Copies have their hubs in common,
+    corner after corner, so they link to the same few images, and over these to each other. Its other crowded keys
+    would mostly show it the same hubs again; matches_between does the rest, whatever the hubs have found.
     """
     some, hot = rows.where(F.col("n") <= bucket), rows.where(F.col("n") > bucket)
     pairs = _side(some, "a").join(_side(some, "b"), "key").where((F.col("a_id") < F.col("b_id")) & _close(near))
+    hot = hot.groupBy("id", "at").agg(F.max(F.struct("n", "key", *_PARTS)).alias("most")).select("id", "at", "most.*")
     hubs = hot.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(HUBS)).alias("class")).agg(F.min(F.struct("id", "at", *_PARTS)).alias("h")).select("key", "h.*")
     star = _side(hubs, "a").join(_side(hot, "b"), "key").where((F.col("a_id") != F.col("b_id")) & _close(near))
     return _ordered(pairs.unionByName(star))
