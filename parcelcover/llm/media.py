@@ -175,6 +175,7 @@ def matches_between(rows: DataFrame, label: DataFrame, near: int = NEAR, bucket:
     that near the square.
     """
     hot = rows.where(F.col("n") > bucket).join(label, F.col("id") == F.col("node"), "left").select("key", "n", "id", "at", *_PARTS, F.coalesce("label", "id").alias("class"))
+    hot = materialize(hot, "crowded")
     size = hot.groupBy("key", "class").agg(F.count("*").alias("c"))
     most = size.groupBy("key").agg(F.max(F.struct("c", "class")).alias("most"), F.count("*").alias("classes")).where("classes > 1").select("key", F.col("most.class").alias("most"))
     hot = materialize(hot.join(most, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "crowded")
