@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import sys
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from parcelcover.llm.bpe import Bpe, byte_letters, public_path
 from parcelcover.plans.materialize import materialize, release
 
-#: A block ends at so many different pre-tokens, or bytes of them.
-ENTRIES, ENTRY_BYTES = 600_000, 32 << 20
+#: A block ends at so many different pre-tokens, or bytes of them; entries whose piece counts a task holds at a time.
+ENTRIES, ENTRY_BYTES, HELD = 600_000, 32 << 20, 1 << 20
 #: Fixed: how the vocabulary's file format splits a text where it says ``use_regex``. White space is Unicode's.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -97,14 +98,14 @@ def load(vocabulary: str) -> ByteBpe:
 
 
 def pack(places: np.ndarray, counts: np.ndarray) -> bytes:
-    """Ascending places as differences, and their counts, byte by byte of equal weight, which compresses well."""
+    """Ascending places as differences, and their counts, byte by byte of equal weight, compressed."""
     order = np.argsort(places)
     both = np.concatenate([np.diff(places[order], prepend=0), counts[order]]).astype("<u4").reshape(2, -1)
-    return both.view(np.uint8).reshape(2, -1, 4).transpose(0, 2, 1).tobytes()
+    return zlib.compress(both.view(np.uint8).reshape(2, -1, 4).transpose(0, 2, 1).tobytes(), 1)
 
 
 def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(packed, np.uint8).reshape(2, 4, -1)
+    planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(2, 4, -1)
     both = np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u4")[..., 0].astype(np.int64)
     return np.cumsum(both[0]), both[1]
 
@@ -158,20 +159,34 @@ def frequencies(docs: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def piece_counts(dictionary: DataFrame, vocabulary: str) -> DataFrame:
-    """(block, place, pieces) of a dictionary (block, place, pretoken). Equal pre-tokens of all blocks stand together in
-    one task, in order, so that each distinct one is split once; a block has each at most once."""
+    """(block, packed places and pieces) of a dictionary (block, place, pretoken). Equal pre-tokens of all blocks stand
+    together in one task, in order, so that each distinct one is split once; a block has each at most once. A task
+    gives a block's entries in one row for every HELD entries that it has read."""
+
+    def packed(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        block, place, pieces = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.argsort(block, kind="stable")
+        numbers, starts = np.unique(block[order], return_index=True)
+        rows = [pack(place[k], pieces[k]) for k in np.split(order, starts[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(rows, pa.binary())], names=["block", "packed"])
 
     def run(batches):
-        bpe, last, n = load(vocabulary), None, 0
+        bpe, last, n, found, held = load(vocabulary), None, 0, [], 0
         for x in batches:
             counts = []
             for t in x.column("pretoken").to_pylist():
                 if t != last:
                     last, n = t, bpe.pieces(t)
                 counts.append(n)
-            yield pa.RecordBatch.from_arrays([x.column("block"), x.column("place"), pa.array(counts, pa.int32())], names=["block", "place", "pieces"])
+            found.append((x.column("block").to_numpy(), x.column("place").to_numpy(), np.array(counts, np.int64)))
+            held += len(counts)
+            if held >= HELD:
+                yield packed(found)
+                found, held = [], 0
+        if held:
+            yield packed(found)
 
-    return dictionary.repartition("pretoken").sortWithinPartitions("pretoken").mapInArrow(run, "block long, place int, pieces int")
+    return dictionary.repartition("pretoken").sortWithinPartitions("pretoken").mapInArrow(run, "block long, packed binary")
 
 
 def token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit: int = 512) -> DataFrame:
@@ -186,9 +201,10 @@ def token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit:
     kept = table.where("pretoken is null").select("block", "doc_id", "n_bytes", "special", "packed")
 
     def total(block: pa.Table, counted: pa.Table) -> pa.Table:
-        place = counted.column("place").to_numpy()
-        weight = np.zeros(int(place.max()) + 1 if len(place) else 0, np.int64)
-        weight[place] = counted.column("pieces").to_numpy()
+        entries = [unpack(x.as_py()) for x in counted.column("packed")]
+        weight = np.zeros(max((int(at[-1]) + 1 for at, _ in entries), default=0), np.int64)
+        for at, pieces in entries:
+            weight[at] = pieces
         sums = []
         for packed, special in zip(block.column("packed"), block.column("special").to_pylist(), strict=True):
             at, count = unpack(packed.as_py())
