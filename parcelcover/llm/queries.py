@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelcover.llm import bpe, chat, html, langid, media, merkle, mixing, quality, simhash, substring, tokens, urls
+from parcelcover.llm import bpe, chat, html, langid, media, merkle, mixing, quality, simhash, substring, tokens, urls, whitening
 from parcelcover.plans.materialize import materialize
 
 #: Fixed rules of the URL query, and host names' labels whose pages make up its list of URLs.
@@ -69,10 +69,16 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents")).drop("source")
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """deviation as long: a table so large that it passes 64 bits is an error here."""
+    out = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup, op2_source_mixing, op3_html_extraction, op4_bpe, op5_media_copies, op6_quality_rules, op7_chat_formatting, op8_url_filters, op9_substring_dedup, op10_language_id,
-        op11_token_counts, op12_merkle_manifest,
+        op11_token_counts, op12_merkle_manifest, op13_embedding_whitening,
     )
 }

@@ -52,7 +52,7 @@ def test_small_blocks(spark, library, monkeypatch, entries):
 
 
 @pytest.mark.parametrize("held", [1, 1 << 20])
-def test_each_pretoken_is_split_once(spark, monkeypatch, held):
+def test_pieces_go_to_their_blocks(spark, monkeypatch, held):
     monkeypatch.setattr(tokens, "HELD", held)
     words = [" the", "xyzzyx", " a"]
     df = spark.createDataFrame([(k, p, t) for k in range(5) for p, t in enumerate(words)], "block long, place int, pretoken string")
