@@ -1,70 +1,96 @@
-"""Spatial joins on a grid, and clipping."""
+"""Spatial joins on a quadtree of grid cells, clipping, union and repair."""
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelcover.functions.geometry import GEOMETRY
-from parcelcover.operators.overlay import from_row, overlay, to_row
-from parcelcover.sources.bridge import rectangle
-
-#: Cell of the finest grid; each level's cells are 16 times as wide. A box spans 256 cells of its level at most.
-CELL, STEP, LEVELS, SPAN = 128.0, 16, 4, 16
+from parcelcover.operators.overlay import Flat, overlay_flat, to_arrow
+
+#: Cells of level 0; a level's cells are STEP times as wide as those below it. Levels above are for wide boxes, those
+#: below for crowded cells. Above, a box spans SPAN cells of its level at most; below, it fits into one.
+CELL, STEP, UP, DOWN, SPAN = 128.0, 4, 6, 3, 8
+#: A cell splits at more boxes than LIMIT, and than this share of all; so there are at most DOWN / SHARE split cells.
+LIMIT, SHARE = 2048, 1 / 65536
+#: Copies of a wide box, among which the many small boxes that meet it are dealt out.
+SALT = 16
 SLIVER = 0.001
+_BOX = ("minx", "miny", "maxx", "maxy")
+
 
+def _size(cell: float, level: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(cell * float(STEP) ** k) for k in range(-DOWN, UP + 1)]), (level + DOWN + 1).cast("int"))
 
-def _width(p: str) -> Column:
-    return F.greatest(F.col(f"{p}maxx") - F.col(f"{p}minx"), F.col(f"{p}maxy") - F.col(f"{p}miny"))
 
+def _own(cell: float, p: str) -> Column:
+    """The lowest level that a box may sink to."""
+    width = F.greatest(F.col(f"{p}maxx") - F.col(f"{p}minx"), F.col(f"{p}maxy") - F.col(f"{p}miny"))
+    step = lambda base: F.ceil(F.log(float(STEP), width / base))
+    return F.when(width <= cell / STEP, F.greatest(F.lit(-DOWN), step(cell))).otherwise(F.greatest(F.lit(0), F.least(F.lit(UP), step(cell * (SPAN - 1))))).cast("int")
 
-def _level(cell: float, p: str) -> Column:
-    """The finest grid in which the box spans SPAN cells a side at most."""
-    return sum((F.when(_width(p) > cell * STEP**k * (SPAN - 1), 1).otherwise(0) for k in range(LEVELS - 1)), F.lit(0))
 
+def tree(a: DataFrame, b: DataFrame, cell: float) -> tuple[Column, DataFrame]:
+    """(used, split) for boxes a_minx ... and b_minx ...: the levels that boxes may sink to, 0 among them, and the
+    crowded cells of level 0 (s_cx, s_cy), by a count of both sides' boxes that could sink further. Both are parts of
+    the plan, computed when the join is, from one pass over the boxes that sends a row a cell through the shuffle."""
+    boxes = a.select(*[F.col(f"a_{c}").alias(c) for c in _BOX]).unionByName(b.select(*[F.col(f"b_{c}").alias(c) for c in _BOX])).withColumn("own", _own(cell, ""))
+    counted = boxes.groupBy(F.floor(F.col("minx") / cell).alias("s_cx"), F.floor(F.col("miny") / cell).alias("s_cy")).agg(F.count_if(F.col("own") < 0).alias("small"), F.count("*").alias("n"), F.bit_or(F.expr(f"shiftleft(1, own + {DOWN})")).alias("owns"))
+    some = F.filter(F.sequence(F.lit(-DOWN), F.lit(UP)), lambda k: (k == 0) | (F.call_function("shiftright", F.col("owns"), k + DOWN).bitwiseAND(1) == 1))
+    facts = counted.agg(F.bit_or("owns").alias("owns"), F.sum("n").alias("rows")).select(F.struct(some.alias("used"), "rows")).scalar()
+    return facts["used"], counted.where(F.col("small") > F.greatest(F.lit(float(LIMIT)), facts["rows"] * SHARE)).select("s_cx", "s_cy", F.lit(True).alias("split"))
 
-def _cells(df: DataFrame, cell: float, p: str, levels: list[int]) -> DataFrame:
-    """df, once for each cell that its box touches in its own grid and in those of levels above it."""
-    df = df.withColumn(f"{p}own", _level(cell, p))
-    df = df.withColumn("level", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda k: k >= F.col(f"{p}own")))) if len(levels) > 1 else df.withColumn("level", F.lit(levels[0]))
-    size = F.lit(cell) * F.pow(F.lit(float(STEP)), F.col("level"))
-    span = lambda c: F.sequence(F.floor(F.col(f"{p}min{c}") / size), F.floor(F.col(f"{p}max{c}") / size))
-    return df.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
 
+def _dealt(df: DataFrame, used: Column, split: DataFrame, cell: float, p: str) -> DataFrame:
+    """df, once for each cell where it is met, with level, cx, cy and turn.
 
-def _levels(a: DataFrame, b: DataFrame, cell: float) -> list[int]:
-    """Grids that some box needs; at most LEVELS numbers reach the driver."""
-    own = [d.select(_level(cell, p).alias("level")) for d, p in ((a, "a_"), (b, "b_"))]
-    return sorted(r.level for r in own[0].unionByName(own[1]).distinct().collect()) or [0]
+    A box is resident in the cells of its own level if that is above 0, else in those of level 0 or, where these split,
+    of its own level below. In higher levels that some box stays in, up to the widest, it is a
+    visitor, who meets residents only. Turn 0 is for residents of both sides. Residents that may have visitors come once
+    more for each of SALT turns, of which a visitor has one: above 0 if a's are the residents.
+    """
+    sign, columns = (1 if p == "a_" else -1), df.columns
+    df = df.withColumns({"own": _own(cell, p), "used": used})
+    start = F.greatest(F.col("own"), F.lit(0))
+    df = df.withColumn("level", F.explode(F.slice("used", F.array_position("used", start).cast("int"), F.lit(UP + 1))))
+    for c in "xy":
+        df = df.withColumn(f"c{c}", F.explode(F.sequence(*[F.floor(F.col(f"{p}{m}{c}") / _size(cell, F.col("level"))) for m in ("min", "max")])))
+    here = (F.col("level") == 0) & (F.col("own") <= 0)
+    df = df.join(F.broadcast(split), here & (F.col("cx") == F.col("s_cx")) & (F.col("cy") == F.col("s_cy")), "left")
+    lowest = F.when(F.col("split"), F.col("own")).otherwise(F.col("level"))
+    df = df.withColumn("lowest", lowest).withColumn("sub", F.explode(F.sequence("lowest", "level"))).where("sub = lowest or array_contains(used, sub)")
+    for c in "xy":
+        low, high = (F.floor(F.col(f"{p}{m}{c}") / _size(cell, F.col("sub"))) for m in ("min", "max"))
+        within = F.element_at(F.array(*[F.lit(STEP**k).cast("long") for k in range(DOWN + 1)]), F.col("level") - F.col("sub") + 1)
+        df = df.withColumn(f"c{c}", F.explode(F.sequence(F.greatest(low, F.col(f"c{c}") * within), F.least(high, (F.col(f"c{c}") + 1) * within - 1))))
+    visits = (F.col("sub") > F.col("lowest")) | (F.col("level") > start)
+    visited = ~visits & ((F.col("sub") > 0) | F.col("split"))
+    one = -sign * (F.pmod(F.xxhash64(f"{p}minx", f"{p}miny", f"{p}maxx"), F.lit(SALT)).cast("int") + 1)
+    turns = F.sequence(F.when(visits, one).otherwise(0), F.when(visits, one).when(visited, sign * SALT).otherwise(0))
+    return df.withColumn("turn", F.explode(turns)).select(*columns, F.col("sub").alias("level"), "cx", "cy", "turn")
 
 
 def candidate_pairs(a: DataFrame, b: DataFrame, cell: float = CELL) -> DataFrame:
     """Pairs of rows whose boxes touch or overlap; a's columns as a_<name>, b's as b_<name>.
 
-    Both sides are dealt out to the cells of a grid, of several widths if some boxes are very wide. A pair meets
-    in the grid of the wider box, in the one cell that holds the corner (largest minimum x, largest minimum y),
-    so no pair comes twice, no side is sent to all, and a very wide box doesn't turn into thousands of small
-    cells. In a wide grid only boxes that belong there meet the others. Rows without a box pair with nothing.
+    Both sides are dealt out to the cells of a grid, whose crowded cells are split as in a quadtree and whose wide
+    boxes stay in wider cells. A pair meets in the one cell that holds the corner (largest minimum x, largest minimum
+    y), at the level of the one that stays higher, so no pair comes twice. Nothing is computed before the join itself
+    is: the counts that split cells are a part of its plan, and only these few cells, bounded by SHARE, are sent to
+    all. Rows without a box pair with nothing.
     """
-    a = a.select([F.col(f"`{c}`").alias(f"a_{c}") for c in a.columns]).where("a_minx is not null and a_miny is not null and a_maxx is not null and a_maxy is not null")
-    b = b.select([F.col(f"`{c}`").alias(f"b_{c}") for c in b.columns]).where("b_minx is not null and b_miny is not null and b_maxx is not null and b_maxy is not null")
-    levels = _levels(a, b, cell)
-    left, right, keys = _cells(a, cell, "a_", levels), _cells(b, cell, "b_", levels), ["cx", "cy"]
-    if len(levels) > 1:
-        # Key "way" is 1 where a's box belongs to the grid and 2 where only b's does; two passing boxes never meet.
-        keys += ["level", "way"]
-        left = left.withColumn("way", F.when(F.col("level") == F.col("a_own"), 1).otherwise(2))
-        both = F.when(F.col("level") == F.col("b_own"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
-        right = right.withColumn("way", F.explode(both))
-    else:
-        right = right.drop("level")
-    pairs = left.join(right, keys)
-    size = F.lit(cell) * F.pow(F.lit(float(STEP)), F.col("level"))
+    boxed = " and ".join(f"{{p}}{c} is not null" for c in _BOX)
+    a = a.select([F.col(f"`{c}`").alias(f"a_{c}") for c in a.columns]).where(boxed.format(p="a_"))
+    b = b.select([F.col(f"`{c}`").alias(f"b_{c}") for c in b.columns]).where(boxed.format(p="b_"))
+    used, split = tree(a, b, cell)
+    pairs = _dealt(a, used, split, cell, "a_").join(_dealt(b, used, split, cell, "b_"), ["level", "cx", "cy", "turn"])
+    size = _size(cell, F.col("level"))
     low = lambda c: F.greatest(F.col(f"a_min{c}"), F.col(f"b_min{c}"))
     touch = (F.col("a_minx") <= F.col("b_maxx")) & (F.col("b_minx") <= F.col("a_maxx")) & (F.col("a_miny") <= F.col("b_maxy")) & (F.col("b_miny") <= F.col("a_maxy"))
     here = (F.floor(low("x") / size) == F.col("cx")) & (F.floor(low("y") / size) == F.col("cy"))
-    return pairs.where(touch & here).drop("cx", "cy", "level", "way", "a_own", "b_own")
+    return pairs.where(touch & here).drop("level", "cx", "cy", "turn")
 
 
 def overlap() -> dict[str, Column]:
@@ -72,62 +98,95 @@ def overlap() -> dict[str, Column]:
     return {f: (F.greatest if f.startswith("min") else F.least)(f"a_{f}", f"b_{f}") for f in ("minx", "miny", "maxx", "maxy")}
 
 
-def intersections(pairs: DataFrame, geometry: bool = False) -> DataFrame:
+def _schema(df: DataFrame, columns: list[str], *more: str) -> str:
+    kinds = dict(df.dtypes)
+    return ", ".join([f"`{c}` {kinds[c]}" for c in columns] + list(more))
+
+
+def _with(batch: pa.RecordBatch, columns: list[str], more: dict[str, pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *more.values()], names=[*columns, *more])
+
+
+def intersections(pairs: DataFrame, geometry: bool = False, failures: bool = False) -> DataFrame:
     """pairs with area (m²) and, if asked for, geometry of the common part; pairs without one go.
 
-    Two rectangles are computed in closed form; only other pairs go through the numpy helper, in batches.
+    Pairs of rectangles (a_rect, b_rect) take the closed form, the others the sweep, many at one go. A pair of which a
+    geometry has null or infinite coordinates is no error: it is left out, or, with failures, stays with failed = true
+    and null area.
     """
-    o = overlap()
     keep = [c for c in pairs.columns if c not in ("a_geom", "b_geom")]
-    box = pairs.where("a_rect and b_rect").withColumn("area", F.greatest(o["maxx"] - o["minx"], F.lit(0.0)) * F.greatest(o["maxy"] - o["miny"], F.lit(0.0)))
-    box = box.select(*keep, "area", *[rectangle(o["minx"], o["miny"], o["maxx"], o["maxy"]).alias("geometry")] * geometry)
-    general = pairs.where("not (a_rect and b_rect)")
 
     def run(batches):
         for x in batches:
-            found = [overlay(from_row(p), from_row(q), "and") for p, q in zip(x.a_geom, x.b_geom, strict=True)]
-            x = x[keep].assign(area=[f[0] for f in found])
-            yield x.assign(geometry=[to_row(f[1]) for f in found]) if geometry else x
-
-    kinds = dict(pairs.dtypes)
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["area double"] + [f"geometry {GEOMETRY}"] * geometry)
-    return box.unionByName(general.mapInPandas(run, schema)).where("area > 0")
-
-
-def clip(parcels: DataFrame, features: DataFrame, cell: float = CELL, sliver: float = SLIVER, geometry: bool = False, boxes: bool = False) -> DataFrame:
+            box = {k: x.column(k).to_numpy(zero_copy_only=False) for k in (f"{s}_{c}" for s in "ab" for c in _BOX)}
+            x0, y0, x1, y1 = np.maximum(box["a_minx"], box["b_minx"]), np.maximum(box["a_miny"], box["b_miny"]), np.minimum(box["a_maxx"], box["b_maxx"]), np.minimum(box["a_maxy"], box["b_maxy"])
+            area = np.maximum(x1 - x0, 0) * np.maximum(y1 - y0, 0)
+            plain = x.column("a_rect").to_numpy(zero_copy_only=False).astype(bool) & x.column("b_rect").to_numpy(zero_copy_only=False).astype(bool)
+            rest = np.flatnonzero(~plain)
+            a, b = (Flat(x.column(f"{s}_geom").take(pa.array(rest))) for s in "ab")
+            area[rest], found = overlay_flat(a, b, "and", geometry)
+            more = {"area": pa.array(area, mask=np.isnan(area)), "failed": pa.array(np.isnan(area))}
+            if geometry:
+                shapes: list = [[[[(p, q), (r, q), (r, s), (p, s), (p, q)]]] for p, q, r, s in zip(x0.tolist(), y0.tolist(), x1.tolist(), y1.tolist(), strict=True)]
+                for k, g in zip(rest.tolist(), found, strict=True):
+                    shapes[k] = g
+                more["geometry"] = to_arrow(shapes)
+            yield _with(x, keep, more)
+
+    out = pairs.mapInArrow(run, _schema(pairs, keep, "area double", "failed boolean", *[f"geometry {GEOMETRY}"] * geometry))
+    return out.where("area > 0 or failed") if failures else out.where("area > 0").drop("failed")
+
+
+def clip(parcels: DataFrame, features: DataFrame, cell: float = CELL, sliver: float = SLIVER, geometry: bool = False, boxes: bool = False, failures: bool = False) -> DataFrame:
     """One row for each parcel and feature that overlap in sliver m² or more: a_ and b_ columns, area.
 
-    boxes: both layers hold rectangles only, so no geometry is carried through the join.
+    boxes: both layers hold rectangles only, so no geometry is carried through the join. failures as in intersections.
     """
     if not boxes or geometry:
-        return intersections(candidate_pairs(parcels, features, cell), geometry).where(F.col("area") >= sliver)
+        out = intersections(candidate_pairs(parcels, features, cell), geometry, failures)
+        return out.where((F.col("area") >= sliver) | F.col("failed")) if failures else out.where(F.col("area") >= sliver)
     o = overlap()
     area = F.greatest(o["maxx"] - o["minx"], F.lit(0.0)) * F.greatest(o["maxy"] - o["miny"], F.lit(0.0))
     return candidate_pairs(parcels.drop("geom", "rect"), features.drop("geom", "rect"), cell).withColumn("area", area).where(F.col("area") >= sliver)
 
 
+def skipped(pieces: DataFrame, key: str = "a_egrid") -> DataFrame:
+    """(key, skipped): how many features of each parcel couldn't be clipped, from a clip with failures."""
+    return pieces.groupBy(key).agg(F.count_if("failed").alias("skipped"))
+
+
+def shapes(df: DataFrame, geom: str, op: str = "or", other: str | None = None, out: str = "geom", area: str | None = "area") -> DataFrame:
+    """df with out, the result of "or" (repair: rings that neither cross nor touch themselves, parts united), "and" or
+    "minus" with the geometry in other, and its area; both null where a geometry is null or has bad coordinates."""
+    keep = [c for c in df.columns if c not in (out, area)]
+
+    def run(batches):
+        for x in batches:
+            sides = [x.column(c) for c in (geom, other) if c]
+            none = np.any([s.is_null().to_numpy(zero_copy_only=False) for s in sides], axis=0)
+            areas, found = overlay_flat(*[Flat(s) for s in sides], *[None] * (2 - len(sides)), op, True)
+            none |= np.isnan(areas)
+            more = {out: to_arrow([None if bad else g for g, bad in zip(found, none, strict=True)])}
+            yield _with(x, keep, more | ({area: pa.array(areas, mask=none)} if area else {}))
+
+    return df.mapInArrow(run, _schema(df, keep, f"`{out}` {GEOMETRY}", *[f"`{area}` double"] * bool(area)))
+
+
 def union_parts(df: DataFrame, key: str) -> DataFrame:
-    """(key, geom, area): the union of all geometries of a key, overlaps counted once. Keys with one geometry of
-    one part stay as they are; a key's geometries are those of one parcel, few by nature."""
+    """(key, geom, area): the union of all geometries of a key as polygons with holes, overlaps counted once, common
+    borders gone. A key's geometries are those of one parcel, few by nature; their parts are gathered, then united in
+    one sweep. Null geometries add nothing; an empty union is null."""
+    parts = df.groupBy(key).agg(F.flatten(F.collect_list("geom")).alias("geom"))
+    empty = F.size("geom") == 0
+    return shapes(parts, "geom").withColumns({"geom": F.when(~empty, F.col("geom")), "area": F.when(~empty, F.col("area"))})
 
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        rings: list = []
-        for g in x.geom:
-            for polygon in from_row(g):
-                _, rings = overlay(rings, [polygon], "or")
-        area = sum(overlay([r], [], "or")[0] for r in rings)
-        return pd.DataFrame({key: [x[key].iloc[0]], "geom": [to_row(rings)], "area": [area]})
 
-    kind = dict(df.dtypes)[key]
-    return df.select(key, "geom").groupBy(key).applyInPandas(run, f"`{key}` {kind}, geom {GEOMETRY}, area double")
+def clean(df: DataFrame, key: str, sliver: float = SLIVER) -> DataFrame:
+    """(key, geom, parcel_area_m2): geometries of a key united and repaired; keys whose union is empty, broken or under
+    sliver m² go."""
+    return union_parts(df, key).withColumnRenamed("area", "parcel_area_m2").where(F.col("parcel_area_m2") >= sliver)
 
 
 def difference(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     """df with out: the part of geometry a outside geometry b."""
-
-    def run(batches):
-        for x in batches:
-            yield x.assign(**{out: [to_row(overlay(from_row(p), from_row(q), "minus")[1]) for p, q in zip(x[a], x[b], strict=True)]})
-
-    schema = ", ".join([f"`{c}` {t}" for c, t in df.dtypes] + [f"`{out}` {GEOMETRY}"])
-    return df.mapInPandas(run, schema)
+    return shapes(df, a, "minus", b, out, None)

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from parcelcover.functions import dims
 from parcelcover.functions.scalars import area_key, code_at_level, label_at_level, round2
 from parcelcover.operators import survey as S
-from parcelcover.operators.spatial import clip
+from parcelcover.operators.spatial import clean, clip, intersections, shapes, skipped, union_parts
 from parcelcover.registry import query
-from parcelcover.sources.bridge import UNKNOWN_ART, bridge
+from parcelcover.sources.bridge import COMMON as _COMMON, TOUCH as _TOUCH, UNKNOWN_ART, bridge
 
 KPI_SQL = ", ".join(
     f"coalesce(sum(case when {test} then area end), 0e0) {name}"
@@ -119,6 +119,30 @@ def _(spark, sf):
     return pieces(spark, sf)
 
 
+@query("j4_clip_shapes", "select egrid, fid, art, area from o_shape_pieces")
+def _(spark, sf):
+    """Parts, holes and triangles, merged parcels summed; broken features are left out."""
+    c = clip(_parcel_shapes(spark, sf), bridge(spark, sf, "b_shapes").drop("kind"))
+    return c.groupBy(F.col("a_egrid").alias("egrid"), F.col("b_fid").alias("fid"), F.col("b_art").alias("art")).agg(F.sum("area").alias("area"))
+
+
+@query("j4_skipped_shapes", f"select p.egrid, count(*) filter (kind = 5) skipped, case when count(*) filter (kind = 5) > 0 then cast(count(*) filter (kind = 5) as varchar) || '_skipped' else 'ok' end check_geom from b_parcels p join (select * from b_shapes) f on {_TOUCH} left join o_shape_pieces o on o.egrid = p.egrid and o.fid = f.fid where kind = 5 or o.area is not null group by 1")
+def _(spark, sf):
+    n = skipped(clip(_parcel_shapes(spark, sf), bridge(spark, sf, "b_shapes").drop("kind"), failures=True)).withColumnRenamed("a_egrid", "egrid")
+    flag = S.check_flags(F.lit(0), 1, F.col("skipped"), F.lit(0), F.lit(False), F.lit(False), F.lit(False))["check_geom"]
+    return n.withColumn("check_geom", flag)
+
+
+def _parcel_shapes(spark: SparkSession, sf: str) -> DataFrame:
+    return bridge(spark, sf, "b_parcels").select("egrid", "fid", "minx", "miny", "maxx", "maxy", "geom", "rect")
+
+
+@query("j5_intersect_shapes", f"select egrid, fid, bauzone, sum(floor(area * 100 + 0.5) / 100) area from (select p.egrid, p.fid part, f.fid, f.bauzone, sum(sign * {_COMMON}) area from b_parcels p join o_zone_boxes f on {_TOUCH} group by 1, 2, 3, 4) where area >= 0.001 group by 1, 2, 3")
+def _(spark, sf):
+    c = clip(_parcel_shapes(spark, sf), bridge(spark, sf, "b_zone_shapes").drop("kind"))
+    return c.groupBy(F.col("a_egrid").alias("egrid"), F.col("b_fid").alias("fid"), F.col("b_bauzone").alias("bauzone")).agg(F.sum(round2(F.col("area"))).alias("area"))
+
+
 @query("j5_intersect_layer", "select egrid, fid, bauzone, bauzone_code, area from o_zones")
 def _(spark, sf):
     return zones(spark, sf)
@@ -159,6 +183,25 @@ def _(spark, sf):
     return j.groupBy("egrid", "fid", "typoch").agg(F.sum(side("x") * side("y")).alias("area")).where("area >= 0.001")
 
 
+_TRIPLE = " * ".join(f"greatest(0e0, least(p.max{c}, l.max{c}, h.max{c}) - greatest(p.min{c}, l.min{c}, h.min{c}))" for c in "xy")
+
+
+@query("j7_intersect_green_shapes", f"""select egrid, fid, bauzone, sum(area) area from (select p.egrid, p.fid part, l.fid, h.fid zone, h.bauzone, sum(l.sign * h.sign * {_TRIPLE}) area from b_parcels p
+    join o_shape_boxes l on p.minx <= l.maxx and l.minx <= p.maxx and p.miny <= l.maxy and l.miny <= p.maxy join o_art a on a.art = l.art and greenspace <> 'Not green space'
+    join o_zone_boxes h on h.minx <= p.maxx and p.minx <= h.maxx and h.miny <= p.maxy and p.miny <= h.maxy group by 1, 2, 3, 4, 5) where area > 0 group by 1, 2, 3""")
+def _(spark, sf):
+    """Green pieces with their geometry against the zones' pieces of the same parcel, holes and all."""
+    parcels = _parcel_shapes(spark, sf)
+    box = [F.expr(f"{f}(flatten(flatten(geometry)).{c})").alias(n) for n, f, c in (("minx", "array_min", "x"), ("miny", "array_min", "y"), ("maxx", "array_max", "x"), ("maxy", "array_max", "y"))]
+    own = lambda layer, where, extra: clip(parcels, bridge(spark, sf, layer).where(where).drop("kind"), sliver=0.0, geometry=True).select("a_egrid", F.col("a_fid").alias("part"), *[F.col(f"b_{c}").alias(c) for c in extra], *box, F.col("geometry").alias("geom"), F.lit(False).alias("rect"))
+    green = S.classify(own("b_shapes", "kind < 4", ["fid", "art"])).where(F.col("greenspace") != dims.NOT_GREEN)
+    zone = own("b_zone_shapes", "true", ["bauzone"])
+    side = lambda d, p: d.select([F.col(c).alias(f"{p}_{c}") for c in d.columns])
+    j = side(green, "a").join(side(zone, "b"), (F.col("a_a_egrid") == F.col("b_a_egrid")) & (F.col("a_part") == F.col("b_part")))
+    j = j.where("a_minx < b_maxx and b_minx < a_maxx and a_miny < b_maxy and b_miny < a_maxy")
+    return intersections(j).groupBy(F.col("a_a_egrid").alias("egrid"), F.col("a_fid").alias("fid"), F.col("b_bauzone").alias("bauzone")).agg(F.sum("area").alias("area"))
+
+
 @query("j8_classify_join", "select egrid, fid, art, sia416, din277, greenspace, sealed, vbs_kat, vbs_produktiv, vbs_typ from o_classed")
 def _(spark, sf):
     return S.classify(pieces(spark, sf)).drop("area", "bfsnr", "gwr_egid")
@@ -178,6 +221,28 @@ def _(spark, sf):
     return S.overlap_check(bridge(spark, sf, "b_zones").select("fid", "minx", "miny", "maxx", "maxy"), lambda a, b: clip(a, b, boxes=True))
 
 
+@query("j15_overlap_shapes", f"""select f.fid, coalesce(overlap_count, 0) overlap_count, coalesce(overlap_with_fids, '') overlap_with_fids, coalesce(total, 0e0) overlap_total_area_m2, case when overlap_count > 0 then 'yes' else 'no' end has_overlap
+    from b_zone_shapes f left join (select x, count(*) overlap_count, string_agg(cast(y as varchar), ',' order by cast(y as varchar)) overlap_with_fids, round(sum(area), 4) total from (
+        select p.fid x, f.fid y, sum(p.sign * f.sign * {_COMMON}) area from o_zone_boxes p join o_zone_boxes f on {_TOUCH} where p.fid <> f.fid group by 1, 2) where area >= 1 group by 1) on x = f.fid""")
+def _(spark, sf):
+    return S.overlap_check(bridge(spark, sf, "b_zone_shapes").select("fid", "minx", "miny", "maxx", "maxy", "geom", "rect"), clip)
+
+
+@query("a1_dissolve_geometry", """select egrid, case when kind = 3 then 384 + 20 * (max(flaeche) % 2) else max(a) end parcel_area_m2, any_value(nummer) nummer, count(*) parts, 'merged' check_egrid,
+    case kind when 2 then 2 else 1 end polygons, case kind when 0 then 1 when 3 then 1 else 2 end rings, case kind when 0 then 7 when 3 then 9 else 10 end points
+    from (select *, sum((maxx - minx) * (maxy - miny)) over (partition by egrid) a from b_parts) group by egrid, kind""")
+def _(spark, sf):
+    p = bridge(spark, sf, "b_parts")
+    g = union_parts(p, "egrid").select(F.col("egrid").alias("e"), F.col("area").alias("parcel_area_m2"), F.size("geom").alias("polygons"), F.size(F.flatten("geom")).alias("rings"), F.size(F.flatten(F.flatten("geom"))).alias("points"))
+    return S.dissolve(p).join(g, F.col("egrid") == F.col("e")).select("egrid", "parcel_area_m2", "nummer", "parts", "check_egrid", "polygons", "rings", "points")
+
+
+@query("a2_clean_shapes", "select distinct fid, case kind when 0 then b when 1 then b * 0.75 when 2 then b * 0.75 when 3 then b * 0.5 else b * 0.5 end parcel_area_m2, case kind when 3 then 2 else 1 end polygons from (select *, (maxx - minx) * (maxy - miny) b from b_shapes) where kind <> 5")
+def _(spark, sf):
+    """Every feature repaired by itself; broken ones go."""
+    return clean(bridge(spark, sf, "b_shapes"), "fid").select("fid", "parcel_area_m2", F.size("geom").alias("polygons"))
+
+
 @query("a1_dissolve_parcels", "select egrid, nummer, bfsnr, flaeche, parts, check_egrid, minx, miny, maxx, maxy from o_parcels")
 def _(spark, sf):
     return S.dissolve(bridge(spark, sf, "b_parcels"))

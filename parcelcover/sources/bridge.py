@@ -58,6 +58,29 @@ BRIDGES: dict[str, str] = {
                case when event_id % 53 = 0 then null else cast((event_id * 31 + user_id) % 256 as int) end nir from events""",
 }
 
+#: Layers of other shapes than boxes. kind: 0 the box, 1 an L (the box without its upper right quarter), 2 a frame (with a
+#: hole of half its width and height), 3 two parts (its outer quarters), 4 a right triangle, 5 broken (a null coordinate).
+BRIDGES["b_shapes"] = f"""
+        select fid, art, kind, minx, miny, case when kind = 4 then minx + least(w, h) else minx + w end maxx, case when kind = 4 then miny + least(w, h) else miny + h end maxy
+        from (select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) fid, {ART} art, case when l_orderkey % 89 = 0 then 5 else l_orderkey % 5 end kind, {_at(X, 'l_partkey')} + (l_orderkey % 24) * 2 - 4 minx,
+              {_at(Y, 'l_partkey')} + l_linenumber * 6 - 8 miny, 4 + floor(l_quantity / 2) * 4e0 w, 4 + (l_suppkey % 3) * 4e0 h from lineitem) s"""
+BRIDGES["b_zone_shapes"] = f"""
+        select fid, bauzone, kind, minx, miny, minx + w maxx, miny + h maxy
+        from (select o_orderkey fid, {_pick("cast(substr(o_orderpriority, 1, 1) as int) - 1", ZONE_NAMES)} bauzone, o_orderkey % 4 kind, {_at(X, 'k')} + (o_orderkey % 7) * 3 minx, {_at(Y, 'k')} + (o_orderkey % 5) * 4 miny,
+              8 + (o_custkey % 4) * 4e0 w, 4 + (o_custkey % 6) * 4e0 h from (select *, o_orderkey % (select count(*) from part) k from orders) o) s"""
+
+
+def _parts() -> str:
+    """Boxes of a parcel in several parts, from its corner: they touch, enclose a hole, lie apart or overlap."""
+    boxes = {0: [(0, 0, 16, 8), (0, 8, 8, 16)], 1: [(0, 0, 24, 8), (0, 16, 24, 24), (0, 8, 8, 16), (16, 8, 24, 16)], 2: [(0, 0, 8, 8), (12, 0, 20, 8)], 3: [(0, 0, 16, 12), (8, 4, 24, 20)]}
+    return " union all ".join(f"select {k} kind, {i} i, {a} x0, {b} y0, {c} x1, {d} y1" for k, all_ in boxes.items() for i, (a, b, c, d) in enumerate(all_))
+
+
+BRIDGES["b_parts"] = f"""
+        select 'CH' || lpad(cast(p_partkey as string), 12, '0') egrid, 8 * p_partkey + i fid, case when i > 0 then cast(p_partkey as string) end nummer, kind, p_partkey % 25 bfsnr, cast(p_size as int) flaeche,
+               {_at(X, 'p_partkey')} + x0 minx, {_at(Y, 'p_partkey')} + y0 miny, {_at(X, 'p_partkey')} + x1 + case when kind = 3 then p_size % 2 else 0 end maxx, {_at(Y, 'p_partkey')} + y1 maxy
+        from part join ({_parts()}) b on b.kind = p_partkey % 4"""
+
 
 def _facts() -> str:
     """A portfolio's long facts: parcel, type, area."""
@@ -118,6 +141,8 @@ def bridge(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = BRIDGES[name]
     used = {t: table(spark, sf_dir, t) for t in TABLES if re.search(rf"\b{t}\b", sql)}
     df = spark.sql(re.sub(rf"\b({'|'.join(used)})\b", r"{\1}", sql), **used)
+    if "kind" in df.columns and name != "b_parts":
+        return df.withColumn("geom", _shape()).withColumn("rect", F.col("kind") == 0)
     if "minx" in df.columns:
         box = F.when(F.col("minx").isNotNull(), rectangle(F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy")))
         df = df.withColumn("geom", box).withColumn("rect", F.lit(True))
@@ -130,22 +155,56 @@ def rectangle(x0, y0, x1, y1):
     return F.array(F.array(F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in corners])))
 
 
+def _ring(*points):
+    return F.array(*[F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in [*points, points[0]]])
+
+
+def _shape():
+    """The geometry of a row of b_shapes or b_zone_shapes."""
+    x0, y0, x1, y1 = (F.col(c) for c in ("minx", "miny", "maxx", "maxy"))
+    w, h = x1 - x0, y1 - y0
+    box = lambda a, b, c, d: _ring((a, b), (c, b), (c, d), (a, d))
+    none = F.lit(None).cast("double")
+    kinds = {
+        1: F.array(F.array(_ring((x0, y0), (x1, y0), (x1, y0 + h / 2), (x0 + w / 2, y0 + h / 2), (x0 + w / 2, y1), (x0, y1)))),
+        2: F.array(F.array(box(x0, y0, x1, y1), box(x0 + w / 4, y0 + h / 4, x1 - w / 4, y1 - h / 4))),
+        3: F.array(F.array(box(x0, y0, x0 + w / 4, y1)), F.array(box(x1 - w / 4, y0, x1, y1))),
+        4: F.array(F.array(_ring((x0, y0), (x1, y0), (x0, y1)))),
+        5: F.array(F.array(_ring((x0, y0), (x1, none), (x1, y1)))),
+    }
+    out = F.array(F.array(box(x0, y0, x1, y1)))
+    for k, g in kinds.items():
+        out = F.when(F.col("kind") == k, g).otherwise(out)
+    return out
+
+
 def _values(rows: list[tuple]) -> str:
     show = lambda v: "null" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int | float) else f"'{v}'"
     return ", ".join(f"({', '.join(map(show, r))})" for r in rows)
 
 
-_COMMON = "greatest(0e0, least(p.maxx, f.maxx) - greatest(p.minx, f.minx)) * greatest(0e0, least(p.maxy, f.maxy) - greatest(p.miny, f.miny))"
-_TOUCH = "p.minx <= f.maxx and f.minx <= p.maxx and p.miny <= f.maxy and f.miny <= p.maxy"
+COMMON = "greatest(0e0, least(p.maxx, f.maxx) - greatest(p.minx, f.minx)) * greatest(0e0, least(p.maxy, f.maxy) - greatest(p.miny, f.miny))"
+TOUCH = "p.minx <= f.maxx and f.minx <= p.maxx and p.miny <= f.maxy and f.miny <= p.maxy"
 #: For the SQL side only: what several queries share.
 SHARED: dict[str, str] = {
     "o_art": f"select * from (values {_values([dims.art_row(a) for a in dims.ARTS])}) t(art, maingroup, sia416, din277, greenspace, sealed, vbs_kat, vbs_produktiv, vbs_typ)",
     "o_parcels": """select egrid, arg_min(nummer, fid) filter (nummer is not null) nummer, arg_min(bfsnr, fid) bfsnr, arg_min(flaeche, fid) flaeche, count(*) parts, case when count(*) > 1 then 'merged' else 'found' end check_egrid,
         min(minx) minx, min(miny) miny, max(maxx) maxx, max(maxy) maxy, sum((maxx - minx) * (maxy - miny)) parcel_area_m2 from b_parcels group by 1""",
-    "o_pieces": f"select * from (select p.egrid, f.fid, f.art, f.bfsnr, f.gwr_egid, sum({_COMMON}) area from b_parcels p join b_landcover f on {_TOUCH} where {_COMMON} >= 0.001 group by 1, 2, 3, 4, 5)",
-    "o_zones": f"select p.egrid, f.fid, f.bauzone, f.bauzone_code, sum(floor({_COMMON} * 100 + 0.5) / 100) area from b_parcels p join b_zones f on {_TOUCH} where {_COMMON} >= 0.001 group by 1, 2, 3, 4",
-    "o_habitat": f"select p.egrid, f.fid, f.typoch, sum(floor({_COMMON} * 100 + 0.5) / 100) area from b_parcels p join b_habitat f on {_TOUCH} where f.minx is not null and {_COMMON} >= 0.001 group by 1, 2, 3",
+    "o_pieces": f"select * from (select p.egrid, f.fid, f.art, f.bfsnr, f.gwr_egid, sum({COMMON}) area from b_parcels p join b_landcover f on {TOUCH} where {COMMON} >= 0.001 group by 1, 2, 3, 4, 5)",
+    "o_zones": f"select p.egrid, f.fid, f.bauzone, f.bauzone_code, sum(floor({COMMON} * 100 + 0.5) / 100) area from b_parcels p join b_zones f on {TOUCH} where {COMMON} >= 0.001 group by 1, 2, 3, 4",
+    "o_habitat": f"select p.egrid, f.fid, f.typoch, sum(floor({COMMON} * 100 + 0.5) / 100) area from b_parcels p join b_habitat f on {TOUCH} where f.minx is not null and {COMMON} >= 0.001 group by 1, 2, 3",
 }
+_COMPONENTS = """select fid, {extra}1 sign, minx, miny, maxx, maxy from {t} where kind in (0, 1, 2) union all select fid, {extra}-1, minx + (maxx - minx) / 2, miny + (maxy - miny) / 2, maxx, maxy from {t} where kind = 1
+        union all select fid, {extra}-1, minx + (maxx - minx) / 4, miny + (maxy - miny) / 4, maxx - (maxx - minx) / 4, maxy - (maxy - miny) / 4 from {t} where kind = 2
+        union all select fid, {extra}1, minx, miny, minx + (maxx - minx) / 4, maxy from {t} where kind = 3 union all select fid, {extra}1, maxx - (maxx - minx) / 4, miny, maxx, maxy from {t} where kind = 3"""
+#: Shapes of right angles as boxes to add and to take away; a triangle's share of a box is a sum over its corners.
+SHARED["o_shape_boxes"] = _COMPONENTS.format(t="b_shapes", extra="art, ")
+SHARED["o_zone_boxes"] = _COMPONENTS.format(t="b_zone_shapes", extra="bauzone, ")
+_CORNER = lambda u, v: f"pow(greatest(0e0, f.maxx - f.minx - greatest(0e0, {u} - f.minx) - greatest(0e0, {v} - f.miny)), 2) / 2"
+SHARED["o_shape_pieces"] = f"""select * from (select egrid, fid, art, sum(area) area from (
+        select p.egrid, p.fid part, f.fid, f.art, sum(sign * {COMMON}) area from b_parcels p join o_shape_boxes f on {TOUCH} group by 1, 2, 3, 4
+        union all select p.egrid, p.fid, f.fid, f.art, {_CORNER('p.minx', 'p.miny')} - {_CORNER('p.maxx', 'p.miny')} - {_CORNER('p.minx', 'p.maxy')} + {_CORNER('p.maxx', 'p.maxy')} from b_parcels p join b_shapes f on f.kind = 4 and {TOUCH})
+        where area >= 0.001 group by 1, 2, 3)"""
 SHARED["o_classed"] = """select egrid, fid, p.art, area, coalesce(sia416, 'UUF') sia416, coalesce(din277, 'UF') din277, coalesce(greenspace, 'Not green space') greenspace, coalesce(sealed, false) sealed,
     coalesce(vbs_kat, 'kat_d') vbs_kat, coalesce(vbs_produktiv, 'unproduktiv') vbs_produktiv, vbs_typ from o_pieces p left join o_art a on a.art = p.art"""
 
