@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelcover.functions.scalars import parse_area
+from parcelcover.sources.ranges import numbered_lines
 
 
 def route_rows(df: DataFrame, country: str, key: str) -> DataFrame:
@@ -55,6 +56,41 @@ def upload_report(lines: DataFrame, order: str = "pos") -> DataFrame:
     return d.select(order, F.concat_ws("/", "BuKr", "WE", "Grundstk").alias("id"), F.col("`E-GRID`").alias("egrid"), *[F.col(f"`{c}`") for c in rest])
 
 
+def _by_name(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """(file, pos, a column for each name of any file's header): rows (file, pos, cells) under their own file's header
+    (of, names). The names, a few for each file, come to the driver."""
+    names = [r.name for r in heads.select(F.posexplode("names").alias("at", "name")).groupBy("name").agg(F.min("at").alias("at")).orderBy("at", "name").collect()]
+    d = rows.join(heads, F.col("file") == F.col("of"))
+    cell = lambda n: F.when(F.array_contains("names", n), F.coalesce(F.get("cells", F.array_position("names", n) - 1), F.lit("")))
+    return d.select("file", "pos", *[cell(n).alias(n) for n in names if n])
+
+
+def _heads(rows: DataFrame) -> DataFrame:
+    """(of, names): the first row of each file."""
+    return rows.groupBy(F.col("file").alias("of")).agg(F.min_by("cells", "pos").alias("names"))
+
+
+def read_list_report(spark: SparkSession, path: str) -> DataFrame:
+    """list_report() of text files: file, pos (the line in it) and the columns of all files' headers, null where a file has
+    no such column. Files without a table give no rows."""
+    d = split_cells(numbered_lines(spark, path))
+    heads = _heads(d)
+    return _by_name(d.join(heads, F.col("file") == F.col("of")).where(F.col("cells") != F.col("names")).drop("of", "names"), heads)
+
+
+def read_upload_report(spark: SparkSession, path: str) -> DataFrame:
+    """upload_report() of text files, with file and pos; a file's columns are named by its own header."""
+    d = numbered_lines(spark, path).where(F.col("line").rlike(r"^\|\s*(BuKr|\d)"))
+    d = d.withColumn("cells", F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c)))
+    heads = _heads(d.where(F.col("line").rlike(r"^\|\s*BuKr")))
+    data = d.where(F.col("line").rlike(r"^\|\s*\d")).join(heads, F.col("file") == F.col("of")).where(F.size("cells") >= F.size("names")).drop("of", "names")
+    out = _by_name(data, heads)
+    keys = ["BuKr", "WE", "Grundstk"]
+    have = [F.coalesce(F.col(k), F.lit("")) if k in out.columns else F.lit("") for k in keys]
+    rest = [c for c in out.columns if c not in (*keys, "E-GRID", "file", "pos")]
+    return out.select("file", "pos", F.concat_ws("/", *have).alias("id"), (F.col("`E-GRID`") if "E-GRID" in out.columns else F.lit(None).cast("string")).alias("egrid"), *[F.col(f"`{c}`") for c in rest])
+
+
 def parcel_measurements(measures: DataFrame) -> DataFrame:
     """The parcel areas among measurements: ident, GSF_m2; the first of each ident in order."""
     m = measures.where((F.col("kind") == "Grundstück") & (F.col("measure") == "GSF Grundstückfläche"))

@@ -37,6 +37,19 @@ def _(spark, sf):
     return overlays.select(F.col("id").alias("fid"), "layer", "art", F.col("area_m2").alias("area"))
 
 
+@query("s7_read_collection", "select cast(fid as varchar) fid, 'bauzonen' layer, bauzone_code art, (maxx - minx) * (maxy - miny) area from b_zones")
+def _(spark, sf):
+    """Collections of a few hundred features over many lines, with a member before and after them."""
+    path = _scratch(spark, "collections")
+    z = bridge(spark, sf, "b_zones").select(F.col("fid").cast("string").alias("id"), "bauzone_code", ((F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny"))).alias("area_m2"), "geom")
+    f = files.feature(z, "bauzonen", "geom")
+    groups = f.groupBy(F.pmod(F.xxhash64("json"), F.lit(64)), F.pmod(F.xxhash64(F.reverse("json")), F.greatest(F.lit(1), F.lit(z.count() // 20_000)))).agg(F.array_join(F.collect_list("json"), ",\n  ").alias("all"))
+    text = F.concat(F.lit('{"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "EPSG:2056"}},\n "features": [\n  '), "all", F.lit('\n ], "note": "}"}'))
+    groups.select(text.alias("value")).write.text(path)
+    _, overlays = files.split_layers(files.read_collection(spark, path))
+    return overlays.select(F.col("id").alias("fid"), "layer", "art", F.col("area_m2").alias("area"))
+
+
 _FEATURE = """'{"type":"Feature","geometry":null,"properties":{"layer":"' ||"""
 
 

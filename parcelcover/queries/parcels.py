@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,9 @@ from parcelcover.functions import dims
 from parcelcover.functions.scalars import area_key, code_at_level, label_at_level, round2
 from parcelcover.operators import survey as S
 from parcelcover.operators.spatial import clean, clip, intersections, shapes, skipped, union_parts
+from parcelcover.plans.materialize import shared_dir
 from parcelcover.registry import query
+from parcelcover.sources import store
 from parcelcover.sources.bridge import COMMON as _COMMON, TOUCH as _TOUCH, UNKNOWN_ART, bridge
 
 KPI_SQL = ", ".join(
@@ -59,6 +63,22 @@ def _(spark, sf):
     return bridge(spark, sf, "b_landcover").where("minx <= 2601000 and maxx >= 2600400 and miny <= 1201500 and maxy >= 1200500").select("fid", "art", "bfsnr", "gwr_egid")
 
 
+def _stored(spark: SparkSession, sf: str, layer: str) -> str:
+    path = f"{shared_dir(spark)}/{layer}-{uuid.uuid4().hex}"
+    store.write_layer(bridge(spark, sf, layer), path)
+    return path
+
+
+@query("s4_read_stored_parcels", "select fid, egrid, nummer, bfsnr, flaeche from b_parcels where bfsnr = 7 and egrid in (select egrid from b_users)")
+def _(spark, sf):
+    return store.read_parcels(spark, _stored(spark, sf, "b_parcels"), bridge(spark, sf, "b_users"), 7).select("fid", "egrid", "nummer", "bfsnr", "flaeche")
+
+
+@query("s5_read_stored_landcover", "select fid, art, bfsnr, gwr_egid from b_landcover where minx <= 2601000 and maxx >= 2600400 and miny <= 1201500 and maxy >= 1200500")
+def _(spark, sf):
+    return store.read_landcover(spark, _stored(spark, sf, "b_landcover"), (2600400, 1200500, 2601000, 1201500)).select("fid", "art", "bfsnr", "gwr_egid")
+
+
 @query("s6_list_municipalities", "select distinct bfsnr from b_parcels where bfsnr is not null order by 1")
 def _(spark, sf):
     return bridge(spark, sf, "b_parcels").select("bfsnr").distinct().dropna().orderBy("bfsnr")

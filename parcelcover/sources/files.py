@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from parcelcover.functions.geometry import from_geojson, to_geojson
 from parcelcover.functions.scalars import norm_number
+from parcelcover.sources.ranges import array_members
 
 #: Column orders of the detail layers; columns that a table lacks are left out.
 DETAIL_COLUMNS = {
@@ -98,6 +99,11 @@ def read_features(lines: DataFrame) -> DataFrame:
     )
 
 
+def read_collection(spark: SparkSession, path: str) -> DataFrame:
+    """The same columns for the features of FeatureCollection files of any size, on one line or many."""
+    return read_features(array_members(spark, path).select("value"))
+
+
 def split_layers(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(parcels, overlays): without any layer tag all are parcels; overlay rows need a geometry."""
     tagged = features.where("layer is not null").limit(1).count() > 0
