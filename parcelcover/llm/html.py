@@ -25,10 +25,13 @@ BLOCKS = frozenset(
 #: Elements whose text is never main text.
 ASIDE = frozenset("aside audio button canvas datalist dialog footer form head header iframe input label math menu nav noscript object script select style svg template textarea title video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id or role that name boilerplate.
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|breadcrumbs?|comments?|comment-?list|consent|cookies?|disclaimer|discussion|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|popup|promo|related|replies|respond|share|sharing|sidebar|skip|social|sponsor(?:ed)?|subscribe|toolbar|widget)(?:$|[\s_-])",
-    re.I,
+#: Tokens of class or id that name boilerplate, and words that do so also as a part of a token, between hyphens.
+NAMED = frozenset(
+    "alert article-footer comment-list commentlist disclaimer discussion header main-menu main-nav menu modal nav nav-bar nav-menu navigation notice notices page-header related related-articles related-posts replies respond search "
+    "site-footer site-header site-nav skip toolbar top-bar topbar widget".split()
+)
+PART = re.compile(
+    r"(?:^|[_-])(?:ads?|adverts?|advertisement|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|gdpr|masthead|navbar|newsletter|pagination|popup|promo|share|sharing|sidebar|social|sponsor(?:ed)?|subscribe)(?:$|[_-])", re.I
 )
 #: Roles that say the same.
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
@@ -42,24 +45,33 @@ SPACE = re.compile(r"\s+")
 SIGMA, PROSE = 1.0, 15.0
 #: What an article or main element multiplies its lines' ratios by.
 PRIOR = 2.0
-#: Lines beside a content line that may join its region outside of articles, and characters a tag under which lines
-#: with a link don't.
-REACH, LINKS = 8, 8.0
+#: Lines beside a content line that may join its region outside of articles, and the share of a region's letters
+#: inside links from which its lines of links are a menu.
+REACH, LINKS = 8, 0.65
+
+
+def marked(names: str) -> bool:
+    """Does a class or id name boilerplate?"""
+    return any(n.lower() in NAMED or PART.search(n) for n in names.split())
+
+
+def letters(text: str) -> int:
+    return sum(map(str.isalnum, text))
 
 
 class Lines(HTMLParser):
-    """Lines as [text, number of tags, in an article or main element, with a link], in page order."""
+    """Lines as [text, number of tags, in an article or main element, letters inside links, links], in page order."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[list] = [[[], 0, 0, False]]
+        self.lines: list[list] = [[[], 0, 0, 0, 0]]
         self.open: list[tuple[str, bool, bool]] = []
         self.count: dict[str, int] = {}
         self.aside = self.main = 0
 
     def _line(self):
         if self.lines[-1][0] or self.lines[-1][1] > 8:
-            self.lines.append([[], 0, self.main, False])
+            self.lines.append([[], 0, self.main, 0, 0])
 
     def _close(self, upto: int):
         for tag, aside, main in self.open[upto:]:
@@ -84,19 +96,19 @@ class Lines(HTMLParser):
             if tag in BLOCKS:
                 self._line()
             self.lines[-1][1] += 1
-            self.lines[-1][3] |= tag == "a"
+            self.lines[-1][4] += tag == "a"
         if tag in VOID:
             return
         if tag in CLOSES and self.open and self.open[-1][0] in CLOSES[tag]:
             self._close(len(self.open) - 1)
-        aside = tag in ASIDE
+        aside = tag in ASIDE and not (tag == "header" and self.main)  # an article's own header is judged as text
         main = tag in ("article", "main")
         if not aside and attrs and not (main or tag == "body" or tag == "html"):
             for k, v in attrs:
-                if v and (k in ("class", "id") and MARKED.search(v) or k == "role" and v.lower() in ROLES or k == "aria-hidden" and v == "true"):
+                if v and (k in ("class", "id") and marked(v) or k == "role" and v.lower() in ROLES or k == "aria-hidden" and v == "true"):
                     aside = True
             aside |= any(k == "hidden" for k, _ in attrs)
-        if main and self.count.get("article") and any(v and MARKED.search(v) for k, v in attrs if k in ("class", "id")):
+        if main and self.count.get("article") and any(v and marked(v) for k, v in attrs if k in ("class", "id")):
             aside = True  # a reader's comment inside the article
         self.open.append((tag, aside, main))
         self.count[tag] = self.count.get(tag, 0) + 1
@@ -124,6 +136,8 @@ class Lines(HTMLParser):
     def handle_data(self, data):
         if not self.aside:
             self.lines[-1][0].append(data)
+            if self.count.get("a"):
+                self.lines[-1][3] += letters(data)
 
 
 def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -146,19 +160,30 @@ def threshold(values: np.ndarray) -> float:
     return float(at)
 
 
-def select(sizes: np.ndarray, tags: np.ndarray, inside: np.ndarray, linked: np.ndarray) -> np.ndarray:
-    """Which lines are content, from their characters, tags, and whether they lie in an article and hold a link."""
+def select(sizes: np.ndarray, tags: np.ndarray, inside: np.ndarray, linked: np.ndarray, links: np.ndarray) -> np.ndarray:
+    """Which lines are content, from their characters, tags, whether they lie in an article, the share of letters inside
+    links, and links.
+
+    Lines of links are a menu where the smoothed share around them is large, or if they hold several links and nothing
+    else; a link in a short sentence between paragraphs is none. In an article, links between two other lines belong to
+    it, as a list of references does.
+    """
     raw = sizes / np.maximum(1, tags)
     ratio = smooth(np.where(inside, PRIOR * raw, raw))
     # Two clusters need a clear gap; a line that reads like prose by itself stays whatever stands around it.
     least = min(threshold(ratio), PROSE) if raw.max() > 4 * raw.min() else -1.0
-    menu = linked & (raw < LINKS)
+    menu = (linked > 0.5) & ((smooth(linked) > LINKS) | (linked > 0.75) & (links >= 3))
+    place = np.arange(len(sizes))
+    border = np.cumsum(np.concatenate([[False], inside[1:] != inside[:-1]]))
+    other = inside & ~menu
+    enclosed = [np.zeros(len(sizes), bool) for _ in range(2)]
+    for k, at in enumerate((np.maximum.accumulate(np.where(other, place, -1)), np.minimum.accumulate(np.where(other, place, len(sizes))[::-1])[::-1])):
+        enclosed[k] = (at >= 0) & (at < len(sizes)) & (border[np.clip(at, 0, len(sizes) - 1)] == border)
+    menu &= ~(inside & enclosed[0] & enclosed[1])
     content = (np.maximum(ratio, raw) > least) & ~(menu & (raw <= least))
     # Other short lines join the region of a content line within reach: headings, list items, captions. An article is
     # one region; a line across its border doesn't join.
     far = len(sizes) + REACH + 1
-    place = np.arange(len(sizes))
-    border = np.cumsum(np.concatenate([[False], inside[1:] != inside[:-1]]))
     before = np.maximum.accumulate(np.where(content, place, -far))
     after = np.minimum.accumulate(np.where(content, place, far + len(sizes))[::-1])[::-1]
     near = np.zeros(len(sizes), bool)
@@ -176,11 +201,11 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     texts = [SPACE.sub(" ", "".join(line[0])).strip() for line in parser.lines]
-    found = [(t, tags, bool(main), link) for t, (_, tags, main, link) in zip(texts, parser.lines, strict=True) if t]
+    found = [(t, tags, bool(main), link / max(1, letters(t)), links) for t, (_, tags, main, link, links) in zip(texts, parser.lines, strict=True) if t]
     if not found:
         return ""
-    _, tags, inside, linked = zip(*found, strict=True)
-    chosen = select(np.array([len(f[0]) for f in found], float), np.array(tags, float), np.array(inside), np.array(linked))
+    _, tags, inside, linked, links = zip(*found, strict=True)
+    chosen = select(np.array([len(f[0]) for f in found], float), np.array(tags, float), np.array(inside), np.array(linked, float), np.array(links))
     return " ".join(f[0] for f, use in zip(found, chosen, strict=True) if use)
 
 
