@@ -101,16 +101,21 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 7) -
     0; a null source is a source of its own, the last; an empty text takes 0. Repeated rows count each. Rows
     without doc_id come in a fixed order too. An empty table gives an empty one. Other columns are left aside.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size"), _tie(F.col("text").cast("string")).alias("tie"))
     return _mix(d, share, most, seed).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def _tie(text: Column) -> Column:
+    """What tells rows without doc_id apart, so that they don't all come to one place; null for others."""
+    return F.when(F.isnull("doc_id"), F.xxhash64(text))
+
+
 def _mix(d: DataFrame, share: float, most: float, seed: int = 7) -> DataFrame:
-    """mix() of rows (doc_id, source, size, others), which keep their other columns."""
+    """mix() of rows (doc_id, source, size, tie, others), which keep their other columns."""
     if most != int(most):
         raise ValueError("most must be a whole number")
     more = [c for c in d.columns if c not in ("doc_id", "source", "size")]
-    d = d.withColumn("mark", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40)))
+    d = d.withColumn("mark", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "tie"), F.lit(1 << 40)))
     d = materialize(d, "sizes")
     sizes = materialize(d.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
     every = targets(sizes, share, most)
@@ -151,14 +156,14 @@ def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
     Null and empty texts have no words and go; a null source is a source of its own. Columns of any other name pass
     through. An empty table gives an empty one.
     """
-    key, size, taken, time = (free(docs, c) for c in ("mix_key", "mix_size", "mix_taken", "mix_time"))
+    key, size, taken, time, of = (free(docs, c) for c in ("mix_key", "mix_size", "mix_taken", "mix_time", "mix_of"))
     text, source = F.col("text").cast("string"), F.col("source").cast("string")
     # A null is no value of its own in a hash; its place in the list is hashed with it.
     mark = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("d"), F.xxhash64(F.isnull("doc_id"), F.isnull(source), source, text).alias("h"))
     keyed = docs.withColumn(key, mark)
-    sizes = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), n_words(text).alias("size"), F.col(key).alias("key"))
-    plan_of = _mix(sizes, share, most).groupBy(F.col("key").alias("k")).agg(F.sum("taken").alias(taken), F.min("size").alias(size)).where(F.col(taken) > 0)
-    at = keyed.dropDuplicates([key]).join(plan_of, F.col(key) == F.col("k"))
+    sizes = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), n_words(text).alias("size"), _tie(text).alias("tie"), F.col(key).alias("key"))
+    plan_of = _mix(sizes, share, most).groupBy(F.col("key").alias(of)).agg(F.sum("taken").alias(taken), F.min("size").alias(size)).where(F.col(taken) > 0)
+    at = keyed.dropDuplicates([key]).join(plan_of, F.col(key) == F.col(of))
     whole, rest = F.floor(F.col(taken) / F.col(size)), F.col(taken) % F.col(size)
     at = at.withColumn(time, F.explode(F.sequence(F.lit(1).cast("long"), whole + F.when(rest > 0, 1).otherwise(0))))
     # Each word with the white space before it, so that the words left stand as they did.

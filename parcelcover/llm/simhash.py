@@ -363,7 +363,7 @@ def dedupe(docs: DataFrame) -> DataFrame:
     Of rows equal in doc_id and text one stays. Columns of any other name pass through; an empty table gives an
     empty one.
     """
-    doc, mark = free(docs, "near_doc"), free(docs, "near_text")
+    doc, mark, of, at = (free(docs, c) for c in ("near_doc", "near_text", "near_of", "near_at"))
     text = F.col("text").cast("string")
     named = docs.where("doc_id is not null").withColumns({doc: F.col("doc_id").cast("long"), mark: F.xxhash64(text)})
     texts = named.select(F.col(doc).alias("__doc"), F.col(mark).alias("__text"), text.alias("text"))
@@ -373,7 +373,7 @@ def dedupe(docs: DataFrame) -> DataFrame:
     sets = materialize(sets.select("fp", "id", "size", *PARITY, F.col("row.__doc").alias("d"), F.col("row.__text").alias("t")), "sets")
     release(marks)
     label = similar_groups(sets, texts)
-    kept = sets.join(label, sets.id == label.node, "left").groupBy(F.coalesce("label", "id")).agg(F.min(F.struct("d", "t")).alias("k")).select("k.*")
-    one = named.join(kept, (F.col(doc) == F.col("d")) & (F.col(mark) == F.col("t")), "left_semi").dropDuplicates([doc, mark])
+    kept = sets.join(label, sets.id == label.node, "left").groupBy(F.coalesce("label", "id")).agg(F.min(F.struct("d", "t")).alias("k")).select(F.col("k.d").alias(of), F.col("k.t").alias(at))
+    one = named.join(kept, (F.col(doc) == F.col(of)) & (F.col(mark) == F.col(at)), "left_semi").dropDuplicates([doc, mark])
     bare = docs.where("doc_id is null").dropDuplicates(["text"])
     return one.select(docs.columns).unionByName(bare)

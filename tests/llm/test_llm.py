@@ -200,6 +200,50 @@ def test_mixed_rows_of_one_id(spark):
         mixing.mix(df, 1.0, 1.5)
 
 
+def test_stages_keep_clashing_columns(spark):
+    """Names that the stages use within themselves, as columns of the table."""
+    rows = [(1, " ".join(prose(1, 60)), "a"), (2, " ".join(prose(1, 60)), "b"), (None, " ".join(prose(2, 60)), "a"), (3, None, None)]
+    names = ["d", "t", "k", "key", "mark", "tie", "size", "near_of", "mix_of", "bucket", "block"]
+    df = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    for stage in (simhash.dedupe, mixing.mixed):
+        out = stage(df)
+        assert out.columns == df.columns
+        assert all([r[n] for n in names] == list(range(len(names))) for r in out.collect())
+
+
+def test_rows_without_id_are_spread(spark):
+    """Their order goes by text, so a source's rows without doc_id don't share a place."""
+    df = spark.createDataFrame([(None, " ".join(prose(i, 20)), "a") for i in range(60)], "doc_id long, text string, source string")
+    marks = df.select(mixing._tie(F.col("text")).alias("tie")).select(F.xxhash64(F.lit(7), F.lit(None).cast("long"), "tie").alias("m"))
+    assert marks.distinct().count() == 60
+    assert sorted(r.taken for r in mixing.mix(df).collect()) == sorted(r.taken for r in mixing.mix(df.repartition(7)).collect())
+
+
+LONG = "This is a long paragraph of the article with many words in it, so that it counts as prose by itself. " * 3
+
+
+@pytest.mark.parametrize("wrap", ["article", "div"])
+@pytest.mark.parametrize("middle,kept", [
+    ("<p>See <a href=x>this</a>.</p>", "See this."), ("<p>See <a>this</a> and <a>that</a> for details.</p>", "See this and that for details."), ("<p><a>Only a link</a></p>", "Only a link"),
+    ("<table><tr><td>Cell</td><td><a>Linked</a></td></tr></table>", "Cell Linked"), ('<div class="entry-header"><h2>Headline</h2></div>', "Headline"), ('<p class="related-work">Related work is old.</p>', "Related work is old."),
+])
+def test_linked_text_stays(wrap, middle, kept):
+    got = html.main_text(f"<body><nav><a>Home</a></nav><{wrap}><p>{LONG}</p>{middle}<p>{LONG}</p></{wrap}><footer>foot</footer></body>")
+    assert got == f"{LONG.strip()} {kept} {LONG.strip()}"
+
+
+def test_references_and_headers_of_an_article():
+    got = html.main_text(f"<article><header><h1>Title</h1></header><p>{LONG}</p><ul><li><a>Ref one</a></li><li><a>Ref two</a></li><li><a>Ref three</a></li></ul><p>{LONG}</p></article>")
+    assert got == f"Title {LONG.strip()} Ref one Ref two Ref three {LONG.strip()}"
+
+
+@pytest.mark.parametrize("wrap", ["main", "div"])
+def test_menus_without_a_name_go(wrap):
+    menu = "<div>" + "".join(f"<div><a href=#>Menu item {k}</a></div>" for k in range(12)) + "</div>"
+    got = html.main_text(f"<body><{wrap}>{menu}<p>{LONG}</p><p>{LONG}</p>{menu}</{wrap}><div class='cookie-banner'>Accept</div><div id='site-nav'>Go</div></body>")
+    assert got == f"{LONG.strip()} {LONG.strip()}"
+
+
 def test_html():
     page = (
         "<html><head><title>T</title><style>p{}</style></head><body><nav>Menu</nav><div class='cookie-notice'>Cookies</div><article><h1>A &amp;  B</h1><p>First<br>line &lt;x&gt;<script>bad()</script></p>"
