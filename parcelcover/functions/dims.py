@@ -62,11 +62,24 @@ HABITAT_FINER = {
     "7.2": (NOT_GREEN, "kat_a", "unproduktiv", None),
     "8.1": (WOODED, "kat_b", "produktiv", "typ2"),
 }
+# Names of habitat codes of levels 1 and 2. Finer ones come from a table of the user's (code, name).
+HABITAT_NAMES = {
+    "1": "Gewässer", "1.1": "Stehende Gewässer", "1.2": "Fliessgewässer", "1.3": "Quellen und Quellfluren", "1.4": "Unterirdische Gewässer",
+    "2": "Ufer und Feuchtgebiete", "2.0": "Künstliche Ufer", "2.1": "Ufer mit Vegetation", "2.2": "Flachmoore", "2.3": "Feuchtwiesen", "2.4": "Hochmoore", "2.5": "Wechselfeuchte Pionierfluren",
+    "3": "Gletscher, Fels, Schutt und Geröll", "3.1": "Gletscher, Firn- und Schneefleder", "3.2": "Alluvionen und Moränen", "3.3": "Steinschutt- und Geröllfluren", "3.4": "Felsen", "3.5": "Höhlen",
+    "4": "Grünland (Naturrasen, Wiesen und Weiden)", "4.0": "Kunstrasen", "4.1": "Pionierfluren auf Felsböden (Felsgrusfluren)", "4.2": "Wärmeliebende Trockenrasen", "4.3": "Gebirgs-Magerrasen", "4.4": "Schneetälchen", "4.5": "Fettwiesen und -weiden", "4.6": "Grasbrachen",
+    "5": "Krautsäume, Hochstaudenfluren und Gebüsche", "5.1": "Krautsäume", "5.2": "Hochstauden- und Schlagfluren", "5.3": "Gebüsche", "5.4": "Zwergstrauchheiden",
+    "6": "Wälder", "6.0": "Forstpflanzungen", "6.1": "Bruch- und Auenwälder", "6.2": "Buchenwälder", "6.3": "Andere Laubwälder", "6.4": "Wärmeliebende Föhrenwälder", "6.5": "Hochmoorwälder", "6.6": "Gebirgsnadelwälder",
+    "7": "Pioniervegetation gestörter Plätze (Ruderalstandorte)", "7.1": "Trittrasen und Ruderalfluren", "7.2": "Anthropogene Steinfluren",
+    "8": "Pflanzungen, Äcker und Kulturen", "8.1": "Baumschulen, Obstgärten, Rebberge", "8.2": "Feldkulturen (Äcker)",
+    "9": "Bauten, Anlagen", "9.1": "Lagerplätze, Deponien", "9.2": "Bauten", "9.3": "Verkehrswege", "9.4": "Versiegeleter Sportplatz, Parkplatz etc.",
+}
 # Habitat code to land-cover type.
 HABITAT_TO_ART = {
     "1": "Gewaesser_stehendes", "2": "Hoch_Flachmoor", "3": "Geroell_Sand", "4": "Acker_Wiese_Weide", "5": "uebrige_bestockte", "6": "geschlossener_Wald",
     "7": "uebrige_vegetationslose", "8": "Acker_Wiese_Weide", "9": "uebrige_befestigte", "9.2": "Gebaeude", "9.3.2": "Strasse_Weg", "9.0.2": "uebrige_befestigte", "9.3.3": "uebrige_vegetationslose",
 }
+# First digits of near-natural habitats.
 NATURAL_DIGITS = "1234567"
 # Zones with their relevance, and labels of codes.
 ZONES = {
@@ -84,12 +97,13 @@ VBS_LABELS = {
 }
 #: Habitat columns of the portfolio bridge.
 HABITAT_SLUGS = ["9_2", "9_3", "1_3", "4_0", "6_0", "6"]
-#: Excluded by name: start of the name, or a word of its own.
+# Fixed values. Excluded by name: start of the name, or a word of its own.
 EXCLUDE = [("ABGA", "prefix"), ("LÖVM", "prefix"), ("PP", "word")]
 KPIS = (
     "sia416_ggf_m2 sia416_buf_m2 sia416_uuf_m2 din277_bf_m2 din277_uf_m2 sealed_m2 greenspace_m2 vbs_produktiv_m2 vbs_unproduktiv_m2 "
     "vbs_kat_a_m2 vbs_kat_b_m2 vbs_kat_c_m2 vbs_kat_d_m2 vbs_typ1_m2 vbs_typ2_m2"
 ).split()
+# User columns that stay.
 INPUT_KEPT = ["ort", "plz", "rg", "bez. grundstück", "eigent.art", "tpf", "l/r"]
 
 

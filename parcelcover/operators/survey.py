@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelcover.functions import dims
-from parcelcover.functions.scalars import area_key, code_at_level, lookup, round2, to_fixed_1, typoch_to_art
+from parcelcover.functions.scalars import code_at_level, label_at_level, lookup, round2, to_fixed_1, typoch_to_art
 
 
 
@@ -82,8 +82,53 @@ def habitat_rollup(pieces: DataFrame, key: str = "egrid") -> DataFrame:
     return both.where("c.code <> ''").groupBy(key, F.col("c.level").alias("level"), F.col("c.code").alias("code")).agg(F.sum("area").alias("area"))
 
 
-def habitat_column(level: str, code: Column) -> Column:
-    return area_key(f"habitat_{level}", code)
+def habitat_columns(pieces: DataFrame, codes: list[str] | None = None, names: dict[str, str] = dims.HABITAT_NAMES, key: str = "egrid") -> DataFrame:
+    """One row a key: habitat and habitat_m2, the second-level labels and their areas joined by "; ", the largest first
+    (then by code), and habitat_l1_<code>_m2 and habitat_l2_<code>_m2 of two decimals, 0 where absent.
+
+    A label without a second level counts there by its first. codes are the second-level codes that get columns, by
+    default those that occur, which a job looks up: some fifty by nature. Labels without a code give nothing; a code
+    without a name shows as the raw label that is its own, else as itself. names: code to name, finer ones are welcome.
+    """
+    one = code_at_level(F.col("typoch"), 1)
+    two = F.when(code_at_level(F.col("typoch"), 2) == "", one).otherwise(code_at_level(F.col("typoch"), 2))
+    label = F.coalesce(F.nullif(label_at_level(F.col("typoch"), 2, names), F.lit("")), label_at_level(F.col("typoch"), 1, names))
+    coded = pieces.select(key, "area", two.alias("code"), label.alias("label")).where("code <> ''")
+    if codes is None:
+        codes = [r.code for r in coded.select("code").distinct().collect()]
+    codes = sorted(codes)
+    g = coded.groupBy(key, "code").agg(F.sum("area").alias("total"), F.min("label").alias("label"))
+    of = lambda test: round2(F.coalesce(F.sum(F.when(test, F.col("total"))), F.lit(0.0)))
+    first = lambda c: c.split(".")[0]
+    columns = {f"habitat_l1_{c}_m2": of(F.split_part("code", F.lit("."), F.lit(1)) == c) for c in sorted({first(c) for c in codes})}
+    columns |= {f"habitat_l2_{c.replace('.', '_')}_m2": of(F.col("code") == c) for c in codes}
+    g = g.groupBy(key).agg(F.sort_array(F.collect_list(F.struct((-F.col("total")).alias("less"), "code", "label"))).alias("all"), *[v.alias(k) for k, v in columns.items()])
+    return g.select(key, F.array_join("all.label", "; ").alias("habitat"), F.array_join(F.transform("all", lambda x: to_fixed_1(-x["less"])), "; ").alias("habitat_m2"), *columns)
+
+
+def label_levels(df: DataFrame, names: DataFrame, label: str = "typoch", levels: int = 4) -> DataFrame:
+    """df with typoch_l1 to typoch_l<levels>: "code name" by a table of names (code, name) of some hundred rows; the raw
+    label where its own level has no name, the bare code where a level above has none, blank beyond its own level."""
+    raw = F.trim(F.coalesce(F.col(label), F.lit("")))
+    for n in range(1, levels + 1):
+        known = F.broadcast(names.select(F.col("code").alias("__code"), F.col("name").alias("__name")))
+        code = code_at_level(F.col(label), n)
+        own = code_at_level(F.col(label), n + 1) == ""
+        df = df.join(known, code == F.col("__code"), "left")
+        df = df.withColumn(f"typoch_l{n}", F.when(code == "", "").when(F.col("__name").isNotNull(), F.concat_ws(" ", code, "__name")).otherwise(F.when(own, raw).otherwise(code))).drop("__code", "__name")
+    return df
+
+
+def survey_rows(users: DataFrame, parcels: DataFrame, summaries: list[DataFrame], key: str = "egrid") -> DataFrame:
+    """Every user row with its parcel and the columns of all summaries (one row a key each): parcels without a part in a
+    summary, unknown and invalid ones too, get 0 in its areas and "" in its texts, so that all rows have all columns."""
+    out = attach_parcels(users, parcels).withColumn("check_egrid", F.when(~valid_egrid(F.col(key), "spherical"), "invalid").otherwise(F.col("check_egrid")))
+    areas, texts = [], []
+    for s in summaries:
+        out = out.join(s.withColumnRenamed(key, "__key"), F.col(key) == F.col("__key"), "left").drop("__key")
+        areas += [c for c, t in s.dtypes if t == "double"]
+        texts += [c for c, t in s.dtypes if t == "string" and c != key]
+    return rectangularise(out, areas, texts)
 
 
 def rectangularise(parcels: DataFrame, area_columns: list[str], text_columns: list[str]) -> DataFrame:

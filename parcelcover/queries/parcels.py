@@ -14,7 +14,7 @@ from parcelcover.operators.spatial import clean, clip, intersections, shapes, sk
 from parcelcover.plans.materialize import shared_dir
 from parcelcover.registry import query
 from parcelcover.sources import store
-from parcelcover.sources.bridge import COMMON as _COMMON, TOUCH as _TOUCH, UNKNOWN_ART, bridge
+from parcelcover.sources.bridge import COMMON as _COMMON, TOUCH as _TOUCH, HABITATS, UNKNOWN_ART, bridge
 
 KPI_SQL = ", ".join(
     f"coalesce(sum(case when {test} then area end), 0e0) {name}"
@@ -311,6 +311,19 @@ def _(spark, sf):
     return S.overlay_pertype(zones(spark, sf), "egrid", area_key("bauzonen", F.col("bauzone")), [f"bauzonen_{s}_m2" for s in _SLUGS])
 
 
+#: Names of finer habitats, as a user's table may give them.
+_FINER_NAMES = {"6.3.1": "Beispielwald", "9.3.2": "Beispielstrasse"}
+
+
+def _level_sql(n: int) -> str:
+    """SQL of the label at level n."""
+    code = f"array_to_string(list_slice(string_split({_CODE}, '.'), 1, {n}), '.')"
+    known = " ".join(f"when '{k}' then '{k} {v}'" for k, v in [*dims.HABITAT_NAMES.items(), *_FINER_NAMES.items()] if k.count(".") == n - 1)
+    depth = f"case when {_CODE} = '' then 0 else len(string_split({_CODE}, '.')) end"
+    named = f"case {code} {known} end" if known else "null"
+    return f"case when {depth} < {n} then '' else coalesce({named}, case when {depth} = {n} then trim(typoch) else {code} end) end typoch_l{n}"
+
+
 _CODE = "regexp_extract(typoch, '^\\s*(\\S*)', 1)"
 _L2 = f"array_to_string(list_slice(string_split({_CODE}, '.'), 1, 2), '.')"
 _L1 = f"string_split({_CODE}, '.')[1]"
@@ -321,6 +334,43 @@ def _(spark, sf):
     return S.habitat_rollup(habitat(spark, sf))
 
 
+_TWO = f"case when len(string_split({_CODE}, '.')) < 2 then {_L1} else {_L2} end"
+_CODES = sorted({".".join(h.split()[0].split(".")[:2]) for h in HABITATS if h})
+_NAMED = f"case {_TWO} " + " ".join(f"when '{c}' then '{c} {dims.HABITAT_NAMES[c]}'" if c in dims.HABITAT_NAMES else f"when '{c}' then case when {_CODE} = '{c}' then trim(typoch) else '{c}' end" for c in _CODES) + " end"
+_HABITAT_SUMS = ", ".join(
+    [f"floor(coalesce(sum(case when starts_with(code || '.', '{c}.') then t end), 0e0) * 100 + 0.5) / 100 habitat_l1_{c}_m2" for c in sorted({c.split('.')[0] for c in _CODES})]
+    + [f"floor(coalesce(sum(case when code = '{c}' then t end), 0e0) * 100 + 0.5) / 100 habitat_l2_{c.replace('.', '_')}_m2" for c in _CODES]
+)
+_HABITAT_ROWS = f"""select egrid, string_agg(label, '; ' order by t desc, code) habitat, string_agg({_FIXED}, '; ' order by t desc, code) habitat_m2, {_HABITAT_SUMS}
+    from (select egrid, {_TWO} code, min({_NAMED}) as label, sum(area) t from o_habitat where {_CODE} <> '' group by 1, 2) group by 1"""
+
+
+@query("a7_habitat_columns", _HABITAT_ROWS)
+def _(spark, sf):
+    return S.habitat_columns(habitat(spark, sf))
+
+
+@query("f4_label_levels", f"select fid, {', '.join(_level_sql(n) for n in (1, 2, 3, 4))} from b_habitat")
+def _(spark, sf):
+    names = spark.createDataFrame([*dims.HABITAT_NAMES.items(), *_FINER_NAMES.items()], "code string, name string")
+    return S.label_levels(bridge(spark, sf, "b_habitat").select("fid", "typoch"), names).drop("typoch")
+
+
+_ZONE_ROWS = "select egrid, string_agg(bauzone, '; ' order by t desc, bauzone) bauzonen, string_agg(" + _FIXED + ", '; ' order by t desc, bauzone) bauzonen_m2, " + ", ".join(f"coalesce(sum(case when bauzone = '{dims.ZONES[s][0]}' then t end), 0e0) bauzonen_{s}_m2" for s in _SLUGS) + " from (select egrid, bauzone, sum(area) t from o_zones group by 1, 2) group by 1"
+_ROW_AREAS = [f"bauzonen_{s}_m2" for s in _SLUGS] + [f"habitat_l1_{c}_m2" for c in sorted({c.split('.')[0] for c in _CODES})] + [f"habitat_l2_{c.replace('.', '_')}_m2" for c in _CODES]
+
+
+@query("a8_survey_rows", f"""with z as ({_ZONE_ROWS}), h as ({_HABITAT_ROWS}) select u.id, u.egrid, case when u.egrid not like 'CH%' then 'invalid' else coalesce(check_egrid, 'not_found') end check_egrid, parcel_area_m2,
+    {', '.join(f"coalesce({c}, '') {c}" for c in ('bauzonen', 'bauzonen_m2', 'habitat', 'habitat_m2'))}, {', '.join(f'coalesce({c}, 0e0) {c}' for c in _ROW_AREAS)}
+    from b_users u left join o_parcels p on p.egrid = u.egrid left join z on z.egrid = u.egrid left join h on h.egrid = u.egrid""")
+def _(spark, sf):
+    """The rows of found, unknown and invalid parcels with every zone and habitat column."""
+    z = zones(spark, sf)
+    z = S.overlay_summary(z, "egrid", F.col("bauzone"), "bauzonen").join(S.overlay_pertype(z, "egrid", area_key("bauzonen", F.col("bauzone")), [f"bauzonen_{s}_m2" for s in _SLUGS]), "egrid")
+    parcels = dissolved(spark, sf).select("egrid", "check_egrid", "parcel_area_m2")
+    return S.survey_rows(bridge(spark, sf, "b_users").select("id", "egrid"), parcels, [z, S.habitat_columns(habitat(spark, sf), _CODES)])
+
+
 @query("a8_rectangularise", "select u.id, coalesce(t, 0e0) bauzonen_wohnzonen_m2, coalesce(n, '') bauzonen from b_users u left join (select egrid, coalesce(sum(case when bauzone = 'Wohnzonen' then area end), 0e0) t, string_agg(distinct bauzone, '; ' order by bauzone) n from o_zones group by 1) z on z.egrid = u.egrid")
 def _(spark, sf):
     z = zones(spark, sf).groupBy(F.col("egrid").alias("e")).agg(F.coalesce(F.sum(F.when(F.col("bauzone") == "Wohnzonen", F.col("area"))), F.lit(0.0)).alias("bauzonen_wohnzonen_m2"), F.array_join(F.array_sort(F.collect_set("bauzone")), "; ").alias("bauzonen"))
