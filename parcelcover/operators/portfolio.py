@@ -5,14 +5,13 @@ Columns are those of sources.bridge's portfolio: ids, check columns, input_ colu
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelcover.functions import dims
 from parcelcover.functions.scalars import code_label, delta_text, half_up, hab_code, hab_digit, lookup, pct, pct_label
 from parcelcover.operators.ranking import pct_ranks_mid
-from parcelcover.plans.materialize import materialize
+from parcelcover.plans.materialize import materialize, release
 from parcelcover.sources.bridge import ART_COLUMNS, HABITAT_COLUMNS, ZONE_COLUMNS
 
 NO_ZONE = "bauzonen_ohne_bauzone_m2"
@@ -313,37 +312,51 @@ def segment_label(share: Column) -> Column:
     return F.when(share >= 0.30, "Grün-reich").when(share >= 0.15, "Gemischt").otherwise("Versiegelt")
 
 
+def _decided(few: DataFrame, caps: dict[str, int], order: str) -> DataFrame:
+    """few (order, score, __c, __t, __state) after a round: 1 for rows that the greedy pass takes whatever it does with the
+    undecided ones before them, 2 for rows of a quota that taken rows before them fill, 0 for the rest. The best
+    undecided row is always decided."""
+    sure, full = F.lit(True), F.lit(False)
+    for c, cap in caps.items():
+        before = Window.partitionBy(c).orderBy(F.col("score").desc(), order).rowsBetween(Window.unboundedPreceding, -1)
+        taken = F.coalesce(F.sum(F.when(F.col("__state") == 1, 1).otherwise(0)).over(before), F.lit(0))
+        maybe = F.coalesce(F.sum(F.when(F.col("__state") == 0, 1).otherwise(0)).over(before), F.lit(0))
+        sure, full = sure & (taken + maybe < cap), full | (taken >= cap)
+    return few.withColumn("__state", F.when(F.col("__state") > 0, F.col("__state")).when(full, 2).when(sure, 1).otherwise(0))
+
+
 def select_capped(scored: DataFrame, n: int = 100, canton_cap: int = 20, portfolio_cap: int = 30, order: str = "k") -> DataFrame:
     """The greedy choice by score (then order) under quotas; 0 switches a quota off. survey_rank counts the chosen.
 
-    What the greedy pass takes from one (canton, portfolio) is a leading part of it, as a full quota stays full;
-    so the least of the limits is kept of each by a window, and the pass runs over those few: at most the limit
-    times the number of cantons and portfolios, or n if there is no quota.
+    What the greedy pass takes from one (canton, portfolio) is a leading part of it, as a full quota stays full; so the
+    least of the limits is kept of each by a window. Over those few, at most the limit times the number of cantons and
+    portfolios, rounds decide rows of all quotas at once, until none is undecided before the n-th row taken: the score
+    bound that all share.
     """
     d = scored.withColumn("__c", blank(F.col("input_rg"), "?")).withColumn("__t", blank(F.col("input_tpf"), "?"))
-    limit = min([n, *[c for c in (canton_cap, portfolio_cap) if c]])
-    w = Window.partitionBy("__c", "__t").orderBy(F.col("score").desc(), order)
-    few = d.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= limit).select(order, "score", "__c", "__t")
-    if not canton_cap and not portfolio_cap:
-        few = few.orderBy(F.col("score").desc(), order).limit(n)
-    kind = dict(few.dtypes)[order]
-
-    def choose(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(["score", order], ascending=[False, True], kind="stable")
-        cantons: dict = {}
-        portfolios: dict = {}
-        out = []
-        for key, c, t in zip(x[order], x["__c"], x["__t"], strict=True):
-            if len(out) >= n:
-                break
-            if (canton_cap and cantons.get(c, 0) >= canton_cap) or (portfolio_cap and portfolios.get(t, 0) >= portfolio_cap):
-                continue
-            cantons[c], portfolios[t] = cantons.get(c, 0) + 1, portfolios.get(t, 0) + 1
-            out.append((key, len(out) + 1))
-        return pd.DataFrame(out, columns=["__k", "survey_rank"])
-
-    ranks = few.withColumn("__all", F.lit(True)).groupBy("__all").applyInPandas(lambda x: choose(x), f"__k {kind}, survey_rank int")
-    return d.join(F.broadcast(ranks), F.col(order) == F.col("__k")).drop("__k", "__c", "__t")
+    caps = {c: cap for c, cap in (("__c", canton_cap), ("__t", portfolio_cap)) if cap}
+    best = [F.col("score").desc(), F.col(order)]
+    limit = min([n, *caps.values()])
+    few = d.withColumn("__rn", F.row_number().over(Window.partitionBy("__c", "__t").orderBy(*best))).where(F.col("__rn") <= limit)
+    few = few.select(order, "score", "__c", "__t", F.lit(0 if caps else 1).alias("__state"))
+    written = None
+    while caps:
+        few = materialize(_decided(_decided(few, caps, order), caps, order), "choice")
+        if written:
+            release(written)
+        written = few
+        # The n-th row taken, if there are so many, bounds what matters.
+        bound = few.where("__state = 1").orderBy(*best).limit(n).agg(F.count("*").alias("n"), F.max_by(F.struct("score", order), F.struct(-F.col("score"), order)).alias("last")).first()
+        open_ = few.where("__state = 0")
+        if bound["n"] == n and n:
+            s, k = bound["last"]["score"], bound["last"][order]
+            open_ = open_.where((F.col("score") > F.lit(s)) | (F.col("score") == F.lit(s)) & (F.col(order) <= F.lit(k)))
+        if not open_.limit(1).count():
+            break
+    chosen = few.where("__state = 1").orderBy(*best).limit(n).select(F.col(order).alias("__k"), "score")
+    ranks = chosen.select("__k", F.row_number().over(Window.orderBy(F.col("score").desc(), "__k")).alias("survey_rank"))  # n rows at most
+    ranks = F.broadcast(ranks) if n <= 100_000 else ranks
+    return d.join(ranks, F.col(order) == F.col("__k")).drop("__k", "__c", "__t")
 
 
 def selection_summary(sel: DataFrame) -> DataFrame:

@@ -313,16 +313,31 @@ def _(spark, sf):
     return P.selection_summary(P.priority_metrics(P.parcel_stats(wide(spark, sf))).where("input_eigent = '1'"))
 
 
-@query("t1_sort_rows")
+@query("t1_sort_rows", "select id, input_bez, parcel_area_m2 from b_portfolio")
 def _(spark, sf):
-    return wide(spark, sf).select("id", "input_bez", "parcel_area_m2").orderBy(F.collate(F.trim("input_bez"), "de"), F.col("parcel_area_m2").desc(), "id")
+    """The rows are the SQL's; their order, which it can't express, is tested."""
+    from parcelcover.operators.sorting import sort_rows
+
+    return sort_rows(wide(spark, sf).select("id", "input_bez", "parcel_area_m2"), "input_bez", ties=("id",))
+
+
+@query("t1_sort_numbers", "select id, parcel_area_m2, dense_rank() over (order by coalesce(parcel_area_m2, 0) desc) place from b_portfolio")
+def _(spark, sf):
+    from parcelcover.operators.ranking import running_counts
+    from parcelcover.operators.sorting import sort_rows
+
+    df = wide(spark, sf).select("id", "parcel_area_m2")
+    values = df.select((-F.coalesce("parcel_area_m2", F.lit(0.0))).alias("value")).distinct().withColumn("n", F.lit(1))
+    places = running_counts(values, ["value"], "n").select("value", (F.col("before") + 1).alias("place"))
+    out = df.withColumn("value", -F.coalesce("parcel_area_m2", F.lit(0.0))).join(places, "value").drop("value")
+    return sort_rows(out, "parcel_area_m2", True, True, ("id",))
 
 
 @query("t2_natural_sort", "select id, regexp_replace(lower(id), '\\d+$', '') || lpad(regexp_extract(id, '(\\d+)$', 1), 20, '0') sort_key from b_portfolio order by 2")
 def _(spark, sf):
-    from parcelcover.operators.sorting import natural_key
+    from parcelcover.operators.sorting import natural_key, natural_sort
 
-    return wide(spark, sf).select("id", natural_key(F.col("id")).alias("sort_key")).orderBy("sort_key")
+    return natural_sort(wide(spark, sf).select("id", natural_key(F.col("id")).alias("sort_key")), "id")
 
 
 @query("t3_object_key_sort", "select we, grundstk, try_cast(we as bigint) is null we_text, try_cast(we as bigint) we_number, try_cast(grundstk as bigint) is null grundstk_text, try_cast(grundstk as bigint) grundstk_number from (select distinct case when c_custkey % 9 = 0 then 'A' || c_custkey % 50 else cast(c_custkey % 100 as varchar) end we, cast(c_nationkey as varchar) grundstk from customer)")
