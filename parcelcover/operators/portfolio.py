@@ -131,40 +131,39 @@ def facet_counts(df: DataFrame) -> DataFrame:
     return d.groupBy("i.facet", "i.value").agg(F.count("*").alias("n"), F.sum("i.area").alias("area"))
 
 
-def top_n(groups: DataFrame, n: int, name: str = "name", value: str = "value") -> DataFrame:
-    """The n largest groups (name, value, rn) and one row "Übrige (k)" of the rest. One row a group is ranked."""
-    w = Window.orderBy(F.col(value).desc(), F.col(name))
-    d = groups.withColumn("rn", F.row_number().over(w))
-    rest = d.where(F.col("rn") > n).agg(F.count("*").alias("k"), F.sum(value).alias(value)).where("k > 0")
-    rest = rest.select(F.concat(F.lit("Übrige ("), F.col("k").cast("string"), F.lit(")")).alias(name), F.col(value), F.lit(n + 1).alias("rn"))
-    return d.where(F.col("rn") <= n).select(name, value, "rn").unionByName(rest)
+def top_n(groups: DataFrame, n: int, name: str = "name", value: str = "value", apart: str | None = None) -> DataFrame:
+    """The n largest groups (name, value, rn) and one row "Übrige (k)" of the rest, from one look at groups: one row a
+    group is ranked. apart: a flag of rows that stand by themselves, with rn n + 2."""
+    flag = F.col(apart) if apart else F.lit(False)
+    d = groups.withColumn("__apart", flag).withColumn("rn", F.row_number().over(Window.partitionBy("__apart").orderBy(F.col(value).desc(), F.col(name))))
+    place = F.when(F.col("__apart"), n + 2).otherwise(F.least("rn", F.lit(n + 1)))
+    g = d.groupBy(place.alias("rn")).agg(F.min(name).alias("first"), F.count("*").cast("string").alias("k"), F.sum(value).alias(value))
+    return g.select(F.when(F.col("rn") == n + 1, F.concat(F.lit("Übrige ("), "k", F.lit(")"))).otherwise(F.col("first")).alias(name), value, "rn")
 
 
 def area_by_field(df: DataFrame, field: str, n: int) -> DataFrame:
     return top_n(df.groupBy(blank(F.col(field)).alias("name")).agg(F.sum(area("parcel_area_m2")).alias("value")).where("value > 0"), n)
 
 
-def with_remainder(items: DataFrame, total: DataFrame, label: str, like: dict[str, Column]) -> DataFrame:
-    """items (with value) and a row of what they leave of total (total), if above 0; like: its other columns."""
-    left = remainder(total.select(F.col("total").alias("value")), items)
-    return items.unionByName(left.select(*[F.lit(label).alias(c) if v is None else v.alias(c) for c, v in like.items()], "value"))
-
-
-def remainder(total: DataFrame, items: DataFrame) -> DataFrame:
-    """(value): what items leave of total, if above 0."""
-    return total.select("value").unionByName(items.select((-F.col("value")).alias("value"))).agg(F.sum("value").alias("value")).where("value > 0")
-
-
-def total_area(df: DataFrame) -> DataFrame:
-    return df.agg(F.coalesce(F.sum("parcel_area_m2"), F.lit(0.0)).alias("total"))
+def _sums(df: DataFrame, columns: list[str]) -> tuple[DataFrame, Column]:
+    """(one row of df's sums of columns, values above 0, and of the parcel area, what the columns leave of the area)."""
+    row = df.agg(*[F.coalesce(F.sum(F.when(area(c) > 0, area(c))), F.lit(0.0)).alias(c) for c in columns], F.coalesce(F.sum("parcel_area_m2"), F.lit(0.0)).alias("__total"))
+    return row, F.col("__total") - sum((F.col(c) for c in columns), F.lit(0.0))
 
 
 def hierarchy(df: DataFrame, columns: list[str], main_of: dict[str, str], label: str) -> DataFrame:
-    """(main, name, value): sums of columns, of their groups (name null) and of all (both null), by rollup; and the remainder."""
-    u = unpivot(df, columns).withColumn("main", lookup(main_of, F.col("name")))
-    r = u.rollup("main", "name").agg(F.sum("value").alias("value"))
-    left = remainder(total_area(df).select(F.col("total").alias("value")), u)
-    return r.unionByName(left.select(F.lit(label).alias("main"), F.lit(None).cast("string").alias("name"), "value"))
+    """(main, name, value): sums of columns, of their groups (name null) and of all (both null); and the remainder of the
+    parcel area. One aggregate gives all sums, of which the rest is made."""
+    row, left = _sums(df, columns)
+    item = lambda main, name, value: F.struct(main.cast("string").alias("main"), name.cast("string").alias("name"), value.alias("value"))
+    null, groups = F.lit(None), {}
+    for c in columns:
+        groups.setdefault(main_of[c], []).append(c)
+    total = lambda cs: sum((F.col(c) for c in cs), F.lit(0.0))
+    rows = [F.when(F.col(c) > 0, item(F.lit(main_of[c]), F.lit(c), F.col(c))) for c in columns]
+    rows += [F.when(total(cs) > 0, item(F.lit(m), null, total(cs))) for m, cs in groups.items()]
+    rows += [F.when(total(columns) > 0, item(null, null, total(columns))), F.when(left > 0, item(F.lit(label), null, left))]
+    return row.select(F.explode(F.array_compact(F.array(*rows))).alias("r")).select("r.*")
 
 
 def class_tables(df: DataFrame) -> DataFrame:
@@ -188,9 +187,12 @@ def class_tables(df: DataFrame) -> DataFrame:
 
 
 def zone_table(df: DataFrame, n: int = 10) -> DataFrame:
-    u = unpivot(df, [c for c in ZONE_COLUMNS if c != NO_ZONE]).groupBy("name").agg(F.sum("value").alias("value"))
-    items = top_n(u, n)
-    return with_remainder(items, total_area(df), "Ohne Bauzone", {"name": None, "rn": F.lit(n + 2)})
+    """(name, value, rn): the n largest zones, the others as one row, and what lies outside of zones."""
+    own = [c for c in ZONE_COLUMNS if c != NO_ZONE]
+    row, left = _sums(df, own)
+    item = lambda name, value, rest: F.struct(F.lit(name).alias("name"), value.alias("value"), F.lit(rest).alias("rest"))
+    rows = [F.when(F.col(c) > 0, item(c, F.col(c), False)) for c in own] + [F.when(left > 0, item("Ohne Bauzone", left, True))]
+    return top_n(row.select(F.explode(F.array_compact(F.array(*rows))).alias("r")).select("r.*"), n, apart="rest")
 
 
 def parcel_stats(df: DataFrame) -> DataFrame:

@@ -226,6 +226,16 @@ def check_flags(n_features: Column, cap: int, skipped: Column, dropped: Column,
     }
 
 
+def balance(parcels: DataFrame, pieces: DataFrame, rounded: set[str], kinds: tuple[str, ...] = ("landcover", "zones", "habitat")) -> DataFrame:
+    """egrid, parcel_area_m2 and <kind>_m2 of every parcel: its own area and that of each layer's pieces, 0 without any,
+    in one aggregate. pieces: a clip (a_egrid, b_kind, area) with all layers as one; rounded: layers of two decimals."""
+    own = parcels.select("egrid", F.lit("parcel").alias("kind"), ((F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny"))).alias("area"))
+    part = F.when(F.col("b_kind").isin(*rounded), round2(F.col("area"))).otherwise(F.col("area"))
+    every = own.unionByName(pieces.select(F.col("a_egrid").alias("egrid"), F.col("b_kind").alias("kind"), part.alias("area")))
+    of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("area"))), F.lit(0.0))
+    return every.groupBy("egrid").agg(of("parcel").alias("parcel_area_m2"), *[of(k).alias(f"{k}_m2") for k in kinds])
+
+
 def error_parcels(users: DataFrame, known: DataFrame) -> DataFrame:
     """id, egrid, check_egrid, errors of user rows whose EGRID is invalid or unknown."""
     messages = {"invalid": "invalid EGRID", "not_found": "parcel not found"}

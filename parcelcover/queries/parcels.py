@@ -26,10 +26,15 @@ KPI_SQL = ", ".join(
 )
 
 
+def part_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Land-cover pieces of parcels' parts: enough for sums by parcel, which need no sums by piece before."""
+    c = clip(bridge(spark, sf, "b_parcels").select("egrid", "minx", "miny", "maxx", "maxy"), bridge(spark, sf, "b_landcover"), boxes=True)
+    return c.select(F.col("a_egrid").alias("egrid"), *[F.col(f"b_{k}").alias(k) for k in ("fid", "art", "bfsnr", "gwr_egid")], "area")
+
+
 def pieces(spark: SparkSession, sf: str) -> DataFrame:
     """Land-cover pieces of dissolved parcels."""
-    c = clip(bridge(spark, sf, "b_parcels").select("egrid", "minx", "miny", "maxx", "maxy"), bridge(spark, sf, "b_landcover"), boxes=True)
-    return c.groupBy(F.col("a_egrid").alias("egrid"), F.col("b_fid").alias("fid"), F.col("b_art").alias("art"), F.col("b_bfsnr").alias("bfsnr"), F.col("b_gwr_egid").alias("gwr_egid")).agg(F.sum("area").alias("area"))
+    return part_pieces(spark, sf).groupBy("egrid", "fid", "art", "bfsnr", "gwr_egid").agg(F.sum("area").alias("area"))
 
 
 def overlay_pieces(spark: SparkSession, sf: str, layer: str, columns: list[str]) -> DataFrame:
@@ -229,7 +234,7 @@ def _(spark, sf):
 
 @query("j13_attach_aggregates", "select p.egrid, check_egrid, parcel_area_m2, coalesce(sealed_m2, 0e0) sealed_m2 from o_parcels p left join (select egrid e, coalesce(sum(case when sealed then area end), 0e0) sealed_m2 from o_classed group by 1) on e = p.egrid")
 def _(spark, sf):
-    k = S.landcover_kpis(S.classify(pieces(spark, sf))).select("egrid", "sealed_m2")
+    k = S.landcover_kpis(S.classify(part_pieces(spark, sf))).select("egrid", "sealed_m2")
     return S.attach_aggregates(dissolved(spark, sf).select("egrid", "check_egrid", "parcel_area_m2"), k)
 
 
@@ -281,7 +286,7 @@ def _(spark, sf):
 
 @query("a3_landcover_kpis", f"select egrid, {KPI_SQL} from o_classed group by 1")
 def _(spark, sf):
-    return S.landcover_kpis(S.classify(pieces(spark, sf)))
+    return S.landcover_kpis(S.classify(part_pieces(spark, sf)))
 
 
 @query("a3_landcover_kpis_rounded", "select egrid, floor(coalesce(sum(case when sia416 = 'BUF' then area / 3e0 end), 0e0) * 100 + 0.5) / 100 sia416_buf_m2, floor(coalesce(sum(case when sealed then area / 3e0 end), 0e0) * 100 + 0.5) / 100 sealed_m2 from (select egrid, sia416, sealed, round(area * 3, 0) area from o_classed) group by 1")
@@ -292,7 +297,7 @@ def _(spark, sf):
 
 @query("a4_area_by_art", "select egrid, " + ", ".join(f"coalesce(sum(case when art = '{a}' then area end), 0e0) av_{a.lower()}_m2" for a in [*dims.ARTS, UNKNOWN_ART]) + " from o_pieces group by 1")
 def _(spark, sf):
-    return S.area_by_art(pieces(spark, sf), [*dims.ARTS, UNKNOWN_ART])
+    return S.area_by_art(part_pieces(spark, sf), [*dims.ARTS, UNKNOWN_ART])
 
 
 _FIXED = "format('{:.1f}', t + case when abs((t * 4) % 2 - 1) < 1e-12 then 0.01 else 0 end)"
@@ -381,11 +386,12 @@ def _(spark, sf):
 _TO_ART = "case " + " ".join(f"when {_CODE} = '{k}' or starts_with({_CODE}, '{k}.') then '{v}'" for k, v in sorted(dims.HABITAT_TO_ART.items(), key=lambda x: -len(x[0]))) + " end"
 
 
-@query("r1_synthetic_landcover", f"""with s as (select egrid, {_TO_ART} art, area from o_habitat), h as (select egrid, sum(area) av from o_pieces where art = 'Reben' group by 1), c as (select egrid, sum(area) other from s where art is not null group by 1),
+@query("r1_synthetic_landcover", f"""with s as (select egrid, {_TO_ART} art, area from o_habitat), h as (select egrid, sum(area) av from o_pieces where bfsnr % 6 <> 0 or art = 'Reben' group by 1), c as (select egrid, sum(area) other from s where art is not null group by 1),
     u as (select p.egrid from o_parcels p left join h on h.egrid = p.egrid left join c on c.egrid = p.egrid where parcel_area_m2 > 0 and coalesce(av, 0) < parcel_area_m2 * 0.05 and coalesce(other, 0) > coalesce(av, 0))
-    select egrid, art, area, 'AV' lc_source, '' lc_synthetic from o_pieces where art = 'Reben' and egrid not in (select egrid from u) union all select egrid, art, area, 'BAFU', 'yes' from s where art is not null and egrid in (select egrid from u)""")
+    select egrid, art, area, 'AV' lc_source, '' lc_synthetic from o_pieces where (bfsnr % 6 <> 0 or art = 'Reben') and egrid not in (select egrid from u) union all select egrid, art, area, 'BAFU', 'yes' from s where art is not null and egrid in (select egrid from u)""")
 def _(spark, sf):
-    lc = pieces(spark, sf).where("art = 'Reben'").select("egrid", "art", "area")
+    # In every sixth municipality only vines are surveyed.
+    lc = pieces(spark, sf).where("bfsnr % 6 <> 0 or art = 'Reben'").select("egrid", "art", "area")
     return S.synthetic_landcover(dissolved(spark, sf).select("egrid", "parcel_area_m2"), lc, habitat(spark, sf).select("egrid", "typoch", "area"))
 
 
@@ -428,11 +434,10 @@ def _(spark, sf):
 @query("r7_balance_check", """select p.egrid, parcel_area_m2, coalesce(l, 0e0) landcover_m2, coalesce(z, 0e0) zones_m2, coalesce(h, 0e0) habitat_m2, abs(coalesce(l, 0) - parcel_area_m2) <= greatest(1, parcel_area_m2 * 0.01) balanced from o_parcels p
     left join (select egrid, sum(area) l from o_pieces group by 1) a on a.egrid = p.egrid left join (select egrid, sum(area) z from o_zones group by 1) b on b.egrid = p.egrid left join (select egrid, sum(area) h from o_habitat group by 1) c on c.egrid = p.egrid""")
 def _(spark, sf):
-    total = lambda d, n: d.groupBy("egrid").agg(F.sum("area").alias(n))
-    out = dissolved(spark, sf).select("egrid", "parcel_area_m2")
-    for d, n in ((pieces(spark, sf), "landcover_m2"), (zones(spark, sf), "zones_m2"), (habitat(spark, sf), "habitat_m2")):
-        out = out.join(total(d, n), "egrid", "left")
-    out = out.fillna(0.0)
+    boxes = ["minx", "miny", "maxx", "maxy"]
+    layers = [bridge(spark, sf, t).select(*boxes, F.lit(k).alias("kind")) for t, k in (("b_landcover", "landcover"), ("b_zones", "zones"), ("b_habitat", "habitat"))]
+    parcels = bridge(spark, sf, "b_parcels").select("egrid", *boxes)
+    out = S.balance(parcels, clip(parcels, layers[0].unionByName(layers[1]).unionByName(layers[2]), boxes=True), {"zones", "habitat"})
     return out.withColumn("balanced", F.abs(F.col("landcover_m2") - F.col("parcel_area_m2")) <= F.greatest(F.lit(1.0), F.col("parcel_area_m2") * 0.01))
 
 

@@ -49,7 +49,7 @@ BRIDGES: dict[str, str] = {
                {_at(Y, 'k')} + (o_orderkey % 6) * 5 miny, {_at(X, 'k')} + (o_orderkey % 9) * 2 + 8 + o_custkey % 20 maxx, {_at(Y, 'k')} + (o_orderkey % 6) * 5 + 8 + o_custkey % 12 maxy, k
         from (select *, (o_orderkey * 7) % (select count(*) from part) k from orders)""",
     "b_users": """
-        select 'TEST-' || cast(c_custkey as string) id, case when c_custkey % 41 = 0 then '' when c_custkey % 37 = 0 then 'BAD_' || cast(c_custkey as string) else 'CH' || lpad(cast(c_custkey % (p + 50) as string), 12, '0') end egrid, c_custkey pos,
+        select 'TEST-' || cast(c_custkey as string) id, case when c_custkey % 41 = 0 then '' when c_custkey % 37 = 0 then 'BAD_' || cast(c_custkey as string) else 'CH' || lpad(cast((c_custkey - case when c_custkey % 20 = 3 then 1 else 0 end) % (p + 50) as string), 12, '0') end egrid, c_custkey pos,
                n_name rg, c_mktsegment tpf, cast(1 + 2 * (c_custkey % 3) as string) eigent, c_name ort,
                case when c_custkey % 17 = 0 then 'ABGA alt ' when c_custkey % 19 = 0 then 'LÖVM ' when c_custkey % 23 = 0 then 'Bern, PP Miete ' when c_custkey % 29 = 0 then 'Rapperswil ' else '' end || c_name bez
         from (select *, (select count(*) from part) p from customer) join nation on n_nationkey = c_nationkey""",

@@ -49,15 +49,13 @@ def read_parcel_list(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"missing columns: {', '.join(missing)}; found: {', '.join(names)}")
     keep = {n: f"c{i}" for i, n in enumerate(names)}
     schema = ", ".join(f"c{i} string" for i in range(len(names)))
-    df = spark.read.csv(path, schema=schema, sep=sep, multiLine=True, quote='"', escape='"', encoding="UTF-8", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    # Each file's first row goes: its header, or the line that names the delimiter, behind which the header stands.
+    df = spark.read.csv(path, schema=schema, sep=sep, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     clean = lambda c: F.trim(F.coalesce(F.regexp_replace(c, "^﻿", ""), F.lit("")))
     if extra:
-        # The first line, "sep=" and the delimiter, is a row of one cell; a parcel's id may begin like it.
-        others = [F.coalesce(F.trim(F.col(c)), F.lit("")) == "" for c in df.columns[1:]]
-        line = F.lower(F.regexp_replace(F.coalesce(F.col("c0"), F.lit("")), "^\ufeff", "")) == "sep="
-        df = df.where(~reduce(lambda x, y: x & y, others, line))
-    out = df.select(*[clean(F.col(c)).alias(n) for n, c in keep.items()])
-    return out.where(~((F.lower("id") == "id") & (F.lower("egrid") == "egrid")))
+        head = next(csv.reader([header_line], delimiter=sep))
+        df = df.where(~reduce(lambda x, y: x & y, [F.trim(F.coalesce(F.col(c), F.lit(""))) == h.strip() for c, h in zip(df.columns, head, strict=True)]))
+    return df.select(*[clean(F.col(c)).alias(n) for n, c in keep.items()])
 
 
 def allowlist_columns(df: DataFrame, kept: list[str]) -> tuple[DataFrame, list[str]]:

@@ -93,3 +93,14 @@ def test_private_columns_and_texts(spark, tmp_path):
     (tmp_path / "s.csv").write_text("sep=;\nid;egrid\nsep=1;CH1\n")
     assert [tuple(r) for r in files.read_parcel_list(spark, str(tmp_path / "s.csv")).collect()] == [("sep=1", "CH1")]
     assert values(spark, [1e10, 5.0, 0.5, None], S.norm_number, "double") == ["10000000000", "5", "0.5", None]
+
+
+def test_a_row_like_the_header_stays(spark, tmp_path):
+    """The header goes by its place in each file."""
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.csv").write_text("id;egrid;x\nID;EGRID;1\n2;CH2;2\n")
+    (tmp_path / "d" / "b.csv").write_text("id;egrid;x\n3;CH3;3\n")
+    rows = files.read_parcel_list(spark, str(tmp_path / "d")).orderBy("x").collect()
+    assert [(r.id, r.egrid) for r in rows] == [("ID", "EGRID"), ("2", "CH2"), ("3", "CH3")]
+    (tmp_path / "s.csv").write_text("sep=|\nID|EGRID\nid|egrid|\n1|CH1\n")
+    assert [r.id for r in files.read_parcel_list(spark, str(tmp_path / "s.csv")).collect()] == ["id", "1"]

@@ -1,5 +1,6 @@
 """Every query with SQL against DuckDB, plans without cross products, and the greedy choice against the plain pass."""
 
+import collections
 import math
 import os
 
@@ -62,6 +63,24 @@ def test_clip_plan_is_an_equi_join(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def nodes(plan):
+    """How often each kind of node is in a plan, without subqueries."""
+    found, todo = collections.Counter(), [plan]
+    while todo:
+        p = todo.pop()
+        found[p.nodeName()] += 1
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return found
+
+
+@pytest.mark.parametrize("name,exchanges,scans", [("a13_art_hierarchy", 5, 3), ("a14_habitat_hierarchy", 5, 3), ("a16_zone_table", 8, 3), ("r7_balance_check", 7, 18)])
+def test_plans_of_one_pass(spark, name, exchanges, scans):
+    """What is summed up is read once: few shuffles, and each table once for each place where its SQL names it."""
+    found = nodes(library.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().initialPlan())
+    assert found["Exchange"] <= exchanges
+    assert found["Scan parquet "] <= scans
+
+
 def test_fixed_decimal_query(spark):
     from decimal import ROUND_HALF_UP, Decimal
 
