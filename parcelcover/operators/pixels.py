@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelcover.functions.geometry import contains
+from parcelcover.operators.spatial import candidate_pairs
 
 THRESHOLD = {"ndvi": 0.2, "gli": 0.1, "vari": 0.1}
 
@@ -64,10 +65,29 @@ def to_features(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return vectors.withColumn("features", array_to_vector(F.col(column).cast("array<double>")))
 
 
-def train_forest(samples: DataFrame, label: str = "label", trees: int = 50, seed: int = 42):
+def sample_training(vectors: DataFrame, areas: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+    """Vectors (x, y and more) inside labelled areas (cls, fid, geom and its box), once for each area that holds them, with
+    fid and cls. Points and areas meet in the cells of the spatial join, then the area's outline decides: its left and
+    lower borders belong to it. Points or areas without a place are in none."""
+    points = vectors.withColumns({"minx": F.col(x), "miny": F.col(y), "maxx": F.col(x), "maxy": F.col(y)})
+    pairs = candidate_pairs(areas.select("fid", "cls", "geom", "minx", "miny", "maxx", "maxy"), points)
+    inside = pairs.where(contains(F.col("a_geom"), F.col(f"b_{x}"), F.col(f"b_{y}")))
+    return inside.select(*[F.col(f"b_{c}").alias(c) for c in vectors.columns], F.col("a_fid").alias("fid"), F.col("a_cls").alias("cls"))
+
+
+def class_weights(samples: DataFrame, label: str = "cls") -> DataFrame:
+    """samples with weight: all classes weigh the same in sum, and all samples together as much as their number."""
+    counts = samples.groupBy(F.col(label).alias("__class")).agg(F.count("*").alias("__n"))
+    whole = counts.agg(F.sum("__n").alias("__all"), F.count("*").alias("__classes"))  # one row
+    weights = counts.crossJoin(F.broadcast(whole)).select("__class", (F.col("__all") / (F.col("__classes") * F.col("__n"))).alias("weight"))
+    return samples.join(weights, F.col(label) == F.col("__class")).drop("__class")
+
+
+def train_forest(samples: DataFrame, label: str = "label", trees: int = 50, seed: int = 42, weight: str | None = None):
     from pyspark.ml.classification import RandomForestClassifier
 
-    return RandomForestClassifier(numTrees=trees, seed=seed, labelCol=label, featuresCol="features").fit(to_features(samples))
+    more = {"weightCol": weight} if weight else {}
+    return RandomForestClassifier(numTrees=trees, seed=seed, labelCol=label, featuresCol="features", **more).fit(to_features(samples))
 
 
 def cluster_vectors(vectors: DataFrame, k: int, seed: int = 42) -> DataFrame:

@@ -80,11 +80,17 @@ def _vectors(spark, sf):
     return spark.read.parquet(f"{sf}/embeddings.parquet")
 
 
-@query("m1_sample_training")
+_INSIDE = f"""select v.vec_id, f.fid, f.cls, v.label from (select vec_id, label, vec_id % 100 + 0.5e0 x, cast(floor(vec_id / 100) as bigint) + 0.5e0 y from embeddings) v
+    join (select r.*, fid % 3 cls from ({ROOFS_SQL}) r) f on x >= f.minx and x < f.maxx and y >= f.miny and y < f.maxy and not (x >= (f.minx + f.maxx) / 2 and y >= f.miny + 3)"""
+
+
+@query("m1_sample_training", f"with s as ({_INSIDE}) select vec_id, fid, cls, label, (select count(*) from s) / ((select count(distinct cls) from s) * n) weight from s join (select cls c, count(*) n from s group by 1) on c = cls")
 def _(spark, sf):
-    v = _vectors(spark, sf).withColumn("minx", (F.col("vec_id") % 100).cast("double")).withColumn("miny", F.floor(F.col("vec_id") / 100).cast("double"))
-    boxes = spark.createDataFrame([(1, 0.0, 0.0, 40.0, 1e9), (2, 60.0, 0.0, 100.0, 1e9)], "cls int, x0 double, y0 double, x1 double, y1 double")  # two labelled boxes
-    return v.join(F.broadcast(boxes), (F.col("minx") >= F.col("x0")) & (F.col("minx") < F.col("x1")) & (F.col("miny") >= F.col("y0")) & (F.col("miny") < F.col("y1"))).select("vec_id", "cls", "label")
+    """Vectors inside L-shaped areas of three classes, weighted for balance."""
+    v = _vectors(spark, sf).select("vec_id", "label", ((F.col("vec_id") % 100) + 0.5).alias("x"), (F.floor(F.col("vec_id") / 100) + 0.5).alias("y"))
+    areas = roofs(spark, sf).withColumn("cls", F.col("fid") % 3)
+    areas = areas.withColumns({c: F.col(c).cast("double") for c in ("minx", "miny", "maxx", "maxy")})
+    return X.class_weights(X.sample_training(v, areas)).select("vec_id", "fid", "cls", "label", "weight")
 
 
 @query("m2_classify_vectors")
