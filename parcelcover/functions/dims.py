@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # The 26 land-cover types by main group.
 MAIN_GROUPS = {
@@ -15,6 +16,47 @@ MAIN_GROUPS = {
 }
 MAIN_OF = {a: m for m, arts in MAIN_GROUPS.items() for a in arts}
 ARTS = list(MAIN_OF)
+# Names of the types in German, French and Italian; of the main groups; types and names of the subgroups.
+ART_NAMES = {
+    "Gebaeude": ("Gebäude", "Bâtiment", "Edificio"),
+    "Strasse_Weg": ("Strasse/Weg", "Route, chemin", "Strada, sentiero"),
+    "Trottoir": ("Trottoir", "Trottoir", "Marciapiede"),
+    "Verkehrsinsel": ("Verkehrsinsel", "Îlot", "Aiuola spartitraffico"),
+    "Bahn": ("Bahn", "Chemin de fer", "Ferrovia"),
+    "Flugplatz": ("Flugplatz", "Place d'aviation", "Aerodromo"),
+    "Wasserbecken": ("Wasserbecken", "Bassin", "Bacino"),
+    "uebrige_befestigte": ("Übrige befestigte", "Autre surface stabilisée", "Altra superficie consolidata"),
+    "Acker_Wiese_Weide": ("Acker/Wiese/Weide", "Champ, pré, pâturage", "Campo, prato, pascolo"),
+    "Reben": ("Reben", "Vigne", "Vigna"),
+    "uebrige_Intensivkultur": ("Übrige Intensivkultur", "Autre culture intensive", "Altra coltura intensiva"),
+    "Gartenanlage": ("Gartenanlage", "Jardin", "Giardino"),
+    "Hoch_Flachmoor": ("Hoch-/Flachmoor", "Haut-marais, bas-marais", "Torbiera alta e bassa"),
+    "uebrige_humusierte": ("Übrige humusierte", "Autre surface à sol naturel", "Altra superficie con terreno umifero"),
+    "Gewaesser_stehendes": ("Stehendes Gewässer", "Eau stagnante", "Acqua stagnante"),
+    "Gewaesser_fliessendes": ("Fliessendes Gewässer", "Eau courante", "Acqua corrente"),
+    "Schilfguertel": ("Schilfgürtel", "Roselière", "Canneto"),
+    "geschlossener_Wald": ("Geschlossener Wald", "Forêt dense", "Bosco fitto"),
+    "Wytweide_dicht": ("Wytweide (dicht)", "Pâturage boisé dense", "Pascolo alberato denso"),
+    "Wytweide_offen": ("Wytweide (offen)", "Pâturage boisé ouvert", "Pascolo alberato rado"),
+    "uebrige_bestockte": ("Übrige bestockte", "Autre surface boisée", "Altra superficie boschiva"),
+    "Fels": ("Fels", "Rocher", "Roccia"),
+    "Gletscher_Firn": ("Gletscher/Firn", "Glacier, névé", "Ghiacciaio, nevaio"),
+    "Geroell_Sand": ("Geröll/Sand", "Éboulis, sable", "Detriti, sabbia"),
+    "Abbau_Deponie": ("Abbau/Deponie", "Extraction, décharge", "Estrazione, discarica"),
+    "uebrige_vegetationslose": ("Übrige vegetationslose", "Autre surface sans végétation", "Altra superficie senza vegetazione"),
+}
+MAIN_NAMES = {
+    "Gebäude": ("Bâtiment", "Edificio"),
+    "Befestigte Flächen": ("Surfaces revêtues", "Superfici pavimentate"),
+    "Humusierte Flächen": ("Surfaces à sol naturel", "Superfici con terreno umifero"),
+    "Gewässer": ("Eaux", "Acque"),
+    "Bestockte Flächen": ("Surfaces boisées", "Superfici boschive"),
+    "Vegetationslose Flächen": ("Surfaces sans végétation", "Superfici senza vegetazione"),
+}
+SUBGROUPS = {
+    "Intensivkultur": (["Reben", "uebrige_Intensivkultur"], "Culture intensive", "Coltura intensiva"),
+    "Wytweide": (["Wytweide_dicht", "Wytweide_offen"], "Pâturage boisé", "Pascolo alberato"),
+}
 # Classes by type.
 SEALED = {"Gebaeude", *MAIN_GROUPS["Befestigt"]}
 GREEN_SOIL = {"Acker_Wiese_Weide", "Reben", "Gartenanlage", "Hoch_Flachmoor", "uebrige_humusierte", "Wytweide_dicht", "Wytweide_offen"}
@@ -111,15 +153,26 @@ def dim_art(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([art_row(a) for a in ARTS], ART_COLUMNS)
 
 
-def dim_habitat(spark: SparkSession) -> DataFrame:
-    rows = [(k, *v) for k, v in HABITAT_L1.items()] + [(k, None, *v) for k, v in HABITAT_FINER.items()]
-    return spark.createDataFrame(rows, "code string, name string, greenspace string, vbs_kat string, vbs_produktiv string, vbs_typ string")
+def dim_names(spark: SparkSession) -> DataFrame:
+    """(art, maingroup, subgroup, de, fr, it, maingroup_de, maingroup_fr, maingroup_it) of the types; blank without subgroup."""
+    sub = {a: s for s, (arts, _, _) in SUBGROUPS.items() for a in arts}
+    main = dict(zip(MAIN_GROUPS, MAIN_NAMES.items(), strict=True))
+    rows = [(a, MAIN_OF[a], sub.get(a, ""), *ART_NAMES[a], main[MAIN_OF[a]][0], *main[MAIN_OF[a]][1]) for a in ARTS]
+    return spark.createDataFrame(rows, "art string, maingroup string, subgroup string, de string, fr string, it string, maingroup_de string, maingroup_fr string, maingroup_it string")
 
 
-def dim_zone(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, *v) for k, v in ZONES.items()], "slug string, name string, relevance double")
+def dim_habitat(spark: SparkSession, finer: DataFrame | None = None) -> DataFrame:
+    """(code, level, name): habitat names of levels 1 and 2, and those of a table (code, name) of finer ones."""
+    names = spark.createDataFrame([*HABITAT_NAMES.items()], "code string, name string")
+    if finer is not None:
+        names = names.unionByName(finer.select("code", "name"))
+    return names.withColumn("level", F.size(F.split("code", r"\."))).select("code", "level", "name")
 
 
-def dim_label(spark: SparkSession) -> DataFrame:
-    rows = [(d, k, v) for d, m in (("portfolio", PORTFOLIO), ("ownership", OWNERSHIP), ("status", STATUS), ("vbs", VBS_LABELS)) for k, v in m.items()]
-    return spark.createDataFrame(rows, "domain string, code string, label string")
+def country_names(names: DataFrame, code: str, table: DataFrame) -> DataFrame:
+    """names with country: the name of a country code by a table (code, name), some hundred rows given by the user; codes
+    that it doesn't have stay, in capitals or not; blank is a dash."""
+    known = F.broadcast(table.select(F.upper("code").alias("__code"), F.col("name").alias("country")))
+    out = names.join(known, F.upper(F.col(code).cast("string")) == F.col("__code"), "left").drop("__code")
+    blank = F.coalesce(F.col(code).cast("string"), F.lit("")) == ""
+    return out.withColumn("country", F.when(blank, "—").otherwise(F.coalesce("country", F.col(code).cast("string"))))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: mean radius of the earth in metres.
 EARTH = 6371008.8
 GEOMETRY = "array<array<array<struct<x: double, y: double>>>>"
 
@@ -52,6 +53,7 @@ def is_rectangle(geom: Column) -> Column:
 
 def lv95_to_wgs84(east: Column, north: Column) -> tuple[Column, Column]:
     """(longitude, latitude) by the published approximation of about a metre."""
+    # The published coefficients.
     y, x = (east - 2600000) / 1e6, (north - 1200000) / 1e6
     lon = 2.6779094 + 4.728982 * y + 0.791484 * y * x + 0.1306 * y * x * x - 0.0436 * y * y * y
     lat = 16.9023892 + 3.238272 * x - 0.270978 * y * y - 0.002528 * x * x - 0.0447 * y * y * x - 0.0140 * x * x * x
@@ -59,6 +61,7 @@ def lv95_to_wgs84(east: Column, north: Column) -> tuple[Column, Column]:
 
 
 def wgs84_to_lv95(lon: Column, lat: Column) -> tuple[Column, Column]:
+    # The published coefficients.
     p, q = (lat * 3600 - 169028.66) / 10000, (lon * 3600 - 26782.5) / 10000
     east = 2600072.37 + 211455.93 * q - 10938.51 * q * p - 0.36 * q * p * p - 44.54 * q * q * q
     north = 1200147.07 + 308807.95 * p + 3745.25 * q * q + 76.63 * p * p - 194.56 * q * q * p + 119.79 * p * p * p

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelcover.functions.geometry import GEOMETRY
+from parcelcover.functions.geometry import GEOMETRY, bbox, is_rectangle
 from parcelcover.operators.overlay import Flat, overlay_flat, to_arrow
 
 #: Cells of level 0; a level's cells are STEP times as wide as those below it. Levels above are for wide boxes, those
@@ -93,6 +93,12 @@ def candidate_pairs(a: DataFrame, b: DataFrame, cell: float = CELL) -> DataFrame
     return pairs.where(touch & here).drop("level", "cx", "cy", "turn")
 
 
+def boxed(df: DataFrame, geom: str = "geom") -> DataFrame:
+    """df with the box of its geometries and rect, whether they fill it, as the joins ask for; nulls where there is none."""
+    b = bbox(F.col(geom))
+    return df.withColumns({c: b[c] for c in _BOX} | {"rect": is_rectangle(F.col(geom))})
+
+
 def overlap() -> dict[str, Column]:
     """Corners of a pair's common box."""
     return {f: (F.greatest if f.startswith("min") else F.least)(f"a_{f}", f"b_{f}") for f in ("minx", "miny", "maxx", "maxy")}

@@ -76,6 +76,17 @@ def _(spark, sf):
     return spark.read.parquet(f"{path}/landcover")
 
 
+_SUB = "case " + " ".join(f"when art in ({', '.join(repr(a) for a in arts)}) then '{s}'" for s, (arts, _, _) in dims.SUBGROUPS.items()) + " else '' end"
+_FR = "case art " + " ".join(f"when '{a}' then '{v[1].replace(chr(39), chr(39) * 2)}'" for a, v in dims.ART_NAMES.items()) + " end"
+
+
+@query("s11_names", f"select fid, art, {_SUB} subgroup, {_FR} fr from b_landcover where art <> 'Unbekannt'")
+def _(spark, sf):
+    """Every feature with its type's French name and subgroup."""
+    names = F.broadcast(dims.dim_names(spark))  # 26 rows
+    return bridge(spark, sf, "b_landcover").join(names, "art").select("fid", "art", "subgroup", "fr")
+
+
 @query("s11_load_dims", "select art, maingroup, n from (select a.art, maingroup, count(b.art) n from o_art a left join b_landcover b on b.art = a.art group by 1, 2)")
 def _(spark, sf):
     lc = bridge(spark, sf, "b_landcover").groupBy(F.col("art").alias("a")).agg(F.count("*").alias("n"))

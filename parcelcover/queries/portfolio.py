@@ -8,6 +8,7 @@ from parcelcover.functions import dims
 from parcelcover.operators import portfolio as P
 from parcelcover.operators.ranking import pct_rank_mid
 from parcelcover.registry import query
+from parcelcover.sources import files
 from parcelcover.sources.bridge import ART_COLUMNS, HABITAT_COLUMNS, ZONE_COLUMNS, bridge
 
 A = "coalesce(parcel_area_m2, 0e0)"
@@ -369,6 +370,22 @@ def _(spark, sf):
     return d.select("id", "egrid", F.col("sealed_m2").cast("string").alias("sealed_text"), P.blank(F.col("input_tpf")).alias("tpf_text"))
 
 
+_JSON_NUMBER = "case when {c} is null then 'null' when {c} = floor({c}) then cast(cast({c} as bigint) as varchar) else cast({c} as varchar) end"
+
+
+@query("s13_export_features", f"""select '{{"type":"Feature","geometry":null,"properties":{{"id":"' || id || '","egrid":"' || egrid || '","sealed_m2":' || {_JSON_NUMBER.format(c='sealed_m2')} || ',"parcel_area_m2":' || {_JSON_NUMBER.format(c='parcel_area_m2')} || '}}}}' as json
+    from b_portfolio where not {EXCLUDED} and input_country = 'CH' and input_eigent = '1'""")
+def _(spark, sf):
+    d = P.facet_filter(wide(spark, sf), countries=["CH"], ownership=["1"])
+    return files.export_selection(d.select("id", "egrid", "sealed_m2", "parcel_area_m2", F.col("input_bez").alias("_name")))
+
+
+@query("s13_export_columns", f"select id, coalesce(parcel_area_m2, 0) parcel_area_m2, coalesce(input_ort, '') input_ort, coalesce(try_cast(input_tpf as double), 0) input_tpf from b_portfolio where not {EXCLUDED} and input_country = 'CH' and input_eigent = '1'")
+def _(spark, sf):
+    d = P.facet_filter(wide(spark, sf), countries=["CH"], ownership=["1"])
+    return files.export_selection(d, {"id": False, "parcel_area_m2": True, "input_ort": False, "input_tpf": True})
+
+
 @query("s13_export_ranked", f"with {SCORED} select k, id, round(score, 4) survey_score from scored qualify row_number() over (order by round(score, 9) desc, k) <= 10")
 def _(spark, sf):
     return P.select_capped(scored(spark, sf).withColumn("score", F.round("score", 9)), 10, 0, 0).select("k", "id", F.round("score", 4).alias("survey_score"))

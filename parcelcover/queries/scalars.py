@@ -8,7 +8,7 @@ from parcelcover.functions import dims
 from parcelcover.functions import geometry as G
 from parcelcover.functions import scalars as S
 from parcelcover.registry import query
-from parcelcover.sources.bridge import bridge
+from parcelcover.sources.bridge import COMMON, bridge
 
 
 @query("f1_slugify", "select distinct bauzone, trim(regexp_replace(replace(replace(replace(replace(lower(bauzone), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), '[^a-z0-9]+', '_', 'g'), '_') slug from b_zones")
@@ -119,6 +119,21 @@ def _(spark, sf):
     return difference(pairs, "geom", "other", "rest").select("fid", F.round(G.planar_area(F.col("rest")), 6).alias("area"))
 
 
+@query("g5_polygon_overlay", f"""with n as (select count(*) n from part), s as (select fid, sum(sign * (maxx - minx) * (maxy - miny)) a from o_zone_boxes group by 1),
+    c as (select p.fid, f.fid other, sum(p.sign * f.sign * {COMMON}) c from o_zone_boxes p join n on true join o_zone_boxes f on f.fid = p.fid + n group by 1, 2)
+    select fid, c as "and_m2", x.a + y.a - c "or_m2", x.a - c "minus_m2" from c join (select fid xf, a from s) x on xf = fid join (select fid yf, a from s) y on yf = other""")
+def _(spark, sf):
+    """Common part, union and difference of L-shapes, frames, boxes and pairs of boxes."""
+    from parcelcover.operators.spatial import shapes
+
+    n = spark.read.parquet(f"{sf}/part.parquet").count()
+    z = bridge(spark, sf, "b_zone_shapes").select("fid", "geom")
+    out = z.join(z.select((F.col("fid") - n).alias("fid"), F.col("geom").alias("other")), "fid")
+    for op in ("and", "or", "minus"):
+        out = shapes(out, "geom", op, "other", f"{op}_geom", f"{op}_m2").drop(f"{op}_geom")
+    return out.drop("geom", "other")
+
+
 @query("g6_geojson_round_trip", "select fid, (maxx - minx) * (maxy - miny) area from b_zones")
 def _(spark, sf):
     z = bridge(spark, sf, "b_zones")

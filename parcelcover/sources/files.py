@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelcover.functions.geometry import from_geojson, to_geojson
-from parcelcover.functions.scalars import norm_number
+from parcelcover.functions.scalars import norm_number, num
 from parcelcover.sources.ranges import array_members
 
 #: Column orders of the detail layers; columns that a table lacks are left out.
@@ -71,15 +71,24 @@ def json_value(c: Column, kind: str) -> Column:
     return F.when(c.isNotNull() & (c == F.floor(c)) & (F.abs(c) < 1e15), c.cast("long").cast("string")).otherwise(text) if kind in ("double", "float") else text
 
 
-def feature(df: DataFrame, layer: str, geometry: str | None = None) -> DataFrame:
-    """(json): each row as a GeoJSON feature tagged with its layer; names that begin with _ are left out."""
+def feature(df: DataFrame, layer: str | None, geometry: str | None = None) -> DataFrame:
+    """(json): each row as a GeoJSON feature, tagged with its layer if there is one; names that begin with _ are left out."""
     shown = [(c, t) for c, t in df.dtypes if not c.startswith("_") and c != geometry]
-    parts = [F.lit(json.dumps("layer") + ":" + json.dumps(layer, ensure_ascii=False))]
+    parts = [F.lit(json.dumps("layer") + ":" + json.dumps(layer, ensure_ascii=False))] if layer is not None else []
     parts += [F.concat(F.lit(json.dumps(c, ensure_ascii=False) + ":"), json_value(F.col(f"`{c}`"), t)) for c, t in shown]
     geo = F.coalesce(to_geojson(F.col(geometry)), F.lit("null")) if geometry else F.lit("null")
     return df.select(F.concat(F.lit('{"type":"Feature","geometry":'), geo, F.lit(',"properties":{'), F.concat_ws(",", *parts), F.lit("}}")).alias("json"))
 
 
+def export_selection(df: DataFrame, columns: dict[str, bool] | None = None, geometry: str = "_geom") -> DataFrame:
+    """The rows of a selection (all, filtered or ranked) for an export: as features (json) with their geometry, if there is
+    one, and all columns but those that begin with _; or, if columns are chosen (name: is it a number), these alone, as
+    numbers, 0 without a leading number, or as texts, "" for null."""
+    if columns is None:
+        return feature(df, None, geometry if geometry in df.columns else None)
+    return df.select(*[(num(F.col(c)) if number else F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c, number in columns.items()])
+
+
 def write_feature_layers(layers: dict[str, DataFrame], path: str, geometry: str = "geom") -> None:
     """All layers as one file set of one feature a line, in the order of layers within each part."""
     out = None

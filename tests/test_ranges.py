@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelcover.operators.reports import read_list_report, read_upload_report
+from parcelcover.operators.spatial import boxed, clip
 from parcelcover.sources import files, ranges
 
 FEATURES = [
@@ -49,6 +50,19 @@ def test_collection_as_layers(spark, tmp_path):
     assert files.read_collection(spark, str(tmp_path)).count() == 0
 
 
+def test_from_a_collection_to_clipped_pieces(spark, tmp_path):
+    """Parcels and features from one file, boxed, clipped, one broken feature counted."""
+    square = lambda x, y, w: {"type": "Polygon", "coordinates": [[[x, y], [x + w, y], [x + w, y + w], [x, y + w], [x, y]]]}
+    feature = lambda i, layer, g: {"type": "Feature", "properties": {"id": i, "layer": layer}, "geometry": g}
+    triangle = {"type": "MultiPolygon", "coordinates": [[[[0, 0], [4, 0], [0, 4], [0, 0]]]]}
+    broken = {"type": "Polygon", "coordinates": [[[0, 0], [4, None], [4, 4], [0, 0]]]}
+    top = {"type": "FeatureCollection", "features": [feature("p", "parcel", square(0, 0, 2)), feature("s", "landcover", square(1, 1, 5)), feature("t", "landcover", triangle), feature("b", "landcover", broken)]}
+    (tmp_path / "a.json").write_text(json.dumps(top, indent=1))
+    parcels, overlays = files.split_layers(files.read_collection(spark, str(tmp_path)))
+    pieces = clip(boxed(parcels.select("id", "geom")), boxed(overlays.select("id", "geom")), failures=True)
+    assert {r.b_id: (r.area, r.failed) for r in pieces.collect()} == {"s": (1.0, False), "t": (4.0, False), "b": (None, True)}
+
+
 def test_line_numbers(spark, tmp_path, cut):
     (tmp_path / "a.txt").write_text("".join(f"line {k}\n" for k in range(300)))
     (tmp_path / "b.txt").write_text("x\n\ny")
