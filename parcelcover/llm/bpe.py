@@ -58,6 +58,10 @@ class Recent(dict):
         self.size += size
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.old, self.size, self.seen = {}, 0, bytearray(MARKS)
+
 
 class Bpe:
     """A tokenizer file of kind word-end BPE: NFC, white space runs to one space, lower case, split by a
@@ -185,6 +189,9 @@ def encode_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", ful
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * full])
             out.insert(0, "doc_id", x.doc_id.to_numpy())
             yield out
+        # The worker outlives the task; what was remembered would lie beside the next stages' own needs.
+        bpe.chunks.forget()
+        bpe.words.forget()
 
     more = ", ids array<int>, decoded string" if full else ""
     source = docs.selectExpr("cast(cast(doc_id as long) as string) doc_id", "cast(text as string) text")  # as text: a null among numbers makes them floats
