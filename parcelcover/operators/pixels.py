@@ -20,11 +20,12 @@ def vegetation_index(kind: str, r: Column, g: Column, b: Column, nir: Column) ->
 
 def label_pixels(px: DataFrame, buildings: DataFrame, order: str = "fid", cell: int = 32) -> DataFrame:
     """px with building: the last (by order) that holds the pixel's centre, by even-odd test where the buildings have a
-    geom, else by their boxes. Boxes are dealt out to cells."""
+    geom, else by their boxes. Boxes are dealt out to cells. Both sides are shuffled: planned by the size of the files
+    they come from, outlines would be sent whole to the driver and all executors."""
     b = buildings.withColumn("cx", F.explode(F.sequence(F.floor(F.col("minx") / cell), F.floor(F.col("maxx") / cell)))).withColumn("cy", F.explode(F.sequence(F.floor(F.col("miny") / cell), F.floor(F.col("maxy") / cell))))
     p = px.withColumn("x", F.col("px") + 0.5).withColumn("y", F.col("py") + 0.5)
     p = p.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
-    hit = p.join(b, ["cx", "cy"]).where("x >= minx and x < maxx and y >= miny and y < maxy")
+    hit = p.join(b.hint("merge"), ["cx", "cy"]).where("x >= minx and x < maxx and y >= miny and y < maxy")
     hit = hit.where(contains(F.col("geom"), F.col("x"), F.col("y"))) if "geom" in buildings.columns else hit
     return hit.groupBy(*px.columns).agg(F.max(order).alias("building"))
 
