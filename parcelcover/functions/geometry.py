@@ -60,12 +60,29 @@ def lv95_to_wgs84(east: Column, north: Column) -> tuple[Column, Column]:
     return lon * 100 / 36, lat * 100 / 36
 
 
-def wgs84_to_lv95(lon: Column, lat: Column) -> tuple[Column, Column]:
+def wgs84_to_lv95(lon: Column, lat: Column, steps: int = 8) -> tuple[Column, Column]:
+    """(east, north) that lv95_to_wgs84() takes to lon, lat. The published approximation begins; as it drifts by metres
+    outside the country, steps towards the inverse follow. No point beyond some 8700 km north of Bern is reached, as
+    there the published latitude falls again."""
+
     # The published coefficients.
-    p, q = (lat * 3600 - 169028.66) / 10000, (lon * 3600 - 26782.5) / 10000
-    east = 2600072.37 + 211455.93 * q - 10938.51 * q * p - 0.36 * q * p * p - 44.54 * q * q * q
-    north = 1200147.07 + 308807.95 * p + 3745.25 * q * q + 76.63 * p * p - 194.56 * q * q * p + 119.79 * p * p * p
-    return east, north
+    def begin(at: Column) -> Column:
+        p, q = (at["b"] * 10000 - 169028.66) / 10000, (at["a"] * 10000 - 26782.5) / 10000
+        y = (72.37 + 211455.93 * q - 10938.51 * q * p - 0.36 * q * p * p - 44.54 * q * q * q) / 1e6
+        x = (147.07 + 308807.95 * p + 3745.25 * q * q + 76.63 * p * p - 194.56 * q * q * p + 119.79 * p * p * p) / 1e6
+        return F.struct(y.alias("y"), x.alias("x"), at["a"].alias("a"), at["b"].alias("b"))
+
+    def closer(at: Column, _: Column) -> Column:
+        """The longitude's equation solved for y, a step of Newton's method on the latitude's for x."""
+        y, x = at["y"], at["x"]
+        missed = at["b"] - 16.9023892 - x * (3.238272 - x * (0.002528 + 0.0140 * x)) + y * y * (0.270978 + 0.0447 * x)
+        slope = 3.238272 - x * (0.005056 + 0.0420 * x) - 0.0447 * y * y
+        return F.struct(F.try_divide(at["a"] - 2.6779094, 4.728982 + x * (0.791484 + 0.1306 * x) - 0.0436 * y * y).alias("y"), (x + F.try_divide(missed, slope)).alias("x"), at["a"].alias("a"), at["b"].alias("b"))
+
+    # An array of one, as its function takes lon and lat by name: they are computed once.
+    given = F.array(F.struct((lon * 36 / 100).alias("a"), (lat * 36 / 100).alias("b")))
+    found = F.transform(given, lambda at: F.aggregate(F.sequence(F.lit(1), F.lit(steps)), begin(at), closer))[0]
+    return 2600000 + found["y"] * 1e6, 1200000 + found["x"] * 1e6
 
 
 def reproject(geom: Column, to) -> Column:

@@ -16,3 +16,11 @@ def plan(df):
 @pytest.mark.parametrize("name", ["x3_label_pixels", "x5_despeckle", "x6_roof_stats"])
 def test_outlines_are_not_sent_to_all(spark, name):
     assert "BroadcastHashJoin" not in plan(library.QUERIES[name](spark, SF))
+
+
+def test_round_trip_far_from_home(spark):
+    d = spark.createDataFrame([(2600000.0 + 400.0 * i, 1200000.0 + 1000.0 * i) for i in range(0, 8400, 40)] + [(2485000.0, 1075000.0), (2834000.0, 1300000.0)], "e double, n double").where("e < 2900000")
+    d = d.unionByName(spark.range(0, 8400, 40).selectExpr("2600000e0 + id % 50 * 64 as e", "1200000e0 + 1000 * id as n"))
+    x, y = G.wgs84_to_lv95(*G.lv95_to_wgs84(F.col("e"), F.col("n")))
+    assert d.where((F.abs(x - F.col("e")) > 0.001) | (F.abs(y - F.col("n")) > 0.001)).count() == 0
+    assert [tuple(r) for r in spark.createDataFrame([(None, 1.0)], "a double, b double").select(*G.wgs84_to_lv95(F.col("a"), F.col("b"))).collect()] == [(None, None)]
