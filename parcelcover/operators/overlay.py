@@ -28,9 +28,10 @@ ARROW = pa.list_(pa.list_(pa.list_(_POINT)))
 
 class Flat:
     """Points of a geometry column in flat arrays: x, y, and each one's ring, part (polygon) and row. bad: rows with
-    null or infinite coordinates, or null parts or rings."""
+    null or infinite coordinates, or null parts or rings. boxes: (rows, minx, miny, maxx, maxy) of rows whose geometry is
+    their box and null in the column."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, boxes: tuple[np.ndarray, ...] | None = None):
         def lengths(c):
             return pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False)
 
@@ -49,6 +50,14 @@ class Flat:
         self.bad[self.row[~(np.isfinite(self.x) & np.isfinite(self.y))]] = True
         self.bad[part_row[ring_part[rings.is_null().to_numpy(zero_copy_only=False)]]] = True
         self.bad[part_row[parts.is_null().to_numpy(zero_copy_only=False)]] = True
+        if boxes is not None and len(boxes[0]):
+            at, x0, y0, x1, y1 = boxes
+            number = np.repeat(np.arange(len(at)), 4)
+            more = (at[number], len(parts) + number, len(rings) + number, np.stack([x0, x1, x1, x0], 1).ravel(), np.stack([y0, y0, y1, y1], 1).ravel())
+            whole = [np.concatenate(c) for c in zip((self.row, self.part, self.ring, self.x, self.y), more, strict=True)]
+            order = np.argsort(whole[0], kind="stable")
+            self.row, self.part, self.ring, self.x, self.y = (c[order] for c in whole)
+            self.bad[at[~np.isfinite(x0 + y0 + x1 + y1)]] = True
         self.sizes = np.bincount(self.row, minlength=rows)
 
     def between(self, a: int, b: int) -> tuple[np.ndarray, ...]:
@@ -73,7 +82,7 @@ class _Edges:
         np.minimum.at(low[0], row, x)
         np.minimum.at(low[1], row, y)
         self.origin = np.floor(np.where(np.isfinite(low), low, 0))
-        self.n, out, first, self.points = n, [], 0, []
+        self.n, self.sides, out, first, self.points = n, max(len(sides), 2), [], 0, []
         for side, (r, part, ring, px, py) in enumerate(sides):
             gx, gy = np.rint((px - self.origin[0][r]) / GRID), np.rint((py - self.origin[1][r]) / GRID)
             self.points.append((r, gx, gy, px, py))
@@ -124,13 +133,14 @@ class _Edges:
         return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0))
 
 
-def _inside(op: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return a & b if op == "and" else a | b if op == "or" else a & ~b
+def _inside(op: str, sides: list[np.ndarray]) -> np.ndarray:
+    a, rest = sides[0], sides[1:]
+    return np.logical_and.reduce(sides) if op == "and" else np.logical_or.reduce(sides) if op == "or" else a & ~np.logical_or.reduce(rest)
 
 
-def _sweep(edges: _Edges, op: str):
-    """For each block of slabs: (pair, edge, opens, x at the bottom, bottom, x at the top, top) where the inside begins
-    or ends, slab by slab from left to right."""
+def _sweep(edges: _Edges, ops: tuple[str, ...]):
+    """For each block of slabs and each of ops: (op, (pair, edge, opens, x at the bottom, bottom, x at the top, top)) where
+    the inside begins or ends, slab by slab from left to right."""
     pair, y = edges.crossings()
     lines = np.unique(np.concatenate([edges.key(edges.pair, edges.y0), edges.key(edges.pair, edges.y1), edges.key(pair, y)]))
     height, of = (lines % int(edges.tall)).astype(float), lines // int(edges.tall)
@@ -150,11 +160,12 @@ def _sweep(edges: _Edges, op: str):
         place = np.arange(len(e)) - np.maximum.accumulate(np.where(new, np.arange(len(e)), 0)) if len(e) else np.zeros(0, int)
         turn = np.empty(len(e), int)
         turn[mine] = 1 - 2 * (place % 2)
-        a, b = (np.cumsum(np.where(edges.side[e] == k, turn, 0)) > 0 for k in (0, 1))
-        now = _inside(op, a, b)
-        before = np.r_[False, now[:-1]] if len(now) else now
-        k = np.flatnonzero(now != before)
-        yield of[s[k]], e[k], now[k], bottom[k], height[s[k]], top[k], height[s[k] + 1]
+        sides = [np.cumsum(np.where(edges.side[e] == k, turn, 0)) > 0 for k in range(edges.sides)]
+        for op in ops:
+            now = _inside(op, sides)
+            before = np.r_[False, now[:-1]] if len(now) else now
+            k = np.flatnonzero(now != before)
+            yield op, (of[s[k]], e[k], now[k], bottom[k], height[s[k]], top[k], height[s[k] + 1])
         s0 = s1
 
 
@@ -305,29 +316,48 @@ def _assemble(edges: _Edges, found: list[tuple[np.ndarray, ...]]) -> list[Rings]
     return out
 
 
-def overlay_flat(a: Flat, b: Flat | None, op: str, geometry: bool = False) -> tuple[np.ndarray, list[Rings]]:
-    """Areas, and polygons if asked for, of "and", "or" or "minus" of the rows of a and b; NaN and no polygons where a
-    row is bad. Rows are taken in blocks of EDGES points; a larger row is a block of its own."""
-    n = len(a.bad)
-    sizes = a.sizes + (b.sizes if b else 0)
-    bad = a.bad | b.bad if b else a.bad
-    ends, area, out, k = np.cumsum(sizes), np.zeros(n), [], 0
+def _blocks(sides: list[Flat]):
+    """(first row, row after the last, edges) of blocks of EDGES points; a larger row is a block of its own. Bad rows have
+    no edges."""
+    bad = np.logical_or.reduce([f.bad for f in sides])
+    ends, k, n = np.cumsum(np.sum([f.sizes for f in sides], axis=0)), 0, len(bad)
     while k < n:
         m = max(int(np.searchsorted(ends, (ends[k - 1] if k else 0) + EDGES, "right")), k + 1)
-        sides = []
-        for side in (a, b):
-            if side:
-                points = side.between(k, m)
-                good = ~bad[k:m][points[0]]
-                sides.append(tuple(c[good] for c in points))
-        edges = _Edges(m - k, sides)
-        found = list(_sweep(edges, op)) if len(edges.pair) else []
-        for pair, _, opens, x0, y0, x1, y1 in found:
-            area[k:m] += np.bincount(pair, np.where(opens, -1, 1) * ((x0 + x1) * GRID) * ((y1 - y0) * GRID) / 2, minlength=m - k)
-        if geometry:
-            out += _assemble(edges, found) if found else [[] for _ in range(k, m)]
+        points = [f.between(k, m) for f in sides]
+        yield k, m, _Edges(m - k, [tuple(c[~bad[k:m][p[0]]] for c in p) for p in points])
         k = m
-    area[bad] = np.nan
+
+
+def _areas(found: tuple[np.ndarray, ...], n: int) -> np.ndarray:
+    pair, _, opens, x0, y0, x1, y1 = found
+    return np.bincount(pair, np.where(opens, -1, 1) * ((x0 + x1) * GRID) * ((y1 - y0) * GRID) / 2, minlength=n)
+
+
+def areas_flat(sides: list[Flat], ops: tuple[str, ...]) -> list[np.ndarray]:
+    """Areas of each of ops between the rows of sides, by one sweep; NaN where a row is bad. "and" is what all sides
+    share, "or" what any holds, "minus" the first's without the others."""
+    out = {op: np.zeros(len(sides[0].bad)) for op in ops}
+    for k, m, edges in _blocks(sides):
+        if len(edges.pair):
+            for op, found in _sweep(edges, ops):
+                out[op][k:m] += _areas(found, m - k)
+    bad = np.logical_or.reduce([f.bad for f in sides])
+    return [np.where(bad, np.nan, out[op]) for op in ops]
+
+
+def overlay_flat(a: Flat, b: Flat | None, op: str, geometry: bool = False) -> tuple[np.ndarray, list[Rings]]:
+    """Areas, and polygons if asked for, of "and", "or" or "minus" of the rows of a and b; NaN and no polygons where a
+    row is bad."""
+    sides = [a, b] if b else [a]
+    if not geometry:
+        return areas_flat(sides, (op,))[0], []
+    area, out = np.zeros(len(a.bad)), []
+    for k, m, edges in _blocks(sides):
+        found = [f for _, f in _sweep(edges, (op,))] if len(edges.pair) else []
+        for f in found:
+            area[k:m] += _areas(f, m - k)
+        out += _assemble(edges, found) if found else [[] for _ in range(k, m)]
+    area[np.logical_or.reduce([f.bad for f in sides])] = np.nan
     return area, out
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelcover.functions.geometry import GEOMETRY, bbox, is_rectangle
-from parcelcover.operators.overlay import Flat, overlay_flat, to_arrow
+from parcelcover.operators.overlay import Flat, areas_flat, overlay_flat, to_arrow
 
 #: Cells of level 0; a level's cells are STEP times as wide as those below it. Levels above are for wide boxes, those
 #: below for crowded cells. Above, a box spans SPAN cells of its level at most; below, it fits into one.
@@ -79,13 +79,14 @@ def candidate_pairs(a: DataFrame, b: DataFrame, cell: float = CELL) -> DataFrame
     boxes stay in wider cells. A pair meets in the one cell that holds the corner (largest minimum x, largest minimum
     y), at the level of the one that stays higher, so no pair comes twice. Nothing is computed before the join itself
     is: the counts that split cells are a part of its plan, and only these few cells, bounded by SHARE, are sent to
-    all. Rows without a box pair with nothing.
+    all. Both sides are shuffled: planned by the size of the files they come from, layers with geometry would be sent
+    whole to all. Rows without a box pair with nothing.
     """
     boxed = " and ".join(f"{{p}}{c} is not null" for c in _BOX)
     a = a.select([F.col(f"`{c}`").alias(f"a_{c}") for c in a.columns]).where(boxed.format(p="a_"))
     b = b.select([F.col(f"`{c}`").alias(f"b_{c}") for c in b.columns]).where(boxed.format(p="b_"))
     used, split = tree(a, b, cell)
-    pairs = _dealt(a, used, split, cell, "a_").join(_dealt(b, used, split, cell, "b_"), ["level", "cx", "cy", "turn"])
+    pairs = _dealt(a, used, split, cell, "a_").join(_dealt(b, used, split, cell, "b_").hint("merge"), ["level", "cx", "cy", "turn"])
     size = _size(cell, F.col("level"))
     low = lambda c: F.greatest(F.col(f"a_min{c}"), F.col(f"b_min{c}"))
     touch = (F.col("a_minx") <= F.col("b_maxx")) & (F.col("b_minx") <= F.col("a_maxx")) & (F.col("a_miny") <= F.col("b_maxy")) & (F.col("b_miny") <= F.col("a_maxy"))
@@ -113,6 +114,38 @@ def _with(batch: pa.RecordBatch, columns: list[str], more: dict[str, pa.Array])
     return pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *more.values()], names=[*columns, *more])
 
 
+def _side(x: pa.RecordBatch, p: str, rows: np.ndarray) -> Flat:
+    """Rows of a side's geometry; those that are their box are made from it."""
+    rect = x.column(f"{p}rect").to_numpy(zero_copy_only=False)[rows].astype(bool)
+    box = np.flatnonzero(rect)
+    shapes = x.column(f"{p}geom").take(pa.array(rows, pa.int64(), mask=rect))
+    return Flat(shapes, (box, *[x.column(f"{p}{c}").to_numpy(zero_copy_only=False)[rows][box] for c in _BOX]))
+
+
+def lighter(df: DataFrame) -> DataFrame:
+    """df without the geometry of rectangles, which their boxes tell, so that it isn't carried through a join."""
+    return df.withColumn("geom", F.when(~F.col("rect"), F.col("geom")))
+
+
+def common(rows: DataFrame, sides: tuple[str, ...]) -> DataFrame:
+    """rows with area (m²) of what all sides (prefixes of box, geom and rect) share, by one sweep over all of them, without
+    a polygon made on the way; rows without it, or with bad coordinates, go."""
+    low = lambda c: F.greatest(*[F.col(f"{p}min{c}") for p in sides]) < F.least(*[F.col(f"{p}max{c}") for p in sides])
+    rows = rows.where(low("x") & low("y"))
+    keep = [c for c in rows.columns if c not in [f"{p}geom" for p in sides]]
+
+    def run(batches):
+        for x in batches:
+            ends = [f(np.stack([x.column(f"{p}{c}").to_numpy(zero_copy_only=False) for p in sides]), axis=0) for f, c in zip((np.max, np.max, np.min, np.min), _BOX, strict=True)]
+            area = (ends[2] - ends[0]) * (ends[3] - ends[1])
+            plain = np.logical_and.reduce([x.column(f"{p}rect").to_numpy(zero_copy_only=False).astype(bool) for p in sides])
+            rest = np.flatnonzero(~plain)
+            area[rest] = areas_flat([_side(x, p, rest) for p in sides], ("and",))[0]
+            yield _with(x, keep, {"area": pa.array(area, mask=np.isnan(area))})
+
+    return rows.mapInArrow(run, _schema(rows, keep, "area double")).where("area > 0")
+
+
 def intersections(pairs: DataFrame, geometry: bool = False, failures: bool = False) -> DataFrame:
     """pairs with area (m²) and, if asked for, geometry of the common part; pairs without one go.
 
@@ -120,6 +153,9 @@ def intersections(pairs: DataFrame, geometry: bool = False, failures: bool = Fal
     geometry has null or infinite coordinates is no error: it is left out, or, with failures, stays with failed = true
     and null area.
     """
+    if not failures:
+        apart = (F.col("a_minx") >= F.col("b_maxx")) | (F.col("b_minx") >= F.col("a_maxx")) | (F.col("a_miny") >= F.col("b_maxy")) | (F.col("b_miny") >= F.col("a_maxy"))
+        pairs = pairs.where(~F.coalesce(apart, F.lit(False)))
     keep = [c for c in pairs.columns if c not in ("a_geom", "b_geom")]
 
     def run(batches):
@@ -129,7 +165,7 @@ def intersections(pairs: DataFrame, geometry: bool = False, failures: bool = Fal
             area = np.maximum(x1 - x0, 0) * np.maximum(y1 - y0, 0)
             plain = x.column("a_rect").to_numpy(zero_copy_only=False).astype(bool) & x.column("b_rect").to_numpy(zero_copy_only=False).astype(bool)
             rest = np.flatnonzero(~plain)
-            a, b = (Flat(x.column(f"{s}_geom").take(pa.array(rest))) for s in "ab")
+            a, b = (_side(x, f"{s}_", rest) for s in "ab")
             area[rest], found = overlay_flat(a, b, "and", geometry)
             more = {"area": pa.array(area, mask=np.isnan(area)), "failed": pa.array(np.isnan(area))}
             if geometry:
@@ -149,7 +185,7 @@ def clip(parcels: DataFrame, features: DataFrame, cell: float = CELL, sliver: fl
     boxes: both layers hold rectangles only, so no geometry is carried through the join. failures as in intersections.
     """
     if not boxes or geometry:
-        out = intersections(candidate_pairs(parcels, features, cell), geometry, failures)
+        out = intersections(candidate_pairs(lighter(parcels), lighter(features), cell), geometry, failures)
         return out.where((F.col("area") >= sliver) | F.col("failed")) if failures else out.where(F.col("area") >= sliver)
     o = overlap()
     area = F.greatest(o["maxx"] - o["minx"], F.lit(0.0)) * F.greatest(o["maxy"] - o["miny"], F.lit(0.0))
@@ -178,6 +214,21 @@ def shapes(df: DataFrame, geom: str, op: str = "or", other: str | None = None, o
     return df.mapInArrow(run, _schema(df, keep, f"`{out}` {GEOMETRY}", *[f"`{area}` double"] * bool(area)))
 
 
+def measures(df: DataFrame, geom: str, other: str, ops: dict[str, str]) -> DataFrame:
+    """df without geom and other, with areas (name: "and", "or" or "minus" of the two), all by one sweep and without their
+    polygons; null where a geometry is null or has bad coordinates."""
+    keep = [c for c in df.columns if c not in (geom, other, *ops)]
+
+    def run(batches):
+        for x in batches:
+            sides = [x.column(c) for c in (geom, other)]
+            none = np.any([s.is_null().to_numpy(zero_copy_only=False) for s in sides], axis=0)
+            areas = areas_flat([Flat(s) for s in sides], tuple(ops.values()))
+            yield _with(x, keep, {k: pa.array(a, mask=none | np.isnan(a)) for k, a in zip(ops, areas, strict=True)})
+
+    return df.mapInArrow(run, _schema(df, keep, *[f"`{k}` double" for k in ops]))
+
+
 def union_parts(df: DataFrame, key: str) -> DataFrame:
     """(key, geom, area): the union of all geometries of a key as polygons with holes, overlaps counted once, common
     borders gone. A key's geometries are those of one parcel, few by nature; their parts are gathered, then united in
