@@ -33,10 +33,18 @@ def compare_parcels(a: DataFrame, b: DataFrame, columns: list[str], key: str = "
     return d.where("left is not null and right is not null").where(differs(F.col("left"), F.col("right"), rtol, atol)).unionByName(one)
 
 
+def compare_sides(rows: DataFrame, rtol: float = RTOL, atol: float = ATOL) -> DataFrame:
+    """compare_detail() of rows (egrid, art, right: is it the right side's, area), in one pass over both sides."""
+    mine = {"left": ~F.col("right"), "right": F.col("right")}
+    d = rows.groupBy("egrid", "art").agg(*[f for k, c in mine.items() for f in (F.count_if(c).alias(f"{k}_n"), F.coalesce(F.sum(F.when(c, F.col("area"))), F.lit(0.0)).alias(f"{k}_sum"))])
+    d = d.select("egrid", "art", "left_n", "right_n", F.col("left_sum").alias("left"), F.col("right_sum").alias("right"))
+    areas = F.when(~close(F.col("left"), F.col("right"), rtol, atol), F.struct("art", "left", "right"))
+    g = d.groupBy("egrid").agg(F.collect_list(areas).alias("areas"), F.sum("left_n").cast("double").alias("left"), F.sum("right_n").cast("double").alias("right"))
+    count = F.when(F.col("left") != F.col("right"), F.array(F.struct(F.lit("*").alias("art"), "left", "right"))).otherwise(F.array())
+    return g.select("egrid", F.explode(F.concat("areas", count)).alias("i")).select("egrid", "i.*")
+
+
 def compare_detail(a: DataFrame, b: DataFrame, rtol: float = RTOL, atol: float = ATOL) -> DataFrame:
     """(egrid, art, left, right) where the number of features (art "*") or a type's summed area differs."""
-    both = lambda d, side: d.groupBy("egrid", "art").agg(F.count("*").alias(f"{side}_n"), F.sum("area").alias(side))
-    d = both(a, "left").join(both(b, "right"), ["egrid", "art"], "full_outer").fillna(0.0, ["left", "right"]).fillna(0, ["left_n", "right_n"])
-    areas = d.where(~close(F.col("left"), F.col("right"), rtol, atol)).select("egrid", "art", "left", "right")
-    counts = d.groupBy("egrid").agg(F.sum("left_n").cast("double").alias("left"), F.sum("right_n").cast("double").alias("right")).where(F.col("left") != F.col("right"))
-    return areas.unionByName(counts.select("egrid", F.lit("*").alias("art"), "left", "right"))
+    side = lambda d, right: d.select("egrid", "art", F.lit(right).alias("right"), "area")
+    return compare_sides(side(a, False).unionByName(side(b, True)), rtol, atol)
