@@ -21,7 +21,7 @@ GRID = 2.0**-30
 #: Edge pairs tested, and edges active in slabs, at a time.
 BLOCK = 4_000_000
 #: Edges of the pairs computed at one go.
-EDGES = 100_000
+EDGES = 20_000
 _POINT = pa.struct([("x", pa.float64()), ("y", pa.float64())])
 ARROW = pa.list_(pa.list_(pa.list_(_POINT)))
 
@@ -272,8 +272,12 @@ def polygons(rings: list[list[tuple]]) -> list[list[list[tuple]]]:
     return sorted((s for _, s in shells), key=lambda s: s[0][0])
 
 
-def _assemble(edges: _Edges, found: list[tuple[np.ndarray, ...]]) -> list[Rings]:
-    """The polygons of each pair, from where the inside begins and ends in each slab."""
+def _assemble(edges: _Edges, found: list[tuple[np.ndarray, ...]]) -> pa.Array:
+    """The polygons of each pair as a geometry column, from where the inside begins and ends in each slab.
+
+    Where no point of a pair is left by two steps, all its rings follow from where steps end, at one go for all such pairs;
+    the others, and those with holes in several polygons or rings about as thin as rounding, are walked one by one.
+    """
     pair, e, opens, x0, y0, x1, y1 = (np.concatenate(c) for c in zip(*found, strict=True))
     # Level steps: what is inside above a line but not below it runs east, the other way round west.
     line_pair, line, x = np.concatenate([pair, pair]), np.concatenate([y0, y1]), np.concatenate([x0, x1])
@@ -301,21 +305,122 @@ def _assemble(edges: _Edges, found: list[tuple[np.ndarray, ...]]) -> list[Rings]
     rank = np.cumsum(surplus) - surplus
     rank -= rank[np.flatnonzero(same)][number]
     keep = order[surplus & (rank < np.abs(net[number]))]
-    original = [{} for _ in range(edges.n)]
-    for r, gx, gy, px, py in edges.points:
-        for row, i, j, u, v in zip(r.tolist(), gx.astype(int).tolist(), gy.astype(int).tolist(), px.tolist(), py.tolist(), strict=True):
+    steps = tuple(c[keep] for c in (p, ax, ay, bx, by, edge))
+    plain, column = _plain(edges, *steps)
+    rest = np.flatnonzero(~plain)
+    if not len(rest):
+        return column
+    at = np.cumsum(plain) - 1
+    at[rest] = len(column) + np.arange(len(rest))
+    return pa.concat_arrays([column, to_arrow(_walked(edges, rest, steps))]).take(pa.array(at))
+
+
+def _walked(edges: _Edges, rows: np.ndarray, steps: tuple[np.ndarray, ...]) -> list[Rings]:
+    """The polygons of some pairs, walked one by one."""
+    wanted = np.zeros(edges.n, bool)
+    wanted[rows] = True
+    original: dict[int, dict] = {row: {} for row in rows.tolist()}
+    for r, *c in edges.points:
+        own = wanted[r]
+        gx, gy, px, py = (v[own] for v in c)
+        for row, i, j, u, v in zip(r[own].tolist(), gx.astype(int).tolist(), gy.astype(int).tolist(), px.tolist(), py.tolist(), strict=True):
             original[row].setdefault((i, j), (u, v))
-    steps: list[list] = [[] for _ in range(edges.n)]
-    for row, *step in zip(*(c[keep].tolist() for c in (p, ax, ay, bx, by, edge)), strict=True):
-        steps[row].append(step)
+    own = wanted[steps[0]]
+    of: dict[int, list] = {row: [] for row in rows.tolist()}
+    for row, *step in zip(*(c[own].tolist() for c in steps), strict=True):
+        of[row].append(step)
     out = []
-    for row in range(edges.n):
+    for row in rows.tolist():
         ox, oy = edges.origin[0][row], edges.origin[1][row]
         place = lambda q, row=row, ox=ox, oy=oy: original[row].get(q) or (float(ox + q[0] * GRID), float(oy + q[1] * GRID))
-        out.append([[[place(q) for q in ring] for ring in polygon] for polygon in polygons(walk(steps[row]))])
+        out.append([[[place(q) for q in ring] for ring in polygon] for polygon in polygons(walk(of[row]))])
     return out
 
 
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a sorted table's row isn't that before it."""
+    return np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)] if len(columns[0]) else np.zeros(0, bool)
+
+
+def _plain(edges: _Edges, p, ax, ay, bx, by, edge) -> tuple[np.ndarray, pa.Array]:
+    """(which pairs can be done at one go, their polygons), the same as by walk() and polygons()."""
+    plain, n = np.ones(edges.n, bool), len(p)
+    leave, reach = np.lexsort((ay, ax, p)), np.lexsort((by, bx, p))
+    plain[p[leave][~_changes(p[leave], ax[leave], ay[leave])]] = False
+    plain[p[leave][(ax[leave] != bx[reach]) | (ay[leave] != by[reach])]] = False
+    after = np.empty(n, int)
+    after[reach] = leave
+    # A step's end is a corner unless its edge, or the line, goes on. Products are exact modulo 2 to the power 64.
+    ux, uy, vx, vy = bx - ax, by - ay, (bx - ax)[after], (by - ay)[after]
+    straight = (ux * vy - uy * vx == 0) & (np.abs(ux.astype(float) * vy - uy.astype(float) * vx) < 2.0**62)
+    corner = ((edge < 0) | (edge != edge[after])) & ~straight & plain[p]
+    # A ring's number is its first step's; rings begin at their smallest corner.
+    ring, jump = np.arange(n), after
+    while True:
+        lower = np.minimum(ring, ring[jump])
+        if (lower == ring).all():
+            break
+        ring, jump = lower, jump[jump]
+    k = np.flatnonzero(corner)
+    k = k[np.lexsort((by[k], bx[k], ring[k]))]
+    heads = k[_changes(ring[k])]
+    jump, ahead = after.copy(), np.ones(n, int)
+    jump[heads], ahead[heads] = heads, 0
+    longest = int(np.bincount(ring, minlength=1).max(initial=1))
+    for _ in range(longest.bit_length()):
+        ahead, jump = ahead + ahead[jump], jump[jump]
+    k = k[np.lexsort((-ahead[k] + np.where(ahead[k] == 0, -n - 1, 0), ring[k]))]
+    # Corners ring by ring; rings of one or two corners have no inside.
+    new = _changes(ring[k])
+    size = np.diff(np.r_[np.flatnonzero(new), len(k)])
+    k = k[np.repeat(size > 2, size)]
+    size = size[size > 2]
+    starts = np.cumsum(size) - size
+    x, y, rows = bx[k], by[k], p[k[starts]]
+    last = np.arange(len(k)) + 1
+    last[starts + size - 1] = starts
+    fx, fy = (x - np.repeat(x[starts], size)).astype(float), (y - np.repeat(y[starts], size)).astype(float)
+    add = lambda c: np.add.reduceat(c, starts) if len(starts) else np.zeros(0)
+    extent = lambda c: np.maximum.reduceat(c, starts) - np.minimum.reduceat(c, starts) if len(starts) else np.zeros(0)
+    area, wide, tall = add(fx * fy[last] - fy * fx[last]), extent(fx), extent(fy)
+    slack = 1e-10 * size * wide * tall
+    plain[rows[np.abs(area) <= 32 * (wide + tall) + slack]] = False
+    hole = area < 0
+    shells, holes = np.bincount(rows[~hole], minlength=edges.n), np.bincount(rows[hole], minlength=edges.n)
+    plain[(holes > 0) & (shells != 1)] = False
+    shell = np.zeros(edges.n)
+    shell[rows[~hole]] = area[~hole]
+    plain[rows[hole & (shell[rows] <= -area + 2 * slack)]] = False
+    # Polygons by their first corners; a shell before its holes, these in the order of their first steps.
+    one = holes[rows] > 0
+    order = np.lexsort((np.where(one, 0, y[starts]), np.where(one, ring[k[starts]], x[starts]), one & hole, rows))
+    order = order[plain[rows[order]]]
+    number, at = _ranges(starts[order], size[order] + 1)
+    at[np.cumsum(size[order] + 1) - 1] = starts[order]
+    rows, hole = rows[order], hole[order]
+    points = pa.StructArray.from_arrays(list(_places(edges, rows[number], x[at], y[at])), fields=list(_POINT))
+    ends = lambda counts: pa.array(np.r_[0, np.cumsum(counts)], pa.int32())
+    rings = pa.ListArray.from_arrays(ends(size[order] + 1), points)
+    first = np.flatnonzero(~hole)
+    parts = pa.ListArray.from_arrays(ends(np.diff(np.r_[first, len(hole)])), rings)
+    return plain, pa.ListArray.from_arrays(ends(np.bincount(rows[first], minlength=edges.n)[plain]), parts)
+
+
+def _places(edges: _Edges, row: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates of points of the grid: those that a pair's own point there was given with, the first one's of several."""
+    r, gx, gy, px, py = (np.concatenate(c) for c in zip(*edges.points, strict=True))
+    m = len(r)
+    every = [np.concatenate([gy, y.astype(float)]), np.concatenate([gx, x.astype(float)]), np.concatenate([r, row])]
+    order = np.lexsort(every)  # stable: own points come before those asked for
+    new = _changes(*(c[order] for c in every))
+    known = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    back = np.empty(len(order), int)
+    back[order] = known
+    back = back[m:]
+    own, to = back < m, np.minimum(back, max(m - 1, 0))
+    return tuple(np.where(own, c[to], o[row] + g * GRID) if m else o[row] + g * GRID for c, o, g in ((px, edges.origin[0], x), (py, edges.origin[1], y)))
+
+
 def _blocks(sides: list[Flat]):
     """(first row, row after the last, edges) of blocks of EDGES points; a larger row is a block of its own. Bad rows have
     no edges."""
@@ -345,20 +450,33 @@ def areas_flat(sides: list[Flat], ops: tuple[str, ...]) -> list[np.ndarray]:
     return [np.where(bad, np.nan, out[op]) for op in ops]
 
 
-def overlay_flat(a: Flat, b: Flat | None, op: str, geometry: bool = False) -> tuple[np.ndarray, list[Rings]]:
-    """Areas, and polygons if asked for, of "and", "or" or "minus" of the rows of a and b; NaN and no polygons where a
-    row is bad."""
+def overlay_column(a: Flat, b: Flat | None, op: str) -> tuple[np.ndarray, pa.Array]:
+    """Areas and polygons of "and", "or" or "minus" of the rows of a and b; NaN and no polygons where a row is bad."""
     sides = [a, b] if b else [a]
-    if not geometry:
-        return areas_flat(sides, (op,))[0], []
     area, out = np.zeros(len(a.bad)), []
     for k, m, edges in _blocks(sides):
         found = [f for _, f in _sweep(edges, (op,))] if len(edges.pair) else []
         for f in found:
             area[k:m] += _areas(f, m - k)
-        out += _assemble(edges, found) if found else [[] for _ in range(k, m)]
+        out.append(_assemble(edges, found) if found else to_arrow([[] for _ in range(k, m)]))
     area[np.logical_or.reduce([f.bad for f in sides])] = np.nan
-    return area, out
+    return area, pa.concat_arrays(out) if out else to_arrow([])
+
+
+def overlay_flat(a: Flat, b: Flat | None, op: str, geometry: bool = False) -> tuple[np.ndarray, list[Rings]]:
+    """overlay_column() with polygons as lists, and none unless asked for."""
+    if not geometry:
+        return areas_flat([a, b] if b else [a], (op,))[0], []
+    area, column = overlay_column(a, b, op)
+    return area, [[[[(q["x"], q["y"]) for q in r] for r in p] for p in g] for g in column.to_pylist()]
+
+
+def box_column(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> pa.Array:
+    """Boxes as a geometry column."""
+    n = len(x0)
+    points = pa.StructArray.from_arrays([np.stack([x0, x1, x1, x0, x0], 1).ravel(), np.stack([y0, y0, y1, y1, y0], 1).ravel()], fields=list(_POINT))
+    one = pa.array(np.arange(n + 1), pa.int32())
+    return pa.ListArray.from_arrays(one, pa.ListArray.from_arrays(one, pa.ListArray.from_arrays(pa.array(5 * np.arange(n + 1), pa.int32()), points)))
 
 
 def to_arrow(geometries: list) -> pa.Array:

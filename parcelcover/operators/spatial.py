@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelcover.functions.geometry import GEOMETRY, bbox, is_rectangle
-from parcelcover.operators.overlay import Flat, areas_flat, overlay_flat, to_arrow
+from parcelcover.operators.overlay import Flat, areas_flat, box_column, overlay_column
+from parcelcover.plans.materialize import materialize
 
 #: Cells of level 0; a level's cells are STEP times as wide as those below it. Levels above are for wide boxes, those
 #: below for crowded cells. Above, a box spans SPAN cells of its level at most; below, it fits into one.
@@ -18,6 +19,8 @@ LIMIT, SHARE = 2048, 1 / 65536
 #: Copies of a wide box, among which the many small boxes that meet it are dealt out.
 SALT = 16
 SLIVER = 0.001
+#: Keys sent to all at most.
+FEW = 100_000
 _BOX = ("minx", "miny", "maxx", "maxy")
 
 
@@ -166,13 +169,12 @@ def intersections(pairs: DataFrame, geometry: bool = False, failures: bool = Fal
             plain = x.column("a_rect").to_numpy(zero_copy_only=False).astype(bool) & x.column("b_rect").to_numpy(zero_copy_only=False).astype(bool)
             rest = np.flatnonzero(~plain)
             a, b = (_side(x, f"{s}_", rest) for s in "ab")
-            area[rest], found = overlay_flat(a, b, "and", geometry)
+            area[rest], found = overlay_column(a, b, "and") if geometry else (areas_flat([a, b], ("and",))[0], None)
             more = {"area": pa.array(area, mask=np.isnan(area)), "failed": pa.array(np.isnan(area))}
             if geometry:
-                shapes: list = [[[[(p, q), (r, q), (r, s), (p, s), (p, q)]]] for p, q, r, s in zip(x0.tolist(), y0.tolist(), x1.tolist(), y1.tolist(), strict=True)]
-                for k, g in zip(rest.tolist(), found, strict=True):
-                    shapes[k] = g
-                more["geometry"] = to_arrow(shapes)
+                at = np.arange(len(area))
+                at[rest] = len(area) + np.arange(len(rest))
+                more["geometry"] = pa.concat_arrays([box_column(x0, y0, x1, y1), found]).take(pa.array(at))
             yield _with(x, keep, more)
 
     out = pairs.mapInArrow(run, _schema(pairs, keep, "area double", "failed boolean", *[f"geometry {GEOMETRY}"] * geometry))
@@ -206,9 +208,9 @@ def shapes(df: DataFrame, geom: str, op: str = "or", other: str | None = None, o
         for x in batches:
             sides = [x.column(c) for c in (geom, other) if c]
             none = np.any([s.is_null().to_numpy(zero_copy_only=False) for s in sides], axis=0)
-            areas, found = overlay_flat(*[Flat(s) for s in sides], *[None] * (2 - len(sides)), op, True)
+            areas, found = overlay_column(*[Flat(s) for s in sides], *[None] * (2 - len(sides)), op)
             none |= np.isnan(areas)
-            more = {out: to_arrow([None if bad else g for g, bad in zip(found, none, strict=True)])}
+            more = {out: found.take(pa.array(np.arange(len(none)), mask=none))}
             yield _with(x, keep, more | ({area: pa.array(areas, mask=none)} if area else {}))
 
     return df.mapInArrow(run, _schema(df, keep, f"`{out}` {GEOMETRY}", *[f"`{area}` double"] * bool(area)))
@@ -229,19 +231,38 @@ def measures(df: DataFrame, geom: str, other: str, ops: dict[str, str]) -> DataF
     return df.mapInArrow(run, _schema(df, keep, *[f"`{k}` double" for k in ops]))
 
 
+def _united(parts: DataFrame) -> DataFrame:
+    empty = F.size("geom") == 0
+    return shapes(parts, "geom").withColumns({"geom": F.when(~empty, F.col("geom")), "area": F.when(~empty, F.col("area"))})
+
+
 def union_parts(df: DataFrame, key: str) -> DataFrame:
     """(key, geom, area): the union of all geometries of a key as polygons with holes, overlaps counted once, common
     borders gone. A key's geometries are those of one parcel, few by nature; their parts are gathered, then united in
     one sweep. Null geometries add nothing; an empty union is null."""
-    parts = df.groupBy(key).agg(F.flatten(F.collect_list("geom")).alias("geom"))
-    empty = F.size("geom") == 0
-    return shapes(parts, "geom").withColumns({"geom": F.when(~empty, F.col("geom")), "area": F.when(~empty, F.col("area"))})
+    return _united(df.groupBy(key).agg(F.flatten(F.collect_list("geom")).alias("geom")))
 
 
-def clean(df: DataFrame, key: str, sliver: float = SLIVER) -> DataFrame:
+def clean(df: DataFrame, key: str, sliver: float = SLIVER, few: int = FEW) -> DataFrame:
     """(key, geom, parcel_area_m2): geometries of a key united and repaired; keys whose union is empty, broken or under
-    sliver m² go."""
-    return union_parts(df, key).withColumnRenamed("area", "parcel_area_m2").where(F.col("parcel_area_m2") >= sliver)
+    sliver m² go.
+
+    Keys are counted first: geometries that are alone with their key are repaired where they are read, and only those
+    of keys with several are gathered. Up to few such keys are sent to all; if there are more, all are gathered.
+    """
+    several = df.groupBy(key).count().where("count > 1").select(F.col(key).alias("__key"))
+    n = several.limit(few + 1).count()
+    if n > few:
+        out = union_parts(df, key)
+    else:
+        out = df.select(key, "geom")
+        if n:
+            several = F.broadcast(materialize(several, "several"))
+            same = F.col(key).eqNullSafe(F.col("__key"))
+            out = _united(out.join(several, same, "left_anti")).unionByName(union_parts(out.join(several, same, "left_semi"), key))
+        else:
+            out = _united(out)
+    return out.withColumnRenamed("area", "parcel_area_m2").where(F.col("parcel_area_m2") >= sliver)
 
 
 def difference(df: DataFrame, a: str, b: str, out: str) -> DataFrame:

@@ -55,3 +55,35 @@ def test_detail_is_read_once(spark):
     """Both sides of the comparison come from one pass over the pieces."""
     scans = [plan(library.QUERIES[name](spark, SF)).count("FileScan parquet") for name in ("j12_compare_detail", "j4_clip_landcover")]
     assert scans[0] == scans[1]
+
+
+def test_rings_at_one_go_are_those_walked_one_by_one(monkeypatch):
+    """Polygons of plain pairs aren't walked, and come out as walk() and polygons() give them, corner by corner."""
+    import numpy as np
+
+    from parcelcover.operators import overlay as O
+    from tests.test_overlay import SQUARE, poly, star
+
+    rng = np.random.default_rng(3)
+    frame = poly((0, 0), (8, 0), (8, 8), (0, 8), holes=[[(2, 2), (6, 2), (6, 6), (2, 6)]])
+    plain = [star(rng, 2600000.0, 1200000.0) for _ in range(30)] + [frame, SQUARE + poly((5, 0), (9, 0), (9, 4)), poly((0, 0), (1, 0), (2, 0), (2, 2), (0, 2)), []]
+    mixed = plain + [frame + poly((20, 0), (24, 0), (24, 4)), poly((0, 0), (4, 4), (4, 0), (0, 4)), poly((0, 0), (1e-9, 1), (2e-9, 0))]
+    flat = O.Flat(O.to_arrow(mixed))
+    got = O.overlay_flat(flat, None, "or", True)
+    with monkeypatch.context() as m:
+        m.setattr(O, "_plain", lambda edges, *steps: (np.zeros(edges.n, bool), O.to_arrow([])))
+        want = O.overlay_flat(flat, None, "or", True)
+    assert got[1] == want[1] and got[0].tolist() == want[0].tolist()
+    monkeypatch.setattr(O, "_walked", None)
+    assert [len(g) for g in O.overlay_flat(O.Flat(O.to_arrow(plain[30:])), None, "or", True)[1]] == [1, 2, 1, 0]
+
+
+@pytest.mark.parametrize("few", [0, 10])
+def test_clean_gathers_only_keys_with_several_geometries(spark, few):
+    from parcelcover.operators.spatial import clean
+
+    box = lambda x: [[[(x, 0.0), (x + 2, 0.0), (x + 2, 2.0), (x, 2.0), (x, 0.0)]]]
+    rows = [("a", box(0.0)), ("b", box(0.0)), ("b", box(1.0)), ("c", None), ("d", None), ("d", box(0.0)), (None, box(0.0)), (None, box(5.0)), ("e", [])]
+    df = spark.createDataFrame(rows, f"fid string, geom {G.GEOMETRY}")
+    assert sorted(((r.fid or "", r.parcel_area_m2, len(r.geom)) for r in clean(df, "fid", few=few).collect())) == [("", 8.0, 2), ("a", 4.0, 1), ("b", 6.0, 1), ("d", 4.0, 1)]
+    assert "Exchange" not in plan(clean(df.where("fid = 'a'"), "fid"))
