@@ -110,8 +110,11 @@ def to_geojson(geom: Column) -> Column:
 
 def from_geojson(text: Column) -> Column:
     """Polygon or MultiPolygon text as a geometry; null for anything else."""
-    kind = F.get_json_object(text, "$.type")
-    body = F.get_json_object(text, "$.coordinates")
+    return from_coordinates(F.get_json_object(text, "$.type"), F.get_json_object(text, "$.coordinates"))
+
+
+def from_coordinates(kind: Column, body: Column) -> Column:
+    """The geometry of a GeoJSON type and its coordinates' text; null for other types."""
     one = F.when(kind == "Polygon", F.array(F.from_json(body, "array<array<array<double>>>")))
     many = F.when(kind == "MultiPolygon", F.from_json(body, "array<array<array<array<double>>>>"))
     return F.transform(F.coalesce(many, one), lambda p: F.transform(p, lambda r: F.transform(r, lambda q: F.struct(q[0].alias("x"), q[1].alias("y")))))

@@ -10,8 +10,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelcover.functions.geometry import from_geojson, to_geojson
+from parcelcover.functions.geometry import from_coordinates, to_geojson
 from parcelcover.functions.scalars import norm_number, num
+from parcelcover.plans.materialize import materialize
 from parcelcover.sources.ranges import array_members
 
 #: Column orders of the detail layers; columns that a table lacks are left out.
@@ -100,15 +101,18 @@ def write_feature_layers(layers: dict[str, DataFrame], path: str, geometry: str
 
 def read_features(lines: DataFrame) -> DataFrame:
     """(layer, id, art, area_m2, geom, properties) of lines of GeoJSON features (value)."""
-    p = lambda k: F.get_json_object("value", f"$.properties.{k}")
-    return lines.where(F.get_json_object("value", "$.type") == "Feature").select(
-        p("layer").alias("layer"), p("id").alias("id"), F.coalesce(p("art"), p("bauzone_code")).alias("art"), p("area_m2").try_cast("double").alias("area_m2"), from_geojson(F.get_json_object("value", "$.geometry")).alias("geom"), F.get_json_object("value", "$.properties").alias("properties")
-    )
+    part = lambda k: F.get_json_object("value", f"$.{k}")
+    parts = lines.where(part("type") == "Feature").select(part("properties").alias("properties"), part("geometry").alias("__geometry"))
+    # Each part is gone through once for all that is asked of it.
+    d = parts.select("*", F.json_tuple("properties", "layer", "id", "art", "bauzone_code", "area_m2").alias("layer", "id", "__art", "__code", "__area"))
+    d = d.select("*", F.json_tuple("__geometry", "type", "coordinates").alias("__kind", "__body"))
+    return d.select("layer", "id", F.coalesce("__art", "__code").alias("art"), F.col("__area").try_cast("double").alias("area_m2"), from_coordinates(F.col("__kind"), F.col("__body")).alias("geom"), "properties")
 
 
 def read_collection(spark: SparkSession, path: str) -> DataFrame:
-    """The same columns for the features of FeatureCollection files of any size, on one line or many."""
-    return read_features(array_members(spark, path).select("value"))
+    """The same columns for the features of FeatureCollection files of any size, on one line or many. The members are
+    written once found: whoever looks at the features twice doesn't search the files again."""
+    return read_features(materialize(array_members(spark, path).select("value"), "members"))
 
 
 def split_layers(features: DataFrame) -> tuple[DataFrame, DataFrame]:

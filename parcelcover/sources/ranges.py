@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from parcelcover.plans.materialize import materialize
+
 
 def blocks(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
     """(value, file, block, place) of a path's text files: block is where a task's range begins in its file, place
@@ -46,16 +48,20 @@ def array_members(spark: SparkSession, path: str) -> DataFrame:
 
     Files are cut after closing braces. A piece begins inside a string if the quotes before it are odd in number; so its
     braces are counted, and depths follow from the sums before it. Pieces between two closing braces of depth two make
-    up one object, put together from its own few pieces. Neither line breaks nor block borders matter.
+    up one object, put together from its own few pieces. Neither line breaks nor block borders matter. The pieces are
+    written with what was counted in them, so that the sums read a few numbers a piece and no text.
     """
     pieces = blocks(spark, path, "}")
-    plain = F.regexp_replace("value", _ESCAPES, "")
-    quotes = F.length(plain) - F.length(F.replace(plain, F.lit('"'), F.lit("")))
-    pieces = before(pieces, quotes, "quotes")
-    inside = F.col("quotes") % 2 == 1
-    outer = F.regexp_replace(F.when(inside, F.regexp_replace(plain, r'^[^"]*("|$)', "")).otherwise(plain), _STRING, "")
-    opens = F.length(outer) - F.length(F.replace(outer, F.lit("{"), F.lit("")))
-    closes = F.when((F.col("quotes") + quotes) % 2 == 0, 1).otherwise(0)
+    # The texts are looked through once, for both cases: a piece that begins outside a string and one that begins inside.
+    plain = F.when(F.contains("value", F.lit("\\")), F.regexp_replace("value", _ESCAPES, "")).otherwise(F.col("value"))
+    count = lambda c, mark: F.length(c) - F.length(F.replace(c, F.lit(mark), F.lit("")))
+    pieces = pieces.withColumn("plain", plain)
+    # Most pieces have no brace to count.
+    outer = [F.when(F.contains("plain", F.lit("{")), F.regexp_replace(c, _STRING, "")).otherwise("") for c in (F.col("plain"), F.regexp_replace("plain", r'^[^"]*("|$)', ""))]
+    pieces = pieces.select("value", "file", "block", "place", count(F.col("plain"), '"').alias("marks"), *[count(c, "{").alias(k) for c, k in zip(outer, ("opens_out", "opens_in"), strict=True)])
+    pieces = before(materialize(pieces, "pieces"), F.col("marks"), "quotes")
+    opens = F.when(F.col("quotes") % 2 == 1, F.col("opens_in")).otherwise(F.col("opens_out"))
+    closes = F.when((F.col("quotes") + F.col("marks")) % 2 == 0, 1).otherwise(0)
     pieces = before(pieces.withColumns({"opens": opens, "closes": closes}), F.col("opens") - F.col("closes"), "depth")
     ends = F.when((F.col("closes") == 1) & (F.col("depth") + F.col("opens") == 2), 1).otherwise(0)
     pieces = before(pieces, ends, "pos")

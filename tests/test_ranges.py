@@ -98,3 +98,12 @@ def test_upload_reports_of_a_folder(spark, tmp_path):
 def test_blocks_are_summed(spark):
     df = spark.range(40).select(F.lit("f").alias("file"), (F.col("id") / 7).cast("long").alias("block"), F.col("id").alias("place"))
     assert [r.n for r in ranges.before(df, F.lit(2), "n").orderBy("place").collect()] == [2 * k for k in range(40)]
+
+
+def test_collections_are_searched_once(spark, tmp_path):
+    """Features are read from the members found, whatever looks at them, and each part of one is parsed once."""
+    (tmp_path / "a.json").write_text('{"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [0, 0]]]}, "properties": {"layer": "bauzonen", "id": "x{\\"}", "art": null, "bauzone_code": "C1", "area_m2": 0.5}}]}')
+    found = files.read_collection(spark, str(tmp_path))
+    assert [tuple(r)[:4] for r in found.drop("geom", "properties").collect()] == [("bauzonen", 'x{"}', "C1", 0.5)]
+    shown = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in shown and shown.count("$.geometry") == 1
