@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from parcelcover.functions.geometry import from_coordinates, to_geojson
 from parcelcover.functions.scalars import norm_number, num
-from parcelcover.plans.materialize import materialize
+from parcelcover.plans.materialize import materialize, remove
 from parcelcover.sources.ranges import array_members
 
 #: Column orders of the detail layers; columns that a table lacks are left out.
@@ -155,8 +155,9 @@ def write_csv(df: DataFrame, path: str, style: str = "web") -> None:
 
 
 def write_layers(layers: dict[str, DataFrame], path: str) -> None:
-    """One table a layer with its fixed columns first; an empty layer gives none."""
+    """One table a layer with its fixed columns first; an empty layer gives none, which shows once it is written."""
     for name, df in layers.items():
-        if df.limit(1).count():
-            order = [c for c in DETAIL_COLUMNS.get(name, []) if c in df.columns]
-            df.select(*order, *[c for c in df.columns if c not in order]).write.parquet(f"{path}/{name}")
+        order = [c for c in DETAIL_COLUMNS.get(name, []) if c in df.columns]
+        df.select(*order, *[c for c in df.columns if c not in order]).write.parquet(f"{path}/{name}")
+        if not df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}").limit(1).count():
+            remove(df.sparkSession, f"{path}/{name}")

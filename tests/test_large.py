@@ -100,3 +100,19 @@ def test_pieces_carry_what_is_asked_for(spark):
     assert sum("egrid" in e and "fid" in e for e in exchanged(library.QUERIES["j2_attach_user_extras"](spark, SF))) == 1
     for name in ("u2_merge_batches", "r6_feature_cap_flag", "s10_write_layers", "a3_landcover_kpis_rounded", "j2_attach_user_extras"):
         assert "gwr_egid" not in plan(library.QUERIES[name](spark, SF)), name
+
+
+def test_layers_are_computed_once(spark, tmp_path):
+    """Whether a layer is empty shows once it is written; it isn't computed for that before."""
+    from parcelcover.sources import files
+
+    rows = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            rows.add(len(b))
+            yield b
+
+    full = spark.range(10).mapInPandas(count, "id long")
+    files.write_layers({"full": full, "none": spark.range(10).where("id < 0")}, str(tmp_path))
+    assert rows.value == 10 and spark.read.parquet(f"{tmp_path}/full").count() == 10 and not (tmp_path / "none").exists()
