@@ -15,7 +15,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from parcelcover.llm.components import components
 from parcelcover.llm.text import free, words
@@ -31,6 +31,10 @@ SHARD, BLOCK = 8192, 65536
 SHINGLE, SIMILAR = 5, 0.8
 #: Bits within which the stage looks for candidates; near copies differ in 8 on average at similarity 0.8.
 WITHIN = 15
+#: Texts of the sample at least that says which shingles are common; the most of them kept, and the texts that make one.
+FIT, COMMON, RARE = 16384, 1 << 17, 4
+#: Points of one shared shingle that meet in the first pass, and the most that meet in one cell of the second.
+WINDOW, CELL = 256, 2048
 #: Bits of a leaf's number, and of a block's row and column in its grid: 2 ** 20 blocks a side of 65536 members each.
 LEAF, SIDE = 17, 20
 PARITY = ["p0", "p1", "p2", "p3"]
@@ -250,58 +254,146 @@ def near_duplicates(docs: DataFrame, bits: int = 4) -> DataFrame:
     return marked.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def shard_pairs(fp: np.ndarray, size: np.ndarray, parity: np.ndarray, group: np.ndarray, member: np.ndarray, query: np.ndarray, q: int, bits: int, similar: float):
-    """Yields (i, j, differing bits) of a shard's candidates: a query i and a member j of different groups within bits,
-    whose numbers of shingles and parities allow the similarity."""
-    band, tolerance = _quarter(fp, q), bits // QUARTERS
-    todo = [(np.flatnonzero(member), np.flatnonzero(query))]
-    while todo:
-        m, s = todo.pop()
-        if not len(m) or not len(s):
-            continue
-        cut = _vantage(band[m], tolerance) if len(m) > 64 and len(m) * len(s) > 1 << 16 else None
-        if cut is None:
-            rows = max(1, (1 << 20) // len(m))
-            for k in range(0, len(s), rows):
-                d = _distance(fp[s[k : k + rows], None], fp[None, m])
-                i, j = np.nonzero(d <= bits)
-                d, i, j = d[i, j], s[k + i], m[j]
-                use = (group[i] != group[j]) & (np.minimum(size[i], size[j]) >= similar * np.maximum(size[i], size[j]))
-                i, j, d = i[use], j[use], d[use].astype(np.int64)
-                use = np.bitwise_count(parity[i] ^ parity[j]).sum(1) * (1 + similar) <= (size[i] + size[j]) * (1 - similar) + 1e-6
-                yield i[use], j[use], d[use]
-            continue
-        dm, ds = _distance(band[m], cut[0]).astype(np.int16), _distance(band[s], cut[0]).astype(np.int16)
-        todo.append((m[dm <= cut[1]], s[ds - tolerance <= cut[1]]))
-        todo.append((m[dm > cut[1]], s[ds + tolerance > cut[1]]))
+def rare_first(texts: DataFrame, fit: int = FIT, most: int = COMMON, least: int = RARE) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, sorted; their ranks, the rarer the less) of common shingles: those in least texts or more of a sample of
+    texts (__doc, text), at most so many. The sample holds fit texts or up to twice as many, however many there are."""
+
+    def run(batches):
+        for x in batches:
+            yield pd.DataFrame({"h": np.concatenate([shingles(t) for t in x.text]).view(np.int64)})
 
+    some = texts.where(F.pmod(F.xxhash64("__doc"), F.lit(max(1, texts.count() // fit))) == 0).select("text")
+    counts = some.mapInPandas(run, "h long").groupBy("h").count().where(F.col("count") >= least).orderBy(F.desc("count"), "h").limit(most).toPandas()
+    known = counts.h.to_numpy(np.int64).view(np.uint64)
+    by_hash = np.argsort(known)
+    return known[by_hash], len(known) - 1 - by_hash
 
-def candidates(points: DataFrame, nearest: bool, bits: int = WITHIN, similar: float = SIMILAR, **sizes: int) -> DataFrame:
-    """(a, b, a < b): candidate pairs of points (fp, id, size, parities, part) of different parts; nearest: for each point of
-    a shard only its nearest candidate and its candidate of smallest id."""
 
-    def compare(x: pd.DataFrame) -> pd.DataFrame:
-        ids, fp = x.id.to_numpy(np.int64), x.fp.to_numpy(np.int64).view(np.uint64)
-        found = shard_pairs(fp, x["size"].to_numpy(), x[PARITY].to_numpy(np.int64).astype(np.uint64), x.part.to_numpy(), x.member.to_numpy(), x["query"].to_numpy(), int(x.cell.iloc[0]) >> LEAF + 2 * SIDE, bits, similar)
-        if nearest:
-            none = np.iinfo(np.int64).max
-            by_id = np.argsort(ids, kind="stable")
-            rank = np.empty(len(ids), np.int64)
-            rank[by_id] = np.arange(len(ids))
-            close, least = np.full(len(ids), none), np.full(len(ids), none)
-            for i, j, d in found:
+def prefix(found: np.ndarray, known: np.ndarray, rank: np.ndarray, similar: float = SIMILAR) -> np.ndarray:
+    """The first of a sorted set of shingles, in one order for all sets: by hash, common ones last, the rarest of them first.
+
+    Two sets of the similarity share so many shingles that the first n - similar * n + 1 of each have one in common.
+    """
+    if not len(found):
+        return found
+    p = len(found) - int(np.ceil(similar * len(found) - 1e-9)) + 1
+    if not len(known):
+        return found[:p]
+    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+    common = known[at] == found
+    first = found[~common][:p]
+    return first if len(first) == p else np.concatenate([first, found[common][np.argsort(rank[at[common]])][: p - len(first)]])
+
+
+def key_pairs(start: np.ndarray, fp: np.ndarray, size: np.ndarray, bits: int, similar: float, window: int | None = None):
+    """Yields (i, j, differing bits) of rows of one run within bits, whose numbers of shingles allow the similarity.
+
+    start has the place where each row's run begins. window: pairs at most so many rows apart, and those with the run's
+    first row.
+    """
+
+    def near(i, j):
+        use = np.minimum(size[i], size[j]) >= similar * np.maximum(size[i], size[j])
+        i, j = i[use], j[use]
+        d = _distance(fp[i], fp[j]).astype(np.int64)
+        use = d <= bits
+        return i[use], j[use], d[use]
+
+    i, step = np.arange(len(start)), 1
+    while len(i) and (window is None or step <= window):
+        i = i[: np.searchsorted(i, len(start) - step)]
+        i = i[start[i + step] == start[i]]
+        yield near(i, i + step)
+        step += 1
+    if window is not None:
+        far = np.flatnonzero(np.arange(len(start)) - start > window)
+        yield near(start[far], far)
+
+
+def _runs(batches, by: list[str], least: int = 1 << 16):
+    """(frame, where each row's run begins) of batches sorted by columns; a frame holds whole runs."""
+    held: list[pd.DataFrame] = []
+
+    def ready(x):
+        new = np.ones(len(x), bool)
+        new[1:] = (x[by].to_numpy()[1:] != x[by].to_numpy()[:-1]).any(1)
+        return np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
+
+    for x in batches:
+        held.append(x)
+        if sum(map(len, held)) >= least:
+            x = pd.concat(held, ignore_index=True)
+            start = ready(x)
+            # A run that has no end yet waits; the longer it is, the more is gathered before the next look.
+            cut = int(start[-1])
+            if cut:
+                yield x.iloc[:cut], start[:cut]
+            held, least = [x.iloc[cut:]], max(1 << 16, 2 * (len(x) - cut))
+    if held and len(x := pd.concat(held, ignore_index=True)):
+        yield x, ready(x)
+
+
+def shared_keys(points: DataFrame, cell: int = CELL) -> DataFrame:
+    """(key, id, grid) of the prefixes of points (id, prefix) whose key more than one has; grid: its points / cell."""
+
+    def run(batches):
+        for x, start in _runs(batches, ["key"]):
+            n = np.bincount(start, minlength=len(x))[start]
+            yield x.assign(grid=-(-n // cell).astype(np.int32))[n > 1]
+
+    rows = points.select(F.explode("prefix").alias("key"), "id").repartition("key").sortWithinPartitions("key")
+    return rows.mapInPandas(run, "key long, id long, grid int")
+
+
+def nearest(points: DataFrame, shared: DataFrame, bits: int = WITHIN, similar: float = SIMILAR, window: int = WINDOW) -> DataFrame:
+    """(a, b, a < b): for each of points (fp, id, size) its nearest candidate and that of smallest id, as far as the points
+    of a key stand within window of each other."""
+
+    def run(batches):
+        for x, start in _runs(batches, ["key"]):
+            ids, none = x.id.to_numpy(np.int64), len(x)
+            close, least = np.full(none, 64 << 40), np.full(none, none)
+            for i, j, d in key_pairs(start, x.fp.to_numpy(np.int64).view(np.uint64), x["size"].to_numpy(), bits, similar, window):
                 for u, v in ((i, j), (j, i)):
-                    np.minimum.at(close, u, d << 40 | rank[v])
-                    np.minimum.at(least, u, rank[v])
+                    np.minimum.at(close, u, d << 40 | v)
+                    np.minimum.at(least, u, v)
             at = np.flatnonzero(least < none)
-            i, j = np.concatenate([at, at]), by_id[np.concatenate([close[at] & ((1 << 40) - 1), least[at]])]
-        else:
-            every = [(i, j) for i, j, _ in found]
-            i, j = (np.concatenate(p) if every else np.zeros(0, np.int64) for p in (zip(*every, strict=True) if every else ((), ())))
-        a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-        return pd.DataFrame({"a": a, "b": b})
+            yield pd.DataFrame({"id": ids[at], "d": (close[at] >> 40).astype(np.int32), "near": ids[close[at] & ((1 << 40) - 1)], "least": ids[least[at]]})
+
+    rows = shared.join(points.select("id", "fp", "size"), "id").select("key", "id", "fp", "size").repartition("key").sortWithinPartitions("key", "id")
+    best = rows.mapInPandas(run, "id long, d int, near long, least long").groupBy("id").agg(F.min(F.struct("d", "near")).alias("n"), F.min("least").alias("least"))
+    both = best.select("id", F.explode(F.array("n.near", "least")).alias("other"))
+    return both.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
-    return routed(points, bits, **sizes).groupBy("cell").applyInPandas(compare, "a long, b long").distinct()
+
+def candidates(points: DataFrame, shared: DataFrame, bits: int = WITHIN, similar: float = SIMILAR) -> DataFrame:
+    """(a, b, a < b): all candidate pairs of points (fp, id, size, parities, part) of different parts.
+
+    A candidate pair has a shingle of both prefixes in common, fingerprints within bits, and numbers of shingles and
+    parities that allow the similarity. A crowded key is dealt out as a grid of cells, each for a pair of blocks.
+    """
+
+    def run(batches):
+        for x, start in _runs(batches, ["key", "cell"]):
+            part = x.part.to_numpy()
+            several = np.zeros(len(x), bool)
+            several[start[part != part[start]]] = True
+            x, start = x[several[start]], start[several[start]]
+            if not len(x):
+                continue
+            start = np.searchsorted(start, start)
+            ids, part, size, parity = x.id.to_numpy(np.int64), x.part.to_numpy(), x["size"].to_numpy(), x[PARITY].to_numpy(np.int64).astype(np.uint64)
+            for i, j, _ in key_pairs(start, x.fp.to_numpy(np.int64).view(np.uint64), size, bits, similar):
+                use = part[i] != part[j]
+                i, j = i[use], j[use]
+                use = np.bitwise_count(parity[i] ^ parity[j]).sum(1) * (1 + similar) <= (size[i] + size[j]) * (1 - similar) + 1e-6
+                if use.any():
+                    yield pd.DataFrame({"a": np.minimum(ids[i], ids[j])[use], "b": np.maximum(ids[i], ids[j])[use]})
+
+    own, g = F.pmod(F.xxhash64("id"), F.col("grid")).cast("int"), F.col("grid")
+    cells = F.transform(F.sequence(F.lit(0), g - 1), lambda k: F.least(own, k) * g + F.greatest(own, k))
+    rows = shared.withColumn("cell", F.explode(cells)).join(points.select("id", "fp", "size", *PARITY, "part"), "id").drop("grid")
+    return rows.repartition("key", "cell").sortWithinPartitions("key", "cell", "id").mapInPandas(run, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, list[DataFrame]]:
@@ -321,35 +413,40 @@ def confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame, similar: floa
     return both.select("a", "b", "mine", "theirs").mapInPandas(run, "a long, b long"), [pairs, shown]
 
 
-@F.pandas_udf(StructType([StructField(c, LongType()) for c in ("fp", "id", "size", *PARITY)]))
-def sketch_udf(text: pd.Series) -> pd.DataFrame:
-    """Fingerprint, hash of the shingle set, number of its shingles, and their parities."""
-    sets = [shingles(t) for t in text]
-    parity = np.array([parities(s) for s in sets], np.int64).reshape(-1, 4)
-    return pd.DataFrame({
-        "fp": np.array([fingerprint(t, SHINGLE) for t in text], np.uint64).view(np.int64),
-        "id": np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64),
-        "size": np.array([len(s) for s in sets], np.int64),
-        **{p: parity[:, i] for i, p in enumerate(PARITY)},
-    })
+def sketch(known: np.ndarray, rank: np.ndarray):
+    """A function of a text's fingerprint, hash of the shingle set, number of its shingles, their parities and prefix."""
+
+    @F.pandas_udf(StructType([*(StructField(c, LongType()) for c in ("fp", "id", "size", *PARITY)), StructField("prefix", ArrayType(LongType()))]))
+    def run(text: pd.Series) -> pd.DataFrame:
+        sets = [shingles(t) for t in text]
+        parity = np.array([parities(s) for s in sets], np.int64).reshape(-1, 4)
+        return pd.DataFrame({
+            "fp": np.array([fingerprint(t, SHINGLE) for t in text], np.uint64).view(np.int64),
+            "id": np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64),
+            "size": np.array([len(s) for s in sets], np.int64),
+            **{p: parity[:, i] for i, p in enumerate(PARITY)},
+            "prefix": [prefix(s, known, rank).view(np.int64) for s in sets],
+        })
+
+    return run
 
 
-def similar_groups(sets: DataFrame, texts: DataFrame, **sizes: int) -> DataFrame:
-    """(node, label): the components of sets (fp, id, size, parities, d, t) under confirmed candidates; sets alone have no row.
+def similar_groups(sets: DataFrame, texts: DataFrame, window: int = WINDOW, cell: int = CELL) -> DataFrame:
+    """(node, label): the components of sets (fp, id, size, parities, prefix, d, t) under confirmed candidates; sets alone have no row.
 
     First each set's nearest candidate and that of smallest id are confirmed, which joins nearly all of a large
     group by few pairs; then all candidates that still lie in different parts are.
     """
-    alone = sets.select("fp", "id", "size", *PARITY, F.col("id").alias("part"))
-    first, read = confirmed(materialize(candidates(alone, True, **sizes), "nearest"), sets, texts)
+    shared = materialize(shared_keys(sets, cell), "shared")
+    first, read = confirmed(materialize(nearest(sets, shared, window=window), "nearest"), sets, texts)
     first = materialize(first, "near")
     for table in read:
         release(table)
     label = components(first)
     parts = materialize(sets.join(label, sets.id == label.node, "left").select("fp", "id", "size", *PARITY, F.coalesce("label", "id").alias("part")), "parts")
-    second, read = confirmed(materialize(candidates(parts, False, **sizes), "candidates"), sets, texts)
+    second, read = confirmed(materialize(candidates(parts, shared), "candidates"), sets, texts)
     every = materialize(first.unionByName(second), "similar")
-    for table in [*read, first, parts]:
+    for table in [*read, first, parts, shared]:
         release(table)
     return components(every)
 
@@ -358,7 +455,8 @@ def dedupe(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of near duplicates, that of the smallest doc_id.
 
     Near duplicates have sets of five-word shingles with a Jaccard similarity of at least SIMILAR; groups are
-    joined over chains of them. Candidates are looked for within WITHIN bits of the fingerprints. Texts without
+    joined over chains of them. Candidates share one of their rarest shingles, which loses no pair, and lie within
+    WITHIN bits of each other's fingerprints. Texts without
     words are alike. Rows without doc_id can't be told from others by it; they stay, one for each distinct text.
     Of rows equal in doc_id and text one stays. Columns of any other name pass through; an empty table gives an
     empty one.
@@ -367,10 +465,11 @@ def dedupe(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     named = docs.where("doc_id is not null").withColumns({doc: F.col("doc_id").cast("long"), mark: F.xxhash64(text)})
     texts = named.select(F.col(doc).alias("__doc"), F.col(mark).alias("__text"), text.alias("text"))
+    sketch_udf = sketch(*rare_first(texts))
     marks = materialize(texts.select(F.struct("__doc", "__text").alias("row"), sketch_udf("text").alias("s")).select("row", "s.*"), "sketches")
     # Equal sets are one point, shown by the row of smallest id.
-    sets = marks.groupBy("id").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), *[F.min(p).alias(p) for p in PARITY], F.min("row").alias("row"))
-    sets = materialize(sets.select("fp", "id", "size", *PARITY, F.col("row.__doc").alias("d"), F.col("row.__text").alias("t")), "sets")
+    sets = marks.groupBy("id").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), *[F.min(p).alias(p) for p in (*PARITY, "prefix")], F.min("row").alias("row"))
+    sets = materialize(sets.select("fp", "id", "size", *PARITY, "prefix", F.col("row.__doc").alias("d"), F.col("row.__text").alias("t")), "sets")
     release(marks)
     label = similar_groups(sets, texts)
     kept = sets.join(label, sets.id == label.node, "left").groupBy(F.coalesce("label", "id")).agg(F.min(F.struct("d", "t")).alias("k")).select(F.col("k.d").alias(of), F.col("k.t").alias(at))

@@ -147,6 +147,30 @@ def test_dedupe_by_similarity(spark):
     assert sorted(x.text for x in simhash.dedupe(twice).collect()) == ["four five six", "one two three"]
 
 
+def test_candidates_go_by_rare_shingles(spark):
+    """Points that pairs meet by don't grow with the number of texts, and no pair of similar sets is lost, crowded or not."""
+    r = np.random.default_rng(11)
+    known = np.sort(r.choice(1 << 40, 300, False).astype(np.uint64))
+    rank = r.permutation(300)
+    for n in (1, 4, 5, 40, 200):
+        for _ in range(40):
+            a = np.unique(np.concatenate([r.choice(known, min(n, 300) // 2, False), r.integers(0, 1 << 40, n - n // 2).astype(np.uint64)]))
+            b = np.unique(np.concatenate([r.choice(a, max(1, int(len(a) * r.uniform(0.75, 1))), False), r.integers(0, 1 << 40, int(len(a) * r.uniform(0, 0.2))).astype(np.uint64)]))
+            p, q = (simhash.prefix(x, known, rank) for x in (a, b))
+            assert len(p) <= 0.2 * len(a) + 1 and (simhash.jaccard(a, b) < 0.8 or len(np.intersect1d(p, q)))
+    # 60 near copies and 60 others with one key in common: every similar pair of different parts, once each in every grid.
+    fp = [7 ^ 1 << int(r.integers(0, 64)) if i < 60 else int(r.integers(0, 1 << 62)) for i in range(120)]
+    rows = [(f if f < 1 << 63 else f - (1 << 64), i, 100, 0, 0, 0, 0, [5, 1000 + i], i // 2) for i, f in enumerate(fp)]
+    points = spark.createDataFrame(rows, "fp long, id long, size long, p0 long, p1 long, p2 long, p3 long, prefix array<long>, part long")
+    want = {(i, j) for i in range(120) for j in range(i + 1, 120) if i // 2 != j // 2 and (fp[i] ^ fp[j]).bit_count() <= 15}
+    for cell in (2048, 7):
+        shared = simhash.shared_keys(points, cell)
+        assert {x.key for x in shared.collect()} == {5} and shared.count() == 120
+        assert sorted(map(tuple, simhash.candidates(points, shared).collect())) == sorted(want)
+    near = simhash.nearest(points, simhash.shared_keys(points), window=8).collect()
+    assert {i for x in near for i in x} == {i for p in want for i in p} | set(range(60)) and len(near) <= 240
+
+
 def test_mix(odd, docs):
     for df in (odd, docs):
         rows = mixing.mix(df).collect()
