@@ -9,9 +9,11 @@ pair of images in which enough corners say the same is linked, and links give cl
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelcover.llm.components import components
@@ -22,11 +24,13 @@ CORNERS, SCALES, RADIUS, BITS = 32, (1.0, 0.7071, 0.5), 8, 256
 #: Most differing bits of a match; corners that must agree on the same movement; cell of a movement in pixels.
 NEAR, AGREE, CELL = 24, 5, 6
 #: Tables of descriptor parts, and parts of them that are shuffled one after the other, which bounds the disk in use.
-TABLES, SLICES = 8, 4
+TABLES, SLICES = 8, 8
 #: Corners of one table key that are joined pair by pair at once; beyond, each meets so many hub images first, and in
 #: a second pass, in blocks of so many, those of other classes.
 BUCKET, HUBS, BLOCK = 24, 2, 2048
 TURN = 30
+#: Ids of repeated images that are sent to all at most; beyond, the images are shuffled.
+FEW = 1 << 20
 
 _rng = np.random.default_rng(5)
 _TESTS = np.clip(_rng.normal(0, RADIUS / 2.2, (BITS, 4)), -RADIUS, RADIUS)
@@ -133,17 +137,22 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(*turned).distinct()
 
 
-def shared_keys(found: DataFrame) -> list[DataFrame]:
-    """(key, n, id, at, d0 to d3) of all corners and table keys that more than one image has; n is the key's corners.
+def slice_keys(found: DataFrame, part: int, slices: int = SLICES) -> DataFrame:
+    """(key, n, id, at, d0 to d3) of the corners and table keys of one slice that more than one image has; n is the key's corners.
 
-    Most keys belong to one corner and go no further. One table for each slice of the keys.
+    Most keys belong to one corner and go no further.
     """
     key = lambda t: (F.shiftrightunsigned(F.col(_PARTS[t // 2]), 32) if t % 2 else F.col(_PARTS[t // 2]).bitwiseAND(F.lit(0xFFFFFFFF))) + F.lit(t << 32)
+    keys = F.explode(F.array(*[key(t) for t in range(part, TABLES, slices)])).alias("key")
+    n = found.select("id", keys).groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
+    return found.select(keys, "id", "at", *_PARTS).join(n.where("low < high").select("key", "n"), "key")
+
+
+def shared_keys(found: DataFrame) -> list[DataFrame]:
+    """slice_keys of every slice, each written."""
     out = []
-    for first in range(0, TABLES, TABLES // SLICES):
-        keys = F.explode(F.array(*[key(t) for t in range(first, first + TABLES // SLICES)])).alias("key")
-        n = found.select("id", keys).groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
-        out.append(materialize(found.select(keys, "id", "at", *_PARTS).join(n.where("low < high").select("key", "n"), "key"), "keys"))
+    for part in range(SLICES):
+        out.append(materialize(slice_keys(found, part), "keys"))
         sweep(found.sparkSession)
     return out
 
@@ -157,12 +166,22 @@ def matches(rows: DataFrame, near: int = NEAR, bucket: int = BUCKET) -> DataFram
     corner after corner, so they link to the same few images, and over these to each other. Its other crowded keys
     would mostly show it the same hubs again; matches_between does the rest, whatever the hubs have found.
     """
-    some, hot = rows.where(F.col("n") <= bucket), rows.where(F.col("n") > bucket)
-    pairs = _side(some, "a").join(_side(some, "b"), "key").where((F.col("a_id") < F.col("b_id")) & _close(near))
+    return few_matches(rows, near, bucket).unionByName(hub_matches(rows, near, bucket)).distinct()
+
+
+def few_matches(rows: DataFrame, near: int = NEAR, bucket: int = BUCKET) -> DataFrame:
+    """The matches of keys with few corners, as in matches."""
+    some = rows.where(F.col("n") <= bucket)
+    return _ordered(_side(some, "a").join(_side(some, "b"), "key").where((F.col("a_id") < F.col("b_id")) & _close(near)))
+
+
+def hub_matches(rows: DataFrame, near: int = NEAR, bucket: int = BUCKET) -> DataFrame:
+    """The matches of crowded keys with their hubs, as in matches; rows has the keys of all tables."""
+    hot = rows.where(F.col("n") > bucket)
     hot = hot.groupBy("id", "at").agg(F.max(F.struct("n", "key", *_PARTS)).alias("most")).select("id", "at", "most.*")
     hubs = hot.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(HUBS)).alias("class")).agg(F.min(F.struct("id", "at", *_PARTS)).alias("h")).select("key", "h.*")
     star = _side(hubs, "a").join(_side(hot, "b"), "key").where((F.col("a_id") != F.col("b_id")) & _close(near))
-    return _ordered(pairs.unionByName(star))
+    return _ordered(star)
 
 
 def matches_between(rows: DataFrame, label: DataFrame, near: int = NEAR, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
@@ -174,11 +193,15 @@ def matches_between(rows: DataFrame, label: DataFrame, near: int = NEAR, bucket:
     times the corners of the key: only for a pattern that many images show that don't come into one class by it does
     that near the square.
     """
-    hot = rows.where(F.col("n") > bucket).join(label, F.col("id") == F.col("node"), "left").select("key", "n", "id", "at", *_PARTS, F.coalesce("label", "id").alias("class"))
+    # Corners and the class of their image meet in a window over the image, which has few corners, not in a join.
+    hot = rows.where(F.col("n") > bucket).select("key", "n", "id", "at", *_PARTS)
+    known = label.select(F.col("node").alias("id"), F.col("label").alias("class"))
+    hot = hot.unionByName(known, allowMissingColumns=True).withColumn("class", F.coalesce(F.max("class").over(Window.partitionBy("id")), "id")).where("key is not null")
     hot = materialize(hot, "crowded")
     size = hot.groupBy("key", "class").agg(F.count("*").alias("c"))
     most = size.groupBy("key").agg(F.max(F.struct("c", "class")).alias("most"), F.count("*").alias("classes")).where("classes > 1").select("key", F.col("most.class").alias("most"))
-    hot = materialize(hot.join(most, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "crowded")
+    every_class, hot = hot, materialize(hot.join(most, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "contested")
+    release(every_class)
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     own = F.pmod(F.xxhash64("id", "at"), F.col("blocks")).cast("int")
     out = hot.where(F.col("class") != F.col("most")).withColumn("i", own).withColumn("j", every)
@@ -187,6 +210,10 @@ def matches_between(rows: DataFrame, label: DataFrame, near: int = NEAR, bucket:
     return _ordered(met.where((F.col("a_class") != F.col("b_class")) & _close(near)))
 
 
+def _all(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
 def consensus(pairs: DataFrame, agree: int = AGREE, cell: int = CELL) -> DataFrame:
     """(a, b): images of whose matches at least agree, from different corners, tell the same movement.
 
@@ -221,22 +248,38 @@ def near_copies(images: DataFrame, bucket: int = BUCKET) -> DataFrame:
     d = materialize(images.select(F.col("id").cast("long").alias("id"), F.sha2(image, 256).alias("bytes"), F.coalesce(F.substring(image, 1, 2) == F.lit(b"P5"), F.lit(False)).alias("readable")), "images")
     one = d.where("readable and id is not null").groupBy("bytes").agg(F.min("id").alias("first"))
     # Other rows with the same bytes, mostly few, are left out; the images themselves needn't be shuffled for it.
-    others = d.join(one, "bytes").where("id <> first").select("id").distinct()
-    shown = images.select(F.col("id").cast("long").alias("id"), "image").where("id is not null").join(others, "id", "left_anti")
+    others = materialize(d.join(one, "bytes").where("id <> first").select("id").distinct(), "others")
+    few = F.broadcast(others) if others.count() <= FEW else others
+    shown = images.select(F.col("id").cast("long").alias("id"), "image").where("id is not null").join(few, "id", "left_anti")
     corners = materialize(describe(shown), "corners")
-    slices = shared_keys(corners)
+    release(others)
+    spark = images.sparkSession
+    # One slice of the keys at a time, as its rows take several times the disk of the corners.
+    parts, crowded = [], []
+    for part in range(SLICES):
+        rows = materialize(slice_keys(corners, part), "keys")
+        parts.append(materialize(few_matches(rows, bucket=bucket), "matches"))
+        crowded.append(materialize(rows.where(F.col("n") > bucket), "hot"))
+        release(rows)
+        sweep(spark)
     release(corners)
-    rows = slices[0]
-    for s in slices[1:]:
-        rows = rows.unionByName(s)
-    near = materialize(matches(rows, bucket=bucket), "matches")
+    parts.append(hub_matches(_all(crowded), bucket=bucket))
+    near = materialize(_all(parts).distinct(), "matches")
+    for s in parts[:-1]:
+        release(s)
+    sweep(spark)
     link = materialize(consensus(near), "links")
     label = components(link)
-    rest = materialize(matches_between(rows, label, bucket=bucket), "matches")
-    if rest.limit(1).count():
-        link = materialize(consensus(near.unionByName(rest)), "links")
+    sweep(spark)
+    rest = []
+    for rows in crowded:
+        rest.append(materialize(matches_between(rows, label, bucket=bucket), "matches"))
+        release(rows)
+        sweep(spark)
+    if _all(rest).limit(1).count():
+        link = materialize(consensus(_all([near, *rest]).distinct()), "links")
         label = components(link)
-    for s in (*slices, near, rest):
+    for s in (near, *rest):
         release(s)
     ends = link.select(F.col("a").alias("n")).unionByName(link.select(F.col("b").alias("n"))).groupBy("n").agg(F.count("*").alias("n_links"))
     groups = one.join(label, one["first"] == label.node, "left").join(ends, F.col("first") == F.col("n"), "left")
@@ -255,6 +298,8 @@ def paint(vectors: DataFrame, size: int = 64) -> DataFrame:
     base = v.select((F.col("id") + 1).alias("next"), F.col("embedding").alias("before"))
     v = v.withColumn("copy", F.when(F.col("id") % 10 == 7, F.col("id"))).join(base, F.col("copy") == F.col("next"), "left")
     v = v.select("id", F.coalesce("before", "embedding").alias("embedding"), F.col("before").isNotNull().alias("edited")).withColumn("id", F.col("id").cast("string"))  # as text: a null among numbers makes them floats
+    # An image has several times the bytes of its vector: the tasks' number is given, so that few vectors aren't put together.
+    v = v.repartition(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
     kinds = ["crop", "turn", "bright", "corner", "scale"]
 
     def run(batches):

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelcover.llm import bpe, chat, html, langid, media, merkle, mixing, quality, simhash, substring, tokens, urls, whitening
-from parcelcover.plans.materialize import materialize
 
 #: Fixed rules of the URL query, and host names' labels whose pages make up its list of URLs.
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -34,8 +33,8 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    images = materialize(media.paint(_table(spark, sf_dir, "embeddings")), "media")
-    return media.near_copies(images).withColumnRenamed("id", "vec_id")
+    # Painted twice, once for the bytes and once for the corners, which is less work than to write the images.
+    return media.near_copies(media.paint(_table(spark, sf_dir, "embeddings"))).withColumnRenamed("id", "vec_id")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -637,6 +637,29 @@ def test_media_links_against_all_pairs_of_corners(spark):
     assert got <= links and len(got) >= 0.9 * len(links) and len(links) == 20
 
 
+def test_media_keeps_one_slice_of_keys(spark, tmp_path, monkeypatch):
+    """Of the tables of keys, one slice at most is on disk at a time, and images aren't shuffled."""
+    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").where("vec_id < 100").select("vec_id", "embedding")
+    held, most, write, drop = {}, [0], media.materialize, media.release
+
+    def written(df, name="table"):
+        out = write(df, name)
+        held[out.inputFiles()[0].rsplit("/", 1)[0]] = name
+        most[0] = max(most[0], sum(n == "keys" for n in held.values()))
+        return out
+
+    def released(df):
+        for f in df.inputFiles():
+            held.pop(f.rsplit("/", 1)[0], None)
+        drop(df)
+
+    monkeypatch.setattr(media, "materialize", written)
+    monkeypatch.setattr(media, "release", released)
+    got = {r.id: r.class_id for r in media.near_copies(media.paint(v)).collect()}
+    assert most == [1] and "corners" not in held.values() and "hot" not in held.values()
+    assert len(got) == v.count() and all(got[i] == i - 1 for i in got if i % 10 == 7)
+
+
 def test_classes_of_crowded_keys(spark):
     """Groups of near copies, and a corner shown by many others: with a bound of two corners a key and with none, the classes are the same."""
     r = np.random.default_rng(3)
