@@ -260,7 +260,7 @@ def rare_first(texts: DataFrame, fit: int = FIT, most: int = COMMON, least: int
 
     def run(batches):
         for x in batches:
-            yield pd.DataFrame({"h": np.concatenate([shingles(t) for t in x.text]).view(np.int64)})
+            yield pd.DataFrame({"h": np.concatenate([np.zeros(0, np.uint64), *map(shingles, x.text)]).view(np.int64)})
 
     some = texts.where(F.pmod(F.xxhash64("__doc"), F.lit(max(1, texts.count() // fit))) == 0).select("text")
     counts = some.mapInPandas(run, "h long").groupBy("h").count().where(F.col("count") >= least).orderBy(F.desc("count"), "h").limit(most).toPandas()
