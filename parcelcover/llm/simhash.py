@@ -33,8 +33,10 @@ SHINGLE, SIMILAR = 5, 0.8
 WITHIN = 15
 #: Texts of the sample at least that says which shingles are common; the most of them kept, and the texts that make one.
 FIT, COMMON, RARE = 16384, 1 << 17, 4
-#: Points of one shared shingle that meet in the first pass, and the most that meet in one cell of the second.
+#: Points of one shared shingle among which nearest() looks, and the most that meet in one cell.
 WINDOW, CELL = 256, 2048
+#: Texts of one group of candidates that are compared in one task, and their shingles; texts of it that all its tasks see.
+TEXTS, HELD, HUBS = 1024, 1 << 21, 32
 #: Bits of a leaf's number, and of a block's row and column in its grid: 2 ** 20 blocks a side of 65536 members each.
 LEAF, SIDE = 17, 20
 PARITY = ["p0", "p1", "p2", "p3"]
@@ -347,7 +349,7 @@ def shared_keys(points: DataFrame, cell: int = CELL) -> DataFrame:
 
 def nearest(points: DataFrame, shared: DataFrame, bits: int = WITHIN, similar: float = SIMILAR, window: int = WINDOW) -> DataFrame:
     """(a, b, a < b): for each of points (fp, id, size) its nearest candidate and that of smallest id, as far as the points
-    of a key stand within window of each other."""
+    of a key stand within window of each other. dedupe() has no use for it."""
 
     def run(batches):
         for x, start in _runs(batches, ["key"]):
@@ -366,11 +368,25 @@ def nearest(points: DataFrame, shared: DataFrame, bits: int = WITHIN, similar: f
     return both.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
+def _alike(i: np.ndarray, j: np.ndarray, parity: np.ndarray, size: np.ndarray, similar: float) -> np.ndarray:
+    """Which pairs' parities allow the similarity."""
+    return np.bitwise_count(parity[i] ^ parity[j]).sum(-1) * (1 + similar) <= (size[i] + size[j]) * (1 - similar) + 1e-6
+
+
+def _meeting(points: DataFrame, shared: DataFrame) -> DataFrame:
+    """points where they share a key, sorted by key and cell; a crowded key is dealt out as a grid of cells, each for a
+    pair of blocks."""
+    own, g = F.pmod(F.xxhash64("id"), F.col("grid")).cast("int"), F.col("grid")
+    cells = F.transform(F.sequence(F.lit(0), g - 1), lambda k: F.least(own, k) * g + F.greatest(own, k))
+    rows = shared.withColumn("cell", F.explode(cells)).join(points, "id").drop("grid")
+    return rows.repartition("key", "cell").sortWithinPartitions("key", "cell", "id")
+
+
 def candidates(points: DataFrame, shared: DataFrame, bits: int = WITHIN, similar: float = SIMILAR) -> DataFrame:
     """(a, b, a < b): all candidate pairs of points (fp, id, size, parities, part) of different parts.
 
     A candidate pair has a shingle of both prefixes in common, fingerprints within bits, and numbers of shingles and
-    parities that allow the similarity. A crowded key is dealt out as a grid of cells, each for a pair of blocks.
+    parities that allow the similarity. Their number grows with the square of a group; forest() joins the same points.
     """
 
     def run(batches):
@@ -386,31 +402,99 @@ def candidates(points: DataFrame, shared: DataFrame, bits: int = WITHIN, similar
             for i, j, _ in key_pairs(start, x.fp.to_numpy(np.int64).view(np.uint64), size, bits, similar):
                 use = part[i] != part[j]
                 i, j = i[use], j[use]
-                use = np.bitwise_count(parity[i] ^ parity[j]).sum(1) * (1 + similar) <= (size[i] + size[j]) * (1 - similar) + 1e-6
+                use = _alike(i, j, parity, size, similar)
                 if use.any():
                     yield pd.DataFrame({"a": np.minimum(ids[i], ids[j])[use], "b": np.maximum(ids[i], ids[j])[use]})
 
-    own, g = F.pmod(F.xxhash64("id"), F.col("grid")).cast("int"), F.col("grid")
-    cells = F.transform(F.sequence(F.lit(0), g - 1), lambda k: F.least(own, k) * g + F.greatest(own, k))
-    rows = shared.withColumn("cell", F.explode(cells)).join(points.select("id", "fp", "size", *PARITY, "part"), "id").drop("grid")
-    return rows.repartition("key", "cell").sortWithinPartitions("key", "cell", "id").mapInPandas(run, "a long, b long").distinct()
+    return _meeting(points.select("id", "fp", "size", *PARITY, "part"), shared).mapInPandas(run, "a long, b long").distinct()
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, list[DataFrame]]:
-    """The pairs (a, b) of sets (id, d, t) whose texts, the rows (__doc, __text, text) of d and t, have a Jaccard
-    similarity of shingles of at least similar; and the tables that are read for it."""
+def forest(points: DataFrame, shared: DataFrame, bits: int = WITHIN, similar: float = SIMILAR) -> DataFrame:
+    """(a, b, a < b): links that join just those of points (fp, id, size, parities) that candidate pairs join, over chains.
+
+    Each key gives a spanning forest, less than one row a point, so a group of near copies never gives all its pairs.
+    """
 
     def run(batches):
+        for x, start in _runs(batches, ["key", "cell"]):
+            ids, size, parity = x.id.to_numpy(np.int64), x["size"].to_numpy(), x[PARITY].to_numpy(np.int64).astype(np.uint64)
+            root, held, n = np.arange(len(x)), [], 0
+            for i, j, _ in key_pairs(start, x.fp.to_numpy(np.int64).view(np.uint64), size, bits, similar):
+                use = _alike(i, j, parity, size, similar)
+                held.append((i[use], j[use]))
+                n += np.count_nonzero(use)
+                if n > 1 << 18:
+                    _union(root, *map(np.concatenate, zip(*held, strict=True)))
+                    held, n = [], 0
+            if n:
+                _union(root, *map(np.concatenate, zip(*held, strict=True)))
+            moved = np.flatnonzero(root != np.arange(len(root)))
+            if len(moved):
+                yield pd.DataFrame({"a": ids[root[moved]], "b": ids[moved]})
+
+    return _meeting(points.select("id", "fp", "size", *PARITY), shared).mapInPandas(run, "a long, b long").distinct()
+
+
+def similar_links(part: np.ndarray, fp: np.ndarray, size: np.ndarray, parity: np.ndarray, sets: list[np.ndarray], bits: int, similar: float) -> list[tuple[int, int]]:
+    """Links that join what the pairs of sets within bits and of at least the similarity join, over chains; sets of one
+    part are joined already."""
+    root = np.unique(part, return_inverse=True)[1]
+    if not root.any():
+        return []
+    code = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(list(map(len, sets)))[:-1])
+    has, out = np.zeros(sum(map(len, sets)), bool), []
+    for i in range(len(sets) - 1):
+        j = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+        j = j[(_distance(fp[j], fp[i]) <= bits) & (np.minimum(size[j], size[i]) >= similar * np.maximum(size[j], size[i]))]
+        j = j[_alike(j, i, parity, size, similar)]
+        if not len(j):
+            continue
+        has[code[i]] = True
+        for k in j.tolist():
+            if root[k] != root[i]:
+                both = np.count_nonzero(has[code[k]])
+                if both / (len(code[i]) + len(code[k]) - both) >= similar:
+                    out.append((i, k))
+                    root[root == root[k]] = root[i]
+        has[code[i]] = False
+    return out
+
+
+def linked(dealt: DataFrame, shown: DataFrame, bits: int = WITHIN, similar: float = SIMILAR) -> DataFrame:
+    """(a, b): links that join just the similar ones of each cell of dealt (cluster, cell, id, fp, size, parities, part),
+    over chains, less than one row for each id and cell. shown (id, text) has their texts."""
+
+    def run(batches):
+        key, ids, numbers, sets = None, [], [], []
+
+        def done():
+            if len(ids) > 1:
+                n = np.array(numbers, np.int64)
+                for i, k in similar_links(n[:, 0], n[:, 1].copy().view(np.uint64), n[:, 2], n[:, 3:].astype(np.uint64), sets, bits, similar):
+                    yield ids[i], ids[k]
+
         for x in batches:
-            keep = [jaccard(shingles(s), shingles(t)) >= similar for s, t in zip(x.mine, x.theirs, strict=True)]
-            yield x.loc[keep, ["a", "b"]]
+            found = []
+            for at, i, row, text in zip(zip(x.cluster.tolist(), x.cell.tolist(), strict=True), x.id.tolist(), x[["part", "fp", "size", *PARITY]].to_numpy(), x.text, strict=True):
+                if at != key:
+                    found += done()
+                    key, ids, numbers, sets = at, [], [], []
+                if not ids or ids[-1] != i:  # rows equal in doc_id and text come twice
+                    ids.append(i)
+                    numbers.append(row)
+                    sets.append(shingles(text))
+            if found:
+                yield pd.DataFrame(found, columns=["a", "b"])
+        if found := list(done()):
+            yield pd.DataFrame(found, columns=["a", "b"])
+
+    rows = dealt.select("cluster", "cell", "id", "fp", "size", *PARITY, "part").join(shown, "id")
+    return rows.repartition("cluster", "cell").sortWithinPartitions("cluster", "cell", "id").mapInPandas(run, "a long, b long")
+
 
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = materialize(sets.select("id", "d", "t").join(wanted, "id"), "wanted")
-    shown = materialize(texts.join(wanted, (F.col("__doc") == F.col("d")) & (F.col("__text") == F.col("t"))).select("id", "text").dropDuplicates(["id"]), "compared")
-    release(wanted)
-    both = pairs.join(shown.select(F.col("id").alias("a"), F.col("text").alias("mine")), "a").join(shown.select(F.col("id").alias("b"), F.col("text").alias("theirs")), "b")
-    return both.select("a", "b", "mine", "theirs").mapInPandas(run, "a long, b long"), [pairs, shown]
+def _blocks(n: str, held: str, most: int):
+    """Blocks for n texts with held shingles in all."""
+    return F.greatest(F.ceil(F.col(n) / most), F.ceil(F.col(held) / HELD)).cast("int")
 
 
 def sketch(known: np.ndarray, rank: np.ndarray):
@@ -431,24 +515,45 @@ def sketch(known: np.ndarray, rank: np.ndarray):
     return run
 
 
-def similar_groups(sets: DataFrame, texts: DataFrame, window: int = WINDOW, cell: int = CELL) -> DataFrame:
-    """(node, label): the components of sets (fp, id, size, parities, prefix, d, t) under confirmed candidates; sets alone have no row.
+def similar_groups(sets: DataFrame, texts: DataFrame, cell: int = CELL, most: int = TEXTS) -> DataFrame:
+    """(node, label): the components of sets (fp, id, size, parities, prefix, d, t) under similar candidates; sets alone have no row.
 
-    First each set's nearest candidate and that of smallest id are confirmed, which joins nearly all of a large
-    group by few pairs; then all candidates that still lie in different parts are.
+    Chains of candidates part the sets into clusters, which no similar pair leaves. The texts of a cluster meet in one
+    cell, where links that join its similar ones are found. A cluster of more than most texts is dealt out in blocks
+    that have some texts in common, which joins nearly all that is similar; then what its largest part has not taken
+    in meets all blocks.
     """
     shared = materialize(shared_keys(sets, cell), "shared")
-    first, read = confirmed(materialize(nearest(sets, shared, window=window), "nearest"), sets, texts)
-    first = materialize(first, "near")
-    for table in read:
-        release(table)
-    label = components(first)
-    parts = materialize(sets.join(label, sets.id == label.node, "left").select("fp", "id", "size", *PARITY, F.coalesce("label", "id").alias("part")), "parts")
-    second, read = confirmed(materialize(candidates(parts, shared), "candidates"), sets, texts)
-    every = materialize(first.unionByName(second), "similar")
-    for table in [*read, first, parts, shared]:
-        release(table)
-    return components(every)
+    label = components(forest(sets, shared))
+    release(shared)
+    members = materialize(sets.join(label, sets.id == label.node).select("id", "fp", "size", *PARITY, "d", "t", F.col("label").alias("cluster")), "members")
+    shown = texts.join(members.select("id", "d", "t"), (F.col("__doc") == F.col("d")) & (F.col("__text") == F.col("t"))).select("id", "text")
+    shown = materialize(shown, "compared")
+    full = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("size").alias("held"))
+    full = full.select("cluster", "n", _blocks("n", "held", most).alias("grid"))
+    own, hub = F.pmod(F.xxhash64("id"), F.col("grid")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("n")) < HUBS
+    cells = F.when(hub, F.sequence(F.lit(0), F.col("grid") - 1)).otherwise(F.array(own))
+    found = materialize(linked(members.join(full, "cluster").withColumns({"cell": F.explode(cells), "part": F.col("id")}), shown), "similar")
+    crowded = full.where("grid > 1")
+    if crowded.limit(1).count():
+        label, inside = components(found), members.join(crowded.select("cluster"), "cluster")
+        inside = materialize(inside.join(label, inside.id == label.node, "left").withColumn("part", F.coalesce("label", "id")).drop("node", "label"), "inside")
+        sizes = inside.groupBy("cluster", "part").agg(F.count("*").alias("n"), F.sum("size").alias("held"))
+        sizes = sizes.groupBy("cluster").agg(F.max(F.struct("n", "held", "part")).alias("main"), F.sum("n").alias("n"), F.sum("held").alias("held"))
+        sizes = sizes.select("cluster", F.col("main.part").alias("main"), F.col("main.n").alias("a"), F.col("main.held").alias("b"), (F.col("n") - F.col("main.n")).alias("c"), (F.col("held") - F.col("main.held")).alias("e")).where("c > 0")
+        sizes = sizes.select("cluster", "main", _blocks("a", "b", most).alias("left"), _blocks("c", "e", most).alias("right"))
+        left, right, h = F.col("left"), F.col("right"), F.xxhash64("id")
+        grid, at = left + right, F.when(F.col("part") == F.col("main"), F.pmod(h, left)).otherwise(left + F.pmod(h, right)).cast("int")
+        # Two blocks of the largest part have nothing to join.
+        others = F.sequence(F.when(F.col("part") == F.col("main"), left).otherwise(0), grid - 1)
+        cells = F.transform(others, lambda k: F.least(at, k) * grid + F.greatest(at, k))
+        more = linked(inside.join(sizes, "cluster").withColumn("cell", F.explode(cells)), shown)
+        first, found = found, materialize(found.unionByName(more), "similar")
+        release(first)
+        release(inside)
+    release(members)
+    release(shown)
+    return components(found)
 
 
 def dedupe(docs: DataFrame) -> DataFrame:

@@ -171,6 +171,37 @@ def test_candidates_go_by_rare_shingles(spark):
     assert {i for x in near for i in x} == {i for p in want for i in p} | set(range(60)) and len(near) <= 240
 
 
+def test_near_copies_give_few_links(spark, monkeypatch):
+    """A group whose texts are near the limit of similarity gives links in proportion to its texts, not to their pairs, and
+    loses none of them, in one task or dealt out in blocks."""
+    r, base = np.random.default_rng(5), prose(77, 146)
+    texts = [" ".join(f"e{g}x{i}" if i in own else w for i, w in enumerate(base)) for g in range(400) for own in [set(r.choice(146, int(r.integers(1, 7)), False).tolist())]]
+    texts += [" ".join(prose(9000 + i, 90)) for i in range(40)]
+    sets, fps = [set(simhash.shingles(t).tolist()) for t in texts], [simhash.fingerprint(t, 5) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    pairs = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 15 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+                pairs += 1
+    assert pairs > 15 * len(texts)
+    df, whole, links = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), simhash.components, []
+    monkeypatch.setattr(simhash, "components", lambda x: links.append(x.count()) or whole(x))
+    groups = simhash.similar_groups
+    for most in (1024, 16):
+        monkeypatch.setattr(simhash, "similar_groups", lambda sets, texts, most=most: groups(sets, texts, most=most))
+        assert {x.doc_id for x in simhash.dedupe(df).collect()} == {find(i) for i in range(len(texts))}
+        print("links", links, "pairs", pairs)
+        assert links and max(links) <= 4 * len(texts)
+
+
 def test_mix(odd, docs):
     for df in (odd, docs):
         rows = mixing.mix(df).collect()
