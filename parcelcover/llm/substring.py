@@ -63,7 +63,9 @@ def winnow(h: np.ndarray, window: int) -> np.ndarray:
     place = (np.uint64(0xFFFFFF) - (low & np.uint64(0xFFFFFF))).astype(np.int64)
     first = np.arange(len(place))
     place += (first - place + (1 << 24) - 1 >> 24) << 24  # places are known modulo 2 to the power 24
-    return np.unique(place)
+    new = np.ones(len(place), bool)  # places rise from window to window
+    new[1:] = place[1:] != place[:-1]
+    return place[new]
 
 
 def seeds(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
@@ -217,7 +219,8 @@ def matches(seen: DataFrame, key: str, lead: str = "true", slices: int = SLICES)
         first = own.where(lead).groupBy(F.col(key).alias("fh")).agg(F.min("doc_id").alias("ref_id"), F.min_by("pos", "doc_id").alias("ref_pos"), F.max("doc_id").alias("last"))
         # Written, so that both sides of the join are plain shuffles and a very common seed's partition can be split.
         first = materialize(first.where("last > ref_id").drop("last"), "firsts")
-        found = own.join(first, F.col(key) == F.col("fh")).where("doc_id <> ref_id")
+        # Hashed, so that the many keys that match nothing needn't be sorted.
+        found = own.join(first.hint("shuffle_hash"), F.col(key) == F.col("fh")).where("doc_id <> ref_id")
         parts.append(materialize(found.select("doc_id", "pos", "ref_id", "ref_pos", F.col(key).alias("h")), "matches"))
         release(first)
         sweep(seen.sparkSession)
@@ -274,6 +277,20 @@ def candidates(docs: DataFrame, k: int = K, window: int = WINDOW, gap: int = GAP
     return both.where("pair < 0").unionByName(by_place(more).mapInPandas(chained(False), schema)).drop("pair"), [both, more]
 
 
+def nearest_run(x: list[bytes], y: list[bytes], inside: bool) -> tuple[int, int] | None:
+    """Where in x and y the first of their matching blocks begins that has three words and, unless inside, more than it skips.
+
+    The blocks are difflib's. The longest is found first; behind it none fits if it doesn't, so only what lies before it
+    is searched on.
+    """
+    blocks, found, a, b = SequenceMatcher(None, x, y, autojunk=False), None, len(x), len(y)
+    while (m := blocks.find_longest_match(0, a, 0, b)).size >= 3:
+        a, b = m.a, m.b
+        if inside or m.size > max(a, b):
+            found = a, b
+    return found
+
+
 def walk(a: list[bytes], b: list[bytes], inside: int) -> tuple[int, int, int]:
     """Aligns a and b from their beginnings; (words of a, words of b, agreeing words) up to the last agreeing one.
 
@@ -292,11 +309,10 @@ def walk(a: list[bytes], b: list[bytes], inside: int) -> tuple[int, int, int]:
         # Only runs of three words or more count below; mostly there are none.
         if set(zip(x, x[1:], x[2:], strict=False)).isdisjoint(zip(y, y[1:], y[2:], strict=False)):
             return end
-        blocks = SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks()
-        step = next((m for m in blocks if m.size > (0 if i < inside and m.size >= 3 else max(2, m.a, m.b))), None)
+        step = nearest_run(x, y, i < inside)
         if step is None:
             return end
-        i, j = i + step.a, j + step.b
+        i, j = i + step[0], j + step[1]
 
 
 def align(a: list[bytes], b: list[bytes], a_at: tuple[int, int], b_at: tuple[int, int]) -> tuple[int, int, int, int, int]:
@@ -312,7 +328,7 @@ def _block(start: str, stop: str) -> tuple:
 
 
 def _per_document(docs: DataFrame, wanted: DataFrame, schema: str, ready, cut) -> DataFrame:
-    """cut(ready(words), ask) rows, with doc_id in front, of every document that wanted (doc_id, ask struct) asks for; each ask once."""
+    """cut(ready(words), ask) rows, with doc_id in front, of every document that wanted (doc_id, ask long) asks for; each ask once."""
     asked = wanted.distinct().groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("ask").alias("asks"))
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -321,7 +337,7 @@ def _per_document(docs: DataFrame, wanted: DataFrame, schema: str, ready, cut) -
             for x in batches:
                 for doc, text, asks in zip(x.doc_id.tolist(), x.text, x.asks, strict=True):
                     own = ready(words(text, lower=True))
-                    for ask in asks:
+                    for ask in asks.tolist():
                         yield doc, *cut(own, ask)
 
         yield from in_frames(rows(), names, 2000)
@@ -344,9 +360,9 @@ def around(marked: np.ndarray, at: int, k: int) -> bytes:
 def promising(found: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """found without those chains of one seed that have too few words in common on both sides of it."""
     single, names = found.where("not sure"), found.columns
-    ask = lambda at: F.struct(F.col(at).alias("at")).alias("ask")
+    ask = lambda at: F.col(at).cast("long").alias("ask")
     wanted = single.select("doc_id", ask("start")).unionByName(single.select(F.col("ref_id").alias("doc_id"), ask("ref_start")))
-    near = materialize(_per_document(docs, wanted, "doc_id long, at int, near binary", marks, lambda m, a: (a["at"], around(m, a["at"], k))), "near")
+    near = materialize(_per_document(docs, wanted, "doc_id long, at int, near binary", marks, lambda m, at: (at, around(m, at, k))), "near")
     sweep(docs.sparkSession)
     both = single.join(near.select("doc_id", F.col("at").alias("start"), F.col("near").alias("mine")), ["doc_id", "start"])
     both = both.join(near.select(F.col("doc_id").alias("ref_id"), F.col("at").alias("ref_start"), F.col("near").alias("theirs")), ["ref_id", "ref_start"])
@@ -390,9 +406,10 @@ def passages(docs: DataFrame, least: int = LEAST, similar: float = SIMILAR, k: i
     t, f = _block("ref_start", "ref_stop")
     found = kept.drop("sure").withColumns({"s": s, "e": e, "t": t, "f": f})
     # Distinct ranges, so what thousands of documents ask of one is asked once.
-    ask = lambda a, b: F.struct(F.col(a).alias("s"), F.col(b).alias("e")).alias("ask")
+    ask = lambda a, b: F.shiftleft(F.col(a).cast("long"), 32).bitwiseOR(F.col(b).cast("long")).alias("ask")
     wanted = found.select("doc_id", ask("s", "e")).unionByName(found.select(F.col("ref_id").alias("doc_id"), ask("t", "f")))
-    pieces = materialize(_per_document(one, wanted, "doc_id long, s int, e int, piece string", list, lambda ws, r: (r["s"], r["e"], b" ".join(ws[r["s"] : r["e"]]).decode("utf-8", "surrogatepass"))), "pieces")
+    cut = lambda ws, r: ((s := r >> 32), (e := r & 0xFFFFFFFF), b" ".join(ws[s:e]).decode("utf-8", "surrogatepass"))
+    pieces = materialize(_per_document(one, wanted, "doc_id long, s int, e int, piece string", list, cut), "pieces")
     sweep(docs.sparkSession)
     both = found.join(pieces.withColumnRenamed("piece", "mine"), ["doc_id", "s", "e"])
     both = both.join(pieces.select(F.col("doc_id").alias("ref_id"), F.col("s").alias("t"), F.col("e").alias("f"), F.col("piece").alias("theirs")), ["ref_id", "t", "f"])

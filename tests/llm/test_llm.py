@@ -1,6 +1,7 @@
 """The numbered operators against brute force and on odd rows."""
 
 import collections
+import difflib
 import functools
 import hashlib
 import re
@@ -560,6 +561,20 @@ def test_best_chains():
     assert sorted(c[:2] for c in substring.chains([0, 5, 90, 95], [0, 5, 90, 97])) == [(0, 5), (90, 95)]
 
 
+def test_nearest_run_is_difflibs():
+    """The same run as by all matching blocks, of which none behind the wanted one is made."""
+    r = np.random.default_rng(6)
+    for n in range(600):
+        x = [b"%d" % i for i in r.integers(0, 3 + n % 40, r.integers(1, 64))]
+        y = list(x)
+        for i in r.integers(0, len(x), 1 + n % 9):
+            y[i : i + int(r.integers(0, 3))] = [b"%d" % k for k in r.integers(0, 3 + n % 40, r.integers(0, 3))] if i < len(y) else []
+        for inside in (True, False):
+            blocks = difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks()
+            want = next(((m.a, m.b) for m in blocks if m.size > (0 if inside and m.size >= 3 else max(2, m.a, m.b))), None)
+            assert substring.nearest_run(x, y, inside) == want
+
+
 def test_scattered_passages(spark):
     """A passage whose sentences all stand in earlier documents, each in another, is found in the document that has it whole."""
     rows = []
